@@ -39,6 +39,27 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+#: Rows that Spark hands a Python worker at once, so that long texts don't add up.
+ARROW_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch size to ``ARROW_ROWS`` for the jobs that follow; never raise it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
+def tokenizer_spec(path: str | None = None) -> str:
+    """The text of a tokenizer file; by default the public 49k word vocabulary of this machine."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("word_bpe_49k.json")
+    with open(path, encoding="utf-8") as f:
+        return f.read()
+
+
 class Workspace:
     """Written tables of one run in the shared folder. They cut lineage and outlive the executors that wrote them."""
 

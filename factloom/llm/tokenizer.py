@@ -13,9 +13,14 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
 
+from .words import Words, gather
+
 _NEVER = 1 << 60
 
 
@@ -37,7 +42,9 @@ class TokenAutomaton:
         for step, merge in enumerate(model["merges"]):
             self._gadget(step, *(merge if isinstance(merge, list) else merge.split(" ")))
         self._arcs.clear()  # arcs asked for while gadgets were still missing
-        self.longest = max(map(len, self.vocab))
+        #: Each ending of a label: the token that it is, or -1 if it is none that a path can use.
+        self.endings: dict[str, int] = {label[i:]: -1 for label in self.vocab for i in range(len(label))}
+        self.endings |= {label: i for label, i in self.vocab.items() if i in self.left or len(label.removesuffix(self.suffix)) <= 1}
 
     def _gadget(self, step: int, a: str, b: str) -> None:
         i, j, k = self.vocab[a], self.vocab[b], self.vocab[a + b]
@@ -66,12 +73,10 @@ class TokenAutomaton:
             x = after
 
     def arc(self, x: int, y: int) -> bool:
-        """The transition table: filled on first use, at most ``2**20`` entries."""
-        known = self._arcs.get((x, y))
-        if known is None:
-            if len(self._arcs) >= 1 << 20:
-                self._arcs.clear()
-            known = self._arcs[x, y] = self._open(x, y)
+        """Fill a missing entry of the transition table, which keeps at most ``2**20``."""
+        if len(self._arcs) >= 1 << 20:
+            self._arcs.clear()
+        known = self._arcs[x, y] = self._open(x, y)
         return known
 
     def encode_word(self, word: str) -> list[int]:
@@ -79,22 +84,27 @@ class TokenAutomaton:
 
         ``last[i]`` is the arc by which the one accepted path of the first i symbols ends.
         """
+        vocab, arcs, endings = self.vocab, self._arcs, self.endings
         symbols = [*word[:-1], word[-1] + self.suffix] if word else []
-        symbols = [s for s in symbols if s in self.vocab]  # as without an unknown token
-        n, vocab, arc = len(symbols), self.vocab, self.arc
+        symbols = [s for s in symbols if s in vocab]  # as without an unknown token
+        n = len(symbols)
         last, start = [-1] * (n + 1), [0] * (n + 1)
-        whole = "".join(symbols)
-        ends = [0]
-        for s in symbols:
-            ends.append(ends[-1] + len(s))
         for i in range(1, n + 1):
-            for j in range(i - 1, max(-1, i - 1 - self.longest), -1):
-                token = vocab.get(whole[ends[j] : ends[i]])
-                if token is None or (i - j > 1 and token not in self.left):
-                    continue
-                if j == 0 or (last[j] >= 0 and arc(last[j], token)):
-                    last[i], start[i] = token, j
+            label = ""
+            for j in range(i - 1, -1, -1):  # short arcs first: most accepted arcs are short
+                label = symbols[j] + label
+                token = endings.get(label)
+                if token is None:
                     break
+                if token < 0:
+                    continue
+                if j:
+                    before = last[j]
+                    known = arcs.get((before, token))
+                    if not (self.arc(before, token) if known is None else known):
+                        continue
+                last[i], start[i] = token, j
+                break
         out, i = [], n
         while i:
             out.append(last[i])
@@ -102,56 +112,112 @@ class TokenAutomaton:
         return out[::-1]
 
 
+def _byte_symbols() -> list[str]:
+    """The printable stand-in of each byte in byte-level vocabularies: itself, or the next free code point from 256."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
+
+
 class TextEncoder:
     """Ids of whole texts. White-space-free chunks are pre-split by the tokenizer file's own rules and remembered.
 
-    ``engine`` is ``"automaton"`` or ``"library"`` (the tokenizers library encodes each new chunk).
+    ``engine`` is ``"automaton"`` or ``"library"`` (the tokenizers library encodes new chunks).
+    Two generations of at most ``remember`` chunks are kept.
     """
 
-    def __init__(self, spec: str, engine: str, remember: int = 400_000):
+    #: Code points whose letters, case and composition are the same in every Unicode version: the split below equals the file's there.
+    _SIMPLE = regex.compile(r"[\x21-\x7e\xa1-\u024f]+")
+    _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+    _SIMPLE_RULES = ("'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+", ["NFC", "Replace", "Lowercase"])
+
+    def __init__(self, spec: str, engine: str, remember: int = 600_000):
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.remember = remember
         self.known: dict[str, bytes] = {}
-        added = json.loads(spec).get("added_tokens") or []
-        self.added = {a["content"]: a["id"] for a in added}
+        self.older: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        rules = json.loads(spec)
+        self.added = {a["content"]: a["id"] for a in rules.get("added_tokens") or []}
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.automaton = TokenAutomaton(spec) if engine == "automaton" else None
-        self.labels = dict(self.automaton.labels) if self.automaton else {i: s for s, i in self.tokenizer.get_vocab().items()}
-        self.labels |= {i: s for s, i in self.added.items()}
+        labels = dict(self.automaton.labels) if self.automaton else {i: s for s, i in self.tokenizer.get_vocab().items()}
+        labels |= {i: s for s, i in self.added.items()}
+        self.labels = pa.array([labels.get(i, "") for i in range(max(labels) + 1)], pa.string())
+        try:
+            self.simple = self._SIMPLE_RULES == (rules["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"], [n["type"] for n in rules["normalizer"]["normalizers"]])
+        except (KeyError, TypeError):
+            self.simple = False
+        self.symbols = _byte_symbols()
+
+    def _word(self, word: str) -> bytes:
+        ids = self.words.get(word)
+        if ids is None:
+            if len(self.words) >= self.remember:
+                self.words.clear()
+            ids = b"".join(i.to_bytes(4, "little") for i in self.automaton.encode_word(word))
+            if len(word) <= 64:
+                self.words[word] = ids
+        return ids
 
     def _chunk(self, chunk: str) -> bytes:
-        if self.automaton:
-            ids = [t for word, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(chunk) for t in self.automaton.encode_word(word)]
-        else:
-            ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        if len(self.known) >= self.remember:
-            self.known.clear()
-        out = b"".join(i.to_bytes(4, "little") for i in ids)
-        if len(chunk) <= 64:
-            self.known[chunk] = out
-        return out
-
-    def _plain(self, text: str) -> bytes:
-        known, chunk = self.known, self._chunk
+        if self.simple and self._SIMPLE.fullmatch(chunk) and "<|" not in chunk:
+            symbols = self.symbols
+            lowered = chunk.lower()
+            mapped = (w if w.isascii() else "".join([symbols[b] for b in w.encode()]) for w in self._SPLIT.findall(lowered))
+            return b"".join([self._word(w) for w in mapped])
         out = []
-        for c in self.tokenizer.normalizer.normalize_str(text).split(" "):
-            if c:
-                ids = known.get(c)
-                out.append(chunk(c) if ids is None else ids)
+        for part in self.split.split(chunk) if self.split else [chunk]:
+            if part in self.added:
+                out.append(self.added[part].to_bytes(4, "little"))
+            elif part:
+                split = self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(part))
+                out += [self._word(w) for w, _ in split]
         return b"".join(out)
 
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        if not self.split or not any(a in text for a in self.added):
-            return self._plain(text)
-        return b"".join(self.added[p].to_bytes(4, "little") if p in self.added else self._plain(p) for p in self.split.split(text) if p)
+    def _remember(self, chunk: str, ids: bytes) -> None:
+        if len(self.known) >= self.remember:
+            self.known, self.older = {}, self.known
+        if len(chunk) <= 64:
+            self.known[chunk] = ids
+
+    def chunks(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks without ASCII white space, as little-endian unsigned 32-bit integers."""
+        known, older = self.known, self.older
+        out = [known.get(c) for c in chunks]
+        new: list[int] = []
+        for k, ids in enumerate(out):
+            if ids is None:
+                ids = older.get(chunks[k])
+                if ids is None and self.automaton:
+                    ids = self._chunk(chunks[k])
+                if ids is None:
+                    new.append(k)
+                else:
+                    out[k] = ids
+                    self._remember(chunks[k], ids)
+        if new:
+            for k, e in zip(new, self.tokenizer.encode_batch_fast([chunks[k] for k in new], add_special_tokens=False), strict=True):
+                out[k] = np.array(e.ids, "<u4").tobytes()
+                self._remember(chunks[k], out[k])
+        return out
 
-    def decode(self, ids) -> str:
-        """Arc labels of the ids, joined as the library joins them for a file without a decoder."""
-        labels = self.labels
-        return " ".join([labels[i] for i in ids if i in labels])
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and where each text's begin (and the end)."""
+        words = Words(texts, lower=False)
+        parts = self.chunks(words.vocabulary)
+        lengths = np.fromiter((len(p) >> 2 for p in parts), np.int64, len(parts))
+        flat = np.frombuffer(b"".join(parts), "<u4")
+        starts = np.cumsum(lengths) - lengths
+        of = lengths[words.codes]
+        return gather(flat, starts[words.codes], of), np.concatenate([[0], np.cumsum(of)])[words.offsets]
+
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+        """Texts of runs of ids: arc labels, joined as the library joins them for a file without a decoder."""
+        labels = self.labels.take(pa.array(ids.astype(np.int64)))
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), labels), " ")
 
 
 _ENCODERS: dict[tuple[str, str], TextEncoder] = {}
