@@ -15,7 +15,7 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -30,18 +30,37 @@ def bits_for(n: int) -> int:
     return max(1, (n - 1).bit_length())
 
 
-def dealt(df: DataFrame, key: str, others: list[str] = []) -> DataFrame:
+def xxhash64(columns: list[np.ndarray]) -> np.ndarray:
+    """Spark's ``xxhash64`` of columns of longs."""
+    p1, p2, p3, p4, p5 = map(np.uint64, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turned = lambda x, n: (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+    out: np.ndarray | np.uint64 = np.uint64(42)
+    with np.errstate(over="ignore"):
+        for c in columns:
+            h = out + p5 + np.uint64(8)
+            h = turned(h ^ (turned(c.astype(np.uint64) * p2, 31) * p1), 27) * p1 + p4
+            h = (h ^ (h >> np.uint64(33))) * p2
+            h = (h ^ (h >> np.uint64(29))) * p3
+            out = h ^ (h >> np.uint64(32))
+    return out.view(np.int64)
+
+
+def dealt(df: DataFrame, key: Column) -> DataFrame:
     """df with a column ``shard`` (top bits of the key), partitioned by it."""
     bits = bits_for(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    shard = (F.shiftright(F.col(key), 64 - bits) + (1 << (bits - 1))).cast("int")
+    shard = (F.shiftright(key, 64 - bits) + (1 << (bits - 1))).cast("int")
     return df.withColumn("shard", shard).repartitionById(1 << bits, F.col("shard"))
 
 
-def write(df: DataFrame, root: str, key: str, values: list[str], kind: str = "<u8", keep: bool = False) -> DataFrame:
-    """Write arrays of a frame that ``dealt`` made, keys distinct, values not negative. Rows: the file list; with ``keep`` (frames of longs only) also every row of df, ``file`` null."""
-    folder, names = local(root), df.columns
+def write(df: DataFrame, root: str, key: str, values: list[str], kind: str = "<u8", keep: list[str] = []) -> DataFrame:
+    """Write arrays of a frame that ``dealt`` made, keys distinct, values not negative.
+
+    Rows: the file list; also, with ``file`` null, the ``keep`` columns (longs) of every row of df.
+    """
+    folder = local(root)
     os.makedirs(folder, exist_ok=True)
-    schema = "file string, low long, high long, n long" + (", " + ", ".join(f"{c} long" for c in names) if keep else "")
+    schema = "file string, low long, high long, n long" + "".join(f", {c} long" for c in keep)
+    names = ["file", "low", "high", "n", *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = f"{folder}/{uuid.uuid4().hex}"
@@ -57,10 +76,10 @@ def write(df: DataFrame, root: str, key: str, values: list[str], kind: str = "<u
                 out.write(np.stack([np.minimum(batch[c].to_numpy().view(np.uint64), most).astype(kind) for c in values], 1).tobytes())
                 if keep:
                     empty = [pa.nulls(batch.num_rows, t) for t in (pa.string(), pa.int64(), pa.int64(), pa.int64())]
-                    yield pa.RecordBatch.from_arrays([*empty, *(batch[c].cast(pa.int64()) for c in names)], names=["file", "low", "high", "n", *names])
+                    yield pa.RecordBatch.from_arrays([*empty, *(batch[c] for c in keep)], names=names)
         if n:
             row = [pa.array([name]), *(pa.array([int(x)], pa.int64()) for x in (low, high, n))]
-            yield pa.RecordBatch.from_arrays([*row, *(pa.nulls(1, pa.int64()) for _ in names if keep)], names=["file", "low", "high", "n", *(names if keep else [])])
+            yield pa.RecordBatch.from_arrays([*row, *(pa.nulls(1, pa.int64()) for _ in keep)], names=names)
         else:
             os.remove(f"{name}.keys")
             os.remove(f"{name}.values")
@@ -80,7 +99,13 @@ class HashArrays:
         self.width, self.kind = width, kind
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For sorted signed keys: (rank of each among all keys or -1, its values or zeros)."""
+        """For signed keys in any order: (rank of each among all keys or -1, its values or zeros)."""
+        order = np.argsort(keys)
+        ranks, values = np.empty(len(keys), np.int64), np.empty((len(keys), self.width), self.kind)
+        ranks[order], values[order] = self._find(keys[order])
+        return ranks, values
+
+    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ranks = np.full(len(keys), -1, np.int64)
         values = np.zeros((len(keys), self.width), self.kind)
         if not len(self.lows):

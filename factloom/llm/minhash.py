@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, small_batches, table
+from .common import Workspace, fresh_name, small_batches, table
 from .components import components
 from .words import Words, mix, slices
 
@@ -208,3 +208,12 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(table(spark, sf_dir, "documents"), size=2)
+
+
+def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one document of each group: the one with the smallest key. Repeated rows of a key go too; rows with a null key stay."""
+    found = link(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), size, percent)
+    name = fresh_name(docs, "dropped")
+    dropped = found.where("not kept").select(F.col("doc_id").alias(name)).distinct()
+    kept = docs.where(F.col(key).isNotNull()).join(dropped, F.col(key) == F.col(name), "left_anti").dropDuplicates([key])
+    return kept.unionByName(docs.where(F.col(key).isNull()))

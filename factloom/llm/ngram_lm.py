@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from . import hash_arrays
 from .common import Workspace, fresh_name, small_batches, table
-from .hash_arrays import HashArrays
-from .words import Words, mix, slices
+from .hash_arrays import HashArrays, xxhash64
+from .words import Words, slices
 
 END = np.uint64(xxhash.xxh3_64_intdigest("\n"))  # no word holds white space
 BUFFER = 1 << 21  # n-grams that a task counts before it hands them on
@@ -61,42 +61,28 @@ def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield merged()
 
 
-def _vocabulary_ids(vocabulary: HashArrays, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(id or -1, count) of each hash."""
-    order = np.argsort(hashes.view(np.int64))
-    ids, counts = np.empty(len(hashes), np.int64), np.empty(len(hashes), np.int64)
-    ids[order], values = vocabulary.find(hashes.view(np.int64)[order])
-    counts[order] = values[:, 0]
-    return ids, counts
-
-
-def _histories(ids: np.ndarray, offsets: np.ndarray, order: int, begin: int) -> list[np.ndarray]:
+def _histories(codes: np.ndarray, offsets: np.ndarray, order: int, begin: int) -> list[np.ndarray]:
     """Columns t1..tn: each token (last) after the tokens before it in its text, ``begin`` before the first."""
-    columns, places = [ids], np.arange(len(ids)) - np.repeat(offsets[:-1], np.diff(offsets))
+    columns, places = [codes], np.arange(len(codes)) - np.repeat(offsets[:-1], np.diff(offsets))
     for back in range(1, order):
-        before = np.empty_like(ids)
-        before[back:], before[:back] = ids[:-back], begin
+        before = np.empty_like(codes)
+        before[back:], before[:back] = codes[:-back], begin
         before[places < back] = begin
         columns.insert(0, before)
     return columns
 
 
-def _key(columns: list[np.ndarray]) -> np.ndarray:
-    out = mix(columns[0], 1)
-    for c in columns[1:]:
-        out = mix(out, c)
-    return out.view(np.int64)
-
-
-def _distinct(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(place of one row of each distinct one, row -> distinct one)."""
-    codes = columns[0]
-    first = np.zeros(0, np.int64)
-    for c in columns[1:] or [np.zeros(len(codes), np.int64)]:
-        if len(codes) and (codes.max() >= 1 << 31 or c.max() >= 1 << 31):
-            codes, c = np.unique(codes, return_inverse=True)[1], np.unique(c, return_inverse=True)[1]
-        _, first, codes = np.unique(codes << 32 | c, return_index=True, return_inverse=True)
-    return first, codes
+def _counted(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """(columns of the distinct rows, their counts)."""
+    if len(columns) == 2 and max(c.max(initial=0) for c in columns) < 1 << 31:
+        packed, counts = np.unique(columns[0] << 32 | columns[1], return_counts=True)
+        return [packed >> 32, packed & 0xFFFFFFFF], counts
+    order = np.lexsort(columns[::-1])
+    columns = [c[order] for c in columns]
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    at = np.flatnonzero(new)
+    return [c[at] for c in columns], np.diff(np.append(at, len(order)))
 
 
 class Model:
@@ -122,29 +108,26 @@ class Model:
     def _discount(self, level: int, counts: np.ndarray) -> np.ndarray:
         return np.array([0.0, *self.discounts[level]])[np.minimum(counts, 3)]
 
-    def probabilities(self, columns: list[np.ndarray]) -> np.ndarray:
-        """P(last | others) of distinct n-grams of ids; -1 stands for an unknown token."""
-        words = columns[-1]
-        order = np.argsort(key := _key([words]))
-        counts = np.zeros(len(words))
-        counts[order] = self.arrays("grams1").find(key[order])[1][:, 0]
-        p = self.rest / (self.words + 1)
+    def _continuation(self, level: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(total, weight left for the lower order) of each context; total 0 if it never came up."""
+        total, *seen = self.arrays(f"contexts{level}").find(keys)[1].astype(np.float64).T
+        return total, sum(d * n for d, n in zip(self.discounts[level], seen, strict=True)) / np.maximum(total, 1)
+
+    def probabilities(self, ids: np.ndarray, columns: list[np.ndarray]) -> np.ndarray:
+        """P(last | others) of n-grams of codes into ``ids``; id -1 stands for an unknown token."""
+        counts = self.arrays("grams1").find(xxhash64([ids]))[1][:, 0].astype(np.int64)
+        p = np.full(len(ids), self.rest / (self.words + 1))
         if self.continuations:
-            p = p + np.maximum(counts - self._discount(1, counts.astype(np.int64)), 0) / self.continuations
-        else:
-            p = np.full(len(words), p)
+            p += np.maximum(counts - self._discount(1, counts), 0) / self.continuations
+        p = p[columns[-1]]
         for level in range(2, self.order + 1):
             own = columns[-level:]
-            context = np.zeros((len(words), 4))
-            order = np.argsort(key := _key(own[:-1]))
-            context[order] = self.arrays(f"contexts{level}").find(key[order])[1]
-            counts = np.zeros(len(words), np.int64)
-            order = np.argsort(key := _key(own))
-            counts[order] = self.arrays(f"grams{level}").find(key[order])[1][:, 0]
-            total, d = context[:, 0], self.discounts[level]
-            seen = total > 0
-            back = (context[:, 1] * d[0] + context[:, 2] * d[1] + context[:, 3] * d[2])[seen] / total[seen]
-            p[seen] = np.maximum(counts - self._discount(level, counts), 0)[seen] / total[seen] + back * p[seen]
+            if level == 2:
+                total, rest = (x[own[0]] for x in self._continuation(2, xxhash64([ids])))
+            else:
+                total, rest = self._continuation(level, xxhash64([ids[c] for c in own[:-1]]))
+            counts = self.arrays(f"grams{level}").find(xxhash64([ids[c] for c in own]))[1][:, 0].astype(np.int64)
+            p = np.where(total > 0, np.maximum(counts - self._discount(level, counts), 0) / np.maximum(total, 1) + rest * p, p)
         return p
 
 
@@ -167,10 +150,10 @@ def train(docs: DataFrame, text: str = "text", order: int = 2) -> Model:
     listing = lambda df: [tuple(r) for r in df.where("file is not null").select("file", "low", "high", "n").collect()]  # noqa: E731  a row for a file
 
     small_batches(spark)
-    counted = hash_arrays.dealt(texts.mapInArrow(_unigrams, "key long, c long"), "key").groupBy("shard", "key").agg(F.sum("c").alias("c"))
+    counted = hash_arrays.dealt(texts.mapInArrow(_unigrams, "key long, c long"), F.col("key")).groupBy("shard", "key").agg(F.sum("c").alias("c"))
     space.save(counted.select("shard", "key", "c"), "unigrams")
     rows_at_once(_ROWS)
-    unigrams = space.save(hash_arrays.write(hash_arrays.dealt(spark.read.parquet(space.path("unigrams")), "key"), space.path("vocabulary"), "key", ["c"]), "vocabulary_files")
+    unigrams = space.save(hash_arrays.write(hash_arrays.dealt(spark.read.parquet(space.path("unigrams")), F.col("key")), space.path("vocabulary"), "key", ["c"]), "vocabulary_files")
     model.files["vocabulary"] = listing(unigrams)
     total = spark.read.parquet(space.path("unigrams")).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     space.drop("unigrams")
@@ -184,31 +167,27 @@ def train(docs: DataFrame, text: str = "text", order: int = 2) -> Model:
         held: list[list[np.ndarray]] = []
         n = 0
 
-        def merged() -> Iterator[pa.RecordBatch]:
-            found = [np.concatenate(c) for c in zip(*held, strict=True)]
-            first, at = _distinct(found)
-            counts = np.bincount(at)
-            own = [c[first] for c in found]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (_key(own), *own, counts.astype(np.int64))], names=["key", *columns, "c"])
+        def merged() -> pa.RecordBatch:
+            own, counts = _counted([np.concatenate(c) for c in zip(*held, strict=True)])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (*own, counts.astype(np.int64))], names=[*columns, "c"])
 
         for batch in batches:
             for part in slices(batch, 0):
                 hashes, codes, offsets = _words(part[0])
-                ids = _vocabulary_ids(vocabulary, hashes)[0][codes]
+                ids = vocabulary.find(hashes.view(np.int64))[0][codes]
                 held.append(_histories(ids, offsets, order, begin))
                 n += len(ids)
                 if n >= BUFFER:
-                    yield from merged()
+                    yield merged()
                     held, n = [], 0
         if held:
-            yield from merged()
+            yield merged()
 
-    grams = texts.mapInArrow(ngrams, ", ".join(f"{c} long" for c in ["key", *columns, "c"]))
+    grams = texts.mapInArrow(ngrams, ", ".join(f"{c} long" for c in [*columns, "c"]))
     for level in range(order, 0, -1):
         own = columns[-level:]
-        keyed = hash_arrays.dealt(grams if level == order else _with_key(grams, own, "key"), "key")
-        summed = keyed.groupBy("shard", "key", *own).agg(F.sum("c").alias("c")).select("key", *own, "c")
-        written = hash_arrays.write(summed, space.path(f"grams{level}"), "key", ["c"], "<u4", keep=True)
+        summed = hash_arrays.dealt(grams, F.xxhash64(*own)).groupBy("shard", *own).agg(F.sum("c").alias("c")).select(F.xxhash64(*own).alias("key"), *own, "c")
+        written = hash_arrays.write(summed, space.path(f"grams{level}"), "key", ["c"], "<u4", keep=[*own, "c"])
         if level == order:
             rows_at_once(_TEXT_ROWS)
         # the rows are written once more for the sums below; a null file marks them
@@ -224,25 +203,14 @@ def train(docs: DataFrame, text: str = "text", order: int = 2) -> Model:
             model.rest = (d[0] * of[0] + d[1] * of[1] + d[2] * of[5]) / of[4] if of[4] else 1.0
         else:
             sums = [F.sum("c").alias("total"), *(F.count_if(test).cast("long").alias(f"n{k}") for k, test in ((1, F.col("c") == 1), (2, F.col("c") == 2), (3, F.col("c") > 2)))]
-            contexts = hash_arrays.dealt(_with_key(counts.groupBy(*own[:-1]).agg(*sums), own[:-1], "key"), "key")
-            files = hash_arrays.write(contexts.select("key", "total", "n1", "n2", "n3"), space.path(f"contexts{level}"), "key", ["total", "n1", "n2", "n3"])
+            contexts = hash_arrays.dealt(counts.groupBy(*own[:-1]).agg(*sums).withColumn("key", F.xxhash64(*own[:-1])), F.col("key"))
+            files = hash_arrays.write(contexts, space.path(f"contexts{level}"), "key", ["total", "n1", "n2", "n3"])
             model.files[f"contexts{level}"] = listing(space.save(files, f"contexts{level}_files"))
             grams = counts.groupBy(*own[1:]).agg(F.count("*").alias("c"))
     small_batches(spark)
     return model
 
 
-def _with_key(df: DataFrame, columns: list[str], name: str) -> DataFrame:
-    """df with ``_key`` of its columns."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key = _key([batch[c].to_numpy() for c in columns])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(key)], names=[*batch.schema.names, name])
-
-    return df.mapInArrow(run, df.withColumn(name, F.lit(0).cast("long")).schema)
-
-
 _MODELS: dict[str, Model] = {}
 
 
@@ -261,11 +229,11 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             at = batch.schema.get_field_index(text)
             for part in slices(batch, at):
                 hashes, codes, offsets = _words(part[at])
-                ids, counts = _vocabulary_ids(own.arrays("vocabulary"), hashes)
-                columns = _histories(ids[codes], offsets, model.order, model.words)
-                first, row = _distinct([c + 1 for c in columns])  # no id is below 0 there
-                logs = np.log10(own.probabilities([c[first] for c in columns]))[row]
-                known, base = (counts > 0)[codes], np.log10((counts + 1) / floor)[codes]
+                ids, counts = own.arrays("vocabulary").find(hashes.view(np.int64))
+                counts = counts[:, 0]
+                columns = _histories(codes, offsets, model.order, len(ids))
+                logs = np.log10(own.probabilities(np.append(ids, model.words), columns))
+                known, base = (counts > 0)[codes], np.log10((counts + 1.0) / floor)[codes]
                 sums = [np.add.reduceat(x, offsets[:-1]) for x in (known.astype(np.int64), base, logs)] if len(part) else [np.zeros(0)] * 3
                 n = np.diff(offsets)
                 arrays = [n, sums[0].astype(np.int64), np.full(len(n), model.train_tokens), sums[1], sums[2], 10.0 ** np.minimum(-sums[2] / n, 300)]

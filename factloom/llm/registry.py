@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, license_scan, minhash, ngram_lm, secret_scan, token_files, toxicity
+from . import bpe, decontaminate, html_text, license_scan, minhash, ngram_lm, secret_scan, token_files, toxicity, vector_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lm": ngram_lm.op1_lm,
         "op2_licenses": license_scan.op2_licenses,
+        "op3_decontaminate": decontaminate.op3_decontaminate,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_token_files": token_files.op5_token_files,
+        "op6_vectors": vector_dedup.op6_vectors,
+        "op7_html_text": html_text.op7_html_text,
         "op8_bpe": bpe.op8_bpe,
         "op9_minhash": minhash.op9_minhash,
         "op10_secrets": secret_scan.op10_secrets,

@@ -187,21 +187,32 @@ class TextEncoder:
         """Ids of chunks without ASCII white space, as little-endian unsigned 32-bit integers."""
         known, older = self.known, self.older
         out = [known.get(c) for c in chunks]
-        new: list[int] = []
+        new: list[tuple[int, list[str]]] = []  # for the library: places and the words of their chunks
         for k, ids in enumerate(out):
             if ids is None:
-                ids = older.get(chunks[k])
-                if ids is None and self.automaton:
-                    ids = self._chunk(chunks[k])
+                chunk = chunks[k]
+                ids = older.get(chunk)
                 if ids is None:
-                    new.append(k)
-                else:
-                    out[k] = ids
-                    self._remember(chunks[k], ids)
+                    if self.automaton:
+                        ids = self._chunk(chunk)
+                    elif self.simple and self._SIMPLE.fullmatch(chunk) and "<|" not in chunk:
+                        new.append((k, self._SPLIT.findall(chunk.lower())))
+                        continue
+                    else:
+                        new.append((k, [chunk]))
+                        continue
+                out[k] = ids
+                self._remember(chunk, ids)
         if new:
-            for k, e in zip(new, self.tokenizer.encode_batch_fast([chunks[k] for k in new], add_special_tokens=False), strict=True):
-                out[k] = np.array(e.ids, "<u4").tobytes()
-                self._remember(chunks[k], out[k])
+            words = self.words
+            if len(words) >= self.remember:
+                words.clear()
+            unknown = list({w for _, own in new for w in own if w not in words})
+            for w, e in zip(unknown, self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False), strict=True):
+                words[w] = b"".join([i.to_bytes(4, "little") for i in e.ids])
+            for k, own in new:
+                out[k] = ids = words[own[0]] if len(own) == 1 else b"".join([words[w] for w in own])
+                self._remember(chunks[k], ids)
         return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

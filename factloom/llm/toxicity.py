@@ -23,7 +23,7 @@ from .common import Workspace, fresh_name, small_batches, table
 
 TOXIC_ROWS = 3000
 CLEAN_ROWS = 6000
-FEATURES = 1 << 15
+FEATURES = 1 << 13
 ORDERS = (3, 4, 5)
 BITS = 20
 PENALTY = 1.0
