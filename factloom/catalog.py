@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import fact_queries  # noqa: F401  registers its queries
+from .plans import fact_queries, report_queries  # noqa: F401  they register their queries
 from .plans.registry import ORACLES, QUERIES
 
 FLAGSHIP = "a01_ci_resolution"
