@@ -6,6 +6,7 @@ tried only on texts that hold the rule's keyword.
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
 
@@ -15,6 +16,7 @@ class Rule(NamedTuple):
     keyword: str  # lower case; every match holds it, whatever its case
     regex: str
     base: bool = False
+    also: str = ""  # another keyword of every match
 
 
 #: Characters of words once A-Z are lower case, and the others.
@@ -84,7 +86,7 @@ LICENCES = (
     ("cc0-1.0", "cc0", r"cc0(?:[ -]1\.0)?(?: universal)?", r"creativecommons\.org/publicdomain/zero/1\.0"),
 )
 
-_CC = tuple((parts, parts.replace("-", "[ -]")) for parts in ("by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd"))
+_CC = ("by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd")
 _CC_NAMES = {"by": "attribution", "sa": "sharealike", "nc": "non-?commercial", "nd": "no-?deriv(?:ative)?s"}
 _GRANT = r"(?:licen[sc]ed|released|distributed|available|published|provided|covered)\s+(?:to you\s+)?(?:under|by)\s+(?:the\s+)?(?:terms\s+of\s+)?(?:the\s+)?"
 
@@ -93,9 +95,10 @@ def _creative_commons() -> list[tuple[str, str, str, str]]:
     out = []
     for version in ("1.0", "2.0", "2.5", "3.0", "4.0"):
         v = version.replace(".", r"\.") if not version.endswith(".0") else rf"{version[0]}(?:\.0)?"
-        for parts, short in _CC:
+        for parts in _CC:
             long = r"[ -]".join(_CC_NAMES[p] for p in parts.split("-"))
-            out.append((f"cc-{parts}-{version}", "cc", rf"cc[ -]{short}[ -]{v}", rf"creativecommons\.org/licenses/{parts}/{version[0]}\.{version[2]}"))
+            for sep in " -":
+                out.append((f"cc-{parts}-{version}", f"cc{sep}{parts}", rf"cc{sep}{parts}[ -]{v}", rf"creativecommons\.org/licenses/{parts}/{version[0]}\.{version[2]}" if sep == " " else ""))
             out.append((f"cc-{parts}-{version}", "creative commons", rf"creative commons {long}(?: international| unported)? {v}", ""))
     return out
 
@@ -105,14 +108,17 @@ def rules() -> list[Rule]:
     start, end = f"(?i)(?<!{WORD})", f"(?!{WORD})"
     out = []
     for phrase, label in BASE_PHRASES:
-        out.append(Rule(label, 2, phrase.split()[-1], start + f"{OTHER}+".join(phrase.split()) + end, True))
+        out.append(Rule(label, 2, phrase.split()[0], start + f"{OTHER}+".join(phrase.split()) + end, True, phrase.split()[-1]))
     for label, keyword, name, address in (*LICENCES, *_creative_commons()):
-        spaced = name.replace(" ", r"\s+")
+        spaced = name if keyword.startswith("cc") else re.sub(r"(?<!\[) ", r"\\s+", name)
+        also = "licen" if "licen[sc]e" in name and "?: licen[sc]e)?" not in name else ""
+        if " " in keyword and not keyword.startswith("cc"):  # words may stand apart by any white space
+            keyword, also = max(keyword.split(), key=len), also or min(keyword.split(), key=len)
         if address != "":  # once for each identifier
             spdx = label.replace(".", r"\.")
             out.append(Rule(label, 0, "spdx-license-identifier", rf"(?i)spdx-license-identifier:\s*{spdx}(?:-only|-or-later)?(?![\w.-])"))
-        out.append(Rule(label, 1, keyword, rf"{start}{_GRANT}{spaced}{end}"))
-        out.append(Rule(label, 3, keyword, rf"{start}{spaced}{end}"))
+        out.append(Rule(label, 1, keyword, rf"{start}{_GRANT}{spaced}{end}", also=also))
+        out.append(Rule(label, 3, keyword, rf"{start}{spaced}{end}", also=also))
         if address:
             out.append(Rule(label, 2, address.split("/")[0].replace("\\", ""), rf"(?i)https?://(?:www\.)?{address}"))
     return out

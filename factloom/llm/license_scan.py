@@ -1,7 +1,7 @@
 """Operator 2: licence detections by ordered signature rules with a keyword prefilter and interval-containment suppression.
 
-A text is tried with the rules whose keyword it holds, all rows at once and without a shuffle of texts: one pass asks for the
-few stems that every keyword depends on, and only rows that hold one are asked for each keyword. Detections are character
+A text is tried with the rules whose keywords it holds: most rules need "licen" and a word of their name, so most texts are told
+by one look. Detections are character
 intervals with a priority; one that lies inside another of the same or a better priority is suppressed (of equal
 intervals the first by priority and rule order stays). Suppression is a running maximum over a text's intervals in order.
 
@@ -18,8 +18,6 @@ from .common import fresh_name, table
 from .license_rules import WORD, Rule, rules
 from .spans import row_key, spans
 
-#: Every rule's match holds one of these, in lower case.
-STEMS = ("licen", "cc", "creative commons", "bsd", "mit no", "wtfpl", "unlicense", "/", "public domain")
 #: Weight of the best detection that stands, by priority.
 SCORES = (1.0, 0.95, 0.9, 0.8)
 _WORDS = f"{WORD}+"
@@ -29,17 +27,19 @@ def detections(docs: DataFrame, key: str = "doc_id", text: str = "text", listed:
     """A row for each match: row (``row_key``), label, priority, base, found, char_start, char_end, word_start, word_end, suppressed."""
     listed = rules() if listed is None else listed
     keyed = docs.select(row_key(key, text).alias("row"), F.col(text).alias("text")).withColumn("low", F.lower("text"))
-    keywords = sorted({r.keyword for r in listed})
-    stems = [s for s in STEMS if any(s in k for k in keywords)]
-    gate = F.lit(False)
-    for s in sorted({*stems, *(k for k in keywords if not any(s in k for s in stems))}):
-        gate |= F.contains("low", F.lit(s))
-    held = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(k)), F.lit(k)) for k in keywords)))
+    gates = sorted({(r.also, r.keyword) for r in listed})
+    gate = {also: F.contains("low", F.lit(also)) if also else F.lit(True) for also, _ in gates}
+    any_gate = F.lit(False)
+    for also in gate:
+        any_gate |= gate[also] if also else F.lit(False)
+    for also, keyword in gates:
+        any_gate |= F.contains("low", F.lit(keyword)) if not also else F.lit(False)
+    held = F.array_compact(F.array(*(F.when(gate[also] & F.contains("low", F.lit(k)), F.lit(f"{also}&{k}")) for also, k in gates)))
     spark = docs.sparkSession
-    rows = [(i, r.keyword, r.label, r.priority, r.base, r.regex, 0) for i, r in enumerate(listed)]
+    rows = [(i, f"{r.also}&{r.keyword}", r.label, r.priority, r.base, r.regex, 0) for i, r in enumerate(listed)]
     frame = spark.createDataFrame(rows, "id int, keyword string, label string, priority int, base boolean, regex string, `group` int")
     by_word = frame.groupBy("keyword").agg(F.collect_list(F.struct("id", "label", "priority", "base", "regex", "group")).alias("rules"))
-    gated = keyed.where(gate).select("row", "text", F.explode(held).alias("keyword")).join(F.broadcast(by_word), "keyword")  # as many rows as keywords
+    gated = keyed.where(any_gate).select("row", "text", F.explode(held).alias("keyword")).join(F.broadcast(by_word), "keyword")  # as many rows as keywords
     found = spans(gated.dropDuplicates(["row", "keyword"]), "row", "text", "rules", {"char": F.char_length, "word": lambda c: F.regexp_count(c, F.lit(_WORDS))}, ["label", "priority", "base"])
     order = Window.partitionBy("row").orderBy("char_start", F.desc("char_end"), "priority", "id").rowsBetween(Window.unboundedPreceding, -1)
     best = sorted({r.priority for r in listed})
