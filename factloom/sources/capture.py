@@ -1,0 +1,179 @@
+"""Captured payloads (JSON texts) as fact rows: gateway calls, OTLP log records, forge webhooks, commit notes.
+
+A payload that can't be read gives no row; the partition functions count those.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+_TOOL = "array<struct<id:string,type:string,function:struct<name:string,arguments:string>>>"
+_MESSAGE = f"struct<role:string,content:string,tool_calls:{_TOOL}>"
+_GATEWAY = (
+    f"model string, litellm_call_id string, messages array<{_MESSAGE}>, response struct<id:string,choices:array<struct<text:string,finish_reason:string,message:{_MESSAGE}>>,"
+    "usage:struct<prompt_tokens:bigint,completion_tokens:bigint>>, usage struct<prompt_tokens:bigint,completion_tokens:bigint>, prompt_tokens bigint, completion_tokens bigint, "
+    "response_time_ms double, response_time double, metadata struct<session_id:string,user_id:string>, end_user string"
+)
+
+
+def _parts(m: Column) -> Column:
+    """Parts of a chat message: its text, then its tool calls."""
+    empty = F.lit(None).cast("string")
+    text = F.struct(F.lit("text").alias("type"), m["content"].alias("content"), empty.alias("id"), empty.alias("name"), empty.alias("arguments"), empty.alias("result"))
+    tool = lambda t: F.struct(F.lit("tool_call").alias("type"), empty.alias("content"), t["id"].alias("id"), t["function"]["name"].alias("name"), t["function"]["arguments"].alias("arguments"), empty.alias("result"))
+    said = F.when(m["content"].isNotNull() & (m["content"] != ""), F.array(text)).otherwise(F.array().cast("array<struct<type:string,content:string,id:string,name:string,arguments:string,result:string>>"))
+    return F.concat(said, F.coalesce(F.transform(m["tool_calls"], tool), F.array().cast("array<struct<type:string,content:string,id:string,name:string,arguments:string,result:string>>")))
+
+
+def _message(m: Column, finish: Column) -> Column:
+    return F.struct(m["role"].alias("role"), finish.alias("finish_reason"), _parts(m).alias("parts"))
+
+
+def session_identity(metadata: Column, identity: Column, header: Column) -> Column:
+    """First non-empty of: the metadata's session, a JSON identity's session_id, a trailing session_<uuid> of the identity, a header."""
+    trailing = F.regexp_extract(identity, r"session_([0-9a-f]{8}-[0-9a-f-]{27})$", 1)
+    found = [metadata, F.get_json_object(identity, "$.session_id"), trailing, header]
+    return F.coalesce(*(F.when(F.trim(c) != "", c) for c in found))
+
+
+def gateway_calls(raw: DataFrame, payload: str = "payload", observed_at: str = "observed_at") -> DataFrame:
+    """Inference calls of gateway payloads; a payload without a session gives none.
+
+    Output: the first choice's message, else its text. Tokens: usage, else the response's usage, else the top level. Latency: milliseconds, else
+    seconds times 1000. Key: the gateway's call id, else the response's id.
+    """
+    p = raw.select("*", F.from_json(payload, _GATEWAY).alias("_p"))
+    choice = F.get(F.col("_p.response.choices"), 0)
+    none = F.lit(None).cast("string")
+    output = F.when(choice["message"].isNotNull(), F.array(_message(choice["message"], choice["finish_reason"]))).when(
+        choice["text"].isNotNull(), F.array(_message(F.struct(F.lit("assistant").alias("role"), choice["text"].alias("content"), F.lit(None).cast(_TOOL).alias("tool_calls")), choice["finish_reason"]))
+    )
+    tokens = lambda k: F.coalesce(F.col(f"_p.usage.{k}"), F.col(f"_p.response.usage.{k}"), F.col(f"_p.{k}"))
+    session = session_identity(F.col("_p.metadata.session_id"), F.coalesce("_p.metadata.user_id", "_p.end_user"), none)
+    milliseconds = F.coalesce("_p.response_time_ms", F.col("_p.response_time") * 1000)
+    out = p.select(
+        session.alias("session_id"), F.regexp_replace(F.coalesce("_p.metadata.user_id", "_p.end_user"), r"_?session_[0-9a-f-]{36}$", "").alias("user_id"), F.col("_p.model").alias("model"),
+        F.transform("_p.messages", lambda m: _message(m, none)).alias("input_messages"), output.alias("output_messages"), tokens("prompt_tokens").alias("input_tokens"), tokens("completion_tokens").alias("output_tokens"),
+        F.when(milliseconds.between(0, 9.2e18), F.round(milliseconds).cast("long")).alias("duration_ms"), F.coalesce("_p.litellm_call_id", "_p.response.id").alias("model_call_id"), F.col(observed_at).alias("observed_at"), F.col(payload).alias("raw"),
+    )
+    return out.where("session_id is not null")
+
+
+_VALUE = "struct<stringValue:string,intValue:string,doubleValue:double,boolValue:boolean>"
+_ATTRIBUTES = f"array<struct<key:string,value:{_VALUE}>>"
+_OTLP = (
+    f"resourceLogs array<struct<resource:struct<attributes:{_ATTRIBUTES}>,scopeLogs:array<struct<logRecords:array<struct<timeUnixNano:string,observedTimeUnixNano:string,body:{_VALUE},attributes:{_ATTRIBUTES}>>>>>>"
+)
+
+
+def _unwrapped(v: Column) -> Column:
+    return F.coalesce(v["stringValue"], v["intValue"], v["doubleValue"].cast("string"), v["boolValue"].cast("string"))
+
+
+def _map(attributes: Column) -> Column:
+    """Attributes as a map; the last value of a key counts."""
+    named = F.coalesce(attributes, F.array().cast(_ATTRIBUTES))
+    entries = F.transform(named, lambda a: F.named_struct(F.lit("key"), a["key"], F.lit("text"), _unwrapped(a["value"])))
+    return F.aggregate(entries, F.create_map().cast("map<string,string>"), lambda m, e: F.map_concat(F.map_filter(m, lambda k, _: k != e["key"]), F.map_from_arrays(F.array(e["key"]), F.array(e["text"]))))
+
+
+def otlp_records(raw: DataFrame, batch: str = "batch_id", payload: str = "payload") -> DataFrame:
+    """(batch, position, event, attributes, occurred_at): the log records of OTLP batches, resource attributes under the record's own. No event time: null."""
+    p = raw.select(batch, F.from_json(payload, _OTLP).alias("_p"))
+    logs = p.select(batch, F.explode("_p.resourceLogs").alias("r"))
+    scopes = logs.select(batch, _map(F.col("r.resource.attributes")).alias("res"), F.explode("r.scopeLogs").alias("s"))
+    records = scopes.select(batch, "res", F.posexplode("s.logRecords").alias("position", "l"))
+    own = _map(F.col("l.attributes"))
+    merged = F.map_concat(F.map_filter("res", lambda k, _: ~F.map_contains_key(own, k)), own)
+    nanos = F.col("l.timeUnixNano").cast("long")
+    return records.select(batch, "position", F.coalesce(_unwrapped(F.col("l.body")), own["event.name"]).alias("event"), merged.alias("attributes"), F.when(nanos > 0, F.timestamp_micros(F.floor(nanos / 1000).cast("long"))).alias("occurred_at"))
+
+
+EDIT_TOOLS = ("Edit", "Write", "MultiEdit", "NotebookEdit", "apply_patch", "edit", "write")
+
+
+def otlp_decisions(records: DataFrame, batch: str = "batch_id") -> DataFrame:
+    """Developer decisions of ``*tool_decision`` records; the path is joined from the last ``*tool_result`` of the same call in the batch.
+
+    Not an edit tool, an unknown verdict, no session or no event time: no row. A missing path is '' and never drops the row. A patch's decision gives a row for each of its files.
+    """
+    from ..functions.text import patch_paths
+
+    a = F.col("attributes")
+    tool, call = F.coalesce(a["tool_name"], a["tool"]), F.coalesce(a["tool_use_id"], a["call_id"])
+    results = records.where(F.col("event").endswith("tool_result")).select(batch, call.alias("call_id"), F.struct("position", F.coalesce(a["file_path"], F.get_json_object(a["tool_parameters"], "$.file_path")).alias("path"), a["arguments"].alias("patch")).alias("r"))
+    last = results.groupBy(batch, "call_id").agg(F.max("r").alias("r"))
+    verdict = F.lower(a["decision"])
+    decided = records.where(F.col("event").endswith("tool_decision") & tool.isin(*EDIT_TOOLS) & verdict.isin("accept", "accepted", "reject", "rejected", "approved", "denied"))
+    rows = decided.select(
+        batch, a["session.id"].alias("session_id"), F.coalesce(a["agent"], a["service.name"]).alias("agent_harness"), call.alias("call_id"), verdict.isin("accept", "accepted", "approved").alias("accepted"),
+        F.coalesce(a["explicit"].cast("boolean"), F.lower(a["source"]).isin("user", "user_permanent", "user_temporary", "user_reject"), F.lit(False)).alias("explicit"), a["file_path"].alias("own_path"), "occurred_at",
+    )
+    joined = rows.join(last, [batch, "call_id"], "left").where("session_id is not null and occurred_at is not null")
+    paths = F.coalesce(F.filter(patch_paths(F.col("r.patch")), lambda p: p != ""), F.array().cast("array<string>"))
+    fanned = F.when(F.size(paths) > 0, paths).otherwise(F.array(F.coalesce("own_path", "r.path", F.lit(""))))
+    return joined.select("session_id", "agent_harness", "call_id", "accepted", "explicit", F.explode(fanned).alias("file_path"), "occurred_at")
+
+
+def otlp_partition(raw: DataFrame, payload: str = "payload") -> DataFrame:
+    """One row: translated, untranslated and malformed batches and records."""
+    bad = F.from_json(payload, _OTLP)["resourceLogs"].isNull()
+    records = otlp_records(raw.withColumn("batch_id", F.monotonically_increasing_id()), "batch_id", payload)
+    known = F.col("event").endswith("tool_decision") | F.col("event").endswith("tool_result")
+    counts = records.agg(F.count_if(known).alias("translated"), F.count_if(~F.coalesce(known, F.lit(False))).alias("untranslated"))
+    return counts.join(raw.agg(F.count_if(bad).alias("malformed")))
+
+
+_WORKFLOW = (
+    "action string, workflow_run struct<id:bigint,name:string,path:string,workflow_id:bigint,head_branch:string,head_sha:string,run_attempt:bigint,conclusion:string,html_url:string,"
+    "pull_requests:array<struct<number:bigint>>>, repository struct<id:bigint,full_name:string>"
+)
+#: The forge's conclusions and the results they stand for.
+CONCLUSIONS = {"success": "passed", "failure": "failed", "startup_failure": "error", "timed_out": "timed_out", "cancelled": "cancelled", "skipped": "skipped", "neutral": "neutral"}
+
+
+def workflow_outcomes(raw: DataFrame, payload: str = "payload", captured_at: str = "captured_at") -> DataFrame:
+    """CI outcomes of completed workflow_run webhooks; without a commit, branch or run there is none."""
+    p = raw.select(F.from_json(payload, _WORKFLOW).alias("p"), captured_at).where("p.action = 'completed'")
+    result = F.lit("unknown")
+    for conclusion, name in CONCLUSIONS.items():
+        result = F.when(F.col("p.workflow_run.conclusion") == conclusion, name).otherwise(result)
+    w = "p.workflow_run"
+    out = p.select(
+        F.col(f"{w}.id").cast("string").alias("run_id"), F.col(f"{w}.run_attempt").alias("run_attempt"), F.lower("p.repository.full_name").alias("repo"), F.lower(f"{w}.head_sha").alias("commit_sha"), F.col(f"{w}.head_branch").alias("branch"),
+        result.alias("result"), F.col(f"{w}.name").alias("workflow_name"), F.col(f"{w}.workflow_id").cast("string").alias("workflow_id"), F.col(f"{w}.path").alias("workflow_path"), F.col(f"{w}.html_url").alias("run_url"), F.col(f"{w}.conclusion").alias("provider_result"),
+        F.when(F.size(f"{w}.pull_requests") == 1, F.get(F.col(f"{w}.pull_requests"), 0)["number"]).alias("pr_number"), F.col("p.repository.id").cast("string").alias("repository_id"), captured_at,
+    )
+    return out.where(F.col("commit_sha").rlike("^(?:[0-9a-f]{40}|[0-9a-f]{64})$") & F.col("branch").isNotNull() & F.col("run_id").isNotNull())
+
+
+def push_facts(raw: DataFrame, payload: str = "payload", captured_at: str = "captured_at") -> DataFrame:
+    """Pushes of push webhooks."""
+    schema = "ref string, before string, after string, forced boolean, repository struct<id:bigint,full_name:string,clone_url:string>"
+    p = raw.select(F.from_json(payload, schema).alias("p"), captured_at)
+    out = p.select(F.lower("p.repository.full_name").alias("repo"), F.col("p.repository.clone_url").alias("clone_url"), F.col("p.ref").alias("ref"), F.lower("p.before").alias("before_sha"), F.lower("p.after").alias("after_sha"), F.coalesce("p.forced", F.lit(False)).alias("forced"), F.col("p.repository.id").cast("string").alias("repository_id"), captured_at)
+    sha = "^(?:[0-9a-f]{40}|[0-9a-f]{64})$"
+    return out.where(F.col("repo").isNotNull() & F.col("ref").isNotNull() & F.col("before_sha").rlike(sha) & F.col("after_sha").rlike(sha))
+
+
+def noted_sessions(notes: DataFrame, note: str = "note") -> DataFrame:
+    """(commit_sha, tool, session_id) of commit notes: one or more JSON payloads, a line each; the first of a (tool, session) counts."""
+    lines = notes.select("commit_sha", F.posexplode(F.split(note, "\n")).alias("line", "text"))
+    sessions = lines.select("commit_sha", "line", F.from_json("text", "version int, sessions array<struct<tool:string,session_id:string>>").alias("p")).where("p.version = 1")
+    each = sessions.select("commit_sha", "line", F.explode("p.sessions").alias("s")).where("trim(s.session_id) <> ''")
+    return each.select("commit_sha", "s.tool", "s.session_id").distinct()
+
+
+def diff_sections(diffs: DataFrame, diff: str = "diff") -> DataFrame:
+    """(other columns, position, path, patch, added): the file sections of unified diffs; added: text of added lines. A deleted file keeps its old path."""
+    keep = [c for c in diffs.columns if c != diff]
+    parts = diffs.select(*keep, F.posexplode(F.filter(F.split(diff, r"(?m)^(?=diff --git )"), lambda s: s.startswith("diff --git "))).alias("position", "patch"))
+    new = F.regexp_extract("patch", r'(?m)^\+\+\+ "?b/(.*?)"?\t?$', 1)
+    old = F.regexp_extract("patch", r'(?m)^--- "?a/(.*?)"?\t?$', 1)
+    named = F.regexp_extract("patch", r'^diff --git "?a/.*? "?b/(.*?)"?\n', 1)
+    hunks = F.regexp_replace("patch", r"(?s)^.*?(?=\n@@)", "")
+    body = F.when(F.contains("patch", F.lit("\n@@")), hunks).otherwise(F.lit(""))
+    added = F.array_join(F.transform(F.regexp_extract_all(body, F.lit(r"(?m)^\+(.*)$"), F.lit(1)), lambda x: x), "\n")
+    path = F.when(new != "", new).when(old != "", old).otherwise(named)
+    return parts.select(*keep, "position", path.alias("path"), "patch", added.alias("added"))
