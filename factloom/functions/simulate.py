@@ -1,0 +1,40 @@
+"""Seeded simulations over a report's few numbers; they run on the driver and never see rows."""
+
+from __future__ import annotations
+
+import numpy as np
+
+DRAWS, ITERATIONS = 100_000, 2_000
+
+
+def beats(a: tuple[int, int], b: tuple[int, int], draws: int = DRAWS, seed: int = 179) -> float:
+    """P(rate of a > rate of b) of (successes, trials) under uniform priors."""
+    rng = np.random.default_rng(seed)
+    x, y = (rng.beta(1 + s, 1 + n - s, draws) for s, n in (a, b))
+    return float((x > y).mean())
+
+
+def bootstrap_proportion(successes: int, n: int, level: float = 0.95, iterations: int = ITERATIONS, seed: int = 151) -> tuple[float, float]:
+    """Percentile interval of a resampled proportion, linear between ranks; (0, 0) without trials."""
+    if not n:
+        return 0.0, 0.0
+    rates = np.random.default_rng(seed).binomial(n, successes / n, iterations) / n
+    return tuple(float(x) for x in np.quantile(rates, [(1 - level) / 2, (1 + level) / 2]))
+
+
+def bootstrap_median_difference(a: list[float], b: list[float], level: float = 0.95, iterations: int = ITERATIONS, seed: int = 151) -> tuple[float, float, float]:
+    """(difference, low, high) of two medians; the samples are a report's (at most some thousand values)."""
+    rng = np.random.default_rng(seed)
+    x, y = np.asarray(a, float), np.asarray(b, float)
+    drawn = np.median(rng.choice(x, (iterations, len(x))), axis=1) - np.median(rng.choice(y, (iterations, len(y))), axis=1)
+    low, high = np.quantile(drawn, [(1 - level) / 2, (1 + level) / 2])
+    return float(np.median(x) - np.median(y)), float(low), float(high)
+
+
+def power(p: float, q: float, n: int, z: float = 1.959963984540054, draws: int = 10_000, seed: int = 7) -> float:
+    """Share of simulated trials of n a side at rates p and q whose pooled z exceeds the bound."""
+    rng = np.random.default_rng(seed)
+    a, b = rng.binomial(n, p, draws) / n, rng.binomial(n, q, draws) / n
+    pooled = (a + b) / 2
+    error = np.sqrt(np.maximum(pooled * (1 - pooled) * 2 / n, 1e-300))
+    return float((np.abs(a - b) / error > z).mean())
