@@ -1,26 +1,18 @@
-"""Helpers shared by the training-data operators: text columns, free column names, shared scratch tables."""
+"""Helpers shared by the training-data operators: text columns, free column names, batch sizes, tokenizer files."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame, SparkSession
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from ..sources.shared import Workspace, shared_root
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-ASCII_LOWER = {ord(a): b for a, b in zip(UPPER, LOWER, strict=True)}
+__all__ = ["Workspace", "fresh_name", "shared_root", "small_batches", "table", "tokenizer_spec"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ascii_lower(text: Column) -> Column:
-    """Lower-case A-Z only; null becomes the empty text."""
-    return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-
-
 def fresh_name(df: DataFrame, base: str) -> str:
     """A column name that no column of df has, whatever its case."""
     taken = {c.lower() for c in df.columns}
@@ -30,15 +22,6 @@ def fresh_name(df: DataFrame, base: str) -> str:
     return name
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors share, as spark.checkpoint.dir names it; a temporary one only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='factloom-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
 #: Rows that Spark hands a Python worker at once, so that long texts don't add up.
 ARROW_ROWS = 500
 
@@ -58,24 +41,3 @@ def tokenizer_spec(path: str | None = None) -> str:
         path = public_tokenizers.path("word_bpe_49k.json")
     with open(path, encoding="utf-8") as f:
         return f.read()
-
-
-class Workspace:
-    """Written tables of one run in the shared folder. They cut lineage and outlive the executors that wrote them."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
-
-    def drop(self, name: str) -> None:
-        """Delete a table that no later step reads."""
-        jvm, path = self.spark._jvm, self.path(name)
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)

@@ -78,7 +78,7 @@ def windows(docs: DataFrame, items: DataFrame, space: Workspace) -> DataFrame:
     for s in sizes:
         own = items.where(F.least(F.size("words"), F.lit(SIZE)) == s)
         grams = own.select(F.size("words").alias("length"), F.posexplode(_shingles("words", s)).alias("offset", "shingle")).distinct()
-        grams = space.save(grams, f"grams{s}")
+        grams = space.keep(grams)
         if grams.count() <= BROADCAST_SHINGLES:
             grams = F.broadcast(grams)
         hashed = docs.select("row", "key", word_hashes("text").alias("words"))
@@ -89,7 +89,7 @@ def windows(docs: DataFrame, items: DataFrame, space: Workspace) -> DataFrame:
         located = found if located is None else located.unionAll(found)
     if located is None:
         return docs.select("row", "key", F.lit(0).alias("start"), word_hashes("text").alias("words")).where(F.lit(False))
-    per_row = space.save(located.groupBy("row", "key").agg(F.collect_set(F.struct("start", "length")).alias("windows")), "windows")
+    per_row = space.keep(located.groupBy("row", "key").agg(F.collect_set(F.struct("start", "length")).alias("windows")))
     texts = docs.select("row", "text").join(per_row, "row").dropDuplicates(["row"]).select("row", "key", "windows", word_hashes("text").alias("words"))
     cut = F.transform("windows", lambda w: F.struct(w["start"].alias("start"), F.slice(F.col("words"), w["start"] + 1, w["length"]).alias("words")))
     return texts.select("row", "key", F.explode(cut).alias("w")).select("row", "key", "w.start", "w.words")
@@ -99,12 +99,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
     """(row, doc_id, item_id, start_word, n_words, similarity, distance): the best window of each document for each item found in it."""
     space = Workspace(docs.sparkSession, "decontaminate")
     keyed = docs.select(row_key(key, text).alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
-    items = space.save(benchmark.select("item_id", word_hashes("text").alias("words")).where("size(words) > 0"), "items")
+    items = space.keep(benchmark.select("item_id", word_hashes("text").alias("words")).where("size(words) > 0"))
     found = windows(keyed, items, space)
     found = space.save(found.withColumn("c1", F.xxhash64("words")).withColumn("c2", F.hash("words")), "members")
     classes = found.groupBy("c1", "c2", F.size("words").alias("n")).agg(F.any_value("words").alias("words"))
-    classes = space.save(_fingerprinted(classes, "words").select("c1", "c2", "n", "fp", "bag"), "classes")
-    marked = space.save(_fingerprinted(items, "words").select("item_id", F.size("words").alias("item_words"), F.col("fp").alias("item_fp"), F.col("bag").alias("item_bag")), "marked")
+    classes = space.keep(_fingerprinted(classes, "words").select("c1", "c2", "n", "fp", "bag"))
+    marked = space.keep(_fingerprinted(items, "words").select("item_id", F.size("words").alias("item_words"), F.col("fp").alias("item_fp"), F.col("bag").alias("item_bag")))
 
     index = marked.select("item_id", "item_fp", F.explode(_blocks("item_fp")).alias("b")).select("item_id", "item_fp", "b.block", "b.value", F.explode(F.lit(_MASKS)).alias("mask"))
     index = index.select("item_id", "item_fp", "block", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
@@ -115,6 +115,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
     common = F.size(F.array_intersect("bag", "item_bag"))
     similar = both.withColumn("similarity", common / (F.size("bag") + F.size("item_bag") - common)).where(F.col("similarity") >= least)
     similar = space.save(similar.select("c1", "c2", "n", "item_id", "similarity", "distance"), "similar")
+    space.release()
     where = found.select("row", "key", "start", "c1", "c2", F.size("words").alias("n")).join(similar, ["c1", "c2", "n"])
     best = where.groupBy("row", "key", "item_id").agg(F.max(F.struct("similarity", -F.col("start"), "n", "distance")).alias("m"))
     return best.select("row", F.col("key").alias("doc_id"), "item_id", (-F.col("m.col2")).alias("start_word"), F.col("m.n").alias("n_words"), "m.similarity", "m.distance")

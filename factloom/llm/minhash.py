@@ -5,9 +5,10 @@
    hashes, and a document stops when no later step can lower a register. All texts of a slice take a step together.
 2. Documents with equal sets are one class (128-bit set hash); only classes go on.
 3. Bands of the signature are bucket keys. In each bucket every class is paired with three of its classes (smallest, largest
-   id, largest set); pairs are verified on the full sets and verified links are grouped. Then, in buckets that still hold
-   several components, all pairs of classes of different components are verified, so a bucket's size never sets
-   the number of pairs as long as its documents are alike, and no candidate pair is left out unless its link is already implied.
+   id, largest set); pairs are verified on the full sets and verified links are grouped. Classes in buckets that still hold
+   several components are then compared all with all, those that such buckets connect with each other: their sets go to tasks in
+   chunks, and a task verifies a pair of chunks and gives a spanning forest of its links. So no candidate pair is left
+   out unless its link is already implied, and no step has a row for each pair of a large group.
 4. Components come from star contraction over links and copies.
 
 With 40 bands of 6 registers a pair at similarity 0.8 shares no bucket with probability 5e-6, and less above it.
@@ -22,9 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .blocks import chunk_pairs, compare, forest
 from .common import Workspace, fresh_name, small_batches, table
 from .components import components
 from .words import Words, mix, slices
@@ -32,6 +35,7 @@ from .words import Words, mix, slices
 BANDS, ROWS = 40, 6
 _UNSET = np.uint64(0xFFFFFFFFFFFFFFFF)
 _CHUNK = 1 << 17  # shingles whose signatures are made together
+CHUNK = 512  # classes whose full sets a task holds twice
 
 
 def shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -126,15 +130,14 @@ def fingerprints(docs: DataFrame, size: int) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, 1):
-                elements, offsets = shingles(part[1], size)
-                h1, h2 = _set_hashes(elements, offsets)
-                bands = np.concatenate([_bands(signatures(elements[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])) for a, b in _chunks(offsets)])
-                n = np.diff(offsets)
-                ends = np.cumsum([0, *np.where(n > 0, BANDS, 0)])
-                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(bands[n > 0].reshape(-1)))
-                yield pa.RecordBatch.from_arrays([part[0], pa.array(n), pa.array(h1), pa.array(h2), lists], names=["doc_id", "n_shingles", "h1", "h2", "bands"])
+        for part in slices(batches, 1):
+            elements, offsets = shingles(part[1], size)
+            h1, h2 = _set_hashes(elements, offsets)
+            bands = np.concatenate([_bands(signatures(elements[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])) for a, b in _chunks(offsets)])
+            n = np.diff(offsets)
+            ends = np.cumsum([0, *np.where(n > 0, BANDS, 0)])
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(bands[n > 0].reshape(-1)))
+            yield pa.RecordBatch.from_arrays([part[0], pa.array(n), pa.array(h1), pa.array(h2), lists], names=["doc_id", "n_shingles", "h1", "h2", "bands"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>")
 
@@ -144,13 +147,12 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     rows = docs.join(wanted, docs.doc_id == wanted.node).select("node", "text", "h1", "h2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, 1):
-                elements, offsets = shingles(part[1], size)
-                h1, h2 = _set_hashes(elements, offsets)
-                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(elements.view(np.int64)))
-                same = (h1 == part[2].to_numpy()) & (h2 == part[3].to_numpy())
-                yield pa.RecordBatch.from_arrays([part[0], lists], names=["node", "shingles"]).filter(pa.array(same))
+        for part in slices(batches, 1):
+            elements, offsets = shingles(part[1], size)
+            h1, h2 = _set_hashes(elements, offsets)
+            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(elements.view(np.int64)))
+            same = (h1 == part[2].to_numpy()) & (h2 == part[3].to_numpy())
+            yield pa.RecordBatch.from_arrays([part[0], lists], names=["node", "shingles"]).filter(pa.array(same))
 
     return rows.mapInArrow(run, "node long, shingles array<long>")
 
@@ -163,6 +165,33 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("common") >= percent * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
 
 
+def _linked(percent: int):
+    """(a, b) of a block: a spanning forest of the links between sets of different components."""
+
+    def block(rows: pa.Table) -> pa.RecordBatch | None:
+        first, second = rows["first"][0].as_py(), rows["second"][0].as_py()
+        chunk, node, component = (rows[c].to_numpy() for c in ("chunk", "node", "c"))
+        if len(np.unique(component)) == 1:
+            return None
+        lists = rows["shingles"].combine_chunks()
+        lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = np.unique(lists.flatten().to_numpy(), return_inverse=True)[1]
+        starts = np.cumsum(lengths) - lengths
+        mark = np.zeros(len(flat) + 1, np.uint8)
+        linked = np.zeros((len(node), len(node)), bool)
+        for i in np.flatnonzero(chunk == first):
+            own = flat[starts[i] : starts[i] + lengths[i]]
+            mark[own] = 1
+            common = np.add.reduceat(mark[flat], starts, dtype=np.int64)
+            mark[own] = 0
+            linked[i] = (100 * common >= percent * (lengths + lengths[i] - common)) & (component != component[i]) & (chunk == second)
+        root = forest(linked | linked.T)
+        hangs = root != np.arange(len(root))
+        return pa.RecordBatch.from_arrays([pa.array(node[hangs]), pa.array(node[root[hangs]])], names=["a", "b"])
+
+    return block
+
+
 def link(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of docs (doc_id, text)."""
     spark = docs.sparkSession
@@ -176,8 +205,9 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
     member = classes.select(F.explode("bands").alias("key"), F.struct("node", "n").alias("m"))
     ends = member.groupBy("key").agg(F.count("*").alias("rows"), F.min("m").alias("low"), F.max("m").alias("high"), F.max_by("m", F.struct("m.n", "m.node")).alias("wide")).where("rows > 1")
-    ends = space.save(ends.select("key", "low", "high", "wide"), "buckets")
+    ends = space.keep(ends.select("key", "low", "high", "wide"))
     member = space.save(member.join(ends, "key"), "members")
+    space.release()
 
     def pairs(df: DataFrame, x: str, y: str) -> DataFrame:
         a, b = F.col(f"{x}.node"), F.col(f"{y}.node")
@@ -185,22 +215,22 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         return df.where((a != b) & near).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
 
     hubs = member.select("m", F.explode(F.array("low", "high", "wide")).alias("hub"))
-    first = space.save(pairs(hubs, "m", "hub").distinct(), "pairs")
+    first = pairs(hubs, "m", "hub").distinct()
     wanted = member.select("m.node").distinct().join(classes.select("node", "h1", "h2"), "node")
     sets = space.save(_sets(docs, wanted, size), "sets")
-    links = space.save(_verified(first, sets, percent), "links")
+    links = space.keep(_verified(first, sets, percent))
 
-    known = space.save(components(links, space, "first"), "groups")
+    known = components(links, space, "first")
     placed = member.select("key", "m").join(known, F.col("m.node") == F.col("node"), "left").select("key", "m", F.coalesce("component", F.col("m.node")).alias("c"))
     mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key")
-    placed = space.save(placed.join(mixed, "key"), "placed")
-    x, y = placed.toDF("key", "m", "c"), placed.toDF("key", "m2", "c2")
-    ratio = 100 * F.least("m.n", "m2.n") >= percent * F.greatest("m.n", "m2.n")
-    rest = x.join(y, "key").where((F.col("m.node") < F.col("m2.node")) & (F.col("c") != F.col("c2")) & ratio)
-    rest = pairs(rest, "m", "m2").distinct().join(first, ["a", "b"], "left_anti")
-    links = links.unionAll(space.save(_verified(space.save(rest, "rest"), sets, percent), "more")).unionAll(copies)
-
-    found = space.save(components(links, space, "all"), "components")
+    placed = space.keep(placed.join(mixed, "key").select("key", F.col("m.node").alias("node"), "c"))
+    near = placed.join(placed.groupBy("key").agg(F.min("node").alias("b")), "key").select(F.col("node").alias("a"), "b")
+    around = components(near, space, "near").withColumnRenamed("component", "near")
+    open_ = placed.select("node", "c").distinct().join(around, "node").join(sets, "node").select("near", "node", "c", "shingles")
+    blocks = chunk_pairs(open_, around.groupBy("near").agg(F.count("*").alias("n")), "near", "node", CHUNK)
+    more = compare(blocks, "near", _linked(percent), "a long, b long")
+    found = components(links.unionAll(more).unionAll(copies), space, "all")
+    space.release()
     out = marks.select("doc_id", "n_shingles").join(found, F.col("doc_id") == F.col("node"), "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

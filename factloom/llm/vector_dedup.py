@@ -9,9 +9,9 @@ Directions with many vectors are split into chunks and joined chunk by chunk, so
 several directions counts at the first of them. Tasks give the number of links of each vector and a spanning forest of what they
 saw, never a row for a pair; components come from star contraction.
 
-With ``CODES`` codes of ``WORDS``^``PARTS`` directions and threshold ``CAP`` (in standard deviations of a random inner product)
-a vector has about 28 of 57,600 directions, and two vectors at cosine 0.95 share none with a probability of about 1e-4 (less above
-it); many small codes keep that number even among vectors. The test measures recall. A vector of another number of components is compared with its like only, under a code of its own.
+The 100 codes have 576 directions each. The threshold lets a random vector have 28 of them; two vectors at cosine 0.95 share
+none with a probability of about 1e-4 in 64 dimensions (less above it); many small codes keep the number even among vectors. The
+test measures recall. A vector of another number of components is compared with its like only, under a code of its own.
 
 A null vector, a zero vector and one with null or non-finite components links with nothing; so does a row with a null id (its component
 is null, kept is true). Rows that share an id are one node of the components. Repeated rows are copies: each links with the others.
@@ -19,6 +19,7 @@ is null, kept is true). Rows that share an id are one node of the components. Re
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,31 +27,48 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .blocks import chunk_pairs, compare, forest
 from .common import Workspace, table
 from .components import components
 from .words import mix
 
-CODES, PARTS, WORDS, CAP, SEED = 100, 2, 24, 3.2, 7
+CODES, WORDS, EXPECTED, SEED = 100, 576, 28, 7
 LEAST = 0.95
 CHUNK = 1024  # vectors of a direction that are held together
 
 
 class ProductCode:
-    """The directions of all codes for vectors of a dimension."""
+    """The directions of all codes for vectors of a dimension: products of two blocks' words from 32 dimensions on, words of one block below."""
 
     def __init__(self, dimension: int):
         rng = np.random.default_rng([SEED, dimension])
-        self.parts = min(PARTS, dimension)
+        parts = 2 if dimension >= 32 else 1
+        self.words = round(WORDS ** (1 / parts)) if dimension > 1 else 2
         self.codes = []
-        for _ in range(CODES):
+        for _ in range(CODES if dimension > 1 else 1):
             rotation = np.linalg.qr(rng.standard_normal((dimension, dimension)))[0]
-            words = []
-            for block in np.array_split(np.arange(dimension), self.parts):
-                w = rng.standard_normal((WORDS, len(block)))
-                w *= np.sqrt(len(block)) / np.linalg.norm(w, axis=1, keepdims=True)
-                words.append((block, w))
-            self.codes.append((rotation, words))
-        self.threshold = CAP  # a unit vector's inner product with a direction of norm sqrt(dimension) has deviation 1
+            blocks = []
+            for block in np.array_split(np.arange(dimension), parts):
+                w = rng.standard_normal((self.words, len(block))) if dimension > 1 else np.array([[-1.0], [1.0]])
+                blocks.append((block, w * np.sqrt(len(block)) / np.linalg.norm(w, axis=1, keepdims=True)))
+            self.codes.append((rotation, blocks))
+        self.threshold = 0.0
+        if dimension > 1:  # so that a random vector has EXPECTED directions
+            unit = rng.standard_normal((256, dimension))
+            unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+            scores = np.concatenate([self._scores(unit, code).reshape(-1) for code in self.codes])
+            wide = LEAST * np.sqrt(dimension)  # in few dimensions a narrower cap would be smaller than the distance of a linked pair
+            self.threshold = min(wide, float(np.quantile(scores, 1 - EXPECTED / (len(self.codes) * self.words**parts))))
+            self.codes = self.codes[: math.ceil(EXPECTED / max(1e-9, (scores > self.threshold).mean() * self.words**parts))]
+
+    @staticmethod
+    def _scores(unit: np.ndarray, code) -> np.ndarray:
+        rotation, blocks = code
+        turned = unit @ rotation
+        total = np.zeros((len(unit), 1))
+        for block, w in blocks:
+            total = (total[:, :, None] + (turned[:, block] @ w.T)[:, None, :]).reshape(len(unit), -1)
+        return total
 
     def decode(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, direction) of every direction that exceeds the threshold, for unit vectors."""
@@ -63,8 +81,8 @@ class ProductCode:
             for p, s in enumerate(scores):
                 rest = sum(best[p + 1 :]) if p + 1 < len(scores) else np.zeros(len(unit))
                 sums = total[:, None] + s[row]
-                a, b = np.nonzero(sums + rest[row][:, None] > self.threshold)
-                total, code, row = sums[a, b], code[a] * WORDS + b, row[a]
+                a, b = np.nonzero(sums + rest[row][:, None] > self.threshold)  # what no further block can lift over it goes
+                total, code, row = sums[a, b], code[a] * self.words + b, row[a]
             rows.append(row)
             ids.append(code)
         return np.concatenate(rows), np.concatenate(ids) * 4096 + unit.shape[1] % 4096
@@ -125,72 +143,33 @@ def directions(classes: DataFrame) -> DataFrame:
     return classes.select("node", "copies", "data").mapInArrow(run, "direction long, node long, copies long, data binary, all binary")
 
 
-def _forest(linked: np.ndarray) -> np.ndarray:
-    """The smallest row that each row reaches, for a symmetric matrix."""
-    n = len(linked)
-    root = np.full(n, -1)
-    for i in range(n):
-        if root[i] < 0:
-            front = np.zeros(n, bool)
-            front[i] = True
-            while front.any():
-                root[front] = i
-                front = linked[front].any(0) & (root < 0)
-    return root
-
-
-def _group(direction: int, first: int, second: int, chunk: np.ndarray, node: np.ndarray, copies: np.ndarray, data: list[bytes], lists: list[bytes], least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(node, links, root): links that count at this direction, and the node of the spanning forest that the node hangs on."""
-    v = np.stack([np.frombuffer(d, "<f8") for d in data])
-    norms = np.sqrt((v * v).sum(1))
-    linked = (v @ v.T) / (norms[:, None] * norms[None, :]) >= least
-    np.fill_diagonal(linked, False)
-    if first != second:
-        linked &= chunk[:, None] != chunk[None, :]
-    counted = linked
-    if linked.any():
-        flat = np.concatenate([np.frombuffer(x, "<i8") for x in lists])
-        owner = np.repeat(np.arange(len(lists)), [len(x) // 8 for x in lists])
-        earlier = flat < direction
-        ids, place = np.unique(flat[earlier], return_inverse=True)
-        has = np.zeros((len(lists), len(ids)), np.float32)
-        has[owner[earlier], place] = 1
-        has = has[:, has.sum(0) > 1]
-        counted = linked & (has @ has.T == 0)
-    return node, counted @ copies, node[_forest(linked)]
-
-
-def links(placed: DataFrame, least: float) -> DataFrame:
-    """(node, links, root) partial rows of the (direction, first, second, chunk, node, copies, data, all) rows."""
-    names = ["direction", "first", "second"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-
-        def groups(rows: pa.Table, last: bool) -> tuple[list[pa.RecordBatch], pa.Table]:
-            keys = [rows[c].to_numpy() for c in names]
-            edge = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1 if len(rows) else np.zeros(0, int)
-            cuts = np.concatenate([[0], edge, [len(rows)] if last and len(rows) else []]).astype(int)
-            out = []
-            chunk, node, copies = (rows[c].to_numpy() for c in ("chunk", "node", "copies"))
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                if b - a > 1:
-                    data, lists = (rows[c].slice(a, b - a).to_pylist() for c in ("data", "all"))
-                    n, count, root = _group(int(keys[0][a]), int(keys[1][a]), int(keys[2][a]), chunk[a:b], node[a:b], copies[a:b], data, lists, least)
-                    some = (count > 0) | (root != n)
-                    if some.any():
-                        out.append(pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (n, count, root)], names=["node", "links", "root"]))
-            return out, rows.slice(cuts[-1])
-
-        for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            held = rows if held is None else pa.concat_tables([held, rows])
-            out, held = groups(held.combine_chunks(), False)
-            yield from out
-        if held is not None:
-            yield from groups(held.combine_chunks(), True)[0]
-
-    return placed.mapInArrow(run, "node long, links long, root long")
+def _compared(least: float):
+    """(node, links, root) of a block: links that count at its direction, and the node of the spanning forest that the node hangs on."""
+
+    def block(rows: pa.Table) -> pa.RecordBatch:
+        direction, first, second = (rows[c][0].as_py() for c in ("direction", "first", "second"))
+        chunk, node, copies = (rows[c].to_numpy() for c in ("chunk", "node", "copies"))
+        v = np.stack([np.frombuffer(d, "<f8") for d in rows["data"].to_pylist()])
+        norms = np.sqrt((v * v).sum(1))
+        linked = (v @ v.T) / (norms[:, None] * norms[None, :]) >= least
+        np.fill_diagonal(linked, False)
+        if first != second:
+            linked &= chunk[:, None] != chunk[None, :]
+        counted = linked
+        if linked.any():
+            lists = [np.frombuffer(x, "<i8") for x in rows["all"].to_pylist()]
+            flat, owner = np.concatenate(lists), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+            earlier = flat < direction
+            ids, place = np.unique(flat[earlier], return_inverse=True)
+            has = np.zeros((len(lists), len(ids)), np.float32)
+            has[owner[earlier], place] = 1
+            has = has[:, has.sum(0) > 1]
+            counted = linked & (has @ has.T == 0)
+        root, count = node[forest(linked)], counted @ copies
+        some = (count > 0) | (root != node)
+        return pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (node, count, root)], names=["node", "links", "root"])
+
+    return block
 
 
 def link(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", least: float = LEAST) -> DataFrame:
@@ -202,15 +181,10 @@ def link(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", lea
     real = marked.where("h1 is not null and vec_id is not null")
     grouped = real.groupBy("h1", "h2").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.any_value("data").alias("data"))
     classes = space.save(grouped, "classes")
-    hits = space.save(directions(classes), "directions")
-    sizes = space.save(hits.groupBy("direction").agg(F.count("*").alias("n")).where("n > 1").withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int")), "sizes")
-    own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    chunked = hits.join(sizes, "direction").withColumn("chunk", own)
-    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.struct(F.least(o, "chunk").alias("first"), F.greatest(o, "chunk").alias("second")))
-    placed = chunked.select("direction", F.explode(pairs).alias("p"), "chunk", "node", "copies", "data", "all").select("direction", "p.first", "p.second", "chunk", "node", "copies", "data", "all")
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = placed.repartition(tasks, "direction", "first", "second").sortWithinPartitions("direction", "first", "second", "node")
-    found = space.save(links(placed, least), "links")
+    hits = directions(classes)
+    sizes = space.save(hits.groupBy("direction").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    placed = chunk_pairs(hits, sizes, "direction", "node", CHUNK)
+    found = space.save(compare(placed, "direction", _compared(least), "node long, links long, root long"), "links")
 
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     of_class = space.save(classes.join(counts, "node", "left").select("h1", "h2", "node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")), "counts")
