@@ -2,7 +2,7 @@
 
 Texts are cut at ASCII white space, every distinct chunk of a batch is pre-split by the tokenizer file's
 rules and driven through the automaton once, and ids are gathered for all its places. Decoding emits the
-arc labels of the ids. Row-local: no shuffle; memory is bounded by a slice of 4 MB of text (or one text).
+arc labels of the ids. Row-local: no shuffle; memory is bounded by a slice of 8 MB of text (or one text).
 
 Null text is the empty text: no ids, empty decoded text. Repeated rows each give a row. An empty table gives
 an empty table. Columns of the input other than the text and the key are not touched, whatever their names.
@@ -26,17 +26,15 @@ from .words import slices
 def encode(docs: DataFrame, text: str = "text", tokenizer: str | None = None, ids: str = "ids") -> DataFrame:
     """All columns of docs and ``ids``, an array of the text's token ids. ``tokenizer``: path of the file."""
     small_batches(docs.sparkSession)
-    spec, ids = tokenizer_spec(tokenizer), fresh_name(docs, ids)
+    spec, ids, at = tokenizer_spec(tokenizer), fresh_name(docs, ids), docs.columns.index(text)
     schema = docs.select("*", F.lit(None).cast("array<int>").alias(ids)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = encoder(spec, "automaton")
-        for batch in batches:
-            at = batch.schema.get_field_index(text)
-            for part in slices(batch, at):
-                flat, offsets = model.encode(part[at])
-                arrays = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([*part.columns, arrays], names=[*part.schema.names, ids])
+        for part in slices(batches, at):
+            flat, offsets = model.encode(part[at])
+            arrays = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*part.columns, arrays], names=[*part.schema.names, ids])
 
     return docs.mapInArrow(run, schema)
 
@@ -70,16 +68,15 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = encoder(spec, "automaton")
-        for batch in batches:
-            for part in slices(batch, 1):
-                ids, offsets = model.encode(part[1])
-                texts = model.decode(ids, offsets)
-                ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
-                data = memoryview(texts.buffers()[2] or b"")
-                yield pa.RecordBatch.from_arrays(
-                    [part[0], pa.array(np.diff(offsets)), pa.array(sha256(memoryview(ids.astype("<u4").tobytes()), offsets * 4)), pa.array(sha256(data, ends))],
-                    names=schema.names,
-                )
+        for part in slices(batches, 1):
+            ids, offsets = model.encode(part[1])
+            texts = model.decode(ids, offsets)
+            ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+            data = memoryview(texts.buffers()[2] or b"")
+            yield pa.RecordBatch.from_arrays(
+                [part[0], pa.array(np.diff(offsets)), pa.array(sha256(memoryview(ids.astype("<u4").tobytes()), offsets * 4)), pa.array(sha256(data, ends))],
+                names=schema.names,
+            )
 
     return docs.mapInArrow(run, schema)
 

@@ -48,15 +48,14 @@ def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.bincount(at, np.concatenate([c for _, c in held])).astype(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["key", "c"])
 
-    for batch in batches:
-        for part in slices(batch, 0):
-            hashes, codes, _ = _words(part[0])
-            counts = np.bincount(codes, minlength=len(hashes))
-            held.append((hashes[counts > 0], counts[counts > 0]))
-            n += len(held[-1][0])
-            if n >= BUFFER:
-                yield merged()
-                held, n = [], 0
+    for part in slices(batches, 0):
+        hashes, codes, _ = _words(part[0])
+        counts = np.bincount(codes, minlength=len(hashes))
+        held.append((hashes[counts > 0], counts[counts > 0]))
+        n += len(held[-1][0])
+        if n >= BUFFER:
+            yield merged()
+            held, n = [], 0
     if held:
         yield merged()
 
@@ -171,15 +170,14 @@ def train(docs: DataFrame, text: str = "text", order: int = 2) -> Model:
             own, counts = _counted([np.concatenate(c) for c in zip(*held, strict=True)])
             return pa.RecordBatch.from_arrays([pa.array(x) for x in (*own, counts.astype(np.int64))], names=[*columns, "c"])
 
-        for batch in batches:
-            for part in slices(batch, 0):
-                hashes, codes, offsets = _words(part[0])
-                ids = vocabulary.find(hashes.view(np.int64))[0][codes]
-                held.append(_histories(ids, offsets, order, begin))
-                n += len(ids)
-                if n >= BUFFER:
-                    yield merged()
-                    held, n = [], 0
+        for part in slices(batches, 0):
+            hashes, codes, offsets = _words(part[0])
+            ids = vocabulary.find(hashes.view(np.int64))[0][codes]
+            held.append(_histories(ids, offsets, order, begin))
+            n += len(ids)
+            if n >= BUFFER:
+                yield merged()
+                held, n = [], 0
         if held:
             yield merged()
 
@@ -219,25 +217,23 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     small_batches(docs.sparkSession)
     kinds = {"n_tokens": "long", "n_known": "long", "train_tokens": "long", "base_score": "double", "score": "double", "perplexity": "double"}
     names = {k: fresh_name(docs, k) for k in kinds}
-    schema = docs.select("*", *(F.lit(0).cast(t).alias(names[k]) for k, t in kinds.items())).schema
+    schema, at = docs.select("*", *(F.lit(0).cast(t).alias(names[k]) for k, t in kinds.items())).schema, docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tag = str(model.files)
         own = _MODELS.setdefault(tag, model)
         floor = model.train_tokens + model.words + 1
-        for batch in batches:
-            at = batch.schema.get_field_index(text)
-            for part in slices(batch, at):
-                hashes, codes, offsets = _words(part[at])
-                ids, counts = own.arrays("vocabulary").find(hashes.view(np.int64))
-                counts = counts[:, 0]
-                columns = _histories(codes, offsets, model.order, len(ids))
-                logs = np.log10(own.probabilities(np.append(ids, model.words), columns))
-                known, base = (counts > 0)[codes], np.log10((counts + 1.0) / floor)[codes]
-                sums = [np.add.reduceat(x, offsets[:-1]) for x in (known.astype(np.int64), base, logs)] if len(part) else [np.zeros(0)] * 3
-                n = np.diff(offsets)
-                arrays = [n, sums[0].astype(np.int64), np.full(len(n), model.train_tokens), sums[1], sums[2], 10.0 ** np.minimum(-sums[2] / n, 300)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(x) for x in arrays)], names=[*part.schema.names, *names.values()])
+        for part in slices(batches, at):
+            hashes, codes, offsets = _words(part[at])
+            ids, counts = own.arrays("vocabulary").find(hashes.view(np.int64))
+            counts = counts[:, 0]
+            columns = _histories(codes, offsets, model.order, len(ids))
+            logs = np.log10(own.probabilities(np.append(ids, model.words), columns))
+            known, base = (counts > 0)[codes], np.log10((counts + 1.0) / floor)[codes]
+            sums = [np.add.reduceat(x, offsets[:-1]) for x in (known.astype(np.int64), base, logs)]
+            n = np.diff(offsets)
+            arrays = [n, sums[0].astype(np.int64), np.full(len(n), model.train_tokens), sums[1], sums[2], 10.0 ** np.minimum(-sums[2] / n, 300)]
+            yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(x) for x in arrays)], names=[*part.schema.names, *names.values()])
 
     return docs.mapInArrow(run, schema)
 

@@ -2,27 +2,39 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-#: Text bytes handled at once by a task; a longer text is handled alone.
-SLICE_BYTES = 1 << 22
+#: Text bytes handled at once by a task: enough that most of a slice's words repeat in it. A longer text is handled alone.
+SLICE_BYTES = 1 << 23
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Runs of whole rows whose texts hold at most ``most`` bytes (one row at least)."""
-    sizes = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False)
-    ends = np.cumsum(sizes, dtype=np.int64)
-    at = 0
-    while at < batch.num_rows:
-        base = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, base + most, side="right")))
-        yield batch.slice(at, to - at)
-        at = to
+def slices(batches: Iterable[pa.RecordBatch], column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in order, dealt anew in runs of whole rows whose texts hold about ``most`` bytes (one row at least)."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes, dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            base = ends[at - 1] if at else 0
+            to = int(np.searchsorted(ends, base + most - size, side="right"))
+            if to <= at and not held:
+                to = at + 1
+            if to > at:
+                held.append(batch.slice(at, to - at))
+                size += int(ends[to - 1] - base)
+                at = to
+            if at < batch.num_rows:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
 
 
 class Words:
