@@ -35,7 +35,7 @@ _ROWS, _TEXT_ROWS = 200_000, 2000  # of number columns or texts that a task has
 def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hashes of the distinct tokens, code of each token with ends, offsets of the texts)."""
     w = Words(texts, lower=True)
-    codes = np.insert(w.codes.astype(np.int64), w.offsets[1:], len(w.vocabulary))
+    codes = np.insert(w.codes.astype(np.int64), w.offsets[1:], len(w.dictionary))
     return np.append(w.hashes(), END), codes, w.offsets + np.arange(len(w.offsets))
 
 

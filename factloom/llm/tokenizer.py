@@ -11,6 +11,7 @@ accepted path, and that path is its byte-pair encoding.
 
 from __future__ import annotations
 
+import gc
 import json
 
 import numpy as np
@@ -73,8 +74,8 @@ class TokenAutomaton:
             x = after
 
     def arc(self, x: int, y: int) -> bool:
-        """Fill a missing entry of the transition table, which keeps at most ``2**20``."""
-        if len(self._arcs) >= 1 << 20:
+        """Fill a missing entry of the transition table, which keeps at most ``2**18``."""
+        if len(self._arcs) >= 1 << 18:
             self._arcs.clear()
         known = self._arcs[x, y] = self._open(x, y)
         return known
@@ -119,11 +120,34 @@ def _byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+class _Memory:
+    """Chunks and their ids in flat arrays: some 30 bytes for a chunk, found many at a time."""
+
+    def __init__(self):
+        self.chunks = pa.array([], pa.string())
+        self.ids = np.zeros(0, "<u4")
+        self.starts = self.lengths = np.zeros(0, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.chunks)
+
+    def find(self, chunks: pa.StringArray) -> np.ndarray:
+        """The place of each chunk, or -1."""
+        return pc.fill_null(pc.index_in(chunks, value_set=self.chunks), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def add(self, chunks: pa.StringArray, ids: list[bytes]) -> None:
+        lengths = np.fromiter((len(x) >> 2 for x in ids), np.int64, len(ids))
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(ids), "<u4")])
+        self.chunks = pa.concat_arrays([self.chunks, chunks])
+
+
 class TextEncoder:
     """Ids of whole texts. White-space-free chunks are pre-split by the tokenizer file's own rules and remembered.
 
     ``engine`` is ``"automaton"`` or ``"library"`` (the tokenizers library encodes new chunks).
-    Two generations of at most ``remember`` chunks are kept.
+    At most ``remember`` chunks are kept.
     """
 
     #: Code points whose letters, case and composition are the same in every Unicode version: the split below equals the file's there.
@@ -131,13 +155,12 @@ class TextEncoder:
     _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
     _SIMPLE_RULES = ("'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+", ["NFC", "Replace", "Lowercase"])
 
-    def __init__(self, spec: str, engine: str, remember: int = 600_000):
+    def __init__(self, spec: str, engine: str, remember: int):
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.remember = remember
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known = _Memory()
         self.words: dict[str, bytes] = {}
         rules = json.loads(spec)
         self.added = {a["content"]: a["id"] for a in rules.get("added_tokens") or []}
@@ -155,7 +178,7 @@ class TextEncoder:
     def _word(self, word: str) -> bytes:
         ids = self.words.get(word)
         if ids is None:
-            if len(self.words) >= self.remember:
+            if len(self.words) >= self.remember // 4:
                 self.words.clear()
             ids = b"".join(i.to_bytes(4, "little") for i in self.automaton.encode_word(word))
             if len(word) <= 64:
@@ -177,53 +200,34 @@ class TextEncoder:
                 out += [self._word(w) for w, _ in split]
         return b"".join(out)
 
-    def _remember(self, chunk: str, ids: bytes) -> None:
-        if len(self.known) >= self.remember:
-            self.known, self.older = {}, self.known
-        if len(chunk) <= 64:
-            self.known[chunk] = ids
-
-    def chunks(self, chunks: list[str]) -> list[bytes]:
+    def _new(self, chunks: list[str]) -> list[bytes]:
         """Ids of chunks without ASCII white space, as little-endian unsigned 32-bit integers."""
-        known, older = self.known, self.older
-        out = [known.get(c) for c in chunks]
-        new: list[tuple[int, list[str]]] = []  # for the library: places and the words of their chunks
-        for k, ids in enumerate(out):
-            if ids is None:
-                chunk = chunks[k]
-                ids = older.get(chunk)
-                if ids is None:
-                    if self.automaton:
-                        ids = self._chunk(chunk)
-                    elif self.simple and self._SIMPLE.fullmatch(chunk) and "<|" not in chunk:
-                        new.append((k, self._SPLIT.findall(chunk.lower())))
-                        continue
-                    else:
-                        new.append((k, [chunk]))
-                        continue
-                out[k] = ids
-                self._remember(chunk, ids)
-        if new:
-            words = self.words
-            if len(words) >= self.remember:
-                words.clear()
-            unknown = list({w for _, own in new for w in own if w not in words})
-            for w, e in zip(unknown, self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False), strict=True):
-                words[w] = b"".join([i.to_bytes(4, "little") for i in e.ids])
-            for k, own in new:
-                out[k] = ids = words[own[0]] if len(own) == 1 else b"".join([words[w] for w in own])
-                self._remember(chunks[k], ids)
-        return out
+        if self.automaton:
+            return [self._chunk(c) for c in chunks]
+        split = [self._SPLIT.findall(c.lower()) if self.simple and self._SIMPLE.fullmatch(c) and "<|" not in c else [c] for c in chunks]
+        words = self.words
+        if len(words) >= self.remember // 4:
+            words.clear()
+        unknown = list({w for own in split for w in own if w not in words})
+        for w, e in zip(unknown, self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False), strict=True):
+            words[w] = np.array(e.ids, "<u4").tobytes()
+        return [words[own[0]] if len(own) == 1 else b"".join([words[w] for w in own]) for own in split]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and where each text's begin (and the end)."""
         words = Words(texts, lower=False)
-        parts = self.chunks(words.vocabulary)
-        lengths = np.fromiter((len(p) >> 2 for p in parts), np.int64, len(parts))
-        flat = np.frombuffer(b"".join(parts), "<u4")
-        starts = np.cumsum(lengths) - lengths
-        of = lengths[words.codes]
-        return gather(flat, starts[words.codes], of), np.concatenate([[0], np.cumsum(of)])[words.offsets]
+        places = self.known.find(words.dictionary)
+        missing = np.flatnonzero(places < 0)
+        if len(missing):
+            if len(self.known) + len(missing) > self.remember:  # start again with this slice's chunks
+                self.known = _Memory()
+                missing = np.arange(len(words.dictionary))
+            new = words.dictionary.take(pa.array(missing))
+            places[missing] = len(self.known) + np.arange(len(missing))
+            self.known.add(new, self._new(new.to_pylist()))
+        at = places[words.codes]
+        of = self.known.lengths[at]
+        return gather(self.known.ids, self.known.starts[at], of), np.concatenate([[0], np.cumsum(of)])[words.offsets]
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
         """Texts of runs of ids: arc labels, joined as the library joins them for a file without a decoder."""
@@ -231,13 +235,23 @@ class TextEncoder:
         return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), labels), " ")
 
 
+#: Chunks that an encoder keeps (words: a quarter of them).
+REMEMBERED = {"automaton": 800_000, "library": 1_200_000}
+
 _ENCODERS: dict[tuple[str, str], TextEncoder] = {}
 
 
+def forget() -> None:
+    """Free the worker's encoder: an idle worker would keep its room from the steps that follow."""
+    _ENCODERS.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def encoder(spec: str, engine: str) -> TextEncoder:
-    """One encoder for each Python worker, so that its tables and its memory outlive a task."""
+    """The encoder of a Python worker."""
     key = (engine, spec)
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = TextEncoder(spec, engine)
+        _ENCODERS[key] = TextEncoder(spec, engine, REMEMBERED[engine])
     return _ENCODERS[key]

@@ -38,18 +38,19 @@ def slices(batches: Iterable[pa.RecordBatch], column: int, most: int = SLICE_BYT
 
 
 class Words:
-    """``vocabulary`` (distinct words), ``codes`` (a word's place in it), ``offsets`` (each text's first code, and the end)."""
+    """``dictionary`` (distinct words), ``codes`` (a word's place in it), ``offsets`` (each text's first code, and the end)."""
 
     def __init__(self, texts: pa.Array, lower: bool):
         texts = pc.fill_null(texts.cast(pa.string()), "")
         lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
         encoded = lists.flatten().dictionary_encode()
-        self.vocabulary: list[str] = encoded.dictionary.to_pylist()
+        self.dictionary: pa.StringArray = encoded.dictionary
         codes = encoded.indices.to_numpy(zero_copy_only=False)
         offsets = lists.offsets.to_numpy().astype(np.int64)
         offsets -= offsets[0]
-        if "" in self.vocabulary:  # beside leading and trailing white space
-            real = codes != self.vocabulary.index("")
+        empty = pc.index(self.dictionary, "").as_py()
+        if empty >= 0:  # beside leading and trailing white space
+            real = codes != empty
             offsets = np.concatenate([[0], np.cumsum(real)])[offsets]
             codes = codes[real]
         self.codes, self.offsets = codes, offsets
@@ -60,7 +61,7 @@ class Words:
     def hashes(self) -> np.ndarray:
         """64-bit hashes of the vocabulary."""
         digest = xxhash.xxh3_64_intdigest
-        return np.fromiter((digest(w) for w in self.vocabulary), np.uint64, len(self.vocabulary))
+        return np.fromiter((digest(w) for w in self.dictionary.to_pylist()), np.uint64, len(self.dictionary))
 
 
 def mix(a: np.ndarray, b: np.ndarray | int = 0) -> np.ndarray:
