@@ -26,7 +26,7 @@ BASE_PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general
 #: (label, keyword of the name, regex of the name, regex of the address or none)
 LICENCES = (
     ("mit", "mit", r"mit(?: |-)?licen[sc]e", r"opensource\.org/licenses?/mit"),
-    ("mit-0", "mit no attribution", r"mit no attribution", r"opensource\.org/licenses?/mit-0"),
+    ("mit-0", "attribution", r"mit no attribution", r"opensource\.org/licenses?/mit-0"),
     ("x11", "x11", r"x11 licen[sc]e", None),
     ("isc", "isc", r"isc licen[sc]e", r"opensource\.org/licenses?/isc"),
     ("apache-1.1", "apache", r"apache (?:software )?licen[sc]e,? (?:version |v)?1\.1", r"apache\.org/licenses/license-1\.1"),
@@ -110,15 +110,17 @@ def rules() -> list[Rule]:
     for phrase, label in BASE_PHRASES:
         out.append(Rule(label, 2, phrase.split()[0], start + f"{OTHER}+".join(phrase.split()) + end, True, phrase.split()[-1]))
     for label, keyword, name, address in (*LICENCES, *_creative_commons()):
-        spaced = name if keyword.startswith("cc") else re.sub(r"(?<!\[) ", r"\\s+", name)
+        spaced = name if keyword.startswith(("cc by", "cc-by")) else re.sub(r"(?<!\[) ", r"\\s+", name)
         also = "licen" if "licen[sc]e" in name and "?: licen[sc]e)?" not in name else ""
-        if " " in keyword and not keyword.startswith("cc"):  # words may stand apart by any white space
+        if keyword.startswith(("cc by", "cc-by")):
+            also = keyword[:5]
+        elif " " in keyword:  # words may stand apart by any white space
             keyword, also = max(keyword.split(), key=len), also or min(keyword.split(), key=len)
         if address != "":  # once for each identifier
             spdx = label.replace(".", r"\.")
-            out.append(Rule(label, 0, "spdx-license-identifier", rf"(?i)spdx-license-identifier:\s*{spdx}(?:-only|-or-later)?(?![\w.-])"))
+            out.append(Rule(label, 0, "spdx-license-identifier", rf"(?i)spdx-license-identifier:\s*{spdx}(?:-only|-or-later)?(?![\w.-])", also="licen"))
         out.append(Rule(label, 1, keyword, rf"{start}{_GRANT}{spaced}{end}", also=also))
         out.append(Rule(label, 3, keyword, rf"{start}{spaced}{end}", also=also))
         if address:
-            out.append(Rule(label, 2, address.split("/")[0].replace("\\", ""), rf"(?i)https?://(?:www\.)?{address}"))
+            out.append(Rule(label, 2, address.split("/")[0].replace("\\", ""), rf"(?i)https?://(?:www\.)?{address}", also="http"))
     return out

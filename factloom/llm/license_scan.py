@@ -1,7 +1,7 @@
 """Operator 2: licence detections by ordered signature rules with a keyword prefilter and interval-containment suppression.
 
 A text is tried with the rules whose keywords it holds: most rules need "licen" and a word of their name, so most texts are told
-by one look. Detections are character
+by a few looks. Detections are character
 intervals with a priority; one that lies inside another of the same or a better priority is suppressed (of equal
 intervals the first by priority and rule order stays). Suppression is a running maximum over a text's intervals in order.
 
@@ -11,16 +11,21 @@ result, and each gives a row. Words are counted over whole texts.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import fresh_name, table
-from .license_rules import WORD, Rule, rules
+from .license_rules import OTHER, WORD, Rule, rules
 from .spans import row_key, spans
 
 #: Weight of the best detection that stands, by priority.
 SCORES = (1.0, 0.95, 0.9, 0.8)
-_WORDS = f"{WORD}+"
+
+
+def count_words(text: Column) -> Column:
+    """Words of a text: each becomes one character, together with what surrounds it."""
+    marks = F.regexp_replace(text, f"{OTHER}*+{WORD}++{OTHER}*+", "x")
+    return F.when(text.rlike(WORD), F.char_length(marks)).otherwise(F.lit(0))
 
 
 def detections(docs: DataFrame, key: str = "doc_id", text: str = "text", listed: list[Rule] | None = None) -> DataFrame:
@@ -28,19 +33,17 @@ def detections(docs: DataFrame, key: str = "doc_id", text: str = "text", listed:
     listed = rules() if listed is None else listed
     keyed = docs.select(row_key(key, text).alias("row"), F.col(text).alias("text")).withColumn("low", F.lower("text"))
     gates = sorted({(r.also, r.keyword) for r in listed})
-    gate = {also: F.contains("low", F.lit(also)) if also else F.lit(True) for also, _ in gates}
     any_gate = F.lit(False)
-    for also in gate:
-        any_gate |= gate[also] if also else F.lit(False)
-    for also, keyword in gates:
-        any_gate |= F.contains("low", F.lit(keyword)) if not also else F.lit(False)
-    held = F.array_compact(F.array(*(F.when(gate[also] & F.contains("low", F.lit(k)), F.lit(f"{also}&{k}")) for also, k in gates)))
+    for stem in sorted({also or keyword for also, keyword in gates}):
+        any_gate |= F.contains("low", F.lit(stem))
+    both = lambda also, k: F.contains("low", F.lit(also)) & F.contains("low", F.lit(k)) if also else F.contains("low", F.lit(k))
+    held = F.array_compact(F.array(*(F.when(both(also, k), F.lit(f"{also}&{k}")) for also, k in gates)))
     spark = docs.sparkSession
     rows = [(i, f"{r.also}&{r.keyword}", r.label, r.priority, r.base, r.regex, 0) for i, r in enumerate(listed)]
     frame = spark.createDataFrame(rows, "id int, keyword string, label string, priority int, base boolean, regex string, `group` int")
     by_word = frame.groupBy("keyword").agg(F.collect_list(F.struct("id", "label", "priority", "base", "regex", "group")).alias("rules"))
     gated = keyed.where(any_gate).select("row", "text", F.explode(held).alias("keyword")).join(F.broadcast(by_word), "keyword")  # as many rows as keywords
-    found = spans(gated.dropDuplicates(["row", "keyword"]), "row", "text", "rules", {"char": F.char_length, "word": lambda c: F.regexp_count(c, F.lit(_WORDS))}, ["label", "priority", "base"])
+    found = spans(gated.dropDuplicates(["row", "keyword"]), "row", "text", "rules", {"char": F.char_length, "word": count_words}, ["label", "priority", "base"])
     order = Window.partitionBy("row").orderBy("char_start", F.desc("char_end"), "priority", "id").rowsBetween(Window.unboundedPreceding, -1)
     best = sorted({r.priority for r in listed})
     reach = {p: F.max(F.when(F.col("priority") <= p, F.col("char_end"))).over(order) for p in best}
@@ -59,7 +62,7 @@ def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
         names(base).alias("base_labels"), names(base | stands).alias("labels"), F.min(F.when(base | stands, F.col("priority"))).alias("best"),
     )
     row = fresh_name(docs, "row")
-    words = F.coalesce(F.regexp_count(text, F.lit(_WORDS)), F.lit(0)).cast("long").alias("n_words")
+    words = F.coalesce(count_words(F.col(text)), F.lit(0)).cast("long").alias("n_words")
     out = docs.select(key, row_key(key, text).alias(row), words).join(sums.withColumnRenamed("row", row), row, "left")
     score = F.coalesce(F.get(F.array(*map(F.lit, SCORES)), F.col("best")), F.lit(0.0)).alias("score")
     return out.select(key, "n_words", F.coalesce("n_base", F.lit(0)).alias("n_base"), "first_word", "last_word", F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), score)

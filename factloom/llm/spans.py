@@ -22,6 +22,7 @@ def spans(df: DataFrame, row: str, text: str, rules: str, measures: dict[str, Ca
     """
     each = df.select(row, text, F.explode(rules).alias("rule"))
     regex = F.col("rule.regex")
+    each = each.where(F.rlike(text, regex))
     cut = F.arrays_zip(
         F.split(text, regex, -1).alias("skipped"), F.regexp_extract_all(text, regex, F.lit(0)).alias("found"), F.regexp_extract_all(text, regex, F.col("rule.group")).alias("captured")
     )
