@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh_name, small_batches, table, tokenizer_spec
-from .tokenizer import encoder
+from .tokenizer import encoder, forget
 from .words import slices
 
 
@@ -35,6 +35,8 @@ def encode(docs: DataFrame, text: str = "text", tokenizer: str | None = None, id
             flat, offsets = model.encode(part[at])
             arrays = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*part.columns, arrays], names=[*part.schema.names, ids])
+        del model
+        forget()
 
     return docs.mapInArrow(run, schema)
 
@@ -77,6 +79,8 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer:
                 [part[0], pa.array(np.diff(offsets)), pa.array(sha256(memoryview(ids.astype("<u4").tobytes()), offsets * 4)), pa.array(sha256(data, ends))],
                 names=schema.names,
             )
+        del model
+        forget()
 
     return docs.mapInArrow(run, schema)
 

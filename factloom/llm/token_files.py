@@ -126,7 +126,7 @@ def write(docs: DataFrame, root: str, key: str = "doc_id", text: str = "text", t
             row = {"file": f"{root}/{name}", "first_key": names[0].as_py(), "part": part, "piece": piece, "n_docs": len(names), "n_ids": int(starts[-1])}
             return pa.RecordBatch.from_pylist([row], pa.schema({"file": pa.string(), "first_key": pa.int64(), "part": pa.int32(), "piece": pa.int32(), "n_docs": pa.int64(), "n_ids": pa.int64()}))
 
-        for rows in slices(batches, 1):
+        for rows in slices(batches, 1, 3 << 22):
             ids, offsets = model.encode(rows[1])
             held.append(np.insert(ids, offsets[1:], END_ID))
             keys.append(rows[0])

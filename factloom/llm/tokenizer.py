@@ -236,7 +236,7 @@ class TextEncoder:
 
 
 #: Chunks that an encoder keeps (words: a quarter of them).
-REMEMBERED = {"automaton": 800_000, "library": 1_200_000}
+REMEMBERED = {"automaton": 800_000, "library": 700_000}
 
 _ENCODERS: dict[tuple[str, str], TextEncoder] = {}
 
