@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.times import micros
+from ..sources.shared import Workspace
 
 NOTES_FLOOR, JACCARD_FLOOR = 0.3, 0.7
+CHUNK = 32  # rows of a group that a round of packing has at once
 
 
 def token_pairs(left: DataFrame, right: DataFrame, on: list[str] = []) -> DataFrame:
@@ -80,17 +84,31 @@ def keyword_overlap(parts: DataFrame, query: list[str], stop_words: list[str] =
 def packed(ranked: DataFrame, group: str, order: str, size: str, items: int, room: int) -> DataFrame:
     """The rows of each group taken greedily in order while they fit a byte budget: one that is too large is skipped, at most ``items`` are taken.
 
-    ``ranked`` should hold a bounded number of rows of each group (a top-k); the fold keeps the state (room left, items, taken).
+    A group may have any number of rows; ``order`` is distinct within it. Each round folds the first ``CHUNK`` rows of a group that come after those
+    tried and fit the room left. The first of them is always taken, so ``items`` rounds try every row; the state between rounds is (room, n, last).
     """
-    rows = F.array_sort(F.collect_list(F.struct(order, size)))
-    start = F.struct(F.lit(room).cast("long").alias("room"), F.lit(0).alias("n"), F.array().cast(f"array<{dict(ranked.dtypes)[order]}>").alias("taken"))
+    spark = ranked.sparkSession
+    space = Workspace(spark, "packed")
+    rows = space.save(ranked.select(F.col(group).alias("key"), F.col(order).alias("place"), F.col(size).alias("bytes")).where(F.col("bytes") <= room), "rows")
+    start = F.struct(F.col("room"), F.col("n"), F.array().cast(rows.select(F.array("place")).schema[0].dataType).alias("taken"))
 
     def take(a: Column, row: Column) -> Column:
-        fits = (row[size] <= a["room"]) & (a["n"] < items)
+        fits = (row["bytes"] <= a["room"]) & (a["n"] < items)
         return F.struct(
-            F.when(fits, a["room"] - row[size]).otherwise(a["room"]).alias("room"), (a["n"] + fits.cast("int")).alias("n"),
-            F.when(fits, F.concat(a["taken"], F.array(row[order]))).otherwise(a["taken"]).alias("taken"),
+            F.when(fits, a["room"] - row["bytes"]).otherwise(a["room"]).alias("room"), (a["n"] + fits.cast("int")).alias("n"),
+            F.when(fits, F.concat(a["taken"], F.array(row["place"]))).otherwise(a["taken"]).alias("taken"),
         )
 
-    chosen = ranked.groupBy(group).agg(F.aggregate(rows, start, take, lambda a: a["taken"]).alias("taken"))
-    return ranked.join(chosen.select(group, F.explode("taken").alias(order)), [group, order])
+    first = Window.partitionBy("key").orderBy("place")
+    left = rows.withColumns({"room": F.lit(room).cast("long"), "n": F.lit(0)})
+    rounds = []
+    for k in range(items):
+        tried = left.withColumn("_i", F.row_number().over(first)).where(F.col("_i") <= CHUNK)
+        lists = tried.groupBy("key", "room", "n").agg(F.array_sort(F.collect_list(F.struct("place", "bytes"))).alias("rows"), F.max("place").alias("last"))
+        folded = space.save(lists.select("key", "last", F.aggregate("rows", start, take).alias("m")).select("key", "last", "m.*"), f"round{k}")
+        rounds.append(folded.select(F.col("key").alias(group), F.explode("taken").alias(order)))
+        unfinished = folded.where(F.col("n") < items).drop("taken")
+        if unfinished.isEmpty():
+            break
+        left = rows.join(unfinished, "key").where((F.col("place") > F.col("last")) & (F.col("bytes") <= F.col("room"))).drop("last")
+    return ranked.join(reduce(DataFrame.unionAll, rounds), [group, order])

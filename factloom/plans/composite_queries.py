@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.stats import split_score
 from ..operators import attachment, attribution, ci, repositories, sequences
 from ..sources.bindings import ctes, facts
+from ..sources.shared import Workspace
 from . import projections
 from .registry import query
 
@@ -97,6 +98,15 @@ def packed_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     parts = facts(spark, sf_dir, "parts").select("doc_id", "session_id", F.octet_length("text").cast("long").alias("bytes"), tokens(F.col("text")).alias("tokens"))
     found = attribution.keyword_overlap(parts, ["the", "of", "und", "de", "license"])
-    order = Window.partitionBy("session_id").orderBy(F.desc("matched"), "doc_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where("rank <= 32").select("session_id", "rank", "doc_id", "bytes")
-    return attribution.packed(ranked, "session_id", "rank", "bytes", 8, 8192).select("session_id", "rank", "doc_id", "bytes")
+    return pack_parts(found)
+
+
+def pack_parts(found: DataFrame, items: int = 8, room: int = 8192) -> DataFrame:
+    """(session_id, rank, doc_id, bytes) of the packed parts of ``found`` (session_id, doc_id, matched, bytes); ranks count every part found."""
+    place = F.struct((-F.col("matched")).alias("matched"), "doc_id", "bytes", F.monotonically_increasing_id().alias("row"))
+    found = Workspace(found.sparkSession, "parts").save(found.select("session_id", "doc_id", "bytes", place.alias("place")), "found")
+    taken = attribution.packed(found, "session_id", "place", "bytes", items, room)
+    places = taken.groupBy("session_id").agg(F.array_sort(F.collect_list("place")).alias("places"))
+    before = F.array(*(F.count_if(F.col("place") <= F.get("places", F.lit(i))) for i in range(items)))
+    ranks = found.join(places, "session_id").groupBy("session_id", "places").agg(before.alias("ranks")).select("session_id", F.explode(F.arrays_zip("places", F.slice("ranks", 1, F.size("places")).alias("ranks"))).alias("m"))
+    return ranks.select("session_id", F.col("m.ranks").cast("int").alias("rank"), F.col("m.places.doc_id").alias("doc_id"), F.col("m.places.bytes").alias("bytes"))

@@ -166,6 +166,26 @@ def test_greedy_packing_skips_what_does_not_fit(spark):
     assert sorted(r.r for r in attribution.packed(df, "g", "r", "n", 3, 10).collect()) == [1, 3, 4]
 
 
+def test_packing_tries_every_part(spark):
+    import random
+
+    from factloom.plans.composite_queries import pack_parts
+
+    rng = random.Random(4)
+    rows = [("oversize", i, 5, 9000) for i in range(40)] + [("oversize", 100 + i, 1 + i % 3, 1000 + i) for i in range(30)]
+    rows += [("tight", 0, 5, 8000)] + [("tight", 1 + i, 4, 500) for i in range(70)] + [("tight", 90, 1, 192)]
+    rows += [("mixed", i, rng.randint(1, 5), rng.choice([50, 3000, 8192, 9000])) for i in range(300)] + [("none", 1, 1, 8193)]
+    want = []
+    for session in ("oversize", "tight", "mixed"):
+        room, n = 8192, 0
+        for rank, (_, doc, _, size) in enumerate(sorted((r for r in rows if r[0] == session), key=lambda r: (-r[2], r[1])), 1):
+            if n < 8 and size <= room:
+                room, n = room - size, n + 1
+                want.append((session, rank, doc, size))
+    df = spark.createDataFrame(rows, "session_id string, doc_id long, matched int, bytes long")
+    assert sorted(tuple(r) for r in pack_parts(df).collect()) == sorted(want)
+
+
 def test_notes_below_their_floor_do_not_compete(spark):
     files = spark.createDataFrame([(1, ["a", "b", "c", "d"], 7200)], "id int, tokens array<string>, captured_at long").withColumn("captured_at", F.timestamp_seconds("captured_at"))
     calls = spark.createDataFrame([(10, ["a", "x", "y", "z"], 7000, "noted"), (11, ["a", "b", "c", "d"], 7100, "other"), (12, ["a", "b", "c"], 7000, "other")], "id int, tokens array<string>, observed_at long, session_id string")
