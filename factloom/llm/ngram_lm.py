@@ -4,8 +4,8 @@ Counting: tasks count n-grams of token ids of their texts; Spark adds them up by
 writes it as a sorted hash array (see ``hash_arrays``). A token's id is its rank in the vocabulary array. Lower orders
 count the distinct n-grams that end in a shorter one; contexts hold the total and the numbers of continuations seen once,
 twice and oftener. Discounts come from the counts of counts. Scoring: tasks map the arrays and look up the sorted distinct
-n-grams of a slice of texts. The driver sees file lists and a few sums. ``order`` is 2 in the query, as the arrays of
-order 3 take more disk than the input allows.
+n-grams of a slice of texts. The driver sees file lists and a few sums. The query has the scores of the model of order 3
+(``score_3``, ``perplexity_3``) and of order 2 (``score``, ``perplexity``), which are made of one count of the texts.
 
 Tokens are white-space words, A-Z lower-cased, and one end for each text; null text is the empty text (an end alone).
 A null key counts as not held out. Repeated rows count each time. Without training rows every token has probability
@@ -73,9 +73,13 @@ def _histories(codes: np.ndarray, offsets: np.ndarray, order: int, begin: int) -
 
 def _counted(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
     """(columns of the distinct rows, their counts)."""
-    if len(columns) == 2 and max(c.max(initial=0) for c in columns) < 1 << 31:
-        packed, counts = np.unique(columns[0] << 32 | columns[1], return_counts=True)
-        return [packed >> 32, packed & 0xFFFFFFFF], counts
+    bits = max(int(c.max(initial=0)) for c in columns).bit_length()
+    if bits * len(columns) <= 63 and min(c.min(initial=0) for c in columns) >= 0:
+        packed = columns[0]
+        for c in columns[1:]:
+            packed = packed << bits | c
+        packed, counts = np.unique(packed, return_counts=True)
+        return [packed >> bits * k & (1 << bits) - 1 for k in range(len(columns) - 1, -1, -1)], counts
     order = np.lexsort(columns[::-1])
     columns = [c[order] for c in columns]
     new = np.ones(len(order), bool)
@@ -93,6 +97,7 @@ class Model:
         self.discounts: dict[int, tuple[float, float, float]] = {}
         self.train_tokens = self.words = self.continuations = 0
         self.rest = 1.0  # weight of the uniform distribution under the unigrams
+        self.below: Model | None = None  # the model of the next lower order, if asked for
         self._open: dict[str, HashArrays] = {}
 
     def __getstate__(self):
@@ -140,8 +145,8 @@ def _discounts(n: list[int]) -> tuple[float, float, float]:
     return 0.5, 1.0, 1.5
 
 
-def train(docs: DataFrame, text: str = "text", order: int = 2) -> Model:
-    """Count docs and write the model's arrays to the shared folder."""
+def train(docs: DataFrame, text: str = "text", order: int = 2, below: bool = False) -> Model:
+    """Count docs and write the model's arrays to the shared folder; ``below`` (order 3 or more) makes the model of the next lower order too."""
     spark = docs.sparkSession
     space, model = Workspace(spark, "lm"), Model(order)
     rows_at_once = lambda n: spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(n))
@@ -181,30 +186,48 @@ def train(docs: DataFrame, text: str = "text", order: int = 2) -> Model:
         if held:
             yield merged()
 
-    grams = texts.mapInArrow(ngrams, ", ".join(f"{c} long" for c in [*columns, "c"]))
-    for level in range(order, 0, -1):
+    def add(own_model: Model, grams: DataFrame, level: int, tag: str = "") -> DataFrame:
+        """Write a level's arrays; the n-grams with their counts are left in ``counts{level}{tag}``."""
         own = columns[-level:]
         summed = hash_arrays.dealt(grams, F.xxhash64(*own)).groupBy("shard", *own).agg(F.sum("c").alias("c")).select(F.xxhash64(*own).alias("key"), *own, "c")
-        written = hash_arrays.write(summed, space.path(f"grams{level}"), "key", ["c"], "<u4", keep=[*own, "c"])
+        written = hash_arrays.write(summed, space.path(f"grams{level}{tag}"), "key", ["c"], "<u4", keep=[*own, "c"])
         if level == order:
             rows_at_once(_TEXT_ROWS)
         # the rows are written once more for the sums below; a null file marks them
-        written.write.option("compression", "zstd").parquet(space.path(f"counts{level}"))
+        written.write.option("compression", "zstd").parquet(space.path(f"counts{level}{tag}"))
         rows_at_once(_ROWS)
-        counts = spark.read.parquet(space.path(f"counts{level}"))
-        model.files[f"grams{level}"] = listing(counts)
+        counts = spark.read.parquet(space.path(f"counts{level}{tag}"))
+        own_model.files[f"grams{level}"] = listing(counts)
         counts = counts.where("file is null").select(*own, "c")
         of = counts.agg(*(F.count_if(F.col("c") == k) for k in (1, 2, 3, 4)), F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 2)).first()
-        model.discounts[level] = d = _discounts(list(of[:4]))
+        own_model.discounts[level] = d = _discounts(list(of[:4]))
         if level == 1:
-            model.continuations = of[4]
-            model.rest = (d[0] * of[0] + d[1] * of[1] + d[2] * of[5]) / of[4] if of[4] else 1.0
+            own_model.continuations = of[4]
+            own_model.rest = (d[0] * of[0] + d[1] * of[1] + d[2] * of[5]) / of[4] if of[4] else 1.0
         else:
             sums = [F.sum("c").alias("total"), *(F.count_if(test).cast("long").alias(f"n{k}") for k, test in ((1, F.col("c") == 1), (2, F.col("c") == 2), (3, F.col("c") > 2)))]
             contexts = hash_arrays.dealt(counts.groupBy(*own[:-1]).agg(*sums).withColumn("key", F.xxhash64(*own[:-1])), F.col("key"))
-            files = hash_arrays.write(contexts, space.path(f"contexts{level}"), "key", ["total", "n1", "n2", "n3"])
-            model.files[f"contexts{level}"] = listing(space.save(files, f"contexts{level}_files"))
-            grams = counts.groupBy(*own[1:]).agg(F.count("*").alias("c"))
+            files = hash_arrays.write(contexts, space.path(f"contexts{level}{tag}"), "key", ["total", "n1", "n2", "n3"])
+            own_model.files[f"contexts{level}"] = listing(space.save(files, f"contexts{level}{tag}_files"))
+        return counts
+
+    grams = texts.mapInArrow(ngrams, ", ".join(f"{c} long" for c in [*columns, "c"]))
+    for level in range(order, 0, -1):
+        counts = add(model, grams, level)
+        if level < order:
+            space.drop(f"counts{level + 1}")
+        if level == order and below:
+            model.below = Model(order - 1)
+            add(model.below, counts.groupBy(*columns[1:]).agg(F.sum("c").alias("c")), order - 1, "_below")
+            space.drop(f"counts{order - 1}_below")
+        if level > 1:
+            grams = counts.groupBy(*columns[-level + 1 :]).agg(F.count("*").alias("c"))
+    space.drop("counts1")
+    if below:  # what is under the highest level counts distinct n-grams and is the same in both
+        low = model.below
+        low.files, low.discounts = model.files | low.files, model.discounts | low.discounts
+        low.files = {k: v for k, v in low.files.items() if k not in (f"grams{order}", f"contexts{order}")}
+        low.train_tokens, low.words, low.continuations, low.rest = model.train_tokens, model.words, model.continuations, model.rest
     small_batches(spark)
     return model
 
@@ -241,6 +264,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
-    model = train(docs.where(~held))
-    scored = score(docs.withColumn("held_out", held), model)
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+    model = train(docs.where(~held), order=3, below=True)
+    scored = score(score(docs.withColumn("held_out", held), model.below), model)
+    own = [F.col("_score").alias("score_3"), F.col("_perplexity").alias("perplexity_3")]
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity", *own)
