@@ -4,7 +4,9 @@ A text is lower-cased, its white space runs become one space, and the distinct n
 hashed to ``2**20`` features. Each feature is scaled by the log ratio of its smoothed document rates under the two
 labels; a logistic regression with an L2 penalty is fitted over the scaled features. Fitting takes a bounded sample of labelled rows
 (``TOXIC_ROWS`` and ``CLEAN_ROWS``, those with the smallest hash of their key) and ``FEATURES`` features (those
-with the largest chi-square of their counts); the sample's keys are broadcast, so documents are never shuffled.
+with the largest chi-square of their counts); the sample's keys are broadcast, so documents are never shuffled. The
+intercept is shifted by the log-odds that the bounds add, so that the model keeps the share of toxic labels among all
+labelled training rows, whatever their number.
 
 Null text is the empty text and gets the score of no features. A null key is scored and never trained on. A key with
 contradicting labels counts as toxic. Without labels of both kinds every score is the share of toxic labels (0.5 without labels).
@@ -51,16 +53,28 @@ class NGrams:
         return ids[self.seen[ids] == places]
 
 
+def labelled(labels: DataFrame, key: str = "doc_id", label: str = "toxic", modulus: int = 5, held: int = 0) -> DataFrame:
+    """(key, label) of all training rows."""
+    each = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("key").isNotNull())
+    return each.where(F.crc32(F.col("key").cast("string")) % modulus != held).groupBy("key").agg(F.max("label").alias("label"))
+
+
 def sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", modulus: int = 5, held: int = 0) -> DataFrame:
     """(text, label) of the bounded training sample."""
-    each = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("key").isNotNull())
-    each = each.where(F.crc32(F.col("key").cast("string")) % modulus != held).groupBy("key").agg(F.max("label").alias("label"))
+    each = labelled(labels, key, label, modulus, held)
     order = [F.xxhash64("key"), F.col("key")]
     picked = each.where("label = 1").orderBy(*order).limit(TOXIC_ROWS).unionAll(each.where("label = 0").orderBy(*order).limit(CLEAN_ROWS))
     texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     return texts.join(F.broadcast(picked), "key").select("text", "label")  # at most TOXIC_ROWS + CLEAN_ROWS rows
 
 
+def shift(clean: int, toxic: int) -> float:
+    """What a fit on the bounded sample lacks in log-odds, given the numbers of all labelled training rows: the log ratio of the labels' sampling rates."""
+    if not clean or not toxic:
+        return 0.0
+    return float(np.log(min(1.0, CLEAN_ROWS / clean)) - np.log(min(1.0, TOXIC_ROWS / toxic)))
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     grams = NGrams()
     sums = np.zeros((2, 1 << BITS), np.int64)
@@ -172,7 +186,9 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text",
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     """The model of labelled documents."""
     space = Workspace(spark, "toxicity")
-    return fit(space.save(sample(docs, labels), "sample"))
+    weights, intercept = fit(space.save(sample(docs, labels), "sample"))
+    n = dict(labelled(labels).groupBy("label").count().collect())
+    return weights, intercept + shift(n.get(0, 0), n.get(1, 0))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -120,6 +120,17 @@ def test_toxicity(spark, odd, nothing):
     assert toxicity.fit(nothing.select("text", F.lit(1).alias("label")))[1] == 0.0
 
 
+@pytest.mark.parametrize("toxic_rows, clean_rows", [(3000, 6000), (3000, 100), (40, 80), (10, 6000)])
+def test_toxicity_keeps_the_share_of_labels(spark, monkeypatch, toxic_rows, clean_rows):
+    monkeypatch.setattr(toxicity, "TOXIC_ROWS", toxic_rows)
+    monkeypatch.setattr(toxicity, "CLEAN_ROWS", clean_rows)
+    rows = [(i, "the same text for all", int(i % 9 == 0)) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    used = [y for i, _, y in rows if brute.crc(i) % 5 != 0]
+    got = toxicity.score(df.limit(1), toxicity.train(spark, df.select("doc_id", "text"), df.select("doc_id", "toxic"))).first()
+    assert got.score == pytest.approx(sum(used) / len(used), abs=0.01)
+
+
 def test_token_files(spark, odd, nothing, tmp_path):
     files = token_files.write(odd, f"file://{tmp_path}/a").cache()
     got = token_files.read(files).collect()
