@@ -42,13 +42,24 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _NOT_TEXT = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|comment|comments|commentlist|disqus|respond|nav|navbar|navigation|menu|breadcrumbs?|sidebar|footer|header|masthead|cookie|cookies|consent|notice|popup|modal|newsletter|subscribe|share|social|related|pagination|pager)(?:$|[\s_-])", re.I
 )
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s>]+)))?""")
+_DECIDING = re.compile("class|id|role|hidden", re.I)
 _MARKUP = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(script|style|template|textarea|svg|math)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)""",
     re.S | re.I,
 )
 
 
+def _deciding(attributes: str) -> dict[str, str]:
+    """Those attributes of a tag that may take its content out; the first of a name counts."""
+    found: dict[str, str] = {}
+    if _DECIDING.search(attributes):
+        for name, *value in _ATTRIBUTE.findall(attributes):
+            if (name := name.lower()) in ("class", "id", "role", "hidden", "aria-hidden"):
+                found.setdefault(name, "".join(value))
+    return found
+
+
 class Block:
     __slots__ = ("text", "links", "out", "main", "label")
 
@@ -94,7 +105,10 @@ def blocks(page: str) -> list[Block]:
             close()
         if name == "a":
             links = 0 if ending else 1
-        if name in _VOID or not (name in _BLOCK or name in _OUT or _ATTRIBUTE.search(attributes) or ending):
+        if name in _VOID:
+            continue
+        deciding = _deciding(attributes) if attributes and not ending else {}
+        if not (name in _BLOCK or name in _OUT or deciding or ending):
             continue
         if not ending:
             if name in _MAIN and not mains:  # an element left open before the article doesn't take it out
@@ -102,9 +116,7 @@ def blocks(page: str) -> list[Block]:
             if name == "p" and open_tags and open_tags[-1][0] == "p":
                 outs -= open_tags.pop()[1]
             out = name in _OUT and not (name == "header" and mains)
-            for key, *value in _ATTRIBUTE.findall(attributes) if attributes else ():
-                text = "".join(value)
-                key = key.lower()
+            for key, text in deciding.items():
                 if key in ("class", "id", "role") and name not in ("html", "body", *_MAIN):
                     out = out or bool(_NOT_TEXT.search(text))
                 elif key == "hidden" or key == "aria-hidden" and text.lower() == "true":

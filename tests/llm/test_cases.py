@@ -178,6 +178,19 @@ def test_pages(page, text):
     assert main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "attribute, kept",
+    [
+        ('style="overflow:hidden"', True), ("style='overflow: hidden'", True), ('data-hidden="false"', True), ('title="the hidden menu"', True), ('data-id="menu"', True), ("data-class=ad", True), ('title="id=menu"', True), ('x="a" CLASS="text"', True),
+        ("hidden", False), ('HIDDEN=""', False), ('data-x="y"hidden', False), ('aria-hidden="true"', False), ('aria-hidden="false"', True), ('id = "menu"', False), ("class=ad", False), ("role='navigation'", False), ('style="a" class="x ad"', False),
+    ],
+)
+def test_attributes_are_whole_names(attribute, kept):
+    assert main_text(f"<article><p>Before.</p><div {attribute}><p>Inside.</p></div></article>") == ("Before. Inside." if kept else "Before.")
+    assert main_text(f"<div {attribute}><div><p>Inside.</p></div></div>") == ("" if not kept else main_text("<div><p>Inside.</p></div>"))
+    assert main_text(f"<article><p>A <span {attribute}>b</span></p></article>").startswith("A")
+
+
 def test_page_columns(spark):
     df = spark.createDataFrame([(1, "<article><p>Hi", "x"), (1, "<article><p>Hi", "x"), (2, None, None)], "page_id long, html string, text string")
     got = html_text.extract(df).collect()
