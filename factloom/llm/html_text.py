@@ -4,7 +4,9 @@ A page is cut into blocks at block-level tags. Pass 1 decides blocks by structur
 forms, notices, adverts, comments are out), by link density, and by length and stop-word density; short and middling
 blocks stay open. Pass 2 gives an open block the label of its nearest decided neighbours (both have to be good where they differ
 in label; ties go by distance). In a page with an ``article`` or ``main`` element the neighbours are taken inside it, and its long
-blocks need no stop words, as it may hold tables and lists; what stands outside it is out.
+blocks need no stop words, as it may hold tables and lists; what stands outside it is out. Stop words are known for four
+languages: where no block of the page has ``STOP_HIGH`` of them, length and link density alone decide, so that a text in
+another language stays.
 
 Row-local. Null html is the empty page with an empty text. Unclosed and cut-off markup is read as far as it goes.
 Repeated rows each give a row. Only the html column is read, whatever the names of the others.
@@ -137,20 +139,29 @@ def blocks(page: str) -> list[Block]:
     return found
 
 
+def _density(text: str) -> float:
+    """Share of stop words among the words."""
+    words = text.lower().split()
+    return sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
+
+
 def _decide(found: list[Block]) -> list[Block]:
     """The good blocks of a list, after both passes."""
-    for b in found:
+    density: dict[int, float] = {}
+    for i, b in enumerate(found):
         if b.out or b.links > LINKS * len(b.text):
             b.label = False
         elif b.main:
             b.label = True if len(b.text) >= SHORT else None
         elif len(b.text) >= SHORT:
-            words = b.text.lower().split()
-            density = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
-            if density >= STOP_HIGH and len(b.text) >= LONG:
-                b.label = True
-            elif density < STOP_LOW:
-                b.label = False
+            density[i] = _density(b.text)
+    known = any(d >= STOP_HIGH for d in density.values())  # else the page is in none of the languages, maybe in a related one
+    for i, d in density.items():
+        b = found[i]
+        if not known or d >= STOP_HIGH and len(b.text) >= LONG:
+            b.label = True
+        elif d < STOP_LOW:
+            b.label = False
     decided = [(i, b.label) for i, b in enumerate(found) if b.label is not None and not b.out]
     k, labels = 0, [b.label for b in found]
     for i, b in enumerate(found):

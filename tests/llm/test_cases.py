@@ -191,6 +191,25 @@ def test_attributes_are_whole_names(attribute, kept):
     assert main_text(f"<article><p>A <span {attribute}>b</span></p></article>").startswith("A")
 
 
+@pytest.mark.parametrize(
+    "paragraphs",
+    [
+        ["Вчера вечером жители города собрались на площади, чтобы обсудить новый проект парка у реки. " * 3, "Решение примут весной, когда закончатся работы и станет известно мнение всех соседей."],
+        ["昨天晚上，市民们聚集在广场上讨论河边公园的新计划。" * 5, "工程结束以后，委员会将在春天作出决定，并且公布所有居民的意见。" * 3],
+        ["Ieri sera gli abitanti si sono riuniti nella piazza per discutere il nuovo progetto del parco vicino al fiume. " * 3],
+    ],
+)
+def test_articles_in_other_languages_stay(paragraphs):
+    links = "<div>" + " ".join(f"<a href=/{i}>Section number {i}</a>" for i in range(9)) + "</div>"
+    page = f"<nav>Menu</nav>{links}<div>{''.join(f'<p>{p}</p>' for p in paragraphs)}</div>{links}<footer>Footer</footer>"
+    assert main_text(page) == " ".join(p.strip() for p in paragraphs)
+
+
+def test_stop_words_decide_where_a_page_has_them():
+    good = "This is the text of a page that has no article and it is long enough for all of us to read. " * 3
+    assert main_text(f"<p>{good}</p><p>{'Buy cheap watches online now! ' * 5}</p>") == good.strip()
+
+
 def test_page_columns(spark):
     df = spark.createDataFrame([(1, "<article><p>Hi", "x"), (1, "<article><p>Hi", "x"), (2, None, None)], "page_id long, html string, text string")
     got = html_text.extract(df).collect()
