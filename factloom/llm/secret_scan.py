@@ -40,6 +40,7 @@ RULES = (
     Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("github_pat", r"github_pat_[A-Za-z0-9_]{82,}"),
     Rule("gitlab", r"glpat-[A-Za-z0-9_-]{20,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
@@ -47,7 +48,7 @@ RULES = (
     Rule("package_token", r"npm_[A-Za-z0-9]{36}"),
     Rule("mail_key", r"SG\.[A-Za-z0-9_-]{22}\.[A-Za-z0-9_-]{43}"),
     Rule("bearer", r"(?i:bearer)\x20+[A-Za-z0-9._~+/=-]{20,}"),
-    Rule("url_password", r"[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s:/@]{1,64}:([^\s:/@]{3,64})@", 1),
+    Rule("url_password", r"[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s:/@]+:([^\s:/@]+)@", 1),
 )
 BASE = ("assign", "access", "hex")
 _MOST = 64  # alternatives of a run

@@ -275,6 +275,18 @@ def test_secret_spans(spark, text):
     assert (got.n_assign, got.n_access, got.n_hex, got.base_sha256) == brute.secrets(text)
 
 
+@pytest.mark.parametrize(
+    "text, secret",
+    [
+        ("clone https://user:{}@host/x", "github_pat_" + "A1b2C3d4E5f6G7h8I9j0K1_" + "x7" * 30), ("at https://user:{}@host", "p" * 500), ("at https://" + "u" * 300 + ":{}@host", "#p"),
+        ("set {} here", "github_pat_" + "A1b2C3d4E5f6G7h8I9j0K1_" + "x" * 59),
+    ],
+)
+def test_long_secrets_are_masked_whole(spark, text, secret):
+    got = secret_scan.redact(spark.createDataFrame([(1, text.format(secret))], "doc_id long, text string")).first()
+    assert secret not in got.text and "[SECRET]" in got.text and got.text[:3] == text[:3] and got.text[-4:] == text[-4:]
+
+
 def test_trigram_queries():
     q = secret_scan.trigram_query
     assert q("[0-9a-f]{16,}") == [] and q("ab") == [] and q("(abc)?") == []
