@@ -4,9 +4,9 @@ An id is split into chunks of 8 bits. Level 0 holds the low chunk of every id; a
 which ids go on, and a rank directory (ones before each 512 bits) tells where they go on in the next level.
 So any token is read by address, without decoding a block.
 
-Documents are range-partitioned and sorted by key, encoded in their partition and written as files of at most
-about ``FILE_IDS`` ids in the shared folder: null keys first, then ascending; rows that share a key keep no
-order between them that a rerun would have to repeat, but each is written once. Null text is the empty text and
+Documents are range-partitioned and sorted by key, then a hash of their text (so that rows of one key, null keys
+too, go to several tasks), encoded in their partition and written as files of at most about ``FILE_IDS`` ids in the
+shared folder: null keys first, then ascending; each row is written once. Null text is the empty text and
 has the end id alone. A file is written under its attempt's own name, and only the files whose task finished are
 in the file list, so lost executors leave no wrong files. The file list is a table with a row for a file.
 """
@@ -104,7 +104,7 @@ def write(docs: DataFrame, root: str, key: str = "doc_id", text: str = "text", t
     small_batches(docs.sparkSession)
     spec = tokenizer_spec(tokenizer)
     pafs.FileSystem.from_uri(root)[0].create_dir(pafs.FileSystem.from_uri(root)[1], recursive=True)
-    docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("mix"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = encoder(spec, engine)
@@ -138,7 +138,7 @@ def write(docs: DataFrame, root: str, key: str = "doc_id", text: str = "text", t
         if keys:
             yield flush()
 
-    sorted_docs = docs.repartitionByRange("key").sortWithinPartitions("key")
+    sorted_docs = docs.repartitionByRange("key", "mix").sortWithinPartitions("key", "mix").select("key", "text")
     return sorted_docs.mapInArrow(run, "file string, first_key long, part int, piece int, n_docs long, n_ids long")
 
 
