@@ -1,12 +1,13 @@
 """Operator 7: main text of web pages by two-pass block rules.
 
-A page is cut into blocks at block-level tags. Pass 1 decides blocks by structure (navigation, headers, footers, sidebars,
-forms, notices, adverts, comments are out), by link density, and by length and stop-word density; short and middling
-blocks stay open. Pass 2 gives an open block the label of its nearest decided neighbours (both have to be good where they differ
-in label; ties go by distance). In a page with an ``article`` or ``main`` element the neighbours are taken inside it, and its long
-blocks need no stop words, as it may hold tables and lists; what stands outside it is out. Stop words are known for four
-languages: where no block of the page has ``STOP_HIGH`` of them, length and link density alone decide, so that a text in
-another language stays.
+A page is cut into blocks at block-level tags. What structure takes out goes first: navigation, headers, footers, sidebars, forms,
+notices, adverts, reader comments, and in a page with an ``article`` or ``main`` element what stands outside it. Pass 1
+decides the other blocks by link density, length and stop-word density: linked ones are bad, long ones with a high density of stop
+words are good, those with a low density are bad if they hold links and doubtful if not; short blocks and middling densities stay open. Pass 2
+gives an open block the label of its nearest decided neighbours (where they differ both have to be good, or the block inside
+``article`` or ``main``; else ties go by distance). A doubtful block (a table, a list of names) outside these elements needs a good
+neighbour on both sides. Stop words are known for four languages: where no
+block has a high density of them, length and link density alone decide, so that a text in another language stays.
 
 Row-local. Null html is the empty page with an empty text. Unclosed and cut-off markup is read as far as it goes.
 Repeated rows each give a row. Only the html column is read, whatever the names of the others.
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -63,17 +65,19 @@ def _deciding(attributes: str) -> dict[str, str]:
 
 
 class Block:
-    __slots__ = ("text", "links", "out", "main", "label")
+    __slots__ = ("text", "links", "out", "main", "label", "doubtful")
 
     def __init__(self, text: str, links: int, out: bool, main: bool):
         self.text, self.links, self.out, self.main = text, links, out, main
         self.label: bool | None = None
+        self.doubtful = False
 
 
 def blocks(page: str) -> list[Block]:
     """Blocks with text, in page order."""
     found: list[Block] = []
     open_tags: list[tuple[str, bool]] = []  # (name, whether it takes its content out)
+    opened: Counter[str] = Counter()
     outs = mains = links = 0
     pieces: list[str] = []
     link_pieces: list[str] = []
@@ -115,8 +119,10 @@ def blocks(page: str) -> list[Block]:
         if not ending:
             if name in _MAIN and not mains:  # an element left open before the article doesn't take it out
                 open_tags, outs = [], 0
+                opened.clear()
             if name == "p" and open_tags and open_tags[-1][0] == "p":
                 outs -= open_tags.pop()[1]
+                opened["p"] -= 1
             out = name in _OUT and not (name == "header" and mains)
             for key, text in deciding.items():
                 if key in ("class", "id", "role") and name not in ("html", "body", *_MAIN):
@@ -124,16 +130,16 @@ def blocks(page: str) -> list[Block]:
                 elif key == "hidden" or key == "aria-hidden" and text.lower() == "true":
                     out = True
             open_tags.append((name, out))
+            opened[name] += 1
             outs += out
             mains += name in _MAIN
-        else:
-            for k in range(len(open_tags) - 1, -1, -1):
-                if open_tags[k][0] == name:
-                    for own, out in open_tags[k:]:
-                        outs -= out
-                        mains -= own in _MAIN
-                    del open_tags[k:]
-                    break
+        elif opened[name] > 0:
+            last = None
+            while last != name:
+                last, out = open_tags.pop()
+                opened[last] -= 1
+                outs -= out
+                mains -= last in _MAIN
     say(page[at:])
     close()
     return found
@@ -151,8 +157,6 @@ def _decide(found: list[Block]) -> list[Block]:
     for i, b in enumerate(found):
         if b.out or b.links > LINKS * len(b.text):
             b.label = False
-        elif b.main:
-            b.label = True if len(b.text) >= SHORT else None
         elif len(b.text) >= SHORT:
             density[i] = _density(b.text)
     known = any(d >= STOP_HIGH for d in density.values())  # else the page is in none of the languages, maybe in a related one
@@ -160,8 +164,10 @@ def _decide(found: list[Block]) -> list[Block]:
         b = found[i]
         if not known or d >= STOP_HIGH and len(b.text) >= LONG:
             b.label = True
-        elif d < STOP_LOW:
+        elif d < STOP_LOW and b.links and not b.main:
             b.label = False
+        else:
+            b.doubtful = d < STOP_LOW and not b.main
     decided = [(i, b.label) for i, b in enumerate(found) if b.label is not None and not b.out]
     k, labels = 0, [b.label for b in found]
     for i, b in enumerate(found):
@@ -169,7 +175,9 @@ def _decide(found: list[Block]) -> list[Block]:
             k += 1
         if b.label is None:
             before, after = decided[k - 1] if k else None, decided[k] if k < len(decided) else None
-            if before and after and before[1] != after[1]:
+            if b.doubtful:
+                labels[i] = bool(before and after and before[1] and after[1])
+            elif before and after and before[1] != after[1]:
                 gaps = i - before[0], after[0] - i
                 labels[i] = b.main or (gaps[0] != gaps[1] and (before if gaps[0] < gaps[1] else after)[1])
             else:

@@ -119,3 +119,20 @@ def near_duplicates(docs, size, percent=80):
             a, b = sorted((root(a), root(b)))
             parent[b] = a
     return {d: (len(s), root(d)) for d, s in sets.items()}
+
+
+def best_windows(docs, items, size=5):
+    """(doc_id, item_id) -> the best similarity of an item-sized window's shingle multiset with the item's, over all windows."""
+    split = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    bag = lambda w: Counter(tuple(w[k : k + size]) for k in range(max(len(w) - size + 1, 1)))
+    out = {}
+    for d, t in docs:
+        words = split(t)
+        for i, x in items:
+            item = split(x)
+            want, n = bag(item), len(item)
+            for k in range(max(len(words) - n, 0) + 1):
+                got = bag(words[k : k + n])
+                common = sum((got & want).values())
+                out[d, i] = max(out.get((d, i), 0), common / (sum(got.values()) + sum(want.values()) - common))
+    return out

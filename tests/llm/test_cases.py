@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -109,6 +111,33 @@ def test_near_passages_are_found(spark):
     assert got.start_word == 1 and got.similarity == pytest.approx(71 / 81) and got.distance <= decontaminate.RADIUS
 
 
+def test_every_window_that_reaches_the_similarity_is_laid(spark):
+    words = [f"w{i}" for i in range(80)]
+    fill = [f"f{i}" for i in range(60)]
+    loop = [*"abcdef" * 20]
+    near = {
+        1: [*fill, *words[40:], *words[:40], *fill],
+        2: [*fill, *words[20:], *words[:20]],
+        3: [*words[60:], *words[:60], *fill],
+        4: [*fill, *words[:30], "new", *words[30:], *fill],
+        5: [*fill, *words[:30], *words[33:], *fill],
+        6: words[2:78],
+        7: [*words[10:50], *fill, *words[10:50]],
+        8: [*fill[:7], *loop, *fill],
+        9: [*fill, *"abcdef" * 15],
+        10: [*(f"z{i}" for i in range(20000)), *words, *fill],
+        11: words[:40],
+    }
+    items = [(1, " ".join(words)), (2, " ".join(loop)), (3, "only three words"), (4, " ".join(f"z{i}" for i in range(20000)))]
+    texts = [(d, " ".join(w)) for d, w in near.items()] + [(12, "here are Only three, words"), (13, "only three"), (14, None), (15, "")]
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    best = brute.best_windows([x for x in texts if x[0] != 10], items[:3])
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.matches(docs, bench).collect()}
+    assert got.pop((10, 4)) == 1.0 and got.pop((10, 1)) == 1.0
+    assert got == pytest.approx({k: v for k, v in best.items() if v >= decontaminate.LEAST})
+    assert {(1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (6, 1), (8, 2), (12, 3)} <= set(got) and (7, 1) not in got
+
+
 def test_toxicity(spark, odd, nothing):
     labels = spark.createDataFrame([(i, i % 2) for i in range(1, 9)] + [(4, 1), (None, 1)], "doc_id long, toxic int")
     model = toxicity.train(spark, odd, labels)
@@ -298,3 +327,25 @@ def test_trigram_queries():
 def test_a_workspace_is_in_the_shared_folder(spark):
     space = Workspace(spark, "t")
     assert space.root.startswith((spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")).rstrip("/"))
+
+
+def test_pages_without_an_article_element(spark):
+    """Most of the given pages' texts are the same if the article's tag doesn't tell it."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    same = sum(main_text(p.replace("<article", "<div").replace("</article", "</div")) == main_text(p) for p in pages)
+    assert same >= 0.7 * len(pages)
+
+
+def test_stop_words_decide_inside_an_article(monkeypatch):
+    prose = "<p>" + "This is the story of a fox that was in the hills and of the people who had seen it there. " * 3 + "</p>"
+    names = "<p>" + "Alpha Bravo <a href='x'>Charlie</a> Delta Echo Foxtrot Golf Hotel India Juliett Kilo Lima Mike November</p>"
+    links = "<p><a href='y'>" + "read more offers here " * 6 + "</a></p>"
+    page = f"<article>{prose}{links}{names}{links}</article>"
+    assert main_text(page) == " ".join(re.sub("<.*?>", "", prose).split())
+    monkeypatch.setattr(html_text, "STOP_WORDS", frozenset())
+    assert "November" in main_text(page)
+
+
+def test_many_ends_without_a_start_take_linear_time():
+    text = "word " * 40
+    assert main_text("<div>" * 100_000 + text + "</p>" * 100_000) == text.strip()
