@@ -2,16 +2,19 @@
 
 1. Words are runs of letters, marks and digits, lower-cased. Items and windows are multisets of 5-word shingles (an item of fewer words is
    one shingle of all its words).
-2. A window that could reach the similarity shares a shingle with some item, so windows of an item's size are laid where an
-   item's shingle stands, aligned with it. Equal windows of all documents are one class, so a passage that many documents
-   share is compared once.
+2. Windows of an item's size are laid wherever they can reach the similarity: where enough of a document's places hold shingles
+   of one item. Such a window loses nothing if it is moved on to its first shared shingle, so windows begin at those (or are the
+   document's last one), wherever in the item the shingle stands. A document shorter than an item is one window. Equal windows
+   of all documents are one class, so a passage that many documents share is compared once.
 3. SimHash gives a class 64 bits. Each item's fingerprint is cut into 4 blocks of 16 bits, and every value within 3 bits of
    a block is indexed: by the pigeonhole principle the join on (block, value) finds all items within 15 bits.
 4. Candidates are verified by the exact similarity of the shingle multisets (sum of minima over sum of maxima of the counts).
 
 The benchmark's shingles are broadcast only up to ``BROADCAST_SHINGLES`` rows; beyond that the join is shuffled. DataFrame
 operations only. Null texts have no words and no matches. Rows with equal key and text share one result; null keys are kept.
-Items without words match nothing; repeated items each match.
+Items without words match nothing; repeated items each match. Texts and items may be of any length: steps take time in
+proportion to it. Of windows of one similarity the first is given. Of the documents only key and text are read, whatever the names of the
+other columns; an empty table on either side has no matches.
 """
 
 from __future__ import annotations
@@ -55,9 +58,11 @@ def _simhash(shingles: str) -> Column:
 
 
 def _numbered(shingles: str) -> Column:
-    """The multiset as a set: each sorted occurrence with its number among equal ones."""
-    ordered = F.col(shingles)
-    return F.transform(ordered, lambda x, i: F.xxhash64(x, i.cast("bigint") - F.array_position(ordered, x)))
+    """The sorted multiset as a set: each occurrence with its number among equal ones."""
+    ordered, n = F.col(shingles), F.size(shingles)
+    begins = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)))
+    runs = F.zip_with(begins, F.concat(F.slice(begins, 2, n), F.array(n)), lambda a, b: F.transform(F.sequence(a, b - 1), lambda j: F.xxhash64(F.get(ordered, j), j - a)))
+    return F.flatten(runs)
 
 
 def _blocks(fingerprint: str) -> Column:
@@ -70,29 +75,33 @@ def _fingerprinted(df: DataFrame, words: str) -> DataFrame:
     return sorted_bag.withColumn("fp", _simhash("bag")).withColumn("bag", _numbered("bag"))
 
 
-def windows(docs: DataFrame, items: DataFrame, space: Workspace) -> DataFrame:
-    """(row, key, start, words): the item-sized windows of (row, key, text) rows that share an aligned shingle with an item of (item_id, words)."""
-    spark = docs.sparkSession
+def windows(docs: DataFrame, items: DataFrame, space: Workspace, least: float = LEAST) -> DataFrame:
+    """(row, key, start, words): the windows of (row, key, text) rows that hold enough shingles of an item of (item_id, words) to reach the similarity."""
     sizes = [r.s for r in items.select(F.least(F.size("words"), F.lit(SIZE)).alias("s")).distinct().collect()]  # at most SIZE of them
     located = None
     for s in sizes:
         own = items.where(F.least(F.size("words"), F.lit(SIZE)) == s)
-        grams = own.select(F.size("words").alias("length"), F.posexplode(_shingles("words", s)).alias("offset", "shingle")).distinct()
-        grams = space.keep(grams)
+        grams = space.keep(own.select(F.xxhash64("words").alias("item"), F.size("words").alias("length"), F.explode(_shingles("words", s)).alias("shingle")).distinct())
         if grams.count() <= BROADCAST_SHINGLES:
             grams = F.broadcast(grams)
         hashed = docs.select("row", "key", word_hashes("text").alias("words"))
         places = hashed.select("row", "key", F.size("words").alias("n"), F.posexplode(_shingles("words", s)).alias("at", "shingle"))
-        hits = places.join(grams, "shingle")
-        start = F.greatest(F.lit(0), F.least(F.col("at") - F.col("offset"), F.col("n") - F.col("length")))
-        found = hits.select("row", "key", start.alias("start"), F.least("length", "n").alias("length"))
+        shared = places.join(grams, "shingle").groupBy("row", "key", "n", "item", "length").agg(F.array_sort(F.collect_set("at")).alias("at"))
+        n, length, at = F.col("n"), F.col("length"), F.col("at")
+        held, wanted = F.least(n, length) - s + 1, length - s + 1  # shingles of a window, of the item
+        enough = F.ceil((held + wanted) * least / (1 + least) - 1e-9).cast("int")
+        end = F.greatest(F.lit(0), n - length)
+        begins = F.filter(at, lambda p, i: (p <= end) & (F.get(at, i + enough - 1) < p + held))
+        tail = F.when(F.size(F.filter(at, lambda p: p >= end)) >= enough, F.array(end)).otherwise(F.array().cast("array<int>"))
+        found = shared.where(F.size("at") >= enough).select("row", "key", F.array_union(begins, tail).alias("starts"), F.least(n, length).alias("length"))
+        found = found.select("row", "key", F.explode("starts").alias("start"), "length")
         located = found if located is None else located.unionAll(found)
     if located is None:
         return docs.select("row", "key", F.lit(0).alias("start"), word_hashes("text").alias("words")).where(F.lit(False))
     per_row = space.keep(located.groupBy("row", "key").agg(F.collect_set(F.struct("start", "length")).alias("windows")))
     texts = docs.select("row", "text").join(per_row, "row").dropDuplicates(["row"]).select("row", "key", "windows", word_hashes("text").alias("words"))
-    cut = F.transform("windows", lambda w: F.struct(w["start"].alias("start"), F.slice(F.col("words"), w["start"] + 1, w["length"]).alias("words")))
-    return texts.select("row", "key", F.explode(cut).alias("w")).select("row", "key", "w.start", "w.words")
+    each = texts.select("row", "key", "words", F.explode("windows").alias("w"))
+    return each.select("row", "key", "w.start", F.slice("words", F.col("w.start") + 1, F.col("w.length")).alias("words"))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
@@ -100,7 +109,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
     space = Workspace(docs.sparkSession, "decontaminate")
     keyed = docs.select(row_key(key, text).alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
     items = space.keep(benchmark.select("item_id", word_hashes("text").alias("words")).where("size(words) > 0"))
-    found = windows(keyed, items, space)
+    found = windows(keyed, items, space, least)
     found = space.save(found.withColumn("c1", F.xxhash64("words")).withColumn("c2", F.hash("words")), "members")
     classes = found.groupBy("c1", "c2", F.size("words").alias("n")).agg(F.any_value("words").alias("words"))
     classes = space.keep(_fingerprinted(classes, "words").select("c1", "c2", "n", "fp", "bag"))
