@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Suffixes of code files and path parts that are not code.
-CODE_SUFFIXES = ("py", "ts", "tsx", "js", "jsx", "go", "rs", "java", "kt", "rb", "php", "c", "h", "cpp", "hpp", "cs", "swift", "scala", "sh", "sql", "vue")
-SKIPPED_PATHS = ("node_modules/", "vendor/", "dist/", "build/", ".min.", "lock")
+#: Suffixes of code files, and parts of paths that are generated or locked.
+CODE_SUFFIXES = (".py", ".ts", ".js", ".tsx", ".jsx", ".go", ".rs", ".java", ".kt", ".scala", ".rb", ".php", ".cs", ".cpp", ".c", ".h", ".tf", ".hcl", ".sql", ".sh", ".bash")
+SKIPPED_PATHS = ("package-lock.json", "yarn.lock", "poetry.lock", "uv.lock", ".min.js", ".min.css")
 
 TOKEN = r"[a-zA-Z_][a-zA-Z0-9_]*|[0-9]+"
 
@@ -24,10 +24,13 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def is_code_file(path: Column) -> Column:
-    skipped = F.lit(False)
+    """Whether a path has the suffix of a code file and none of the skipped parts; case counts."""
+    skipped, code = F.lit(False), F.lit(False)
     for part in SKIPPED_PATHS:
         skipped |= F.contains(path, F.lit(part))
-    return path.rlike(rf"\.({'|'.join(CODE_SUFFIXES)})$") & ~skipped
+    for suffix in CODE_SUFFIXES:
+        code |= F.endswith(path, F.lit(suffix))
+    return code & ~skipped
 
 
 def four_grams(text: Column) -> Column:
@@ -75,29 +78,58 @@ def survival(pairs: DataFrame) -> DataFrame:
     return scored.unionByName(short)
 
 
-#: Redaction reasons in the order in which they are applied, with what a match is and what stands in for it.
+#: What stands for a credential; the reasons in the order in which they are applied, with the pattern of each.
+REDACTION_MARKER = "[REDACTED_CREDENTIAL]"
+_CREDENTIAL = r"[A-Za-z0-9\-._~+/]{16,}=*"
+_CREDENTIAL_KEY = r"(?i:authorization|proxy[_-]authorization|x[_-]api[_-]key|apikey|(?:[^'\"]*[_-])?api[_-]key)"
 REDACTIONS = (
-    ("bearer", r"(?i)\b(bearer\s+)[A-Za-z0-9._~+/=-]{8,}", "$1[REDACTED]"),
-    ("provider_key", r"\bsk-[A-Za-z0-9_-]{16,}", "[REDACTED]"),
-    ("assignment", r"(?i)\b((?:api[_-]?key|token|secret|password)\b[\"']?\s*[:=]\s*[\"']?)[A-Za-z0-9._~+/=-]{8,}", "$1[REDACTED]"),
+    ("authorization_header", rf"(?i)(\bAuthorization\s*[:=]\s*Bearer[ \t]+){_CREDENTIAL}", "$1"),
+    ("structured_credential", rf"(?s)((['\"]){_CREDENTIAL_KEY}\2\s*:\s*(['\"]))(?!\[REDACTED_CREDENTIAL\](?:\3|\n|\z))(?:\\[^\n]?|(?!\3)[^\\\n])++(?=\3|\n|\z)", "$1"),
+    (
+        "api_key_assignment",
+        r"(?i)(?<![A-Za-z0-9_-])((['\"]?)(?:[A-Za-z0-9_-]*[_-])?api[_ -]?key\2\s*[:=]\s*(?=['\"A-Za-z0-9\-._~+/])(?:['\"](?=[^'\"\s]{8,}))?)(?!\[REDACTED_CREDENTIAL\])"
+        r"(?:(?<=['\"])(?:(?<=')[^'\"\s]{8,}(?='|\z)|(?<=\")[^'\"\s]{8,}(?=\"|\z))|(?<!['\"])[A-Za-z0-9\-._~+/]{16,}=*)",
+        "$1",
+    ),
+    ("bearer_token", rf"(?i)(\bBearer[ \t]+){_CREDENTIAL}", "$1"),
+    ("provider_key", r"(?<![A-Za-z0-9_-])sk-[A-Za-z0-9_-]{16,}(?![A-Za-z0-9_-])", ""),
 )
 
 
 def redact(text: Column) -> Column:
-    for _, pattern, mark in REDACTIONS:
-        text = F.regexp_replace(text, pattern, mark)
+    """The text with its credentials replaced by the marker."""
+    for _, pattern, before in REDACTIONS:
+        text = F.regexp_replace(text, pattern, before + REDACTION_MARKER)
     return text
 
 
 def redaction_counts(text: Column) -> dict[str, Column]:
     """Matches of each reason in the text that earlier reasons leave."""
     out = {}
-    for reason, pattern, mark in REDACTIONS:
+    for reason, pattern, before in REDACTIONS:
         out[reason] = F.regexp_count(text, F.lit(pattern))
-        text = F.regexp_replace(text, pattern, mark)
+        text = F.regexp_replace(text, pattern, before + REDACTION_MARKER)
     return out
 
 
+def is_credential_key(key: Column) -> Column:
+    """Whether a key of structured data names a credential."""
+    name = F.translate(F.lower(key), "-", "_")
+    return name.isin("authorization", "proxy_authorization", "x_api_key", "api_key", "apikey") | F.endswith(name, F.lit("_api_key"))
+
+
+def known_credentials(entries: Column) -> Column:
+    """Credentials of structured data given as an array of (key, value): values of credential keys, a bearer's without its word; longest first."""
+    found = F.transform(F.filter(entries, lambda e: is_credential_key(e["key"]) & e["value"].isNotNull()), lambda e: F.regexp_replace(e["value"], rf"^(?i:Bearer[ \t]+)(?={_CREDENTIAL}$)", ""))
+    real = F.array_distinct(F.filter(found, lambda v: (v != "") & ~v.isin(REDACTION_MARKER, f"Bearer {REDACTION_MARKER}")))
+    return F.transform(F.array_sort(F.transform(real, lambda v: F.struct((-F.char_length(v)).alias("n"), v.alias("v")))), lambda s: s["v"])
+
+
+def propagate(text: Column, credentials: Column) -> Column:
+    """The text with those of its lines that are a known credential replaced by the marker."""
+    return F.array_join(F.transform(F.split(text, "\n", -1), lambda line: F.when(F.array_contains(credentials, line), REDACTION_MARKER).otherwise(line)), "\n")
+
+
 def patch_paths(patch: Column) -> Column:
     """Paths of a V4A patch's file markers at line starts, in order, distinct."""
     return F.array_distinct(F.transform(F.regexp_extract_all(patch, F.lit(r"(?m)^\*\*\* (?:Add|Update|Delete) File: (.+)$"), F.lit(1)), F.trim))

@@ -92,12 +92,10 @@ def retry_links(rejected: DataFrame, accepted: DataFrame, said: DataFrame) -> Da
     """
     r = rejected.select("session_id", "file_path", "tool_name", F.col("position").alias("from"), F.col("id").alias("rejected_id"))
     a = accepted.select("session_id", "file_path", "tool_name", F.col("position").alias("to"), F.col("id").alias("accepted_id"))
-    # the last user text before an accepted edit decides whether one stands between
+    # the last user text before an accepted edit decides whether one stands between; ids repeat across sessions, and one edit may come twice
     order = Window.partitionBy("session_id").orderBy("position", "kind").rowsBetween(Window.unboundedPreceding, -1)
-    marks = said.select("session_id", "position", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("accepted_id")).unionByName(
-        accepted.select("session_id", "position", F.lit(-1).alias("kind"), F.col("id").cast("string").alias("accepted_id"))
-    )
-    last = marks.withColumn("last_said", F.max(F.when(F.col("kind") == 0, F.col("position"))).over(order)).where("kind = -1").select("accepted_id", "last_said")
-    a = a.join(last, a.accepted_id.cast("string") == last.accepted_id).drop(last.accepted_id)
+    marks = said.select("session_id", "position", F.lit(0).alias("kind")).unionByName(accepted.select("session_id", "position", F.lit(-1).alias("kind")).distinct())
+    last = marks.withColumn("last_said", F.max(F.when(F.col("kind") == 0, F.col("position"))).over(order)).where("kind = -1").select("session_id", F.col("position").alias("to"), "last_said")
+    a = a.join(last, ["session_id", "to"])
     both = r.join(a, ["session_id", "file_path", "tool_name"]).where((F.col("to") > F.col("from")) & (F.col("last_said") > F.col("from")))
     return both.groupBy("session_id", "file_path", "rejected_id").agg(F.min_by("accepted_id", F.struct("to", "accepted_id")).alias("accepted_id"))

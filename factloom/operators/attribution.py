@@ -2,51 +2,52 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import is_code_file, jaccard, tokens
 from ..functions.times import micros
 from ..sources.shared import Workspace
 
+#: Similarity floors and lookback windows of the two methods, the grace after a push, the commits of a push that count.
 NOTES_FLOOR, JACCARD_FLOOR = 0.3, 0.7
+NOTES_MINUTES, JACCARD_MINUTES, GRACE_MINUTES = 10080, 60, 10
+COMMITS_PER_PUSH = 20
 CHUNK = 32  # rows of a group that a round of packing has at once
+FREQUENT = 1000  # tokens that go last in the common order of tokens
 
 
-def token_pairs(left: DataFrame, right: DataFrame, on: list[str] = []) -> DataFrame:
-    """(left id, right id, common): texts that share a token, by an inverted-index join on the token.
+def rare_first(*token_arrays: DataFrame) -> Callable[[Column, Column], Column]:
+    """A function that gives the first n tokens of an array in one order for all texts: the ``FREQUENT`` most frequent tokens of the frames go last, the rest by hash."""
+    every = reduce(DataFrame.unionAll, (df.select(F.explode("tokens").alias("token")) for df in token_arrays))
+    frequent = [r.token for r in every.groupBy("token").agg(F.count("*").alias("f")).orderBy(F.desc("f"), "token").limit(FREQUENT).collect()]
+    last = F.lit(frequent) if frequent else F.array().cast("array<string>")
 
-    Both frames have ``id`` and ``tokens`` (distinct) besides ``on``.
-    """
-    a = left.select(*on, F.col("id").alias("left_id"), F.explode("tokens").alias("token"))
-    b = right.select(*on, F.col("id").alias("right_id"), F.explode("tokens").alias("token"))
-    return a.join(b, [*on, "token"]).groupBy("left_id", "right_id").agg(F.count("*").alias("common"))
+    def first(tokens: Column, n: Column) -> Column:
+        ordered = F.array_sort(F.transform(tokens, lambda t: F.struct(F.array_position(last, t).alias("f"), F.xxhash64(t).alias("h"), t.alias("t"))))
+        return F.transform(F.slice(ordered, 1, n), lambda s: s["t"])
+
+    return first
 
 
-def scored(left: DataFrame, right: DataFrame, floor: float, on: list[str] = [], exact_prefix: bool = True) -> DataFrame:
-    """(left_id, right_id, score) of pairs whose token Jaccard is at least ``floor`` (above 0).
+def scored(left: DataFrame, right: DataFrame, floor: float, on: list[str] = [], near: Column | None = None, keep: list[str] = []) -> DataFrame:
+    """(left_id, right_id, score, keep) of pairs whose token Jaccard is at least ``floor`` (above 0).
 
-    Only the rarest tokens of each text meet in the join: two sets over the floor share one of their first n - ceil(floor * n) + 1
-    tokens in any common order, so no pair is lost and frequent tokens join nothing.
+    Two sets over the floor share one of their first n - ceil(floor * n) + 1 tokens in any common order, so only those meet in the join, inside
+    the keys ``on`` and where ``near`` (a condition over the frames' other columns) holds. No pair is lost; frequent tokens join next to nothing.
     """
-    sizes_l, sizes_r = left.select(*on, "id", F.size("tokens").alias("n"), "tokens"), right.select(*on, "id", F.size("tokens").alias("n"), "tokens")
-    prefix = F.col("n") - F.ceil(F.lit(floor) * F.col("n") - 1e-9) + 1 if exact_prefix else F.col("n")
-    every = left.select(F.explode("tokens").alias("token")).unionAll(right.select(F.explode("tokens").alias("token")))
-    frequency = every.groupBy("token").agg(F.count("*").alias("f"))
-
-    def rare(df: DataFrame, name: str) -> DataFrame:
-        exploded = df.select(*on, F.col("id").alias(name), "n", F.explode("tokens").alias("token")).join(frequency, "token")
-        order = Window.partitionBy(*on, name).orderBy("f", "token")
-        return exploded.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= prefix).select(*on, name, F.col("n").alias(f"n_{name}"), "token")
-
-    a, b = rare(sizes_l, "left_id"), rare(sizes_r, "right_id")
-    near = F.least("n_left_id", "n_right_id") >= F.lit(floor) * F.greatest("n_left_id", "n_right_id") - 1e-9
-    pairs = a.join(b, [*on, "token"]).where(near).select("left_id", "right_id").distinct()
-    both = pairs.join(left.select(F.col("id").alias("left_id"), F.col("tokens").alias("_l")), "left_id").join(right.select(F.col("id").alias("right_id"), F.col("tokens").alias("_r")), "right_id")
+    first = rare_first(left, right)
+    n = F.size("tokens")
+    prefix = (n - F.ceil(F.lit(floor) * n - 1e-9) + 1).cast("int")
+    whole = lambda df, id_, tokens: df.where(n > 0).select(*(c for c in df.columns if c not in ("id", "tokens")), F.col("id").alias(id_), F.col("tokens").alias(tokens), F.explode(first(F.col("tokens"), prefix)).alias("_token"))
+    both = whole(left, "left_id", "_l").join(whole(right, "right_id", "_r"), [*on, "_token"])
+    close = F.least(F.size("_l"), F.size("_r")) >= F.lit(floor) * F.greatest(F.size("_l"), F.size("_r")) - 1e-9
     common = F.size(F.array_intersect("_l", "_r"))
-    score = both.withColumn("score", common / (F.size("_l") + F.size("_r") - common))
-    return score.where((F.col("score") >= floor) & (F.col("score") > 0)).select("left_id", "right_id", "score")
+    score = both.where(close & near if near is not None else close).withColumn("score", common / (F.size("_l") + F.size("_r") - common))
+    return score.where((F.col("score") >= floor) & (F.col("score") > 0)).select("left_id", "right_id", "score", *keep).distinct()
 
 
 def best_match(candidates: DataFrame, priority: Column | None = None) -> DataFrame:
@@ -55,24 +56,83 @@ def best_match(candidates: DataFrame, priority: Column | None = None) -> DataFra
     return candidates.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
 
 
-def attribute(files: DataFrame, calls: DataFrame, noted: DataFrame, notes_minutes: int = 10080, minutes: int = 60) -> DataFrame:
-    """(left_id, right_id, score, source): the call each changed file is attributed to.
+def in_lookback(observed_at: Column, captured_at: Column, minutes: int, grace: int = GRACE_MINUTES) -> Column:
+    """Whether a call stands in the window of a push, both ends included."""
+    age = micros(captured_at) - micros(observed_at)
+    return age.between(-grace * 60_000_000, minutes * 60_000_000)
+
 
-    ``files`` (id, tokens, captured_at), ``calls`` (id, tokens, observed_at, session_id), ``noted`` (file id, session_id). Candidates of noted sessions
-    (floor 0.3, a week) go before any call of the last hour (floor 0.7); one below its floor doesn't compete.
+def claimed_files(pushes: DataFrame, push_commits: DataFrame, sections: DataFrame) -> DataFrame:
+    """(push_id, captured_at, org_id, repository, commit_sha, file_path, tokens, reason): changed files of the commits that a push claims.
+
+    ``pushes`` (push_id, org_id, repository, captured_at), ``push_commits`` (push_id, commit_sha, position: newest first), ``sections``
+    (repository, commit_sha, file_path, added; file_path null where a commit's diff can't be read). A commit belongs to the earliest push, then
+    the smallest id, among the newest ``COMMITS_PER_PUSH`` of which it is. A commit without a file to score has one row with the reason.
+    """
+    capped = push_commits.where(F.col("position") < COMMITS_PER_PUSH).join(pushes, "push_id")
+    owner = F.min(F.struct("captured_at", "push_id")).alias("m")
+    commits = capped.groupBy("org_id", "repository", "commit_sha").agg(owner).select("org_id", "repository", "commit_sha", "m.push_id", "m.captured_at")
+    usable = is_code_file(F.col("file_path")) & (F.trim(F.regexp_replace("added", r"\s+", " ")) != "")
+    files = commits.join(sections.withColumn("_found", F.lit(True)), ["repository", "commit_sha"], "left")
+    files = files.withColumn("_use", F.coalesce(usable, F.lit(False)))
+    any_use = files.groupBy("org_id", "repository", "commit_sha").agg(F.max("_use").alias("_any"), F.max(F.col("file_path").isNotNull()).alias("_read"))
+    rows = files.where("_use").select("push_id", "captured_at", "org_id", "repository", "commit_sha", "file_path", tokens(F.col("added")).alias("tokens"), F.lit(None).cast("string").alias("reason"))
+    none = commits.join(any_use.where("not _any"), ["org_id", "repository", "commit_sha"])
+    reason = F.when(F.col("_read"), "no_code_diff").otherwise("commit_diff_unavailable")
+    return rows.unionByName(none.select("push_id", "captured_at", "org_id", "repository", "commit_sha", F.lit(None).cast("string").alias("file_path"), F.array().cast("array<string>").alias("tokens"), reason.alias("reason")))
+
+
+def attribute(files: DataFrame, calls: DataFrame, noted: DataFrame) -> DataFrame:
+    """files (of ``claimed_files``) with ``inference_call_id``, ``session_id``, ``score``, ``source`` and ``reason`` (``no_match`` where no call reaches a floor).
+
+    ``calls`` (inference_call_id, org_id, session_id, observed_at, tokens), ``noted`` (repository, commit_sha, session_id). A file's noted sessions
+    come first (floor 0.3, a week); only a file they leave unmatched goes to the calls of its organisation in the last hour (floor 0.7). Time, session
+    and organisation limit the pairs before their texts are compared. Ties: the earliest call, then the smallest id.
     """
-    timed = scored(files, calls, NOTES_FLOOR).join(files.select(F.col("id").alias("left_id"), "captured_at"), "left_id").join(calls.select(F.col("id").alias("right_id"), "observed_at", "session_id"), "right_id")
-    timed = timed.join(noted.select(F.col("id").alias("left_id"), "session_id", F.lit(True).alias("noted")), ["left_id", "session_id"], "left")
-    age = micros("captured_at") - micros("observed_at")
-    by_note = F.col("noted") & age.between(0, notes_minutes * 60_000_000)
-    by_text = (F.col("score") >= JACCARD_FLOOR) & age.between(0, minutes * 60_000_000)
-    source = F.when(by_note, "git_notes").when(by_text, "jaccard")
-    return best_match(timed.withColumn("source", source).where("source is not null"), F.col("source")).select("left_id", "right_id", "score", "source")
+    file = ["org_id", "repository", "commit_sha", "file_path"]
+    found = Workspace(files.sparkSession, "attribution").save(files.withColumn("id", F.concat_ws("\x00", *(F.coalesce(k, F.lit("")) for k in file))), "files")
+    real = found.where("reason is null")
+    n = lambda c: F.col(f"c.{c}")
+    c = calls.alias("c")
+    by_note = real.join(noted.distinct(), ["repository", "commit_sha"]).alias("f").join(c, (F.col("f.org_id") == n("org_id")) & (F.col("f.session_id") == n("session_id")))
+    by_note = by_note.where(in_lookback(n("observed_at"), F.col("f.captured_at"), NOTES_MINUTES)).withColumn("score", jaccard(F.col("f.tokens"), n("tokens")))
+    by_note = by_note.where((F.col("score") >= NOTES_FLOOR) & (F.col("score") > 0)).select(F.col("f.id").alias("left_id"), n("inference_call_id").alias("right_id"), "score", n("observed_at"), n("session_id"), F.lit("git_notes").alias("source"))
+    first = best_match(by_note)
+    left = real.join(first.select(F.col("left_id").alias("id")), "id", "left_anti")
+    width = (JACCARD_MINUTES + GRACE_MINUTES) * 60_000_000  # a window meets two buckets at most
+    bucket = lambda c, shift: F.floor((micros(c) + shift * 60_000_000) / width)
+    spread = left.select("id", "org_id", "captured_at", "tokens", F.explode(F.array_distinct(F.array(bucket("captured_at", -JACCARD_MINUTES), bucket("captured_at", GRACE_MINUTES)))).alias("bucket"))
+    timed = calls.select(F.col("inference_call_id").alias("id"), "org_id", "session_id", "observed_at", "tokens", bucket("observed_at", 0).alias("bucket"))
+    window = in_lookback(F.col("observed_at"), F.col("captured_at"), JACCARD_MINUTES)
+    second = best_match(scored(spread, timed, JACCARD_FLOOR, ["org_id", "bucket"], window, ["observed_at", "session_id"]).withColumn("source", F.lit("jaccard")))
+    matched = first.unionByName(second).select(F.col("left_id").alias("id"), F.col("right_id").alias("inference_call_id"), "session_id", "score", "source")
+    reason = F.when(F.col("reason").isNotNull(), F.col("reason")).when(F.col("inference_call_id").isNull(), "no_match")
+    return found.join(matched, "id", "left").select("push_id", *file, "inference_call_id", "session_id", "score", "source", reason.alias("reason"))
 
 
 def similar_within(texts: DataFrame, group: list[str], floor: float = 0.8) -> DataFrame:
-    """(left_id, right_id, score) of texts of one group at token Jaccard ``floor`` or more, left_id < right_id."""
-    return scored(texts, texts, floor, group).where("left_id < right_id")
+    """(left_id, right_id, score) of texts (id, tokens) of one group at token Jaccard ``floor`` or more, left_id < right_id."""
+    return scored(texts, texts, floor, group, F.col("left_id") < F.col("right_id"))
+
+
+def similar_counts(texts: DataFrame, group: list[str], floor: float = 0.8, examples: int = 3) -> DataFrame:
+    """(group, texts, pairs, examples): how many pairs of texts of a group reach the floor, and the first of them as (left_id, right_id) structs.
+
+    Texts with equal token sets are one class, so n copies count n * (n - 1) / 2 pairs without a row for each; only classes are compared.
+    An example names the smallest ids of two classes, or the smallest and the largest of one class.
+    """
+    classes = texts.where(F.size("tokens") > 0).groupBy(*group, "tokens").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.max("id").alias("other"))
+    inside = classes.where("n > 1").select(*group, (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("pairs"), F.col("id").alias("left_id"), F.col("other").alias("right_id"))
+    sizes = classes.select("id", *group, "n")
+    near = similar_within(classes.select(*group, "id", "tokens"), group, floor)
+    across = near.join(sizes.withColumnRenamed("id", "left_id"), "left_id").join(sizes.select(F.col("id").alias("right_id"), F.col("n").alias("m")), "right_id")
+    pairs = inside.unionByName(across.select(*group, (F.col("n") * F.col("m")).alias("pairs"), "left_id", "right_id"))
+    order = Window.partitionBy(*group).orderBy("left_id", "right_id")
+    ranked = pairs.withColumn("_rank", F.row_number().over(order))
+    shown = F.array_sort(F.collect_list(F.when(F.col("_rank") <= examples, F.struct("left_id", "right_id"))))
+    counts = ranked.groupBy(*group).agg(F.sum("pairs").alias("pairs"), shown.alias("examples"))
+    every = texts.groupBy(*group).agg(F.count("*").alias("texts"))
+    return every.join(counts, group, "left").select(*group, "texts", F.coalesce("pairs", F.lit(0)).alias("pairs"), "examples")
 
 
 def keyword_overlap(parts: DataFrame, query: list[str], stop_words: list[str] = []) -> DataFrame:

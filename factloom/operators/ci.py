@@ -10,49 +10,66 @@ from ..functions.times import micros
 VERDICTS = ("passed", "failed")
 
 
+#: A run is one of its organisation, CI provider and forge instance; a commit is one of its organisation and repository. A bare number or sha is neither.
+RUN = ["org_id", "provider", "repository_provider", "repository_host", "run_id"]
+COMMIT = ["org_id", "repository", "commit_sha"]
+_IDENTITY = {"branches": "branch", "ids": "workflow_id", "names": "workflow_name", "paths": "workflow_path"}
+
+
 def consistent_runs(outcomes: DataFrame) -> DataFrame:
-    """(run_id, reason): runs, with why one is declined (null if it isn't): more than one branch or workflow, or two results of an attempt."""
-    attempts = outcomes.groupBy("run_id", F.coalesce("run_attempt", F.lit(0)).alias("attempt")).agg(
-        F.min("result").alias("r1"), F.max("result").alias("r2"), F.min("branch").alias("b1"), F.max("branch").alias("b2"), F.min("workflow").alias("w1"), F.max("workflow").alias("w2")
-    )
-    runs = attempts.groupBy("run_id").agg(
-        (F.min("b1") != F.max("b2")).alias("branches"), (F.min("w1") != F.max("w2")).alias("workflows"), F.max(F.col("r1") != F.col("r2")).alias("results")
-    )
-    reason = F.when(F.col("branches"), "branch_conflict").when(F.col("workflows"), "workflow_conflict").when(F.col("results"), "attempt_conflict")
-    return runs.select("run_id", reason.alias("reason"))
+    """(run, reason): runs, with why one is declined (null if it isn't): several commits, several branches, workflow ids, names or paths, or two results of an attempt."""
+    each = outcomes.withColumn("_commit", F.struct(*COMMIT)).withColumns({c: F.nullif(F.col(c), F.lit("")) for c in _IDENTITY.values() if c != "branch"})
+    fields = {**_IDENTITY, "commits": "_commit", "results": "result"}
+    attempts = each.groupBy(*RUN, F.coalesce("run_attempt", F.lit(0)).alias("attempt")).agg(*(x for n, c in fields.items() for x in (F.min(c).alias(f"{n}_low"), F.max(c).alias(f"{n}_high"))))
+    several = lambda n: F.coalesce(F.min(f"{n}_low") != F.max(f"{n}_high"), F.lit(False)).alias(n)
+    runs = attempts.groupBy(*RUN).agg(*map(several, ["commits", *_IDENTITY]), F.max(F.col("results_low") != F.col("results_high")).alias("results"))
+    workflows = F.col("ids") | F.col("names") | F.col("paths")
+    reason = F.when(F.col("commits"), "commit_conflict").when(F.col("branches"), "branch_conflict").when(workflows, "workflow_conflict").when(F.col("results"), "attempt_conflict")
+    return runs.select(*RUN, reason.alias("reason"))
 
 
 def workflow_verdicts(outcomes: DataFrame) -> DataFrame:
-    """(commit_sha, workflow, run_id, verdict, flake, reliability, attempts): the last passed or failed attempt of each run decides.
+    """(commit, run, workflow_id, workflow_name, workflow_path, verdict, flake, reliability, attempts): the last passed or failed attempt of each run decides.
 
     A run without one has no verdict. Attempt order is (attempt or 0, outcome_id), never arrival time.
     """
     order = F.struct(F.coalesce("run_attempt", F.lit(0)), "outcome_id")
     is_verdict = F.col("result").isin(*VERDICTS)
-    runs = outcomes.groupBy("commit_sha", "workflow", "run_id").agg(
-        F.max_by("result", F.when(is_verdict, order)).alias("last"), F.max(is_verdict).alias("any"),
+    workflow = [F.max(F.nullif(F.col(c), F.lit(""))).alias(c) for c in ("workflow_id", "workflow_name", "workflow_path")]
+    runs = outcomes.groupBy(*COMMIT, *RUN[1:]).agg(
+        *workflow, F.max_by("result", F.when(is_verdict, order)).alias("last"), F.max(is_verdict).alias("any"),
         F.max(F.col("result") == "passed").alias("passed"), F.max(F.col("result") == "failed").alias("failed"), F.count("*").alias("attempts"),
     )
     flake = F.col("passed") & F.col("failed")
-    return runs.select("commit_sha", "workflow", "run_id", F.when(F.col("any"), F.col("last")).alias("verdict"), flake.alias("flake"), F.when(flake, 0.0).otherwise(1.0).alias("reliability"), "attempts")
+    reliability = F.when(F.col("any"), F.when(flake, F.lit(0.0)).otherwise(F.lit(1.0))).otherwise(F.lit(1.0))
+    names = [*COMMIT, *RUN[1:], "workflow_id", "workflow_name", "workflow_path"]
+    return runs.select(*names, F.when(F.col("any"), F.col("last")).alias("verdict"), flake.alias("flake"), reliability.alias("reliability"), "attempts")
 
 
 def commit_verdicts(workflows: DataFrame) -> DataFrame:
-    """(commit_sha, verdict, reliability, workflows, flakes, reason): the verdict all workflows share, else none and a reason."""
-    commits = workflows.groupBy("commit_sha").agg(
+    """(commit, verdict, reliability, workflows, flakes, reason): the verdict all workflows share, else none and a reason."""
+    commits = workflows.groupBy(*COMMIT).agg(
         F.min("verdict").alias("low"), F.max("verdict").alias("high"), F.min(F.when(F.col("verdict").isNotNull(), F.col("reliability"))).alias("reliability"),
         F.count("*").alias("workflows"), F.count_if("flake").alias("flakes"),
     )
     same = F.col("low") == F.col("high")
     reason = F.when(F.col("low").isNull(), "no_verdict").when(~same, "ambiguous_workflow_verdicts")
-    return commits.select("commit_sha", F.when(same, F.col("low")).alias("verdict"), F.when(same, F.col("reliability")).alias("reliability"), "workflows", "flakes", reason.alias("reason"))
+    return commits.select(*COMMIT, F.when(same, F.col("low")).alias("verdict"), F.when(same, F.col("reliability")).alias("reliability"), "workflows", "flakes", reason.alias("reason"))
+
+
+def same_key(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """A join on keys whose nulls are equal; the right side's keys are left out."""
+    renamed = right.withColumnsRenamed({k: f"_{k}" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on &= left[k].eqNullSafe(renamed[f"_{k}"])
+    return left.join(renamed, on, how).drop(*(f"_{k}" for k in keys))
 
 
 def resolve(outcomes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(commit verdicts, declined runs with a reason). Declined runs take all their rows with them."""
-    runs = consistent_runs(outcomes)
-    declined = runs.where("reason is not null")
-    kept = outcomes.join(declined, "run_id", "left_anti")
+    declined = consistent_runs(outcomes).where("reason is not null")
+    kept = same_key(outcomes, declined, RUN, "left_anti")
     return commit_verdicts(workflow_verdicts(kept)), declined
 
 

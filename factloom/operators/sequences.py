@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import Workspace
+
 DELETED, UNMODIFIED = 0.1, 0.9
 
 
@@ -32,23 +34,25 @@ def segments(turns: DataFrame, session: str, order: list[str], starts: Column, n
 
 
 def rollouts(calls: DataFrame) -> DataFrame:
-    """calls (session_id, id, at, input, output: arrays of message strings) with ``segment``, ``reason`` and ``new_input``.
+    """calls (session_id, id, at, input, output: arrays of canonical message strings) with ``segment``, ``reason`` and ``new_input``.
 
-    A call goes on with a segment if its input begins with the input and output of the call before it; then only the messages after
-    those are new. Else it begins a segment, by ``first_call``, ``shorter_history`` or ``changed_history``.
+    A call goes on with a segment if its input begins with the input of the call before it and then that call's output; its new messages
+    are those after the prior input, the output's echo among them. Else it begins a segment with its full input: ``prior_output_absent`` (no
+    output to replay), ``input_history_changed`` or ``prior_output_not_replayed``. A session's first call has no reason.
     """
     w = Window.partitionBy("session_id").orderBy("at", "id")
-    history = F.concat(F.lag("input").over(w), F.lag("output").over(w))
-    seen = calls.withColumn("_before", history)
-    n = F.size("_before")
+    before, said = F.lag("input").over(w), F.lag("output").over(w)
+    seen = calls.withColumns({"_before": before, "_said": said, "_first": F.row_number().over(w) == 1})
+    n, m = F.size(F.coalesce("_before", F.array().cast("array<string>"))), F.size(F.coalesce("_said", F.array().cast("array<string>")))
+    begins = lambda whole, part, size: (size == 0) | F.coalesce(F.slice(whole, 1, F.greatest(size, F.lit(1))) == part, F.lit(False))
     reason = (
-        F.when(F.col("_before").isNull(), "first_call").when(F.size("input") < n, "shorter_history")
-        .when(F.slice("input", 1, F.greatest(n, F.lit(1))) != F.when(n > 0, F.col("_before")).otherwise(F.slice("input", 1, 1)), "changed_history")
+        F.when(F.col("_first"), F.lit(None)).when(m == 0, "prior_output_absent").when(~begins("input", F.col("_before"), n), "input_history_changed")
+        .when(~begins("input", F.concat("_before", "_said"), n + m), "prior_output_not_replayed")
     )
     marked = seen.withColumn("reason", reason)
-    new = F.when(F.col("reason").isNotNull(), F.col("input")).otherwise(F.slice("input", F.coalesce(n, F.lit(0)) + 1, F.size("input")))
-    out = marked.withColumn("new_input", new).drop("_before")
-    return out.withColumn("segment", F.count("reason").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = F.col("_first") | F.col("reason").isNotNull()
+    out = marked.withColumn("new_input", F.when(whole, F.col("input")).otherwise(F.slice("input", n + 1, F.greatest(F.size("input") - n, F.lit(1))))).withColumn("_new", whole)
+    return out.withColumn("segment", F.count_if("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_before", "_said", "_first", "_new")
 
 
 def busy_time(intervals: DataFrame, session: str, start: str, end: str) -> DataFrame:
@@ -68,9 +72,27 @@ def final_allocation(allocations: DataFrame, session: str, at: str, arm: str) ->
     return last.select(session, F.when(F.col("m.low") == F.col("m.high"), F.col("m.low")).alias(arm), (F.col("m.low") != F.col("m.high")).alias("ambiguous"))
 
 
+def numbered(rows: DataFrame, order: list[str], number: str, total: str) -> DataFrame:
+    """rows with their position (from 1) in a total order over the whole table, and the number of rows, without one task that has them all.
+
+    Rows are dealt by range and numbered within each range; a range's offset is the number of rows in the ranges before it.
+    """
+    dealt = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    held = Workspace(rows.sparkSession, "numbered").save(dealt, "rows")
+    sizes = held.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for a partition
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"), F.sum("_n").over(Window.partitionBy()).alias(total))
+    own = Window.partitionBy("_part").orderBy(*order)
+    placed = held.withColumn("_own", F.row_number().over(own)).join(F.broadcast(offsets), "_part")
+    return placed.withColumn(number, F.col("_own") + F.col("_offset")).drop("_part", "_own", "_offset")
+
+
 def quantile_buckets(rows: DataFrame, value: str, key: str, buckets: int, within: list[str] = []) -> DataFrame:
     """rows with ``bucket`` by position: sorted row i of n (from 1) goes to floor((i * buckets - 1) / n)."""
-    w = Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))
+    if not within:
+        placed = numbered(rows, [value, key], "_i", "_n")
+        return placed.withColumn("bucket", F.floor((F.col("_i") * buckets - 1) / F.col("_n")).cast("int")).drop("_i", "_n")
+    w = Window.partitionBy(*within)
     number, n = F.row_number().over(w.orderBy(value, key)), F.count("*").over(w)
     return rows.withColumn("bucket", F.floor((number * buckets - 1) / n).cast("int"))
 
@@ -96,10 +118,9 @@ def mann_kendall(points: DataFrame, group: list[str], at: str, value: str) -> Da
 
 def benjamini_hochberg(tests: DataFrame, p: str, key: str, alpha: float = 0.05) -> DataFrame:
     """tests with ``rank`` and ``rejected``: those up to the largest rank k with p <= k / m * alpha."""
-    everything = Window.partitionBy(F.lit(0))
-    ranked = tests.withColumn("rank", F.row_number().over(everything.orderBy(p, key))).withColumn("_m", F.count("*").over(everything))
-    last = F.max(F.when(F.col(p) <= F.col("rank") / F.col("_m") * alpha, F.col("rank"))).over(everything)
-    return ranked.withColumn("rejected", F.col("rank") <= F.coalesce(last, F.lit(0))).drop("_m")
+    ranked = numbered(tests, [p, key], "rank", "_m")
+    last = ranked.agg(F.coalesce(F.max(F.when(F.col(p) <= F.col("rank") / F.col("_m") * alpha, F.col("rank"))), F.lit(0)).alias("_last"))
+    return ranked.join(F.broadcast(last)).withColumn("rejected", F.col("rank") <= F.col("_last")).drop("_m", "_last")
 
 
 def prefix_checkpoints(trials: DataFrame, key: list[str], order: list[str], success: str, fractions: list[float]) -> DataFrame:

@@ -10,34 +10,37 @@ from ..operators import attachment, attribution, ci, repositories, sequences
 from ..sources.bindings import ctes, facts
 from ..sources.shared import Workspace
 from . import projections
+from .fact_queries import _VERDICTS
 from .registry import query
 
-_COMMITS = """v AS (SELECT commit_sha, workflow, arg_max(result, run_attempt * 1000000000 + outcome_id) FILTER (WHERE result IN ('passed', 'failed')) AS verdict FROM ci_outcomes GROUP BY commit_sha, workflow, run_id),
-r AS (SELECT commit_sha, CASE WHEN min(verdict) = max(verdict) THEN min(verdict) END AS verdict FROM v GROUP BY commit_sha)"""
-
-
-@query("d06_assembled_completions", ctes("ci_outcomes", "decisions") + f""", {_COMMITS},
+@query("d06_assembled_completions", _VERDICTS + f""", {ctes("decisions")[5:]},
+r AS (SELECT commit_key, CASE WHEN min(verdict) = max(verdict) THEN min(verdict) END AS verdict FROM v GROUP BY commit_key),
 d AS (SELECT call_id, count(*) AS decisions, count(*) FILTER (WHERE accepted) AS accepted, max(edit_retention_score) AS retention FROM decisions GROUP BY call_id)
-SELECT o_orderkey AS call_id, o_custkey AS commit_sha, verdict, coalesce(decisions, 0) AS decisions, coalesce(accepted, 0) AS accepted, retention,
+SELECT o_orderkey AS call_id, o_custkey AS commit_key, verdict, coalesce(decisions, 0) AS decisions, coalesce(accepted, 0) AS accepted, retention,
   CASE WHEN verdict IS NULL AND decisions IS NULL THEN 'no_signal' WHEN verdict IS NULL THEN 'decision_only' WHEN decisions IS NULL THEN 'ci_only' ELSE 'complete' END AS evidence
-FROM orders LEFT JOIN r ON o_custkey = r.commit_sha LEFT JOIN d ON o_orderkey = d.call_id""")
+FROM orders LEFT JOIN r ON o_custkey = r.commit_key LEFT JOIN d ON o_orderkey = d.call_id""")
 def assembled_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every attributed call with its commit's verdict and its decisions; calls without either stay."""
-    calls = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("call_id"), F.col("o_custkey").alias("commit_sha"))
-    verdicts = ci.resolve(facts(spark, sf_dir, "ci_outcomes"))[0].select("commit_sha", "verdict")
+    key = F.col("o_custkey")
+    named = lambda c, n: F.concat(F.lit(c), (key % n).cast("string"))
+    calls = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        F.col("o_orderkey").alias("call_id"), key.alias("commit_key"), named("org", 2).alias("org_id"), named("repo", 5).alias("repository"), F.floor(key / 10).alias("commit_sha")
+    )
+    verdicts = ci.resolve(facts(spark, sf_dir, "ci_outcomes"))[0].select(*ci.COMMIT, "verdict")
     decided = facts(spark, sf_dir, "decisions").groupBy("call_id").agg(F.count("*").alias("n"), F.count_if("accepted").alias("a"), F.max("edit_retention_score").alias("retention"))
-    both = calls.join(verdicts, "commit_sha", "left").join(decided, "call_id", "left")
+    both = calls.join(verdicts, ci.COMMIT, "left").join(decided, "call_id", "left")
     kind = F.when(F.col("verdict").isNull() & F.col("n").isNull(), "no_signal").when(F.col("verdict").isNull(), "decision_only").when(F.col("n").isNull(), "ci_only").otherwise("complete")
-    return both.select("call_id", "commit_sha", "verdict", F.coalesce("n", F.lit(0)).alias("decisions"), F.coalesce("a", F.lit(0)).alias("accepted"), "retention", kind.alias("evidence"))
+    return both.select("call_id", "commit_key", "verdict", F.coalesce("n", F.lit(0)).alias("decisions"), F.coalesce("a", F.lit(0)).alias("accepted"), "retention", kind.alias("evidence"))
 
 
 @query("d09_recovery_rows", ctes("ci_outcomes") + """,
-s AS (SELECT workflow, commit_sha, result, lag(result) OVER w AS before, lag(commit_sha) OVER w AS red_commit FROM ci_outcomes WHERE result IN ('passed', 'failed') WINDOW w AS (PARTITION BY workflow ORDER BY captured_at, outcome_id)),
+s AS (SELECT commit_key AS commit_sha, result, lag(result) OVER w AS before, lag(commit_key) OVER w AS red_commit FROM ci_outcomes WHERE result IN ('passed', 'failed') WINDOW w AS (PARTITION BY org_id, repository, branch, provider, workflow_id ORDER BY captured_at, outcome_id)),
 p AS (SELECT red_commit, commit_sha AS green_commit FROM s WHERE result = 'passed' AND before = 'failed'),
 z AS (SELECT c_custkey, floor(abs(c_acctbal))::bigint % 400 AS changed, (('0x' || substr(sha256(c_custkey::varchar), 1, 16))::ubigint)::double / 18446744073709551616::double < 0.2::double AS e FROM customer)
 SELECT red_commit, green_commit, g.changed, CASE WHEN r.e OR g.e THEN 'eval' ELSE 'train' END AS split FROM p JOIN z g ON g.c_custkey = green_commit JOIN z r ON r.c_custkey = red_commit WHERE g.changed <= 200""")
 def recovery_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = ci.red_to_green(facts(spark, sf_dir, "ci_outcomes"), ["workflow"]).select("red_commit", "green_commit")
+    outcomes = facts(spark, sf_dir, "ci_outcomes").withColumn("commit_sha", F.col("commit_key"))
+    pairs = ci.red_to_green(outcomes, ["org_id", "repository", "branch", "provider", "workflow_id"]).select("red_commit", "green_commit")
     customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
     changed = F.pmod(F.floor(F.abs("c_acctbal")).cast("long"), F.lit(400))
     sizes = customer.select(F.col("c_custkey").alias("green_commit"), changed.alias("changed"))

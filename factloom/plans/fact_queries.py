@@ -12,33 +12,52 @@ from ..sources.bindings import ctes, facts
 from . import reports
 from .registry import query
 
-_VERDICTS = ctes("ci_outcomes") + """,
-v AS (SELECT commit_sha, workflow, run_id, arg_max(result, run_attempt * 1000000000 + outcome_id) FILTER (WHERE result IN ('passed', 'failed')) AS verdict,
-  bool_or(result = 'passed') AND bool_or(result = 'failed') AS flake, count(*) AS attempts FROM ci_outcomes GROUP BY commit_sha, workflow, run_id)"""
-
-
-@query("a01_ci_resolution", _VERDICTS + """
-SELECT commit_sha, CASE WHEN min(verdict) = max(verdict) THEN min(verdict) END AS verdict,
+_RUN = "org_id, provider, repository_provider, repository_host, run_id"
+_COMMIT = "org_id, repository, commit_sha"
+_RUNS = ctes("ci_outcomes") + f""",
+run_attempts AS (SELECT {_RUN}, coalesce(run_attempt, 0) AS attempt, count(DISTINCT result) AS results FROM ci_outcomes GROUP BY ALL),
+run_results AS (SELECT {_RUN}, max(results) AS results FROM run_attempts GROUP BY ALL),
+run_reasons AS (SELECT {_RUN}, CASE WHEN count(DISTINCT ({_COMMIT})) > 1 THEN 'commit_conflict' WHEN count(DISTINCT branch) > 1 THEN 'branch_conflict'
+    WHEN count(DISTINCT nullif(workflow_id, '')) > 1 OR count(DISTINCT nullif(workflow_name, '')) > 1 OR count(DISTINCT nullif(workflow_path, '')) > 1 THEN 'workflow_conflict'
+    WHEN max(results) > 1 THEN 'attempt_conflict' END AS reason
+  FROM ci_outcomes JOIN run_results USING ({_RUN}) GROUP BY {_RUN})"""
+_VERDICTS = _RUNS + f""",
+v AS (SELECT {_COMMIT}, {_RUN[8:]}, min(workflow_name) AS workflow_name, min(commit_key) AS commit_key,
+  arg_max(result, run_attempt * 1000000000 + outcome_id) FILTER (WHERE result IN ('passed', 'failed')) AS verdict,
+  bool_or(result = 'passed') AND bool_or(result = 'failed') AS flake, count(*) AS attempts FROM ci_outcomes JOIN run_reasons USING ({_RUN}) WHERE reason IS NULL GROUP BY {_COMMIT}, {_RUN[8:]})"""
+
+
+@query("a01_ci_resolution", _VERDICTS + f"""
+SELECT {_COMMIT}, CASE WHEN min(verdict) = max(verdict) THEN min(verdict) END AS verdict,
   CASE WHEN min(verdict) = max(verdict) THEN min(CASE WHEN verdict IS NOT NULL THEN CASE WHEN flake THEN 0e0 ELSE 1e0 END END) END AS reliability,
   count(*) AS workflows, count(*) FILTER (WHERE flake) AS flakes,
   CASE WHEN min(verdict) IS NULL THEN 'no_verdict' WHEN min(verdict) <> max(verdict) THEN 'ambiguous_workflow_verdicts' END AS reason
-FROM v GROUP BY commit_sha""")
+FROM v GROUP BY {_COMMIT}""")
 def ci_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ci.resolve(facts(spark, sf_dir, "ci_outcomes"))[0]
 
 
-@query("a02_run_consistency", ctes("ci_outcomes") + """
-SELECT run_id, CASE WHEN count(DISTINCT branch) > 1 THEN 'branch_conflict' WHEN count(DISTINCT workflow) > 1 THEN 'workflow_conflict' END AS reason FROM ci_outcomes GROUP BY run_id""")
+@query("a01_declined_runs", _RUNS + f" SELECT {_RUN}, reason FROM run_reasons WHERE reason IS NOT NULL")
+def declined_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ci.resolve(facts(spark, sf_dir, "ci_outcomes"))[1]
+
+
+@query("a02_run_consistency", _RUNS + f" SELECT {_RUN}, reason FROM run_reasons")
 def run_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ci.consistent_runs(facts(spark, sf_dir, "ci_outcomes"))
 
 
+def _kept_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outcomes = facts(spark, sf_dir, "ci_outcomes")
+    return ci.workflow_verdicts(ci.same_key(outcomes, ci.consistent_runs(outcomes).where("reason is not null"), ci.RUN, "left_anti"))
+
+
 @query("a03_pass_rates", _VERDICTS + f""",
-s AS (SELECT workflow, count(*) AS n, sum(CASE WHEN verdict = 'passed' THEN 1 ELSE 0 END)::bigint AS successes FROM v WHERE verdict IS NOT NULL GROUP BY workflow)
-SELECT workflow, n, successes, successes / n AS rate, {wilson_sql('successes', 'n', 'low')} AS low, {wilson_sql('successes', 'n', 'high')} AS high FROM s""")
+s AS (SELECT workflow_name, count(*) AS n, sum(CASE WHEN verdict = 'passed' THEN 1 ELSE 0 END)::bigint AS successes FROM v WHERE verdict IS NOT NULL GROUP BY workflow_name)
+SELECT workflow_name, n, successes, successes / n AS rate, {wilson_sql('successes', 'n', 'low')} AS low, {wilson_sql('successes', 'n', 'high')} AS high FROM s""")
 def pass_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    verdicts = ci.workflow_verdicts(facts(spark, sf_dir, "ci_outcomes")).where("verdict is not null")
-    return reports.outcome_rates(verdicts.withColumn("ok", F.col("verdict") == "passed"), ["workflow"], "ok")
+    verdicts = _kept_verdicts(spark, sf_dir).where("verdict is not null")
+    return reports.outcome_rates(verdicts.withColumn("ok", F.col("verdict") == "passed"), ["workflow_name"], "ok")
 
 
 @query("f01_visibility", ctes("calls", "quarantine") + """,
@@ -208,12 +227,15 @@ def turn_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.segments(facts(spark, sf_dir, "turns"), "session_id", ["turn"], starts).select("session_id", "turn", "segment")
 
 
-@query("w03_red_to_green", ctes("ci_outcomes") + """,
-s AS (SELECT workflow, outcome_id, commit_sha, result, captured_at, lag(result) OVER w AS before, lag(outcome_id) OVER w AS red_id, lag(commit_sha) OVER w AS red_commit, lag(captured_at) OVER w AS red_at
-  FROM ci_outcomes WHERE result IN ('passed', 'failed') WINDOW w AS (PARTITION BY workflow ORDER BY captured_at, outcome_id))
-SELECT workflow, red_id, red_commit, outcome_id AS green_id, commit_sha AS green_commit, epoch_us(captured_at) - epoch_us(red_at) AS micros FROM s WHERE result = 'passed' AND before = 'failed'""")
+_LINEAGE = "org_id, repository, branch, provider, workflow_id"
+
+
+@query("w03_red_to_green", ctes("ci_outcomes") + f""",
+s AS (SELECT {_LINEAGE}, outcome_id, commit_sha, result, captured_at, lag(result) OVER w AS before, lag(outcome_id) OVER w AS red_id, lag(commit_sha) OVER w AS red_commit, lag(captured_at) OVER w AS red_at
+  FROM ci_outcomes WHERE result IN ('passed', 'failed') WINDOW w AS (PARTITION BY {_LINEAGE} ORDER BY captured_at, outcome_id))
+SELECT {_LINEAGE}, red_id, red_commit, outcome_id AS green_id, commit_sha AS green_commit, epoch_us(captured_at) - epoch_us(red_at) AS micros FROM s WHERE result = 'passed' AND before = 'failed'""")
 def red_to_green(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ci.red_to_green(facts(spark, sf_dir, "ci_outcomes"), ["workflow"])
+    return ci.red_to_green(facts(spark, sf_dir, "ci_outcomes"), _LINEAGE.split(", "))
 
 
 @query("w04_busy_time", ctes("calls") + """,
@@ -276,15 +298,19 @@ def stale_repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("d18_rewards", _VERDICTS + """,
-t AS (SELECT c_nationkey AS session_id, commit_sha, verdict FROM v JOIN customer ON commit_sha = c_custkey),
+t AS (SELECT c_nationkey AS session_id, commit_key AS commit_sha, verdict FROM v JOIN customer ON commit_key = c_custkey),
 k AS (SELECT session_id, max((commit_sha, verdict)) FILTER (WHERE verdict IS NOT NULL) AS m FROM t GROUP BY session_id)
 SELECT session_id, m[1] AS commit_sha, CASE m[2] WHEN 'passed' THEN 1 WHEN 'failed' THEN 0 END AS reward FROM k""")
 def rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .projections import rewards as of
 
-    verdicts = ci.workflow_verdicts(facts(spark, sf_dir, "ci_outcomes"))
-    sessions = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("commit_sha"), F.col("c_nationkey").alias("session_id"))
-    return of(verdicts.join(sessions, "commit_sha").withColumn("position", F.col("commit_sha")))
+    key = F.col("c_custkey")
+    named = lambda c, n: F.concat(F.lit(c), (key % n).cast("string"))
+    sessions = spark.read.parquet(f"{sf_dir}/customer.parquet").select(
+        named("org", 2).alias("org_id"), named("repo", 5).alias("repository"), F.floor(key / 10).alias("commit_sha"), F.col("c_nationkey").alias("session_id"), key.alias("position")
+    )
+    placed = _kept_verdicts(spark, sf_dir).join(sessions, ci.COMMIT).withColumn("commit_sha", F.col("position"))
+    return of(placed)
 
 
 @query("x05_split", """

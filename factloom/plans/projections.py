@@ -80,7 +80,7 @@ def decision_latency(rows: DataFrame, key: str, at: str, decided: str, buckets:
 
     ms = F.floor((micros(decided) - micros(at)) / 1000)
     timed = rows.withColumn("latency", ms).where("latency >= 0").groupBy(key).agg(F.min("latency").alias("latency"), F.min("confidence").alias("confidence"))
-    everything = Window.partitionBy(F.lit(0))
-    flat = F.min("latency").over(everything) == F.max("latency").over(everything)
-    placed = quantile_buckets(timed, "latency", key, buckets).withColumn("bucket", F.when(flat, F.lit(-1)).otherwise(F.col("bucket")))
+    placed = quantile_buckets(timed, "latency", key, buckets)
+    flat = placed.agg((F.min("latency") == F.max("latency")).alias("_flat"))
+    placed = placed.join(F.broadcast(flat)).withColumn("bucket", F.when(F.col("_flat"), F.lit(-1)).otherwise(F.col("bucket")))
     return placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("latency").alias("low"), F.max("latency").alias("high"), F.avg("confidence").alias("mean_confidence"))

@@ -292,30 +292,6 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.size(T.tokens(F.col("text"))).cast("long").alias("tokens"))
 
 
-_TOKENS = "list_distinct(list_transform(regexp_extract_all({}, '[a-zA-Z_][a-zA-Z0-9_]*|[0-9]+'), lambda x: lower(x)))"
-
-
-@query("j06_attribution_match", f"""
-WITH d AS (SELECT doc_id AS id, {_TOKENS.format('text')} AS t FROM documents), b AS (SELECT item_id AS id, {_TOKENS.format('text')} AS t FROM benchmark),
-x AS (SELECT id, unnest(t) AS w FROM d), y AS (SELECT id, unnest(t) AS w FROM b), c AS (SELECT x.id AS left_id, y.id AS right_id, count(*) AS n FROM x JOIN y USING (w) GROUP BY x.id, y.id),
-s AS (SELECT left_id, right_id, n / (len(d.t) + len(b.t) - n) AS score FROM c JOIN d ON d.id = left_id JOIN b ON b.id = right_id)
-SELECT left_id, right_id, score FROM s WHERE score >= 0.1::double QUALIFY row_number() OVER (PARTITION BY left_id ORDER BY score DESC, right_id) = 1""")
-def attribution_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), T.tokens(F.col("text")).alias("tokens"))
-    calls = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("id"), T.tokens(F.col("text")).alias("tokens"))
-    found = attribution.scored(files, calls, 0.1).withColumn("observed_at", F.lit(0))
-    return attribution.best_match(found).select("left_id", "right_id", "score")
-
-
-@query("j12_similar_prompts", f"""
-WITH d AS (SELECT conv_id * 100 + turn AS id, role, {_TOKENS.format('text')} AS t FROM conversations), x AS (SELECT id, role, unnest(t) AS w FROM d),
-c AS (SELECT a.id AS left_id, b.id AS right_id, count(*) AS n FROM x a JOIN x b ON a.w = b.w AND a.role = b.role AND a.id < b.id GROUP BY a.id, b.id)
-SELECT left_id, right_id, n / (len(a.t) + len(b.t) - n) AS score FROM c JOIN d a ON a.id = left_id JOIN d b ON b.id = right_id WHERE n / (len(a.t) + len(b.t) - n) >= 0.8::double""")
-def similar_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = facts(spark, sf_dir, "turns").select((F.col("session_id") * 100 + F.col("turn")).alias("id"), "role", T.tokens(F.col("text")).alias("tokens"))
-    return attribution.similar_within(turns, ["role"], 0.8)
-
-
 @query("x03_containment", """
 WITH a AS (SELECT item_id, unnest(list_transform(range(1, length(text) - 2), lambda i: substr(text, i, 4))) AS g FROM benchmark WHERE length(text) >= 4), an AS (SELECT item_id, g, count(*) AS n FROM a GROUP BY ALL),
 f AS (SELECT conv_id * 100 + turn AS file_id, unnest(list_transform(range(1, length(text) - 2), lambda i: substr(text, i, 4))) AS g FROM conversations WHERE length(text) >= 4), fn AS (SELECT file_id, g, count(*) AS m FROM f GROUP BY ALL),
@@ -327,13 +303,18 @@ def containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.containment(applied, files)
 
 
-@query("f14_redaction", r"""
-WITH r AS (SELECT doc_id, regexp_replace(regexp_replace(text, '(?i)\b(bearer\s+)[A-Za-z0-9._~+/=-]{8,}', '\1[REDACTED]', 'g'), '\bsk-[A-Za-z0-9_-]{16,}', '[REDACTED]', 'g') AS t FROM documents)
-SELECT doc_id, md5(regexp_replace(t, '(?i)\b((?:api[_-]?key|token|secret|password)\b["'']?\s*[:=]\s*["'']?)[A-Za-z0-9._~+/=-]{8,}', '\1[REDACTED]', 'g')) AS redacted,
-  len(regexp_extract_all(t, '(?i)\b((?:api[_-]?key|token|secret|password)\b["'']?\s*[:=]\s*["'']?)[A-Za-z0-9._~+/=-]{8,}'))::integer AS assignments FROM r""")
+_KEY = "[A-Za-z0-9\\-._~+/]{16,}=*"
+
+
+@query("f14_redaction", rf"""
+WITH r AS (SELECT doc_id, concat('id ', text, ' Authorization: Bearer ', sha256(text), ' then bearer ', md5(text), ' and sk-', md5(text)) AS t FROM documents),
+b AS (SELECT doc_id, regexp_replace(t, '(?i)(\bAuthorization\s*[:=]\s*Bearer[ \t]+){_KEY}', '\1[REDACTED_CREDENTIAL]', 'g') AS t FROM r)
+SELECT doc_id, md5(regexp_replace(regexp_replace(t, '(?i)(\bBearer[ \t]+){_KEY}', '\1[REDACTED_CREDENTIAL]', 'g'), ' sk-[A-Za-z0-9_-]{{16,}}$', ' [REDACTED_CREDENTIAL]')) AS redacted,
+  len(regexp_extract_all(t, '(?i)(\bBearer[ \t]+){_KEY}'))::integer AS bearers FROM b""")
 def redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.select("doc_id", F.md5(T.redact(F.col("text"))).alias("redacted"), T.redaction_counts(F.col("text"))["assignment"].alias("assignments"))
+    t = F.col("text")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.concat(F.lit("id "), t, F.lit(" Authorization: Bearer "), F.sha2(t, 256), F.lit(" then bearer "), F.md5(t), F.lit(" and sk-"), F.md5(t)).alias("t"))
+    return docs.select("doc_id", F.md5(T.redact(F.col("t"))).alias("redacted"), T.redaction_counts(F.col("t"))["bearer_token"].alias("bearers"))
 
 
 @query("d13_context_retrieval", """

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import cohens_h, ratio, two_proportion_z, wilson
+from ..functions.stats import cohens_h, ratio, two_proportion_z, wilson, wilson_sql  # noqa: F401  reports' SQL uses it
 from ..functions.times import micros
+from ..operators.sequences import numbered
 
 
 def outcome_rates(trials: DataFrame, group: list[str], success: str) -> DataFrame:
@@ -16,6 +17,20 @@ def outcome_rates(trials: DataFrame, group: list[str], success: str) -> DataFram
     return sums.select(*group, "n", "successes", ratio(F.col("successes"), F.col("n")).alias("rate"), low.alias("low"), high.alias("high"))
 
 
+def attribution_share(attributed: DataFrame) -> DataFrame:
+    """(org_id, repository, commits, n, git_notes, jaccard, unattributed, low, high) of ``attribution.attribute`` rows: n commits could be an agent's, as they change code.
+
+    A commit with a noted file counts as noted, else one with a similar file as jaccard. The interval is Wilson's, of the attributed share.
+    """
+    readable = ~F.coalesce(F.col("reason").isin("no_code_diff", "commit_diff_unavailable"), F.lit(False))
+    told = lambda source: F.max(F.coalesce(F.col("source") == source, F.lit(False)))
+    commits = attributed.groupBy("org_id", "repository", "commit_sha").agg(told("git_notes").alias("noted"), told("jaccard").alias("guessed"), F.max(readable).alias("plausible"))
+    out = commits.groupBy("org_id", "repository").agg(F.count("*").alias("commits"), F.count_if("plausible").alias("n"), F.count_if("noted").alias("git_notes"), F.count_if(~F.col("noted") & F.col("guessed")).alias("jaccard"))
+    found = F.col("git_notes") + F.col("jaccard")
+    low, high = wilson(found, F.col("n"))
+    return out.select("*", (F.col("n") - found).alias("unattributed"), low.alias("low"), high.alias("high"))
+
+
 def funnel(rows: DataFrame, group: list[str], key: str, stages: dict[str, Column]) -> DataFrame:
     """Distinct keys of each stage, where a stage counts a key only if it passed the stages before it, and the share of each stage's predecessor."""
     reached, counts = F.lit(True), []
@@ -64,9 +79,10 @@ def reversals(trials: DataFrame, group: str, stratum: str, success: str) -> Data
     cells = strata(trials, group, stratum, success).withColumn("p", ratio(F.col("successes"), F.col("n")))
     a, b = (cells.select(F.col(group).alias(s), F.col(stratum).alias("at"), F.col("p").alias(f"p_{s}")) for s in ("left", "right"))
     both = a.join(b.withColumnRenamed("at", "at2"), F.col("at").eqNullSafe(F.col("at2")) & (F.col("left") < F.col("right"))).withColumn("d", F.col("p_left") - F.col("p_right"))
-    pairs = both.groupBy("left", "right").agg(F.max(F.when(F.col("at").isNull(), F.col("d"))).alias("difference"), F.collect_list(F.when(F.col("at").isNotNull(), F.signum("d"))).alias("signs"))
-    against = F.size(F.filter("signs", lambda s: s == -F.signum(F.col("difference"))))
-    return pairs.select("left", "right", "difference", F.size("signs").alias("strata"), against.alias("reversed"), ((against == F.size("signs")) & (F.size("signs") > 0) & (F.col("difference") != 0)).alias("paradox"))
+    pairs = both.groupBy("left", "right").agg(F.max(F.when(F.col("at").isNull(), F.col("d"))).alias("difference"), *(F.count_if(F.col("at").isNotNull() & (F.signum("d") == k)).cast("int").alias(f"_{n}") for n, k in (("up", 1), ("same", 0), ("down", -1))))
+    strata_of = F.col("_up") + F.col("_same") + F.col("_down")
+    against = F.when(F.col("difference") > 0, F.col("_down")).when(F.col("difference") < 0, F.col("_up")).otherwise(F.col("_same"))
+    return pairs.select("left", "right", "difference", strata_of.alias("strata"), against.alias("reversed"), ((against == strata_of) & (strata_of > 0) & (F.col("difference") != 0)).alias("paradox"))
 
 
 def shrunken(rates: DataFrame) -> DataFrame:
@@ -130,12 +146,12 @@ def calibration(pairs: DataFrame, score: str, label: str, bins: int = 10) -> Dat
 
 
 def calibration_summary(pairs: DataFrame, score: str, label: str, bins: int = 10) -> DataFrame:
-    """One row: n, brier, auroc (ties by average rank, 0 without both labels), ece. Ranks come from counts of distinct scores, so no task sorts all pairs."""
+    """One row: n, brier, auroc (ties by average rank, 0 without both labels), ece. Ranks are given by range, so no task sorts all pairs."""
     y = F.col(label).cast("double")
     basic = pairs.agg(F.count("*").alias("n"), F.coalesce(F.avg((F.col(score) - y) * (F.col(score) - y)), F.lit(0.0)).alias("brier"))
-    values = pairs.groupBy(score).agg(F.count("*").alias("_n"), F.sum(y).alias("_p"))
-    before = F.sum("_n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1))
-    ranked = values.withColumn("_r", F.coalesce(before, F.lit(0)) + (F.col("_n") + 1) / 2)
+    placed = numbered(pairs.select(F.col(score).alias("_s"), y.alias("_y")), ["_s"], "_i", "_t")
+    values = placed.groupBy("_s").agg(F.count("*").alias("_n"), F.sum("_y").alias("_p"), F.avg("_i").alias("_r"))
+    ranked = values
     sums = ranked.agg(F.sum(F.col("_r") * F.col("_p")).alias("r"), F.sum("_p").alias("p"), F.sum("_n").alias("t"))
     negatives = F.col("t") - F.col("p")
     auroc = sums.select(F.when((F.col("p") > 0) & (negatives > 0), (F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * negatives)).otherwise(0.0).alias("auroc"))

@@ -40,11 +40,13 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("a01_stream_verdicts", ctes("ci_outcomes") + """
-SELECT run_id, arg_max(result, outcome_id) AS verdict, count(DISTINCT result) > 1 AS flake FROM ci_outcomes WHERE result IN ('passed', 'failed') GROUP BY run_id""")
+SELECT org_id, provider, repository_provider, repository_host, run_id, arg_max(result, outcome_id) AS verdict, count(DISTINCT result) > 1 AS flake FROM ci_outcomes WHERE result IN ('passed', 'failed') GROUP BY ALL""")
 def stream_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attempts of a run in outcome order, as they come in."""
     result = F.when(F.col("o_orderstatus") == "O", "passed").when(F.col("o_orderstatus") == "F", "failed").otherwise("cancelled")
+    key = F.col("o_custkey")
     outcomes = streams.source(spark, sf_dir, "orders").select(
-        F.concat(F.col("o_custkey").cast("string"), F.lit("-"), "o_orderpriority").alias("run_id"), F.lit(1).alias("run_attempt"), F.col("o_orderkey").alias("outcome_id"), result.alias("result")
-    )
+        F.concat(F.lit("org"), (key % 2).cast("string")).alias("org_id"), F.lit("github").alias("provider"), F.lit("forge").alias("repository_provider"), F.concat(F.lit("host"), (key % 5).cast("string")).alias("repository_host"),
+        F.concat(F.floor(key / 10).cast("string"), F.lit("-"), "o_orderpriority").alias("run_id"), F.lit(1).alias("run_attempt"), F.col("o_orderkey").alias("outcome_id"), result.alias("result"),
+    )
     return streams.drained(streams.running_verdicts(outcomes), "verdicts", "complete")

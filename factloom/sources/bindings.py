@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 BINDINGS: dict[str, tuple[tuple[str, ...], str]] = {
     "ci_outcomes": (
         ("orders",),
-        """SELECT o_orderkey AS outcome_id, concat(cast(o_custkey AS string), '-', o_orderpriority) AS run_id,
+        """SELECT o_orderkey AS outcome_id, concat('org', cast(o_custkey % 2 AS string)) AS org_id, 'github' AS provider, 'forge' AS repository_provider,
+          concat('host', cast(o_custkey % 5 AS string)) AS repository_host, concat('repo', cast(o_custkey % 5 AS string)) AS repository,
+          concat(cast(cast(floor(o_custkey / 10) AS bigint) AS string), '-', o_orderpriority) AS run_id,
           row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate, o_orderkey) AS run_attempt,
-          o_custkey AS commit_sha, o_orderpriority AS workflow, 'main' AS branch,
+          cast(floor(o_custkey / 10) AS bigint) AS commit_sha, o_custkey AS commit_key, o_orderpriority AS workflow_name, substr(o_orderpriority, 1, 1) AS workflow_id, '' AS workflow_path,
+          CASE WHEN o_orderkey % 97 = 0 THEN 'side' ELSE 'main' END AS branch,
           CASE o_orderstatus WHEN 'O' THEN 'passed' WHEN 'F' THEN 'failed' ELSE 'cancelled' END AS result, o_orderdate AS captured_at
         FROM {orders}""",
     ),
@@ -26,7 +29,8 @@ BINDINGS: dict[str, tuple[tuple[str, ...], str]] = {
     "calls": (
         ("events",),
         """SELECT event_id AS inference_call_id, user_id AS session_id, event_type AS model, ts AS observed_at,
-          cast(round(abs(value) * 100) AS bigint) AS duration_ms, value
+          cast(round(abs(value) * 100) AS bigint) AS duration_ms, value, concat('org', cast(user_id % 2 AS string)) AS org_id,
+          concat('user', cast(user_id % 9 AS string)) AS user_id, 'gateway' AS gateway_provider, event_id % 5000 AS model_call_id, props AS raw
         FROM {events}""",
     ),
     "quarantine": (
@@ -40,7 +44,44 @@ BINDINGS: dict[str, tuple[tuple[str, ...], str]] = {
           CASE WHEN l_linenumber = 7 THEN NULL ELSE cast(l_quantity AS bigint) END AS lines_added, cast(round(abs(l_tax) * 100) AS bigint) AS lines_removed
         FROM {lineitem}""",
     ),
+    "aliases": (("events",), "SELECT event_id % 5000 AS alias, event_id AS inference_call_id, concat('org', cast(user_id % 2 AS string)) AS org_id, user_id AS session_id, ts AS observed_at FROM {events}"),
+    "pushes": (
+        ("orders",),
+        """SELECT o_orderkey AS push_id, concat('org', cast(o_custkey % 2 AS string)) AS org_id, concat('repo', cast(o_custkey % 20 AS string)) AS repo, 'main' AS ref,
+          o_custkey AS after_sha, o_orderpriority = '1-URGENT' AS forced, CASE WHEN o_custkey % 20 < 15 THEN 'forge' END AS repository_provider,
+          CASE WHEN o_custkey % 20 < 15 THEN 'host' END AS repository_host, CASE WHEN o_custkey % 20 < 15 THEN cast(o_custkey % 15 AS string) END AS repository_id, o_orderdate AS captured_at
+        FROM {orders}""",
+    ),
+    "merges": (
+        ("lineitem",),
+        """SELECT l_orderkey AS merge_id, concat('repo', cast(l_suppkey % 20 AS string)) AS repo, l_partkey % 50 AS pr_number, l_partkey AS head_sha, l_suppkey AS base_sha,
+          l_orderkey AS merge_commit_sha, l_shipdate AS merged_at, l_shipdate AS captured_at, 'forge' AS repository_provider, 'host' AS repository_host, cast(l_suppkey % 15 AS string) AS repository_id
+        FROM {lineitem} WHERE l_linenumber = 1""",
+    ),
+    "edges": (
+        ("lineitem",),
+        "SELECT l_orderkey * 10 + l_linenumber AS observation_id, concat('repo', cast(l_suppkey % 20 AS string)) AS repo, l_partkey AS commit_sha, l_suppkey AS session_id, l_orderkey AS source_push_id, l_shipdate AS captured_at FROM {lineitem}",
+    ),
+    "rejections": (("lineitem",), "SELECT l_orderkey * 10 + l_linenumber AS rejection_id, l_suppkey AS session_id, l_orderkey AS call_id, l_shipdate AS occurred_at FROM {lineitem} WHERE l_returnflag = 'R'"),
     "turns": (("conversations",), "SELECT conv_id AS session_id, turn, role, text FROM {conversations}"),
+    "written": (
+        ("documents",),
+        """SELECT doc_id AS inference_call_id, CASE WHEN doc_id % 10 < 8 THEN 'org0' ELSE 'org1' END AS org_id, source AS session_id, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' MINUTE * (doc_id * 37 % 600) AS observed_at, text
+        FROM {documents} WHERE doc_id % 2 = 0""",
+    ),
+    "code_pushes": (
+        ("documents",),
+        """SELECT doc_id AS push_id, CASE WHEN doc_id % 10 < 8 THEN 'org0' ELSE 'org1' END AS org_id, concat('repo', cast(doc_id % 3 AS string)) AS repository,
+          TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' MINUTE * (doc_id * 41 % 600 + 30) AS captured_at, cast(floor(doc_id / 6) AS bigint) AS commit_sha, doc_id % 25 AS position
+        FROM {documents}""",
+    ),
+    "sections": (
+        ("documents",),
+        """SELECT concat('repo', cast(doc_id % 3 AS string)) AS repository, cast(floor(doc_id / 6) AS bigint) AS commit_sha,
+          concat('src/f', cast(doc_id AS string), CASE WHEN doc_id % 7 = 0 THEN '.md' ELSE '.py' END) AS file_path, CASE WHEN doc_id % 50 = 1 THEN '  ' ELSE text END AS added
+        FROM {documents} WHERE doc_id % 2 = 1 AND doc_id % 12 <> 1""",
+    ),
+    "noted": (("documents",), "SELECT concat('repo', cast(doc_id % 3 AS string)) AS repository, cast(floor(doc_id / 6) AS bigint) AS commit_sha, source AS session_id FROM {documents} WHERE doc_id % 4 = 1"),
     "parts": (("documents",), "SELECT doc_id, source AS session_id, lang AS role, text FROM {documents}"),
 }
 

@@ -129,8 +129,8 @@ _WORKFLOW = (
     "action string, workflow_run struct<id:bigint,name:string,path:string,workflow_id:bigint,head_branch:string,head_sha:string,run_attempt:bigint,conclusion:string,html_url:string,"
     "pull_requests:array<struct<number:bigint>>>, repository struct<id:bigint,full_name:string>"
 )
-#: The forge's conclusions and the results they stand for.
-CONCLUSIONS = {"success": "passed", "failure": "failed", "startup_failure": "error", "timed_out": "timed_out", "cancelled": "cancelled", "skipped": "skipped", "neutral": "neutral"}
+#: The forge's conclusions and the results they stand for; others are unknown and kept as the provider's result.
+CONCLUSIONS = {"success": "passed", "failure": "failed", "cancelled": "cancelled", "timed_out": "timed_out", "skipped": "skipped", "neutral": "neutral"}
 
 
 def workflow_outcomes(raw: DataFrame, payload: str = "payload", captured_at: str = "captured_at") -> DataFrame:

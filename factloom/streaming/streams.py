@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ci import RUN
 from ..sources.shared import Workspace
 
 
@@ -43,10 +44,10 @@ def _names(facts: DataFrame, aggregates: list[Column]) -> list[str]:
 
 
 def running_verdicts(outcomes: DataFrame) -> DataFrame:
-    """(run_id, verdict, flake): the last passed or failed attempt of each run so far; state is one row for a run, in any order of arrival."""
+    """(run, verdict, flake): the last passed or failed attempt of each run so far; state is one row for a run, in any order of arrival."""
     order = F.struct(F.coalesce("run_attempt", F.lit(0)), "outcome_id")
     verdicts = outcomes.where(F.col("result").isin("passed", "failed"))
-    return verdicts.groupBy("run_id").agg(F.max_by("result", order).alias("verdict"), (F.count_if(F.col("result") == "passed") * F.count_if(F.col("result") == "failed") > 0).alias("flake"))
+    return verdicts.groupBy(*RUN).agg(F.max_by("result", order).alias("verdict"), (F.count_if(F.col("result") == "passed") * F.count_if(F.col("result") == "failed") > 0).alias("flake"))
 
 
 def drained(stream: DataFrame, name: str, mode: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from factloom.functions import stats
@@ -42,14 +43,42 @@ def test_four_grams_handle_astral_characters(spark):
     assert sorted(one(spark, T.four_grams(F.col("t")), t="ab😀cd")) == sorted(["ab😀c", "b😀cd"])
 
 
-@pytest.mark.parametrize("path, code", [("src/a.py", True), ("a/b.tsx", True), ("README.md", False), ("node_modules/a.js", False), ("x.min.js", False)])
+@pytest.mark.parametrize(
+    "path, code",
+    [
+        ("src/a.py", True), ("a/b.tsx", True), ("README.md", False), ("node_modules/a.js", True), ("x.min.js", False), ("main.tf", True), ("x.bash", True), ("App.swift", False), ("a.hpp", False),
+        ("src/clock.py", True), ("src/block/a.py", True), ("package-lock.json", False), ("uv.lock", False), ("src/uv.lock.py", False), ("vendor/a.go", True), ("A.PY", False), ("py", False),
+    ],
+)
 def test_is_code_file(spark, path, code):
     assert one(spark, T.is_code_file(F.col("p")), p=path) is code
 
 
-def test_redaction(spark):
-    out = one(spark, T.redact(F.col("t")), t="Authorization: Bearer abcdefgh12345 and api_key = 'abcdefgh1' and sk-abcdefghijklmnop1")
-    assert out.count("[REDACTED]") == 3 and "abcdefgh" not in out
+M = T.REDACTION_MARKER
+KEY = "abcdefghijklmnop1234"
+
+
+@pytest.mark.parametrize(
+    "text, clean, reason",
+    [
+        (f"Authorization: Bearer {KEY}==", f"Authorization: Bearer {M}", "authorization_header"), (f"say bearer {KEY} now", f"say bearer {M} now", "bearer_token"), ("Bearer shortone", "Bearer shortone", None),
+        (f"use sk-{KEY}.", f"use {M}.", "provider_key"), (f"task-sk-{KEY}", f"task-sk-{KEY}", None), ("token = 'abcdefgh12345678'", "token = 'abcdefgh12345678'", None),
+        (f"OPENAI_API_KEY={KEY}", f"OPENAI_API_KEY={M}", "api_key_assignment"), ("api_key = 'abcdefgh1'", f"api_key = '{M}'", "api_key_assignment"), ("api_key = 'abc'", "api_key = 'abc'", None), ("--api-key: shortvalue", "--api-key: shortvalue", None),
+        ('{"api_key": "a b"}', f'{{"api_key": "{M}"}}', "structured_credential"), ('{"x-api-key": "q\\\"z"}', f'{{"x-api-key": "{M}"}}', "structured_credential"), ("{'my_api_key': 'v'}", f"{{'my_api_key': '{M}'}}", "structured_credential"), ('{"key": "value"}', '{"key": "value"}', None),
+        (f'{{"api_key": "{M}"}}', f'{{"api_key": "{M}"}}', None), ('{"authorization": "cut off', f'{{"authorization": "{M}', "structured_credential"),
+    ],
+)
+def test_redaction(spark, text, clean, reason):
+    df = spark.createDataFrame([(text,)], "t string")
+    got = df.select(T.redact(F.col("t")).alias("x"), *(n.alias(r) for r, n in T.redaction_counts(F.col("t")).items())).first()
+    assert got.x == clean and {r for r, _, _ in T.REDACTIONS if got[r]} == ({reason} if reason else set())
+
+
+def test_known_credentials_reach_whole_lines(spark):
+    df = spark.createDataFrame([([("api_key", "hunter2"), ("Authorization", f"Bearer {KEY}"), ("name", "x"), ("x-api-key", M)], f"a\nhunter2\nmy hunter2\n{KEY}")], "e array<struct<key:string,value:string>>, t string")
+    known = T.known_credentials(F.col("e"))
+    got = df.select(known.alias("k"), T.propagate(F.col("t"), known).alias("t")).first()
+    assert got.k == [KEY, "hunter2"] and got.t == f"a\n{M}\nmy hunter2\n{M}"
 
 
 def test_patch_paths_and_changed_lines(spark):
@@ -74,15 +103,18 @@ def test_closed_forms():
     assert stats.expected_regret(1.0, 0.0) == 1.0 and stats.expected_regret(0.0, 1.0) == pytest.approx(0.398942, abs=1e-5)
 
 
-def outcomes(spark, rows):
+def outcomes(spark, rows, **same):
+    """(run_id, run_attempt, commit_sha, workflow_name, branch, result, captured_at) rows of one repository, or with other columns."""
     full = [(f"o{i}", *r) for i, r in enumerate(rows)]
-    return spark.createDataFrame(full, "outcome_id string, run_id string, run_attempt long, commit_sha string, workflow string, branch string, result string, captured_at long")
+    df = spark.createDataFrame(full, "outcome_id string, run_id string, run_attempt long, commit_sha string, workflow_name string, branch string, result string, captured_at long")
+    common = {"org_id": "o", "provider": "ci", "repository_provider": "f", "repository_host": "h", "repository": "r", "workflow_id": None, "workflow_path": None} | same
+    return df.withColumns({k: v if isinstance(v, Column) else F.lit(v).cast("string") for k, v in common.items()})
 
 
 def test_attempts_decide_and_not_arrival(spark):
     got, declined = ci.resolve(outcomes(spark, [("r", 1, "c", "w", "m", "failed", 20), ("r", 2, "c", "w", "m", "passed", 0)]))
     assert declined.count() == 0
-    assert rows_of(got) == [{"commit_sha": "c", "verdict": "passed", "reliability": 0.0, "workflows": 1, "flakes": 1, "reason": None}]
+    assert rows_of(got) == [{"org_id": "o", "repository": "r", "commit_sha": "c", "verdict": "passed", "reliability": 0.0, "workflows": 1, "flakes": 1, "reason": None}]
 
 
 def test_contradicting_attempts_are_declined(spark):
@@ -90,10 +122,28 @@ def test_contradicting_attempts_are_declined(spark):
     assert [r.reason for r in declined.collect()] == ["attempt_conflict"] and got.first().verdict == "passed"
 
 
+def test_one_run_number_in_two_repositories(spark):
+    second = F.col("outcome_id") == "o1"
+    rows = [("7", 1, "c", "w", "main", "failed", 0), ("7", 1, "c", "w", "dev", "passed", 1)]
+    host, repository = F.when(second, "h2").otherwise("h1"), F.when(second, "r2").otherwise("r1")
+    got, declined = ci.resolve(outcomes(spark, rows, repository_host=host, repository=repository))
+    assert declined.count() == 0 and {r.repository: r.verdict for r in got.collect()} == {"r1": "failed", "r2": "passed"}
+    got, declined = ci.resolve(outcomes(spark, rows, repository_provider=None, repository_host=None))
+    assert [r.reason for r in declined.collect()] == ["branch_conflict"] and got.count() == 0
+
+
+@pytest.mark.parametrize("column", ["workflow_id", "workflow_name", "workflow_path"])
+def test_each_workflow_field_is_checked_alone(spark, column):
+    two, blank = (F.when(F.col("outcome_id") == "o1", x).otherwise("a") for x in ("b", ""))
+    rows = [("7", 1, "c", "w", "m", "failed", 0), ("7", 2, "c", "w", "m", "passed", 1)]
+    assert [r.reason for r in ci.consistent_runs(outcomes(spark, rows).withColumn(column, two)).collect()] == ["workflow_conflict"]
+    assert [r.reason for r in ci.consistent_runs(outcomes(spark, rows).withColumn(column, blank)).collect()] == [None]
+
+
 def test_one_pair_of_the_last_red_and_the_first_green(spark):
     rows = [(str(i), None, f"c{i}", "w", "m", r, i) for i, r in enumerate(["failed", "failed", "passed", "passed"], 1)]
     df = outcomes(spark, rows).withColumn("captured_at", F.timestamp_seconds("captured_at"))
-    assert [(r.red_commit, r.green_commit) for r in ci.red_to_green(df, ["workflow"]).collect()] == [("c2", "c3")]
+    assert [(r.red_commit, r.green_commit) for r in ci.red_to_green(df, ["workflow_name"]).collect()] == [("c2", "c3")]
 
 
 @pytest.mark.parametrize("intervals, want", [([(0, 10), (40, 45)], (45, 15, 30)), ([(0, 20), (5, 15), (30, 40)], (40, 40, 10))])
@@ -115,10 +165,21 @@ def test_quantile_buckets_put_the_remainder_last(spark):
 
 
 def test_rollout_segments(spark):
-    rows = [("s", "a", 1, ["u1"], ["r1"]), ("s", "b", 2, ["u1", "r1", "u2"], ["r2"]), ("s", "c", 3, ["x"], ["r3"]), ("s", "d", 4, ["y", "r3", "u"], ["r4"])]
+    rows = [
+        ("s", "a", 1, ["u1"], ["r1"]), ("s", "b", 2, ["u1", "r1", "u2"], ["r2"]), ("s", "c", 3, ["x"], []), ("s", "d", 4, ["x", "u"], ["r4"]), ("s", "e", 5, ["x", "u", "other"], ["r5"]),
+        ("s", "f", 6, ["x", "u", "other", "r5"], ["r6"]), ("t", "a", 1, [], ["r1"]), ("t", "b", 2, ["r1"], ["r2"]),
+    ]
     df = spark.createDataFrame(rows, "session_id string, id string, at int, input array<string>, output array<string>")
-    got = {r.id: (r.segment, r.reason, r.new_input) for r in sequences.rollouts(df).collect()}
-    assert got == {"a": (1, "first_call", ["u1"]), "b": (1, None, ["u2"]), "c": (2, "shorter_history", ["x"]), "d": (3, "changed_history", ["y", "r3", "u"])}
+    got = {(r.session_id, r.id): (r.segment, r.reason, r.new_input) for r in sequences.rollouts(df).collect()}
+    assert got == {
+        ("s", "a"): (1, None, ["u1"]), ("s", "b"): (1, None, ["r1", "u2"]), ("s", "c"): (2, "input_history_changed", ["x"]), ("s", "d"): (3, "prior_output_absent", ["x", "u"]),
+        ("s", "e"): (4, "prior_output_not_replayed", ["x", "u", "other"]), ("s", "f"): (4, None, ["r5"]), ("t", "a"): (1, None, []), ("t", "b"): (1, None, ["r1"]),
+    }
+
+
+def test_numbering_needs_no_single_task(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v"), "id").repartition(7)
+    assert {(r.v + 1, 1000) for r in df.collect()} == {(r.n, r.m) for r in sequences.numbered(df, ["v", "id"], "n", "m").where("n = v + 1").collect()}
 
 
 def test_benjamini_hochberg(spark):
@@ -186,10 +247,42 @@ def test_packing_tries_every_part(spark):
     assert sorted(tuple(r) for r in pack_parts(df).collect()) == sorted(want)
 
 
+def attributed(spark, calls, sections, noted, pushes=((1, 7200),), commits=((1, "c", 0),)):
+    push = spark.createDataFrame([(p, "o", "r", at) for p, at in pushes], "push_id int, org_id string, repository string, captured_at long").withColumn("captured_at", F.timestamp_seconds("captured_at"))
+    commit = spark.createDataFrame(list(commits), "push_id int, commit_sha string, position int")
+    changed = spark.createDataFrame([("r", *s) for s in sections], "repository string, commit_sha string, file_path string, added string")
+    seen = spark.createDataFrame(list(calls), "inference_call_id int, org_id string, session_id string, observed_at long, text string").withColumn("observed_at", F.timestamp_seconds("observed_at"))
+    notes = spark.createDataFrame([("r", *n) for n in noted], "repository string, commit_sha string, session_id string")
+    files = attribution.claimed_files(push, commit, changed)
+    got = attribution.attribute(files, seen.withColumn("tokens", T.tokens(F.col("text"))), notes)
+    return {(r.commit_sha, r.file_path): (r.push_id, r.inference_call_id, r.source, r.reason) for r in got.collect()}
+
+
 def test_notes_below_their_floor_do_not_compete(spark):
-    files = spark.createDataFrame([(1, ["a", "b", "c", "d"], 7200)], "id int, tokens array<string>, captured_at long").withColumn("captured_at", F.timestamp_seconds("captured_at"))
-    calls = spark.createDataFrame([(10, ["a", "x", "y", "z"], 7000, "noted"), (11, ["a", "b", "c", "d"], 7100, "other"), (12, ["a", "b", "c"], 7000, "other")], "id int, tokens array<string>, observed_at long, session_id string")
-    calls = calls.withColumn("observed_at", F.timestamp_seconds("observed_at"))
-    noted = spark.createDataFrame([(1, "noted")], "id int, session_id string")
-    got = attribution.attribute(files, calls, noted).first()
-    assert (got.right_id, got.source, got.score) == (11, "jaccard", 1.0)
+    calls = [(10, "o", "noted", 7000, "a x y z"), (11, "o", "other", 7100, "a b c d"), (12, "o", "other", 7000, "a b c")]
+    assert attributed(spark, calls, [("c", "f.py", "a b c d")], [("c", "noted")]) == {("c", "f.py"): (1, 11, "jaccard", None)}
+    calls[0] = (10, "o", "noted", 7000, "a b y z")
+    assert attributed(spark, calls, [("c", "f.py", "a b c d")], [("c", "noted")]) == {("c", "f.py"): (1, 10, "git_notes", None)}
+
+
+def test_windows_are_inclusive_and_ties_go_to_the_earliest_call(spark):
+    text, end = "a b c d", 7200
+    at = lambda *times: [(i, "o", "s", t, text) for i, t in enumerate(times, 1)]
+    found = lambda calls, noted=(): attributed(spark, calls, [("c", "f.py", text)], noted)["c", "f.py"]
+    assert found(at(end - 3600)) == (1, 1, "jaccard", None) and found(at(end - 3601)) == (1, None, None, "no_match")
+    assert found(at(end + 600)) == (1, 1, "jaccard", None) and found(at(end + 601)) == (1, None, None, "no_match")
+    assert found(at(end - 3601), [("c", "s")]) == (1, 1, "git_notes", None) and found(at(100, 50, 50), [("c", "s")]) == (1, 2, "git_notes", None)
+    assert found([(1, "p", "s", end, text)], [("c", "s")]) == (1, None, None, "no_match")
+
+
+def test_the_first_push_claims_a_commit(spark):
+    calls = [(1, "o", "s", 7000, "a b c d")]
+    pushes, commits = [(1, 7200), (2, 7100), (3, 7100)], [(1, "c", 0), (2, "c", 3), (3, "c", 0), (2, "old", 20), (1, "docs", 1), (1, "gone", 2)]
+    sections = [("c", "f.py", "a b c d"), ("c", "g.md", "a b c d"), ("docs", "x.md", "text"), ("docs", "y.py", " \n ")]
+    assert attributed(spark, calls, sections, [], pushes, commits) == {("c", "f.py"): (2, 1, "jaccard", None), ("docs", None): (1, None, None, "no_code_diff"), ("gone", None): (1, None, None, "commit_diff_unavailable")}
+
+
+def test_similar_counts_have_no_row_for_a_pair_of_copies(spark):
+    rows = [(i, "m", ["a", "b", "c", "d"]) for i in range(50)] + [(99, "m", ["a", "b", "c", "d", "e"]), (100, "m", ["z"])]
+    got = attribution.similar_counts(spark.createDataFrame(rows, "id int, g string, tokens array<string>"), ["g"], 0.8).first()
+    assert (got.texts, got.pairs) == (52, 50 * 49 // 2 + 50) and [tuple(e) for e in got.examples] == [(0, 49), (0, 99)]

@@ -3,7 +3,6 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.functions import simulate
 from factloom.operators.attachment import retry_links
 from factloom.sources import rows_out, transcripts
 
@@ -37,11 +36,3 @@ def test_adapters(spark):
     task = spark.createDataFrame([("a/b", "f" * 40, "0" * 40, "d", "p", "passed"), ("a/b", "e" * 40, "0" * 40, "d", "p", "failed")], "repo string, commit_sha string, base_sha string, diff string, prompt string, verdict string")
     assert [r.instance_id for r in rows_out.task_consumer(task).collect()] == ["a__b__" + "f" * 12]
     assert rows_out.relation_faults(task, task.limit(1)).count() == 1 and len(task.select(rows_out.digest("repo").alias("d")).first().d) == 64
-
-
-def test_simulations():
-    assert simulate.beats((90, 100), (50, 100)) > 0.999 and abs(simulate.beats((50, 100), (50, 100)) - 0.5) < 0.02
-    low, high = simulate.bootstrap_proportion(8, 10)
-    assert low < 0.8 < high and simulate.bootstrap_proportion(0, 0) == (0.0, 0.0)
-    assert simulate.bootstrap_median_difference([3, 4, 5], [1, 2, 3])[0] == 2
-    assert 0.75 < simulate.power(0.5, 0.6, 388) < 0.85
