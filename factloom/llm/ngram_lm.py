@@ -1,15 +1,18 @@
 """Operator 1: an interpolated modified Kneser-Ney n-gram model, counted in Spark and scored from memory-mapped arrays.
 
-Counting: tasks count n-grams of token ids of their texts; Spark adds them up by key range; the task that has a range
-writes it as a sorted hash array (see ``hash_arrays``). A token's id is its rank in the vocabulary array. Lower orders
-count the distinct n-grams that end in a shorter one; contexts hold the total and the numbers of continuations seen once,
-twice and oftener. Discounts come from the counts of counts. Scoring: tasks map the arrays and look up the sorted distinct
-n-grams of a slice of texts. The driver sees file lists and a few sums. The query has the scores of the model of order 3
-(``score_3``, ``perplexity_3``) and of order 2 (``score``, ``perplexity``), which are made of one count of the texts.
+Counting: tasks count n-grams of token ids of their texts and hand them on in packed blocks, dealt by the hash of an n-gram's context. The
+task that has a shard adds it up and writes two sorted hash arrays (see ``gram_arrays``): counts of n-grams; and of contexts, with their total
+and the numbers of continuations seen once, twice and oftener. What it hands on is the next lower order: the distinct n-grams that end
+in a shorter one. A token's id is its rank in the vocabulary array. Discounts come from the counts of counts. One job makes all orders.
+N-grams of a context whose words are all so frequent that it could fill a shard are dealt by their own hash, and the sums of these contexts
+are added up once more, over all shards.
+
+Scoring: tasks map the arrays and look up the n-grams of a slice of texts. The driver sees file lists, a few sums and the ids of the
+words that could fill a shard (fewer than shards). Counts are exact, of 64 bits.
 
 Tokens are white-space words, A-Z lower-cased, and one end for each text; null text is the empty text (an end alone).
 A null key counts as not held out. Repeated rows count each time. Without training rows every token has probability
-1/(V+1) = 1. Counts of n-grams above 2^32-1 are kept as that; those of tokens and contexts are exact.
+1/(V+1) = 1. Only the text column is read, whatever the names of the others; columns that are added get free names.
 """
 
 from __future__ import annotations
@@ -22,14 +25,20 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hash_arrays
+from . import gram_arrays, hash_arrays
 from .common import Workspace, fresh_name, small_batches, table
-from .hash_arrays import HashArrays, xxhash64
-from .words import Words, slices
+from .gram_arrays import GramFile, hashed, packed, unpacked
+from .hash_arrays import HashArrays
+from .words import Words, mix, slices
 
+ORDER = 3
 END = np.uint64(xxhash.xxh3_64_intdigest("\n"))  # no word holds white space
 BUFFER = 1 << 21  # n-grams that a task counts before it hands them on
-_ROWS, _TEXT_ROWS = 200_000, 2000  # of number columns or texts that a task has at once while counting
+SHARD = 1 << 22  # tokens of the training texts for each shard
+PARTITIONS = 1 << 14  # more shards than this share partitions, and a task takes its shards one by one
+_TEXT_ROWS, _NUMBER_ROWS, _BLOCK_ROWS = 2000, 200_000, 64
+_BLOCK, _FILE, _SUMS, _HOT = range(4)  # kinds of rows between the levels
+_ROWS = "shard long, kind int, level int, data binary"
 
 
 def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -45,7 +54,8 @@ def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def merged() -> pa.RecordBatch:
         keys, at = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
-        counts = np.bincount(at, np.concatenate([c for _, c in held])).astype(np.int64)
+        counts = np.zeros(len(keys), np.int64)
+        np.add.at(counts, at, np.concatenate([c for _, c in held]))
         return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["key", "c"])
 
     for part in slices(batches, 0):
@@ -71,66 +81,174 @@ def _histories(codes: np.ndarray, offsets: np.ndarray, order: int, begin: int) -
     return columns
 
 
-def _counted(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    """(columns of the distinct rows, their counts)."""
-    bits = max(int(c.max(initial=0)) for c in columns).bit_length()
-    if bits * len(columns) <= 63 and min(c.min(initial=0) for c in columns) >= 0:
-        packed = columns[0]
-        for c in columns[1:]:
-            packed = packed << bits | c
-        packed, counts = np.unique(packed, return_counts=True)
-        return [packed >> bits * k & (1 << bits) - 1 for k in range(len(columns) - 1, -1, -1)], counts
-    order = np.lexsort(columns[::-1])
-    columns = [c[order] for c in columns]
-    new = np.ones(len(order), bool)
-    new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+def _summed(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """(distinct rows, their counts). Rows are told by their 64-bit hash."""
+    key = hashed(columns)[-1]
+    order = np.argsort(key)
+    key = key[order]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
     at = np.flatnonzero(new)
-    return [c[at] for c in columns], np.diff(np.append(at, len(order)))
+    return [c[order[at]] for c in columns], np.add.reduceat(counts[order], at) if len(at) else counts[:0]
+
+
+class Shards:
+    """Which shard has an n-gram, for the number of bits of a shard's name and the ids of words that could fill one."""
+
+    def __init__(self, bits: int, frequent: np.ndarray):
+        self.bits, self.frequent = bits, frequent
+
+    def of(self, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(key, context's key, whether the context is hot) of n-grams."""
+        keys = hashed(columns)
+        hot = np.ones(len(columns[0]), bool)
+        for c in columns[:-1]:
+            hot &= np.isin(c, self.frequent)
+        return keys[-1], keys[-2], hot
+
+    def place(self, key: np.ndarray) -> np.ndarray:
+        return (key >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(key), np.int64)
+
+    def blocks(self, columns: list[np.ndarray], counts: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        """The rows in a packed block for each shard that has some."""
+        if len(columns) == 1:
+            shard = self.place(mix(columns[0], 1))
+        else:
+            key, context, hot = self.of(columns)
+            shard = self.place(np.where(hot, key, context))
+        order = np.argsort(shard, kind="stable")
+        shard = shard[order]
+        cuts = np.flatnonzero(np.diff(shard, prepend=-1, append=-1)) if len(shard) else np.zeros(1, np.int64)
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            own = order[a:b]
+            yield int(shard[a]), packed([*(c[own] for c in columns), counts[own]])
+
+
+def _rows(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+    shard, kind, level, data = zip(*rows, strict=True) if rows else ((), (), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(kind, pa.int32()), pa.array(level, pa.int32()), pa.array(data, pa.binary())], names=["shard", "kind", "level", "data"])
+
+
+def _reduced(shards: Shards, level: int, folder: str):
+    """A task that adds up its shards of n-grams, writes their arrays and hands on the next lower order and all rows that are no blocks."""
+
+    def finish(shard: int, blocks: list[bytes]) -> Iterator[pa.RecordBatch]:
+        parts = [unpacked(b) for b in blocks]
+        columns, counts = _summed([np.concatenate([p[k] for p in parts]) for k in range(level)], np.concatenate([p[level] for p in parts]))
+        n = [int((counts == k).sum()) for k in (1, 2, 3, 4)]
+        rows = [(shard, _SUMS, level, np.array([*n, int(counts.sum()), int((counts > 2).sum())], "<u8").tobytes())]
+        path = gram_arrays.new_path(folder)
+        if level == 1:
+            gram_arrays.write(f"{path}.grams", mix(columns[0], 1), [counts], shards.bits)
+            rows.append((shard, _FILE, level, f"{path}.grams".encode()))
+        else:
+            key, context, hot = shards.of(columns)
+            gram_arrays.write(f"{path}.grams", key, [counts], 0)
+            rows.append((shard, _FILE, level, f"{path}.grams".encode()))
+            order = np.argsort(context)
+            new = np.flatnonzero(np.diff(context[order], prepend=context[order[0]] ^ np.uint64(1)))
+            sums = [np.add.reduceat(x[order].astype(np.uint64), new) for x in (counts, counts == 1, counts == 2, counts > 2)]
+            keys, hot = context[order][new], hot[order][new]
+            gram_arrays.write(f"{path}.contexts", keys[~hot], [s[~hot] for s in sums], shards.bits)
+            rows.append((shard, _FILE, -level, f"{path}.contexts".encode()))
+            if hot.any():
+                rows.append((shard, _HOT, level, packed([keys[hot], *(s[hot] for s in sums)])))
+            lower, seen = _summed(columns[1:], np.ones(len(counts), np.uint64))
+            yield _rows(rows)
+            rows = []
+            for own, block in shards.blocks(lower, seen):
+                yield _rows([(own, _BLOCK, level - 1, block)])
+        if rows:
+            yield _rows(rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = -1, []
+        for batch in batches:
+            for shard, kind, at, data in zip(*(batch[c].to_pylist() for c in ("shard", "kind", "level", "data")), strict=True):
+                if kind != _BLOCK:
+                    yield _rows([(shard, kind, at, data)])
+                    continue
+                if shard != now and held:
+                    yield from finish(now, held)
+                    held = []
+                now = shard
+                held.append(data)
+        if held:
+            yield from finish(now, held)
+
+    return run
+
+
+_CONTEXT = ["total", "n1", "n2", "n3"]
+
+
+def _hot_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for level, data in zip(batch["level"].to_pylist(), batch["data"].to_pylist(), strict=True):
+            columns = [pa.array(c.view(np.int64)) for c in unpacked(data)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), level, np.int32)), *columns], names=["level", "key", *_CONTEXT])
 
 
 class Model:
     """Where the arrays of a trained model are, and its few numbers. Picklable."""
 
     def __init__(self, order: int):
-        self.order = order
-        self.files: dict[str, list] = {}
+        self.order, self.bits = order, 0
+        self.vocabulary: list[tuple] = []
+        self.files: dict[int, dict[int, str]] = {}  # level, negative for contexts -> shard -> file
         self.discounts: dict[int, tuple[float, float, float]] = {}
         self.train_tokens = self.words = self.continuations = 0
         self.rest = 1.0  # weight of the uniform distribution under the unigrams
-        self.below: Model | None = None  # the model of the next lower order, if asked for
-        self._open: dict[str, HashArrays] = {}
+        self.frequent = np.zeros(0, np.uint64)
+        self.hot: dict[int, list[tuple]] = {}  # level -> arrays of hot contexts
+        self._open: dict = {}
 
     def __getstate__(self):
         return self.__dict__ | {"_open": {}}
 
-    def arrays(self, name: str) -> HashArrays:
-        if name not in self._open:
-            grams = name.startswith("grams")
-            self._open[name] = HashArrays(self.files[name], 4 if name.startswith("contexts") else 1, "<u4" if grams else "<u8")
-        return self._open[name]
+    def ids(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(id or -1, count) of words by their hashes."""
+        if "vocabulary" not in self._open:
+            self._open["vocabulary"] = HashArrays(self.vocabulary, 1)
+        ids, counts = self._open["vocabulary"].find(hashes.view(np.int64))
+        return ids, counts[:, 0]
+
+    def find(self, level: int, keys: np.ndarray, shard: np.ndarray, width: int) -> np.ndarray:
+        """Values of keys in the arrays of a level, each in the file of its shard."""
+        out = np.zeros((len(keys), width), np.uint64)
+        order = np.argsort(shard, kind="stable")
+        cuts = np.searchsorted(shard[order], np.arange((1 << self.bits) + 1))
+        for s, path in self.files.get(level, {}).items():
+            own = order[cuts[s] : cuts[s + 1]]
+            if len(own):
+                if path not in self._open:
+                    self._open[path] = GramFile(path, self.bits if level < 2 else 0)
+                out[own] = self._open[path].find(keys[own])
+        return out
 
     def _discount(self, level: int, counts: np.ndarray) -> np.ndarray:
-        return np.array([0.0, *self.discounts[level]])[np.minimum(counts, 3)]
-
-    def _continuation(self, level: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(total, weight left for the lower order) of each context; total 0 if it never came up."""
-        total, *seen = self.arrays(f"contexts{level}").find(keys)[1].astype(np.float64).T
-        return total, sum(d * n for d, n in zip(self.discounts[level], seen, strict=True)) / np.maximum(total, 1)
-
-    def probabilities(self, ids: np.ndarray, columns: list[np.ndarray]) -> np.ndarray:
-        """P(last | others) of n-grams of codes into ``ids``; id -1 stands for an unknown token."""
-        counts = self.arrays("grams1").find(xxhash64([ids]))[1][:, 0].astype(np.int64)
-        p = np.full(len(ids), self.rest / (self.words + 1))
+        return np.array([0.0, *self.discounts[level]])[np.minimum(counts, 3).astype(np.int64)]
+
+    def probabilities(self, columns: list[np.ndarray]) -> np.ndarray:
+        """P(last | others) of n-grams of ids; id -1 stands for an unknown token."""
+        columns = [c.astype(np.uint64) for c in columns]
+        shards = Shards(self.bits, self.frequent)
+        key = mix(columns[-1], 1)
+        counts = self.find(1, key, shards.place(key), 1)[:, 0]
+        p = np.full(len(key), self.rest / (self.words + 1))
         if self.continuations:
             p += np.maximum(counts - self._discount(1, counts), 0) / self.continuations
-        p = p[columns[-1]]
         for level in range(2, self.order + 1):
-            own = columns[-level:]
-            if level == 2:
-                total, rest = (x[own[0]] for x in self._continuation(2, xxhash64([ids])))
-            else:
-                total, rest = self._continuation(level, xxhash64([ids[c] for c in own[:-1]]))
-            counts = self.arrays(f"grams{level}").find(xxhash64([ids[c] for c in own]))[1][:, 0].astype(np.int64)
+            key, context, hot = shards.of(columns[-level:])
+            sums = self.find(-level, context, shards.place(context), 4)
+            own = np.flatnonzero(hot)
+            if len(own):
+                if ("hot", level) not in self._open:
+                    self._open["hot", level] = HashArrays(self.hot[level], 4)
+                sums[own] = self._open["hot", level].find(context[own].view(np.int64))[1]
+            counts = self.find(level, key, shards.place(np.where(hot, key, context)), 1)[:, 0]
+            total = sums[:, 0].astype(np.float64)
+            rest = sum(d * n.astype(np.float64) for d, n in zip(self.discounts[level], sums.T[1:], strict=True)) / np.maximum(total, 1)
             p = np.where(total > 0, np.maximum(counts - self._discount(level, counts), 0) / np.maximum(total, 1) + rest * p, p)
         return p
 
@@ -145,89 +263,75 @@ def _discounts(n: list[int]) -> tuple[float, float, float]:
     return 0.5, 1.0, 1.5
 
 
-def train(docs: DataFrame, text: str = "text", order: int = 2, below: bool = False) -> Model:
-    """Count docs and write the model's arrays to the shared folder; ``below`` (order 3 or more) makes the model of the next lower order too."""
+def train(docs: DataFrame, text: str = "text", order: int = ORDER) -> Model:
+    """Count docs and write the model's arrays to the shared folder."""
     spark = docs.sparkSession
     space, model = Workspace(spark, "lm"), Model(order)
     rows_at_once = lambda n: spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(n))
     texts = docs.select(F.col(text).alias("text"))
-    listing = lambda df: [tuple(r) for r in df.where("file is not null").select("file", "low", "high", "n").collect()]  # noqa: E731  a row for a file
 
     small_batches(spark)
     counted = hash_arrays.dealt(texts.mapInArrow(_unigrams, "key long, c long"), F.col("key")).groupBy("shard", "key").agg(F.sum("c").alias("c"))
-    space.save(counted.select("shard", "key", "c"), "unigrams")
-    rows_at_once(_ROWS)
-    unigrams = space.save(hash_arrays.write(hash_arrays.dealt(spark.read.parquet(space.path("unigrams")), F.col("key")), space.path("vocabulary"), "key", ["c"]), "vocabulary_files")
-    model.files["vocabulary"] = listing(unigrams)
-    total = spark.read.parquet(space.path("unigrams")).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    space.drop("unigrams")
+    unigrams = space.save(counted.select("shard", "key", "c"), "unigrams")
+    rows_at_once(_NUMBER_ROWS)
+    files = space.save(hash_arrays.write(hash_arrays.dealt(unigrams, F.col("key")), space.path("vocabulary"), "key", ["c"]), "vocabulary_files")
+    model.vocabulary = [tuple(r) for r in files.select("file", "low", "high", "n").collect()]
+    total = unigrams.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     model.train_tokens, model.words = total.n, total.v
+    model.bits = bits = max(hash_arrays.bits_for(int(spark.conf.get("spark.sql.shuffle.partitions"))), max(total.n // SHARD, 1).bit_length())
+    many = unigrams.where(F.col("c") > max(total.n >> bits, 1)).select("key").collect()  # fewer words than shards
+    ids = model.ids(np.array([r.key for r in many], np.int64).view(np.uint64))[0]
+    model.frequent = np.append(ids[ids >= 0], model.words).astype(np.uint64)  # the last stands before the first word of a text
+    space.drop("unigrams")
 
-    vocabulary_files, begin = model.files["vocabulary"], model.words
-    columns = [f"t{i}" for i in range(1, order + 1)]
+    vocabulary, begin, shards = model.vocabulary, model.words, Shards(bits, model.frequent)
 
     def ngrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = HashArrays(vocabulary_files, 1)
+        known = HashArrays(vocabulary, 1)
         held: list[list[np.ndarray]] = []
         n = 0
 
-        def merged() -> pa.RecordBatch:
-            own, counts = _counted([np.concatenate(c) for c in zip(*held, strict=True)])
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (*own, counts.astype(np.int64))], names=[*columns, "c"])
+        def merged() -> Iterator[pa.RecordBatch]:
+            columns = [np.concatenate(c).astype(np.uint64) for c in zip(*held, strict=True)]
+            for shard, block in shards.blocks(*_summed(columns, np.ones(len(columns[0]), np.uint64))):
+                yield _rows([(shard, _BLOCK, order, block)])
 
         for part in slices(batches, 0):
             hashes, codes, offsets = _words(part[0])
-            ids = vocabulary.find(hashes.view(np.int64))[0][codes]
-            held.append(_histories(ids, offsets, order, begin))
-            n += len(ids)
+            held.append(_histories(known.find(hashes.view(np.int64))[0][codes], offsets, order, begin))
+            n += len(codes)
             if n >= BUFFER:
-                yield merged()
+                yield from merged()
                 held, n = [], 0
         if held:
-            yield merged()
-
-    def add(own_model: Model, grams: DataFrame, level: int, tag: str = "") -> DataFrame:
-        """Write a level's arrays; the n-grams with their counts are left in ``counts{level}{tag}``."""
-        own = columns[-level:]
-        summed = hash_arrays.dealt(grams, F.xxhash64(*own)).groupBy("shard", *own).agg(F.sum("c").alias("c")).select(F.xxhash64(*own).alias("key"), *own, "c")
-        written = hash_arrays.write(summed, space.path(f"grams{level}{tag}"), "key", ["c"], "<u4", keep=[*own, "c"])
-        if level == order:
-            rows_at_once(_TEXT_ROWS)
-        # the rows are written once more for the sums below; a null file marks them
-        written.write.option("compression", "zstd").parquet(space.path(f"counts{level}{tag}"))
-        rows_at_once(_ROWS)
-        counts = spark.read.parquet(space.path(f"counts{level}{tag}"))
-        own_model.files[f"grams{level}"] = listing(counts)
-        counts = counts.where("file is null").select(*own, "c")
-        of = counts.agg(*(F.count_if(F.col("c") == k) for k in (1, 2, 3, 4)), F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 2)).first()
-        own_model.discounts[level] = d = _discounts(list(of[:4]))
-        if level == 1:
-            own_model.continuations = of[4]
-            own_model.rest = (d[0] * of[0] + d[1] * of[1] + d[2] * of[5]) / of[4] if of[4] else 1.0
-        else:
-            sums = [F.sum("c").alias("total"), *(F.count_if(test).cast("long").alias(f"n{k}") for k, test in ((1, F.col("c") == 1), (2, F.col("c") == 2), (3, F.col("c") > 2)))]
-            contexts = hash_arrays.dealt(counts.groupBy(*own[:-1]).agg(*sums).withColumn("key", F.xxhash64(*own[:-1])), F.col("key"))
-            files = hash_arrays.write(contexts, space.path(f"contexts{level}{tag}"), "key", ["total", "n1", "n2", "n3"])
-            own_model.files[f"contexts{level}"] = listing(space.save(files, f"contexts{level}{tag}_files"))
-        return counts
+            yield from merged()
 
-    grams = texts.mapInArrow(ngrams, ", ".join(f"{c} long" for c in [*columns, "c"]))
+    partitions = min(1 << bits, PARTITIONS)
+    part = F.shiftright("shard", bits - (partitions.bit_length() - 1)).cast("int")
+    rows_at_once(_TEXT_ROWS if partitions == 1 << bits else _BLOCK_ROWS)
+    rows = texts.mapInArrow(ngrams, _ROWS)
     for level in range(order, 0, -1):
-        counts = add(model, grams, level)
-        if level < order:
-            space.drop(f"counts{level + 1}")
-        if level == order and below:
-            model.below = Model(order - 1)
-            add(model.below, counts.groupBy(*columns[1:]).agg(F.sum("c").alias("c")), order - 1, "_below")
-            space.drop(f"counts{order - 1}_below")
-        if level > 1:
-            grams = counts.groupBy(*columns[-level + 1 :]).agg(F.count("*").alias("c"))
-    space.drop("counts1")
-    if below:  # what is under the highest level counts distinct n-grams and is the same in both
-        low = model.below
-        low.files, low.discounts = model.files | low.files, model.discounts | low.discounts
-        low.files = {k: v for k, v in low.files.items() if k not in (f"grams{order}", f"contexts{order}")}
-        low.train_tokens, low.words, low.continuations, low.rest = model.train_tokens, model.words, model.continuations, model.rest
+        rows = rows.repartitionById(partitions, part).sortWithinPartitions("shard").mapInArrow(_reduced(shards, level, hash_arrays.local(space.path("grams"))), _ROWS)
+    lists = space.save(rows, "lists")
+    rows_at_once(_NUMBER_ROWS)
+    hot = lists.where(F.col("kind") == _HOT).mapInArrow(_hot_sums, "level int, key long, total long, n1 long, n2 long, n3 long").groupBy("level", "key").agg(*(F.sum(c).alias(c) for c in _CONTEXT))
+    hot = space.save(hot, "hot")
+    for level in range(2, order + 1):
+        own = hash_arrays.dealt(hot.where(F.col("level") == level), F.col("key"))
+        written = space.save(hash_arrays.write(own, space.path(f"hot{level}"), "key", _CONTEXT), f"hot{level}_files")
+        model.hot[level] = [tuple(r) for r in written.select("file", "low", "high", "n").collect()]
+    sums: dict[int, np.ndarray] = {}
+    for r in lists.where(F.col("kind") != _HOT).collect():  # a few rows for a shard
+        if r.kind == _FILE:
+            model.files.setdefault(r.level, {})[r.shard] = bytes(r.data).decode()
+        elif r.kind == _SUMS:
+            sums[r.level] = sums.get(r.level, 0) + np.frombuffer(r.data, "<u8")
+    for level in range(1, order + 1):
+        of = sums.get(level, np.zeros(6, np.uint64)).tolist()
+        model.discounts[level] = d = _discounts(of[:4])
+        if level == 1:
+            model.continuations = of[4]
+            model.rest = (d[0] * of[0] + d[1] * of[1] + d[2] * of[5]) / of[4] if of[4] else 1.0
     small_batches(spark)
     return model
 
@@ -243,15 +347,17 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     schema, at = docs.select("*", *(F.lit(0).cast(t).alias(names[k]) for k, t in kinds.items())).schema, docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tag = str(model.files)
-        own = _MODELS.setdefault(tag, model)
+        tag = str(model.vocabulary) + str(model.files)
+        if tag not in _MODELS:  # a worker maps one model at a time
+            _MODELS.clear()
+            _MODELS[tag] = model
+        own = _MODELS[tag]
         floor = model.train_tokens + model.words + 1
         for part in slices(batches, at):
             hashes, codes, offsets = _words(part[at])
-            ids, counts = own.arrays("vocabulary").find(hashes.view(np.int64))
-            counts = counts[:, 0]
-            columns = _histories(codes, offsets, model.order, len(ids))
-            logs = np.log10(own.probabilities(np.append(ids, model.words), columns))
+            ids, counts = own.ids(hashes)
+            columns = _histories(ids[codes], offsets, model.order, model.words)
+            logs = np.log10(own.probabilities(columns))
             known, base = (counts > 0)[codes], np.log10((counts + 1.0) / floor)[codes]
             sums = [np.add.reduceat(x, offsets[:-1]) for x in (known.astype(np.int64), base, logs)]
             n = np.diff(offsets)
@@ -264,7 +370,5 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
-    model = train(docs.where(~held), order=3, below=True)
-    scored = score(score(docs.withColumn("held_out", held), model.below), model)
-    own = [F.col("_score").alias("score_3"), F.col("_perplexity").alias("perplexity_3")]
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity", *own)
+    scored = score(docs.withColumn("held_out", held), train(docs.where(~held)))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")

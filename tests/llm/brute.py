@@ -21,49 +21,44 @@ def crc(key) -> int:
     return zlib.crc32(str(key).encode())
 
 
-def language_model(docs):
-    """doc_id -> (n_tokens, n_known, N, base, score) by dictionaries: bigrams, interpolated modified Kneser-Ney."""
+def language_model(docs, order):
+    """doc_id -> (n_tokens, n_known, N, base, score) by dictionaries: interpolated modified Kneser-Ney."""
     end, begin = object(), object()
-    train = [[*words(t), end] for d, t in docs if d is None or crc(d) % 7 != 2]
-    uni = Counter(w for s in train for w in s)
-    n, v = sum(uni.values()), len(uni)
-    bi = Counter(p for s in train for p in zip([begin, *s], s))
-    cont, context = Counter(b for _, b in bi), defaultdict(Counter)
-    for (a, b), c in bi.items():
-        context[a][b] = c
-
-    def discounts(counts):
-        k = Counter(counts)
+    grams = lambda t: list(zip(*([*[begin] * (order - 1), *words(t), end][k:] for k in range(order))))
+    counts = {order: Counter(g for d, t in docs if d is None or crc(d) % 7 != 2 for g in grams(t))}
+    for n in range(order - 1, 0, -1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+    uni = Counter()
+    for g, c in counts[order].items():
+        uni[g[-1]] += c
+    total, v = sum(uni.values()), len(uni)
+    off, totals, rests = {}, {}, {}
+    for n, own in counts.items():
+        k = Counter(own.values())
+        off[n] = [0.0, 0.5, 1.0, 1.5]
         if min(k[i] for i in (1, 2, 3, 4)) > 0:
             y = k[1] / (k[1] + 2 * k[2])
             d = [i - (i + 1) * y * k[i + 1] / k[i] for i in (1, 2, 3)]
             if all(0 < x < i for i, x in enumerate(d, 1)):
-                return d
-        return [0.5, 1.0, 1.5]
-
-    d2, d1 = discounts(bi.values()), discounts(cont.values())
-    total = sum(cont.values())
-    rest = sum(d1[min(c, 3) - 1] for c in cont.values()) / total if total else 1.0
-
-    def p1(w):
-        c = cont.get(w, 0)
-        return (max(c - (d1[min(c, 3) - 1] if c else 0), 0) / total if total else 0) + rest / (v + 1)
-
-    def p2(a, w):
-        if a not in context:
-            return p1(w)
-        own, c = context[a], context[a].get(w, 0)
-        s = sum(own.values())
-        return (c - d2[min(c, 3) - 1] if c else 0) / s + sum(d2[min(x, 3) - 1] for x in own.values()) / s * p1(w)
-
-    out = {}
-    for d, t in docs:
-        s = [*words(t), end]
-        out[d] = (
-            len(s), sum(w in uni for w in s), n, sum(math.log10((uni.get(w, 0) + 1) / (n + v + 1)) for w in s),
-            sum(math.log10(p2(a, w)) for a, w in zip([begin, *s], s)),
-        )
-    return out
+                off[n] = [0.0, *d]
+        totals[n], rests[n] = Counter(), Counter()
+        for g, c in own.items():
+            totals[n][g[:-1]] += c
+            rests[n][g[:-1]] += off[n][min(c, 3)]
+
+    def p(g):
+        if not g:
+            return 1 / (v + 1)
+        n, lower = len(g), p(g[1:])
+        if not totals[n][g[:-1]]:
+            return lower
+        c = counts[n].get(g, 0)
+        return (max(c - off[n][min(c, 3)], 0) + rests[n][g[:-1]] * lower) / totals[n][g[:-1]]
+
+    return {
+        d: (len(w), sum(uni[x] > 0 for x in w), total, sum(math.log10((uni[x] + 1) / (total + v + 1)) for x in w), sum(math.log10(p(g)) for g in grams(t)))
+        for d, t in docs for w in [[*words(t), end]]
+    }
 
 
 def licences(text):

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, decontaminate, html_text, license_scan, minhash, ngram_lm, secret_scan, token_files, toxicity, vector_dedup
+from factloom.llm import bpe, decontaminate, gram_arrays, html_text, license_scan, minhash, ngram_lm, secret_scan, token_files, toxicity, vector_dedup
 from factloom.llm.common import Workspace
 from factloom.llm.html_text import main_text
 
@@ -58,10 +58,26 @@ def test_trigram_model_sums_to_one(spark):
 
 def ngram_lm_end(spark, model, text):
     """log10 of the end's probability after a text."""
-    ids, _ = model.arrays("vocabulary").find(np.array([ngram_lm.xxhash.xxh3_64_intdigest(w) for w in text.split()] + [int(ngram_lm.END)], np.uint64).view(np.int64))
+    ids, _ = model.ids(np.array([ngram_lm.xxhash.xxh3_64_intdigest(w) for w in text.split()] + [int(ngram_lm.END)], np.uint64))
     history = [model.words, model.words, *ids[:-1].tolist()][-2:]
-    own = np.array([*history, ids[-1]])
-    return float(np.log10(model.probabilities(own, [np.array([0]), np.array([1]), np.array([2])]))[0])
+    return float(np.log10(model.probabilities([np.array([x]) for x in [*history, ids[-1]]]))[0])
+
+
+def test_gram_files(tmp_path):
+    rng = np.random.default_rng(0)
+    for n, skip in ((0, 0), (1, 3), (5000, 0), (70_000, 4)):
+        keys = np.unique(rng.integers(0, 1 << 64, n, np.uint64) >> np.uint64(skip) | np.uint64(5 << (64 - skip) if skip else 0))
+        values = [rng.choice([1, 2, 254, 255, 256, (1 << 40) + 1], len(keys)).astype(np.uint64) for _ in range(2)]
+        gram_arrays.write(f"{tmp_path}/a", keys, values, skip)
+        file = gram_arrays.GramFile(f"{tmp_path}/a", skip)
+        assert (file.find(keys) == np.stack(values, 1)).all() and not file.find(keys ^ np.uint64(1 << 40)).any()
+
+
+def test_packed_blocks():
+    rng = np.random.default_rng(1)
+    for columns in ([[]], [[3, 1, 2]], [[1 << 40, 5, 1 << 62], [0, 7, 9], [2, 2, (1 << 64) - 1]], [rng.integers(0, 1000, 5000).tolist(), rng.integers(0, 1 << 50, 5000).tolist()]):
+        got = gram_arrays.unpacked(gram_arrays.packed([np.array(c, np.uint64) for c in columns]))
+        assert sorted(zip(*(c.tolist() for c in got), strict=True)) == sorted(zip(*columns, strict=True))
 
 
 def test_licences(odd, nothing):

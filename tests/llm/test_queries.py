@@ -14,6 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from factloom.llm import ngram_lm
 from factloom.llm.registry import queries
 from tests.conftest import DATA
 
@@ -40,50 +41,24 @@ def run(spark, name, sf=SF):
 
 
 def test_op1_against_dictionaries(spark, docs):
-    want = brute.language_model(docs)
+    want = brute.language_model(docs, 3)
     got = run(spark, "op1_lm")
     assert len(got) == len(docs)
     for r in got:
         e = want[r.doc_id]
         assert (r.n_tokens, r.n_known, r.train_tokens) == e[:3] and r.held_out == (brute.crc(r.doc_id) % 7 == 2)
         assert math.isclose(r.base_score, e[3], rel_tol=1e-9) and math.isclose(r.score, e[4], rel_tol=1e-7)
+        assert math.isclose(r.perplexity, 10 ** min(-r.score / r.n_tokens, 300), rel_tol=1e-9)
 
 
-def test_op1_scores_trigrams(spark, docs):
-    want = trigram_scores(docs)
-    for r in run(spark, "op1_lm"):
-        assert math.isclose(r.score_3, want[r.doc_id], rel_tol=1e-7) and math.isclose(r.perplexity_3, 10 ** min(-r.score_3 / r.n_tokens, 300), rel_tol=1e-9)
-
-
-def trigram_scores(docs):
-    """doc_id -> log10 probability by dictionaries: trigrams, interpolated modified Kneser-Ney."""
-    end, begin = object(), object()
-    grams = lambda t: list(zip([begin, begin, *(w := brute.words(t))], [begin, *w, end], [*w, end]))
-    counts = {3: Counter(g for d, t in docs if brute.crc(d) % 7 != 2 for g in grams(t))}
-    vocabulary = {g[2] for g in counts[3]}
-    for n in (2, 1):
-        counts[n] = Counter(g[1:] for g in counts[n + 1])
-    off, totals, rests = {}, {}, {}
-    for n, own in counts.items():
-        k = Counter(own.values())
-        y = k[1] / (k[1] + 2 * k[2])
-        off[n] = [0.0, *(i - (i + 1) * y * k[i + 1] / k[i] for i in (1, 2, 3))]
-        assert all(0 < x < i for i, x in enumerate(off[n][1:], 1))
-        totals[n], rests[n] = Counter(), Counter()
-        for g, c in own.items():
-            totals[n][g[:-1]] += c
-            rests[n][g[:-1]] += off[n][min(c, 3)]
-
-    def p(g):
-        if not g:
-            return 1 / (len(vocabulary) + 1)
-        n, lower = len(g), p(g[1:])
-        if not totals[n][g[:-1]]:
-            return lower
-        c = counts[n].get(g, 0)
-        return (c - off[n][min(c, 3)] + rests[n][g[:-1]] * lower) / totals[n][g[:-1]]
-
-    return {d: sum(math.log10(p(g)) for g in grams(t)) for d, t in docs}
+@pytest.mark.parametrize("order", [2, 4])
+def test_models_of_other_orders(spark, docs, order):
+    some = docs[:60]
+    df = spark.createDataFrame(some, "doc_id long, text string")
+    model = ngram_lm.train(df.where("crc32(cast(doc_id as string)) % 7 <> 2"), order=order)
+    want = brute.language_model(some, order)
+    for r in ngram_lm.score(df, model).collect():
+        assert math.isclose(r.score, want[r.doc_id][4], rel_tol=1e-7)
 
 
 def test_op2_against_a_loop(spark, docs):
