@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,6 +56,37 @@ def two_sided_p(z: float) -> float:
     return 2 * (1 - NORMAL.cdf(abs(z)))
 
 
+def two_sided(z: Column) -> Column:
+    """Two-sided p of a z, by the error function: Python in Arrow batches, as Spark has none. For the rows of a report."""
+
+    @F.pandas_udf("double")
+    def p(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if pd.isna(v) else math.erfc(abs(v) / math.sqrt(2))).astype("float64")
+
+    return p(z)
+
+
+def required_trials(p: Column, effect: Column, alpha: float = 0.05, power: float = 0.8) -> Column:
+    """``required_per_arm`` as a Column; null at rates without variance."""
+    z, b = NORMAL.inv_cdf(1 - alpha / 2), NORMAL.inv_cdf(power)
+    q = p + effect
+    mean = (p + q) / 2
+    top = z * F.sqrt(2 * mean * (1 - mean)) + b * F.sqrt(p * (1 - p) + q * (1 - q))
+    fit = (p > 0) & (p < 1) & (q > 0) & (q < 1) & (effect != 0)
+    return F.when(fit, F.ceil(top * top / (effect * effect)))
+
+
+def detectable_effect(p: Column, n: Column, alpha: float = 0.05, power: float = 0.8) -> Column:
+    """``minimum_effect`` as a Column."""
+    z = NORMAL.inv_cdf(1 - alpha / 2) + NORMAL.inv_cdf(power)
+    return F.when((p > 0) & (p < 1) & (n > 0), z * F.sqrt(2 * p * (1 - p) / n))
+
+
+def required_days(trials: Column, per_day: Column) -> Column:
+    """Whole days until each arm has its trials; null without traffic."""
+    return F.when(per_day > 0, F.ceil(trials / per_day))
+
+
 def corpus_floor(margin: float, p: float = 0.5, confidence: float = 0.95) -> int:
     """Labelled cases needed for a proportion p within a margin."""
     z = NORMAL.inv_cdf(0.5 + confidence / 2)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import difflib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,14 +50,19 @@ def gram_counts(df: DataFrame, key: list[str], text: str) -> DataFrame:
 def containment(applied: DataFrame, files: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """(applied_id, file_id, containment): the share of an applied text's 4-grams, with multiplicity, that a file holds.
 
-    ``applied`` (applied_id, applied), ``files`` (file_id, file); ``pairs`` limits the comparison to some (applied_id, file_id). Pairs without a shared
-    gram are left out. Texts under four characters are settled by ``short_containment``.
+    ``applied`` (applied_id, applied), ``files`` (file_id, file); with ``pairs`` only the named (applied_id, file_id) are
+    compared, without it all that share a gram, which are many. Pairs without a shared gram are left out. Texts under four characters are settled by ``short_containment``.
     """
-    a = gram_counts(applied.where(F.char_length("applied") >= 4), ["applied_id"], "applied")
-    f = gram_counts(files.where(F.char_length("file") >= 4), ["file_id"], "file").withColumnRenamed("n", "m")
-    shared = a.join(f, "gram").groupBy("applied_id", "file_id").agg(F.sum(F.least("n", "m")).alias("shared"))
-    if pairs is not None:
-        shared = shared.join(pairs, ["applied_id", "file_id"], "left_semi")
+    applied, files = applied.where(F.char_length("applied") >= 4), files.where(F.char_length("file") >= 4)
+    if pairs is None:
+        a, f = gram_counts(applied, ["applied_id"], "applied"), gram_counts(files, ["file_id"], "file").withColumnRenamed("n", "m")
+        both = a.join(f, "gram")
+    else:  # only the grams of named pairs meet, each pair's under its own key
+        named = pairs.select("applied_id", "file_id").distinct()
+        a = gram_counts(applied.join(named, "applied_id"), ["applied_id", "file_id"], "applied")
+        f = gram_counts(files.join(named, "file_id"), ["applied_id", "file_id"], "file").withColumnRenamed("n", "m")
+        both = a.join(f, ["applied_id", "file_id", "gram"])
+    shared = both.groupBy("applied_id", "file_id").agg(F.sum(F.least("n", "m")).alias("shared"))
     total = applied.select("applied_id", (F.char_length("applied") - 3).alias("total"))
     return shared.join(total, "applied_id").select("applied_id", "file_id", (F.col("shared") / F.col("total")).alias("containment"))
 
@@ -149,11 +157,50 @@ def changed_lines(patch: Column) -> Column:
     return fold
 
 
+def string_leaves(json: Column) -> Column:
+    """The strings of a JSON text, keys left out, objects in the order of their keys; none of a text that is no JSON."""
+    ordered = F.to_json(F.try_parse_json(json))  # a variant's objects are in key order
+    strings = F.regexp_extract_all(ordered, F.lit(r'"(?:[^"\\]|\\.)*+":?'), F.lit(0))
+    values = F.filter(strings, lambda t: ~F.endswith(t, F.lit('":')))
+    return F.coalesce(F.from_json(F.concat(F.lit("["), F.array_join(values, ","), F.lit("]")), "array<string>"), F.array().cast("array<string>"))
+
+
 def scoring_text(messages: Column) -> Column:
-    """Assistant text parts and tool arguments of output messages, in order, joined by newlines; reasoning and empty parts left out."""
-    parts = F.flatten(F.transform(F.filter(messages, lambda m: m["role"] == "assistant"), lambda m: m["parts"]))
-    said = F.transform(parts, lambda p: F.when(p["type"] == "text", p["content"]).when(p["type"] == "tool_call", p["arguments"]))
-    return F.array_join(F.filter(F.array_compact(said), lambda t: F.length(t) > 0), "\n")
+    """Text parts and string leaves of tool arguments of output messages, in order, joined by newlines; reasoning, tool results and empty texts left out."""
+    parts = F.flatten(F.transform(messages, lambda m: m["parts"]))
+    said = F.transform(parts, lambda p: F.when(p["type"] == "text", F.array(p["content"])).when(p["type"] == "tool_call", string_leaves(p["arguments"])).otherwise(F.array().cast("array<string>")))
+    return F.array_join(F.filter(F.flatten(said), lambda t: F.length(t) > 0), "\n")
+
+
+def is_trainable(messages: Column) -> Column:
+    """Whether a trainer can hold messages as they are: no lone surrogate and no number that isn't finite in any text or JSON of their parts."""
+    parts = F.flatten(F.transform(messages, lambda m: m["parts"]))
+    bad = lambda c: F.coalesce(c.rlike(r"\\\\u[dD][89abAB][0-9a-fA-F]{2}(?!\\\\u[dD][c-fC-F])|[\x{D800}-\x{DFFF}]"), F.lit(False))
+    number = lambda c: F.coalesce(c.rlike(r"(?:^|[\[:,\s])-?(?:NaN|Infinity)(?=$|[\],}\s])"), F.lit(False))
+    return ~F.exists(parts, lambda p: bad(p["content"]) | bad(p["arguments"]) | bad(p["result"]) | number(p["arguments"]) | number(p["result"]))
+
+
+def evidence_json(value: Column, most: int) -> Column:
+    """The JSON of a value, null where it has more than ``most`` bytes or a number that isn't finite."""
+    text = F.to_json(value)
+    return F.when((F.octet_length(text) <= most) & ~text.rlike(r'"(?:NaN|-?Infinity)"'), text)
+
+
+def _delta(before: str, after: str) -> tuple[int, int]:
+    matcher = difflib.SequenceMatcher(None, before.splitlines(), after.splitlines(), autojunk=False)
+    changed = [(i2 - i1, j2 - j1) for tag, i1, i2, j1, j2 in matcher.get_opcodes() if tag != "equal"]
+    return sum(j for _, j in changed), sum(i for i, _ in changed)
+
+
+def line_delta(before: Column, after: Column) -> Column:
+    """(added, removed): lines that differ between two texts, by longest matching blocks; null where one text is. Python, in Arrow batches: Spark has no line diff."""
+
+    @F.pandas_udf("added long, removed long")
+    def lines(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        pairs = [(None, None) if x is None or y is None else _delta(x, y) for x, y in zip(a, b, strict=True)]
+        return pd.DataFrame(pairs, columns=["added", "removed"]).astype("Int64")
+
+    return lines(before, after)
 
 
 def aliases(messages: Column, model_call_id: Column) -> Column:

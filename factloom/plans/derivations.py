@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import NORMAL, required_per_arm, two_sided_p
+from ..functions.stats import NORMAL, required_trials, two_sided
 from ..functions.text import containment
+from ..operators.sequences import benjamini_hochberg
 from . import reports
 
-MODELS = 1000  # more groups than this are no report, and their pairs don't go to the driver
-
 
 def merge_retention(edits: DataFrame, blobs: DataFrame, merges: DataFrame) -> DataFrame:
     """(applied_id, path, at_head, at_merge, retained): how much of an applied edit stands in its file at a pull request's head and at its merge.
@@ -43,25 +42,22 @@ def lifecycle(sessions: DataFrame, group: list[str]) -> DataFrame:
 
 
 def compare_models(rates: DataFrame, name: str, alpha: float = 0.05, least: int = 30) -> DataFrame:
-    """(left, right, difference, h, z, p, significant, needed) of each pair of models: two-sided p, Benjamini-Hochberg over pairs with enough trials.
+    """(left, right, difference, h, z, p, significant, needed) of each pair of models of a (name, n, successes) table.
 
-    A report has few models; more than ``MODELS`` are refused.
+    Two-sided p, Benjamini-Hochberg over the pairs with at least ``least`` trials on both sides; ``needed``: trials of each arm that would show the difference.
     """
-    few = rates.limit(MODELS + 1).collect()
-    if len(few) > MODELS:
-        raise ValueError(f"more than {MODELS} groups")
-    n = {r[name]: (r.n, r.successes) for r in few}
-    pairs = [r.asDict() for r in reports.pairwise(rates, name).collect()]
-    for r in pairs:
-        r["p"] = None if r["z"] is None or min(n[r["left"]][0], n[r["right"]][0]) < least else two_sided_p(r["z"])
-        r["needed"] = required_per_arm(n[r["left"]][1] / max(1, n[r["left"]][0]), -r["difference"])
-    tested = sorted((r for r in pairs if r["p"] is not None), key=lambda r: (r["p"], r["left"], r["right"]))
-    last = max((k for k, r in enumerate(tested, 1) if r["p"] <= k / len(tested) * alpha), default=0)
-    for k, r in enumerate(tested, 1):
-        r["significant"] = k <= last
-    rows = [(r["left"], r["right"], r["difference"], r["h"], r["z"], r["p"], r.get("significant"), r["needed"]) for r in pairs]
-    kind = dict(rates.dtypes)[name]
-    return rates.sparkSession.createDataFrame(rows, f"left {kind}, right {kind}, difference double, h double, z double, p double, significant boolean, needed long")
+    pairs = reports.pairwise(rates, name)
+    sides = rates.select(name, "n", "successes")
+    both = pairs.join(sides.toDF("left", "nl", "sl"), "left").join(sides.toDF("right", "nr", "sr"), "right")
+    both = both.withColumn("needed", required_trials(F.col("sl") / F.greatest("nl", F.lit(1)), -F.col("difference"))).withColumn("enough", (F.least("nl", "nr") >= least) & F.col("z").isNotNull())
+    tested = both.where("enough").withColumn("p", two_sided(F.col("z"))).withColumn("key", F.struct("left", "right"))
+    ranked = benjamini_hochberg(tested, "p", "key", alpha).select("left", "right", "p", F.col("rejected").alias("significant"))
+    return both.join(ranked, ["left", "right"], "left").select("left", "right", "difference", "h", "z", "p", "significant", "needed")
+
+
+def non_inferiority(difference: Column, error: Column, margin: float, alpha: float = 0.05) -> Column:
+    """``non_inferior`` as a Column."""
+    return difference - NORMAL.inv_cdf(1 - alpha) * error > -margin
 
 
 def non_inferior(difference: float, error: float, margin: float, alpha: float = 0.05) -> bool:

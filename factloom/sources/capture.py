@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 _TOOL = "array<struct<id:string,type:string,function:struct<name:string,arguments:string>>>"
 _MESSAGE = f"struct<role:string,content:string,tool_calls:{_TOOL}>"
 _GATEWAY = (
-    f"model string, litellm_call_id string, messages array<{_MESSAGE}>, response struct<id:string,choices:array<struct<text:string,finish_reason:string,message:{_MESSAGE}>>,"
-    "usage:struct<prompt_tokens:bigint,completion_tokens:bigint>>, usage struct<prompt_tokens:bigint,completion_tokens:bigint>, prompt_tokens bigint, completion_tokens bigint, "
+    f"model string, litellm_call_id string, messages array<{_MESSAGE}>, response struct<id:string,output_text:string,choices:array<struct<text:string,finish_reason:string,message:{_MESSAGE}>>,"
+    "output:array<struct<type:string,role:string,call_id:string,name:string,arguments:string,content:array<struct<type:string,text:string>>,summary:array<struct<text:string>>>>,usage:struct<prompt_tokens:bigint,completion_tokens:bigint>>, usage struct<prompt_tokens:bigint,completion_tokens:bigint>, prompt_tokens bigint, completion_tokens bigint, "
     "response_time_ms double, response_time double, metadata struct<session_id:string,user_id:string>, end_user string"
 )
 
@@ -30,6 +30,20 @@ def _message(m: Column, finish: Column) -> Column:
     return F.struct(m["role"].alias("role"), finish.alias("finish_reason"), _parts(m).alias("parts"))
 
 
+_NO_PARTS = "array<struct<type:string,content:string,id:string,name:string,arguments:string,result:string>>"
+
+
+def _output_items(items: Column) -> Column:
+    """Parts of a response's output items: texts of messages, reasoning summaries, function calls, in their order."""
+    empty = F.lit(None).cast("string")
+    said = lambda kind, text: F.struct(F.lit(kind).alias("type"), text.alias("content"), empty.alias("id"), empty.alias("name"), empty.alias("arguments"), empty.alias("result"))
+    call = lambda i: F.struct(F.lit("tool_call").alias("type"), empty.alias("content"), i["call_id"].alias("id"), i["name"].alias("name"), i["arguments"].alias("arguments"), empty.alias("result"))
+    texts = lambda kind, parts: F.transform(F.filter(parts, lambda p: F.coalesce(p["text"], F.lit("")) != ""), lambda p: said(kind, p["text"]))
+    none = F.array().cast(_NO_PARTS)
+    each = lambda i: F.coalesce(F.when(i["type"] == "message", texts("text", i["content"])).when(i["type"] == "reasoning", texts("reasoning", i["summary"])).when(i["type"] == "function_call", F.array(call(i))), none)
+    return F.flatten(F.transform(items, each))
+
+
 def session_identity(metadata: Column, identity: Column, header: Column) -> Column:
     """First non-empty of: the metadata's session, a JSON identity's session_id, a trailing session_<uuid> of the identity, a header."""
     trailing = F.regexp_extract(identity, r"session_([0-9a-f]{8}-[0-9a-f-]{27})$", 1)
@@ -37,10 +51,10 @@ def session_identity(metadata: Column, identity: Column, header: Column) -> Colu
     return F.coalesce(*(F.when(F.trim(c) != "", c) for c in found))
 
 
-def gateway_calls(raw: DataFrame, payload: str = "payload", observed_at: str = "observed_at") -> DataFrame:
-    """Inference calls of gateway payloads; a payload without a session gives none.
+def gateway_calls(raw: DataFrame, payload: str = "payload", observed_at: str = "observed_at", header: str | None = None) -> DataFrame:
+    """Inference calls of gateway payloads; a payload without a session gives none. ``header``: a column with the session that the harness sent beside it.
 
-    Output: the first choice's message, else its text. Tokens: usage, else the response's usage, else the top level. Latency: milliseconds, else
+    Output: the first choice's message, else its text, else the response's output items, else its text. Tokens: usage, else the response's usage, else the top level. Latency: milliseconds, else
     seconds times 1000. Key: the gateway's call id, else the response's id.
     """
     p = raw.select("*", F.from_json(payload, _GATEWAY).alias("_p"))
@@ -49,8 +63,13 @@ def gateway_calls(raw: DataFrame, payload: str = "payload", observed_at: str = "
     output = F.when(choice["message"].isNotNull(), F.array(_message(choice["message"], choice["finish_reason"]))).when(
         choice["text"].isNotNull(), F.array(_message(F.struct(F.lit("assistant").alias("role"), choice["text"].alias("content"), F.lit(None).cast(_TOOL).alias("tool_calls")), choice["finish_reason"]))
     )
+    items = F.col("_p.response.output")
+    output = output.when(items.isNotNull(), F.array(F.struct(F.lit("assistant").alias("role"), none.alias("finish_reason"), _output_items(items).alias("parts")))).when(
+        F.col("_p.response.output_text").isNotNull(),
+        F.array(_message(F.struct(F.lit("assistant").alias("role"), F.col("_p.response.output_text").alias("content"), F.lit(None).cast(_TOOL).alias("tool_calls")), none)),
+    )
     tokens = lambda k: F.coalesce(F.col(f"_p.usage.{k}"), F.col(f"_p.response.usage.{k}"), F.col(f"_p.{k}"))
-    session = session_identity(F.col("_p.metadata.session_id"), F.coalesce("_p.metadata.user_id", "_p.end_user"), none)
+    session = session_identity(F.col("_p.metadata.session_id"), F.coalesce("_p.metadata.user_id", "_p.end_user"), F.col(header) if header else none)
     milliseconds = F.coalesce("_p.response_time_ms", F.col("_p.response_time") * 1000)
     out = p.select(
         session.alias("session_id"), F.regexp_replace(F.coalesce("_p.metadata.user_id", "_p.end_user"), r"_?session_[0-9a-f-]{36}$", "").alias("user_id"), F.col("_p.model").alias("model"),
@@ -125,6 +144,53 @@ def otlp_partition(raw: DataFrame, payload: str = "payload") -> DataFrame:
     return counts.join(raw.agg(F.count_if(bad).alias("malformed")))
 
 
+_SIDE_BYTES = 1 << 20  # a larger text of an edit is refused
+
+
+def _edit_records(records: DataFrame, event: str, texts: list[str]) -> DataFrame:
+    """Records of one kind of edit event with its texts (which may be empty); without a session, call, path, agent or event time there is no row."""
+    a = F.col("attributes")
+    own = records.where(F.col("event").endswith(event)).select(
+        F.coalesce(F.nullif(a["session.id"], F.lit("")), a["session_id"]).alias("session_id"), a["agent"].alias("agent_harness"), F.coalesce(a["tool_use_id"], a["call_id"]).alias("call_id"), F.nullif(a["file_path"], F.lit("")).alias("file_path"),
+        *(a[t].alias(t) for t in texts), a["external_lines_added"].cast("long").alias("external_lines_added"), a["external_lines_removed"].cast("long").alias("external_lines_removed"), "occurred_at",
+    )
+    known = F.lit(True)
+    for c in ("session_id", "agent_harness", "call_id", "file_path", "occurred_at", *texts):
+        known &= F.col(c).isNotNull()
+    for t in texts:
+        known &= F.octet_length(t) <= _SIDE_BYTES
+    return own.where(known)
+
+
+def edit_observations(records: DataFrame) -> DataFrame:
+    """Pairs of an applied text and the file as it was found later, with the lines changed outside (null where they aren't counts)."""
+    found = _edit_records(records, "edit_observation", ["applied_text", "observed_file_text"])
+    count = lambda c: F.when(F.col(c) >= 0, F.col(c)).alias(c)
+    return found.select(*(c for c in found.columns if not c.startswith("external")), count("external_lines_added"), count("external_lines_removed"))
+
+
+def rejected_edits(records: DataFrame) -> DataFrame:
+    """Edits that the developer refused, with the text proposed."""
+    return _edit_records(records, "rejected_edit", ["proposed"]).drop("external_lines_added", "external_lines_removed")
+
+
+def retry_linkages(records: DataFrame) -> DataFrame:
+    """(session_id, agent_harness, file_path, tool_name, rejected_call_id, accepted_call_id, occurred_at, reason): linked retries, or why a record is none (the first reason in order)."""
+    a = F.col("attributes")
+    own = records.where(F.col("event").endswith("retry_linkage")).select(
+        F.nullif(F.coalesce(a["session.id"], a["session_id"]), F.lit("")).alias("session_id"), F.nullif(a["agent"], F.lit("")).alias("agent_harness"), F.nullif(a["file_path"], F.lit("")).alias("file_path"), F.nullif(a["tool_name"], F.lit("")).alias("tool_name"),
+        F.nullif(a["rejected_call_id"], F.lit("")).alias("rejected_call_id"), F.nullif(a["accepted_call_id"], F.lit("")).alias("accepted_call_id"), "occurred_at",
+    )
+    reason = F.lit(None).cast("string")
+    for column, name in reversed([("session_id", "missing_session"), ("agent_harness", "missing_agent_harness"), ("file_path", "missing_file_path"), ("tool_name", "missing_tool_name"), ("rejected_call_id", "missing_rejected_call_id"), ("accepted_call_id", "missing_accepted_call_id"), ("occurred_at", "missing_event_time")]):
+        reason = F.when(F.col(column).isNull(), name).otherwise(reason)
+    bad = F.when(~F.col("agent_harness").isin(*HARNESSES), "invalid_agent_harness").when(~F.col("tool_name").isin("Edit", "Write"), "invalid_tool_name")
+    return own.withColumn("reason", F.coalesce(reason, bad))
+
+
+#: The agent harnesses that facts name.
+HARNESSES = ("claude-code", "copilot", "codex", "cursor", "pi")
+
 _WORKFLOW = (
     "action string, workflow_run struct<id:bigint,name:string,path:string,workflow_id:bigint,head_branch:string,head_sha:string,run_attempt:bigint,conclusion:string,html_url:string,"
     "pull_requests:array<struct<number:bigint>>>, repository struct<id:bigint,full_name:string>"
@@ -177,3 +243,69 @@ def diff_sections(diffs: DataFrame, diff: str = "diff") -> DataFrame:
     added = F.array_join(F.transform(F.regexp_extract_all(body, F.lit(r"(?m)^\+(.*)$"), F.lit(1)), lambda x: x), "\n")
     path = F.when(new != "", new).when(old != "", old).otherwise(named)
     return parts.select(*keep, "position", path.alias("path"), "patch", added.alias("added"))
+
+
+_SHA = "^(?:[0-9a-f]{40}|[0-9a-f]{64})$"
+_END = "struct<ref:string,sha:string,repo:struct<id:bigint,full_name:string>>"
+_REQUEST = f"action string, number bigint, before string, after string, repository struct<id:bigint,full_name:string>, pull_request struct<number:bigint,merged:boolean,merged_at:string,merge_commit_sha:string,head:{_END},base:{_END}>"
+
+
+def _boundary(raw: DataFrame, payload: str, captured_at: str) -> DataFrame:
+    """The two ends of pull-request webhooks; ``complete`` tells whether every part of the boundary is there and well formed."""
+    p = raw.select(F.from_json(payload, _REQUEST).alias("p"), captured_at)
+    r = "p.pull_request"
+    sha = lambda c: F.lower(c)
+    out = p.select(
+        F.col("p.action").alias("action"), F.lower("p.repository.full_name").alias("repo"), F.col("p.repository.id").cast("string").alias("repository_id"), F.col(f"{r}.number").alias("pr_number"), F.lower(f"{r}.head.repo.full_name").alias("head_repo"),
+        F.col(f"{r}.head.ref").alias("head_ref"), sha(f"{r}.head.sha").alias("head_sha"), F.col(f"{r}.base.ref").alias("base_ref"), sha(f"{r}.base.sha").alias("base_sha"), sha(f"{r}.merge_commit_sha").alias("merge_commit_sha"),
+        F.col(f"{r}.merged").alias("merged"), F.when(F.col(f"{r}.merged_at").rlike("(?:Z|[+-][0-9]{2}:?[0-9]{2})$"), F.try_to_timestamp(f"{r}.merged_at")).alias("merged_at"), sha("p.before").alias("before"), sha("p.after").alias("after"), captured_at,
+    )
+    named = (F.col("repo") != "") & (F.col("head_repo") != "") & (F.col("pr_number") > 0) & (F.col("head_ref") != "") & (F.col("base_ref") != "")
+    return out.withColumn("complete", F.coalesce(named & F.col("head_sha").rlike(_SHA) & F.col("base_sha").rlike(_SHA), F.lit(False)))
+
+
+def pull_request_merges(raw: DataFrame, payload: str = "payload", captured_at: str = "captured_at") -> DataFrame:
+    """Merges of closed pull requests that were merged; an incomplete boundary, or a moment without a zone, gives none."""
+    ends = _boundary(raw, payload, captured_at).where("action = 'closed' and merged and complete")
+    return ends.where(F.col("merge_commit_sha").rlike(_SHA) & F.col("merged_at").isNotNull()).drop("action", "merged", "before", "after", "complete")
+
+
+def pull_request_revisions(raw: DataFrame, payload: str = "payload", captured_at: str = "captured_at") -> DataFrame:
+    """Heads of opened and synchronized pull requests with ``previous_head_sha``, and ``reason`` where a payload is none: unsupported_action, head_repository_deleted, invalid_boundary, synchronize_head_mismatch."""
+    ends = _boundary(raw, payload, captured_at)
+    pushed = F.col("action") == "synchronize"
+    chain = F.coalesce(F.col("before").rlike(_SHA) & F.col("after").rlike(_SHA), F.lit(False))
+    reason = (
+        F.when(~F.coalesce(F.col("action").isin("opened", "synchronize"), F.lit(False)), "unsupported_action").when(F.col("head_repo").isNull(), "head_repository_deleted")
+        .when(pushed & chain & (F.col("after") != F.col("head_sha")), "synchronize_head_mismatch").when(~F.col("complete") | (pushed & ~chain), "invalid_boundary")
+    )
+    return ends.select("repo", "repository_id", "pr_number", "head_repo", "head_ref", "head_sha", "base_ref", "base_sha", F.when(pushed, F.col("before")).alias("previous_head_sha"), captured_at, reason.alias("reason"))
+
+
+def repository_renames(raw: DataFrame, payload: str = "payload", captured_at: str = "captured_at") -> DataFrame:
+    """(repository_id, old_repo, new_repo, captured_at) of rename webhooks that change the name."""
+    schema = "action string, changes struct<repository:struct<name:struct<`from`:string>>>, repository struct<id:bigint,full_name:string>"
+    p = raw.select(F.from_json(payload, schema).alias("p"), captured_at).where("p.action = 'renamed'")
+    new = F.lower("p.repository.full_name")
+    old = F.concat(F.split_part(new, F.lit("/"), F.lit(1)), F.lit("/"), F.lower(F.col("p.changes.repository.name.from")))
+    return p.select(F.col("p.repository.id").cast("string").alias("repository_id"), old.alias("old_repo"), new.alias("new_repo"), captured_at).where("repository_id is not null and old_repo <> new_repo and new_repo like '%/%'")
+
+
+def vendor_outcomes(raw: DataFrame, payload: str = "payload", captured_at: str = "captured_at") -> DataFrame:
+    """CI outcomes that a pipeline posts itself, with ``reason`` where one is refused: malformed, missing_repo, invalid_commit, partial_identity, unknown_result."""
+    schema = "provider string, run_id string, run_attempt bigint, repo string, repository_provider string, repository_host string, repository_id string, commit_sha string, branch string, result string, workflow_name string, workflow_id string, workflow_path string"
+    p = raw.select(F.from_json(payload, schema).alias("p"), captured_at).select("p.*", captured_at)
+    identity = F.size(F.array_compact(F.array("repository_provider", "repository_host", "repository_id")))
+    reason = (
+        F.when(F.col("run_id").isNull() | F.col("branch").isNull(), "malformed").when(F.coalesce("repo", F.lit("")) == "", "missing_repo").when(~F.coalesce(F.lower("commit_sha").rlike(_SHA), F.lit(False)), "invalid_commit")
+        .when(identity.isin(1, 2), "partial_identity").when(~F.coalesce(F.col("result").isin("passed", "failed", "error", "timed_out", "cancelled", "skipped", "neutral", "unknown"), F.lit(False)), "unknown_result")
+    )
+    return p.withColumns({"repo": F.lower("repo"), "commit_sha": F.lower("commit_sha"), "reason": reason})
+
+
+def compute_allocations(raw: DataFrame, payload: str = "payload", captured_at: str = "captured_at") -> DataFrame:
+    """(session_id, allocation_source, cpu_millicores, memory_bytes, occurred_at, captured_at) of posted allocations; one without a session, a source or a moment gives none, nor does one with a negative size."""
+    schema = "session_id string, allocation_source string, cpu_millicores bigint, memory_bytes bigint, occurred_at string"
+    p = raw.select(F.from_json(payload, schema).alias("p"), captured_at).select("p.session_id", "p.allocation_source", "p.cpu_millicores", "p.memory_bytes", F.try_to_timestamp("p.occurred_at").alias("occurred_at"), captured_at)
+    sized = (F.coalesce("cpu_millicores", F.lit(0)) >= 0) & (F.coalesce("memory_bytes", F.lit(0)) >= 0)
+    return p.where(sized & F.col("session_id").isNotNull() & F.col("allocation_source").isNotNull() & F.col("occurred_at").isNotNull())

@@ -27,10 +27,10 @@ def digest(*columns: Column | str) -> Column:
     return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "true"}), 256)
 
 
-def preference_consumer(pairs: DataFrame) -> DataFrame:
-    """(prompt, chosen, rejected) with messages of the chat schema, from prompt, chosen_text and rejected_text."""
+def preference_consumer(pairs: DataFrame, keep: list[str] = []) -> DataFrame:
+    """(keep, prompt, chosen, rejected) with messages of the chat schema, from prompt, chosen_text and rejected_text."""
     said = lambda c: F.array(F.struct(F.lit("assistant").alias("role"), F.col(c).alias("content")))
-    return pairs.select(F.array(F.struct(F.lit("user").alias("role"), F.col("prompt").alias("content"))).alias("prompt"), said("chosen_text").alias("chosen"), said("rejected_text").alias("rejected"))
+    return pairs.select(*keep, F.array(F.struct(F.lit("user").alias("role"), F.col("prompt").alias("content"))).alias("prompt"), said("chosen_text").alias("chosen"), said("rejected_text").alias("rejected"))
 
 
 def task_consumer(tasks: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ def events(lines: DataFrame) -> DataFrame:
     blocks = p.select("line", "e", F.posexplode(content).alias("block", "b"))
     kind = F.when(F.col("b.type") == "text", F.concat("e.type", F.lit("_text"))).otherwise(F.col("b.type"))
     return blocks.select(
-        F.col("e.sessionId").alias("session_id"), (F.col("line") * 1000 + F.col("block")).alias("position"), kind.alias("kind"), F.col("b.name").alias("tool_name"), F.coalesce("b.id", "b.tool_use_id").alias("call_id"),
+        F.col("e.sessionId").alias("session_id"), (F.shiftleft(F.col("line").cast("long"), 24) + F.col("block")).alias("position"), kind.alias("kind"), F.col("b.name").alias("tool_name"), F.coalesce("b.id", "b.tool_use_id").alias("call_id"),
         F.col("b.input.file_path").alias("file_path"), F.coalesce("b.text", "b.input.new_string", "b.input.content", "b.content").alias("text"), F.coalesce("b.is_error", F.lit(False)).alias("is_error"),
     )
 

@@ -78,3 +78,12 @@ def append_edges(table: str, key: list[str]) -> Callable[[DataFrame, int], None]
         fresh.write.mode("append").parquet(table)
 
     return write
+
+
+def captured(stream: DataFrame, key: list[str]) -> DataFrame:
+    """Run a stream into a table that holds each key once, and read the table."""
+    spark = stream.sparkSession
+    space = Workspace(spark, "captured")
+    run = stream.writeStream.option("checkpointLocation", space.path("checkpoint")).trigger(availableNow=True).foreachBatch(append_edges(space.path("rows"), key)).start()
+    run.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(space.path("rows"))
