@@ -1,7 +1,7 @@
 """Signature rules of the licence scan: names, identifiers and addresses of public licences, in order of priority.
 
-A licence has a hand-written regex for its name; forms put it in a tag, a grant, a title or an address. A form's regex is
-tried only on texts that hold the rule's keyword.
+A licence has a hand-written regex for its name; forms put it in a tag, a grant, a title or an address. Passages of the licences' own
+texts tell one that is pasted without its name. A rule's regex is tried only on texts that hold its keywords.
 """
 
 from __future__ import annotations
@@ -86,6 +86,51 @@ LICENCES = (
     ("cc0-1.0", "cc0", r"cc0(?:[ -]1\.0)?(?: universal)?", r"creativecommons\.org/publicdomain/zero/1\.0"),
 )
 
+#: (label, two keywords of every match, words of a passage of the licence's own text as they follow each other, whatever stands between them)
+BODIES = (
+    ("mit", "hereby", "permission", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "permission", "copyright", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("x11", "authorization", "software", "shall not be used in advertising or otherwise to promote the sale use or other dealings in this software without prior written authorization"),
+    ("isc", "hereby", "permission", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc", "hereby", "permission", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted"),
+    ("bsd-any", "redistribut", "permitted", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd-any", "redistribut", "copyright", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd-any", "redistribut", "copyright", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd-3-clause", "permission", "endorse", "may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-4-clause", "advertising", "software", "all advertising materials mentioning features or use of this software must display the following acknowledgement"),
+    ("zlib", "warranty", "software", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("zlib", "redistribut", "permission", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely"),
+    ("apache-2.0", "hereby", "contributor", "subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license"),
+    ("apache-2.0", "licen", "apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
+    ("apache-1.1", "apache", "software", "this product includes software developed by the apache software foundation"),
+    ("gpl-any", "redistribut", "program", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("gpl-any", "licen", "verbatim", "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed"),
+    ("gpl-2.0", "licen", "version 2", "either version 2 of the license or at your option any later version"),
+    ("gpl-3.0", "licen", "version 3", "either version 3 of the license or at your option any later version"),
+    ("lgpl-2.1", "redistribut", "library", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
+    ("agpl-3.0", "redistribut", "affero", "you can redistribute it and or modify it under the terms of the gnu affero general public license"),
+    ("mpl-2.0", "licen", "mozilla", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl-1.1", "licen", "mozilla", "the contents of this file are subject to the mozilla public license version 1 1"),
+    ("epl-1.0", "licen", "eclipse", "this program and the accompanying materials are made available under the terms of the eclipse public license v1 0"),
+    ("epl-2.0", "licen", "eclipse", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0"),
+    ("cddl-1.0", "licen", "development", "the contents of this file are subject to the terms of the common development and distribution license"),
+    ("eupl-1.2", "licen", "eupl", "licensed under the eupl"),
+    ("bsl-1.0", "hereby", "permission", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("unlicense", "public domain", "software", "this is free and unencumbered software released into the public domain"),
+    ("cc0-1.0", "copyright", "waived", "has waived all copyright and related or neighboring rights to this work"),
+    ("ofl-1.1", "licen", "font", "this font software is licensed under the sil open font license version 1 1"),
+    ("postgresql", "hereby", "permission", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("ncsa", "hereby", "permission", "to deal with the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense"),
+    ("python-2.0", "hereby", "licen", "hereby grants licensee a nonexclusive royalty free world wide license to reproduce analyze test perform and or display publicly"),
+    ("openssl", "openssl", "software", "this product includes software developed by the openssl project for use in the openssl toolkit"),
+    ("php-3.01", "php", "software", "this product includes php software freely available from"),
+    ("artistic-1.0", "copyright", "package", "the intent of this document is to state the conditions under which a package may be copied such that the copyright holder maintains some semblance of artistic control"),
+    ("artistic-2.0", "licen", "package", "this license establishes the terms under which a given free software package may be copied modified distributed and or redistributed"),
+    ("w3c", "licen", "work", "by obtaining and or copying this work you the licensee agree that you have read understood and will comply with the following terms and conditions"),
+    ("upl-1.0", "hereby", "copyright", "to any person obtaining a copy of this software associated documentation and or data collectively the software free of charge and under any and all copyright rights in the software"),
+    ("vim", "restrictions", "copies", "there are no restrictions on distributing unmodified copies of vim"),
+)
+
 _CC = ("by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd")
 _CC_NAMES = {"by": "attribution", "sa": "sharealike", "nc": "non-?commercial", "nd": "no-?deriv(?:ative)?s"}
 _GRANT = r"(?:licen[sc]ed|released|distributed|available|published|provided|covered)\s+(?:to you\s+)?(?:under|by)\s+(?:the\s+)?(?:terms\s+of\s+)?(?:the\s+)?"
@@ -109,6 +154,8 @@ def rules() -> list[Rule]:
     out = []
     for phrase, label in BASE_PHRASES:
         out.append(Rule(label, 2, phrase.split()[0], start + f"{OTHER}+".join(phrase.split()) + end, True, phrase.split()[-1]))
+    for label, also, keyword, words in BODIES:
+        out.append(Rule(label, 1, keyword, start + f"{OTHER}+".join(words.split()) + end, also=also))
     for label, keyword, name, address in (*LICENCES, *_creative_commons()):
         spaced = name if keyword.startswith(("cc by", "cc-by")) else re.sub(r"(?<!\[) ", r"\\s+", name)
         also = "licen" if "licen[sc]e" in name and "?: licen[sc]e)?" not in name else ""

@@ -6,7 +6,8 @@ intervals with a priority; one that lies inside another of the same or a better
 intervals the first by priority and rule order stays). Suppression is a running maximum over a text's intervals in order.
 
 Null text is the empty text: no words, no detections. Rows with equal key and text (repeated rows, null keys) share their
-result, and each gives a row. Words are counted over whole texts.
+result, and each gives a row. Words are counted over whole texts, of any length. Of equal intervals of one priority the first rule's
+stands. An empty table gives an empty table; only key and text are read, whatever the names of the other columns.
 """
 
 from __future__ import annotations

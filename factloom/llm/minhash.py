@@ -15,6 +15,8 @@ With 40 bands of 6 registers a pair at similarity 0.8 shares no bucket with prob
 Text is lower-cased (A-Z); words are white-space words. Fewer words than the shingle has: the whole sequence is one
 shingle. Null text and text without words: empty set, linked with nothing. Rows that share a doc_id are one
 document. A null doc_id is linked with nothing: its component is null and it is kept. Repeated rows each give a row.
+An empty table gives an empty table; only doc_id and text are read, whatever the names of the other columns. A pair at exactly the
+wanted share is linked.
 """
 
 from __future__ import annotations
@@ -241,9 +243,23 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one document of each group: the one with the smallest key. Repeated rows of a key go too; rows with a null key stay."""
-    found = link(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), size, percent)
-    name = fresh_name(docs, "dropped")
-    dropped = found.where("not kept").select(F.col("doc_id").alias(name)).distinct()
-    kept = docs.where(F.col(key).isNotNull()).join(dropped, F.col(key) == F.col(name), "left_anti").dropDuplicates([key])
+    """docs with one document of each group: the one with the smallest key. Rows with a null key stay.
+
+    Of rows with one key and one text one stays (the first in the order of all columns). Where a key has several texts each of them
+    is a document of its own: the text with the smallest hash goes by the key, the others by negative ids made of their hash.
+    """
+    mark, own = fresh_name(docs, "mark"), fresh_name(docs, "own")
+    space = Workspace(docs.sparkSession, "keep")
+    named = docs.where(F.col(key).isNotNull()).withColumn(mark, F.xxhash64(text))
+    texts = named.groupBy(F.col(key).alias("k")).agg(F.min(mark).alias("low"), F.max(mark).alias("high"), F.count("*").alias("n")).where("n > 1")
+    several = space.save(texts.select(F.col("k").alias(own), F.col("low").alias(f"{own}_low"), F.col("high").alias(f"{own}_high")), "several")
+    joined = named.join(several, F.col(key) == F.col(own), "left")
+    other = F.col(mark) != F.coalesce(f"{own}_low", mark)
+    joined = joined.withColumn(mark, F.when(other, -1 - F.abs(F.xxhash64(F.col(key).cast("string"), mark))).otherwise(F.col(key).cast("long")))
+    once = joined.where(F.col(own).isNull()).select(*docs.columns, mark)
+    again = joined.where(F.col(own).isNotNull()).groupBy(mark).agg(F.min(F.struct(*docs.columns)).alias("r")).select("r.*", mark)
+    rows = once.unionByName(again)
+    found = link(rows.select(F.col(mark).alias("doc_id"), F.col(text).alias("text")), size, percent)
+    dropped = found.where("not kept").select(F.col("doc_id").alias(own)).distinct()
+    kept = rows.join(dropped, F.col(mark) == F.col(own), "left_anti").select(*docs.columns)
     return kept.unionByName(docs.where(F.col(key).isNull()))

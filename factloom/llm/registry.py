@@ -24,6 +24,24 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_COMPONENTS = """r AS (SELECT id, id AS other FROM d UNION SELECT r.id, e.b FROM r JOIN e ON r.other = e.a),
+c AS (SELECT id, min(other) AS component_id FROM r GROUP BY id)"""
+
+#: All pairs of valid vectors.
+_VECTORS = f"""WITH RECURSIVE d AS (SELECT vec_id AS id, embedding::double[] AS v FROM embeddings),
+v AS (SELECT * FROM d WHERE v IS NOT NULL AND len(v) > 0 AND NOT list_contains(list_transform(v, lambda x: x IS NOT NULL AND isfinite(x)), false) AND list_contains(list_transform(v, lambda x: x <> 0), true)),
+e AS (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.id <> b.id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.95::double), {_COMPONENTS},
+n AS (SELECT a AS id, count(*) AS n_links FROM e GROUP BY a)
+SELECT id AS vec_id, coalesce(n_links, 0) AS n_links, component_id, id = component_id AS kept FROM c LEFT JOIN n USING (id)"""
+
+#: All pairs of documents that share a shingle.
+_NEAR = f"""WITH RECURSIVE w AS (SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+d AS (SELECT id, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM w),
+x AS (SELECT id, len(s) AS n, unnest(s) AS s FROM d), p AS (SELECT a.id AS a, b.id AS b, a.n AS n, b.n AS m, count(*) AS k FROM x a JOIN x b ON a.s = b.s AND a.id <> b.id AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n GROUP BY ALL),
+e AS (SELECT a, b FROM p WHERE 100 * k >= 80 * (n + m - k)), {_COMPONENTS}
+SELECT id AS doc_id, len(s) AS n_shingles, component_id, id = component_id AS kept FROM d JOIN c USING (id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """Operators whose rows DuckDB can compute in reasonable time on whole tables."""
-    return {}
+    """Operators whose rows DuckDB can compute in reasonable time on whole tables: those on pairs, by all pairs."""
+    return {"op6_vectors": _VECTORS, "op9_minhash": _NEAR}

@@ -6,8 +6,10 @@ Postings are intersected by counting: a row is a candidate of a rule if every ru
 were posted. A rule without a mandatory trigram is tried on every text. Candidates are joined with their texts and verified.
 Everything is a DataFrame operation; nothing is broadcast but the rules' terms, whose number the rules fix.
 
-Spans are code points, end exclusive. Null text is the empty text: no spans. Rows with equal key and text (repeated rows,
-null keys) share their result, and each gives a row.
+Spans are code points, end exclusive; a private key is one span from its first line to its last, or, if it is cut off, to the end of its
+lines. Null text is the empty text: no spans. Texts may be of any length. Rows with equal key and text (repeated rows, null keys) share
+their result, and each gives a row. Spans of several kinds may overlap; at one start the kinds come in the order of the rules. An empty
+table gives an empty table; only key and text are read, whatever the names of the other columns.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ RULES = (
     Rule("assign", r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 12),
     Rule("access", r"AKIA[A-Z0-9]{14,}"),
     Rule("hex", r"[0-9a-f]{16,}"),
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("private_key", r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z0-9 ]*PRIVATE KEY-----|(?:\s*+[A-Za-z0-9+/=]{40,}+)*+)"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("github_pat", r"github_pat_[A-Za-z0-9_]{82,}"),
@@ -48,7 +50,7 @@ RULES = (
     Rule("package_token", r"npm_[A-Za-z0-9]{36}"),
     Rule("mail_key", r"SG\.[A-Za-z0-9_-]{22}\.[A-Za-z0-9_-]{43}"),
     Rule("bearer", r"(?i:bearer)\x20+[A-Za-z0-9._~+/=-]{20,}"),
-    Rule("url_password", r"[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s:/@]+:([^\s:/@]+)@", 1),
+    Rule("url_password", r"(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]*+://[^\s:/@]++:([^\s:/@]++)@", 1),
 )
 BASE = ("assign", "access", "hex")
 _MOST = 64  # alternatives of a run

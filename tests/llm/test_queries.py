@@ -15,8 +15,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.llm import ngram_lm
-from factloom.llm.registry import queries
+from factloom.llm.registry import oracle_sql, queries
 from tests.conftest import DATA
+from tests.oracle import compared, connect
 
 from . import brute
 
@@ -200,3 +201,9 @@ def test_pipeline_stages(spark, docs):
             assert len(bad & set(after_rows)) <= 0.2 * len(bad)
         now = spark.createDataFrame(after.collect(), rows.schema)
     assert cp.STAGES[-1][1](spark, now, SF).count() == now.count()
+
+
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
+def test_same_rows_as_duckdb(spark, name):
+    own, other = compared(queries()[name](spark, SF), connect(SF), oracle_sql()[name])
+    assert own == other
