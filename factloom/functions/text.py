@@ -20,6 +20,16 @@ def tokens(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), F.lower)))
 
 
+QUERY_BYTES = 2048
+
+
+def query_tokens(text: Column, stop_words: list[str]) -> Column:
+    """(tokens, reason) of a context query: its tokens without stop words; ``too_long`` beyond ``QUERY_BYTES``, ``no_token`` if none is left."""
+    found = F.array_except(tokens(text), F.array(*map(F.lit, stop_words)).cast("array<string>"))
+    reason = F.when(F.octet_length(text) > QUERY_BYTES, "too_long").when(F.size(found) == 0, "no_token")
+    return F.struct(found.alias("tokens"), reason.alias("reason"))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Overlap of two token arrays over their union; 0 if both are empty."""
     union = F.size(F.array_union(a, b))

@@ -99,3 +99,8 @@ def retry_links(rejected: DataFrame, accepted: DataFrame, said: DataFrame) -> Da
     a = a.join(last, ["session_id", "to"])
     both = r.join(a, ["session_id", "file_path", "tool_name"]).where((F.col("to") > F.col("from")) & (F.col("last_said") > F.col("from")))
     return both.groupBy("session_id", "file_path", "rejected_id").agg(F.min_by("accepted_id", F.struct("to", "accepted_id")).alias("accepted_id"))
+
+
+def outcomes_by_commit(qualified: DataFrame, key: str, sha: str = "sha") -> DataFrame:
+    """(repository, sha, reason, outcomes, first_outcome) of outcomes with a qualified ``repository`` or the ``reason`` why there is none."""
+    return qualified.groupBy("repository", sha, "reason").agg(F.count("*").alias("outcomes"), F.min(key).alias("first_outcome"))

@@ -18,6 +18,8 @@ class ConfidencePolicy:
     down: float = 0.9
     ci_pass: float = 1.1
     ci_fail: float = 0.7
+    similarity_weight: float = 1.0
+    reliability_weight: float = 1.0
     floor: float = 0.6
 
 
@@ -30,6 +32,12 @@ def branch(decisions: Column, abandoned: Column | None = None) -> Column:
     return out if abandoned is None else F.when(abandoned, "abandoned").otherwise(out)
 
 
+def branch_of(rejected: Column, accepted: Column, refused: Column, neutral: Column, any_decision: Column) -> Column:
+    """``branch`` of a group's flags, for groups that are added up and not gathered: an explicit reject, an explicit accept, any reject, all neutral, any decision."""
+    out = F.when(rejected, "explicit_reject").when(accepted, "explicit_accept").when(refused, "implicit_reject").when(any_decision & neutral, "neutral")
+    return out.when(any_decision, "implicit_accept").otherwise("none")
+
+
 def confidence(kind: Column, retention: Column, verdict: Column, reliability: Column, similarity: Column, policy: ConfidencePolicy = ConfidencePolicy()) -> Column:
     """decision x CI x reliability x similarity, clamped to [0, 1]; null without any signal. Nulls: no retention, no verdict, attributed by notes."""
     p = policy
@@ -41,7 +49,8 @@ def confidence(kind: Column, retention: Column, verdict: Column, reliability: Co
         .otherwise(F.lit(p.base))
     )
     ci = F.when(verdict == "passed", F.lit(p.ci_pass)).when(verdict == "failed", F.lit(p.ci_fail)).otherwise(F.lit(1.0))
-    value = decision * ci * F.coalesce(reliability, F.lit(1.0)) * F.coalesce(similarity, F.lit(1.0))
+    weighed = lambda c, w: F.lit(1.0) if w == 0 else F.coalesce(c, F.lit(1.0)) if w == 1 else 1 + w * (F.coalesce(c, F.lit(1.0)) - 1)
+    value = decision * ci * weighed(reliability, p.reliability_weight) * weighed(similarity, p.similarity_weight)
     return F.when((kind != "none") | verdict.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), value)))
 
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import Workspace
+
 IDENTITY = ("repository_provider", "repository_host", "repository_id")
 
 
@@ -41,15 +45,18 @@ def qualified(facts: DataFrame, sources: DataFrame, names: DataFrame) -> DataFra
 def commits(parents: DataFrame, heads: DataFrame, depth: int) -> DataFrame:
     """(head, commit_sha): the ancestors of some heads, themselves included, up to a depth of a (commit_sha, parent) edge table.
 
-    Only the named heads' closures are made. Each round is one join; a frontier that has ended stops the walk.
+    Only the named heads' closures are made. Each round is one join whose frontier is written, which cuts lineage; one that has ended stops the walk.
     """
-    frontier = heads.select(F.col("head"), F.col("head").alias("commit_sha"))
-    found = frontier
-    for _ in range(depth):
+    space = Workspace(heads.sparkSession, "closure")
+    frontier = space.save(heads.select(F.col("head"), F.col("head").alias("commit_sha")).distinct(), "0")
+    rounds = [frontier]
+    for k in range(1, depth + 1):
         up = frontier.join(parents, "commit_sha").select("head", F.col("parent").alias("commit_sha")).where("commit_sha is not null").distinct()
-        frontier = up.join(found, ["head", "commit_sha"], "left_anti")
-        found = found.unionByName(frontier)
-    return found
+        frontier = space.save(up.join(reduce(DataFrame.unionAll, rounds), ["head", "commit_sha"], "left_anti"), str(k))
+        if frontier.isEmpty():
+            break
+        rounds.append(frontier)
+    return reduce(DataFrame.unionAll, rounds)
 
 
 def reachable(closure: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,3 +86,55 @@ def decision_latency(rows: DataFrame, key: str, at: str, decided: str, buckets:
     flat = placed.agg((F.min("latency") == F.max("latency")).alias("_flat"))
     placed = placed.join(F.broadcast(flat)).withColumn("bucket", F.when(F.col("_flat"), F.lit(-1)).otherwise(F.col("bucket")))
     return placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("latency").alias("low"), F.max("latency").alias("high"), F.avg("confidence").alias("mean_confidence"))
+
+
+def recipe_pairs(completions: DataFrame, recipe: str, cap: int = PAIR_CAP) -> DataFrame:
+    """Preference pairs of a recipe, within (org_id, model, prompt_key), with the split of the pair: eval if either side's session is.
+
+    ``completions``: org_id, model, prompt_key, id, session_id, text, confidence, explicit (accept true, reject false, else null), verdict, is_eval. ``dpo_human``
+    takes explicit decisions for labels, ``dpo_outcome`` resolved CI verdicts; a completion without the recipe's label is on neither side.
+    """
+    good = {"dpo_human": F.col("explicit"), "dpo_outcome": F.when(F.col("verdict") == "passed", True).when(F.col("verdict") == "failed", False)}[recipe]
+    bucket = ["org_id", "model", "prompt_key"]
+    pairs = preference_pairs(completions.select(*bucket, "id", good.alias("good"), "confidence", "text"), bucket, cap)
+    flags = completions.groupBy("id").agg(F.max("is_eval").alias("e"))
+    both = pairs.join(flags.toDF("chosen_id", "ce"), "chosen_id").join(flags.toDF("rejected_id", "re"), "rejected_id")
+    return both.select(F.lit(recipe).alias("recipe"), *pairs.columns, F.when(F.col("ce") | F.col("re"), "eval").otherwise("train").alias("split"))
+
+
+def sample_rows(completions: DataFrame, recipe: str) -> DataFrame:
+    """(recipe, id, model, confidence, reason): a row for each completion, with why it is no sample (null if it is one).
+
+    ``sft_curated`` wants an explicit accept, retention or a pass; ``sft_verified`` a clean pass (reliability 1) and no explicit reject.
+    """
+    accepted, vetoed = F.coalesce(F.col("explicit"), F.lit(False)), F.coalesce(~F.col("explicit"), F.lit(False))
+    passed = F.col("verdict") == "passed"
+    if recipe == "sft_curated":
+        reason = curated_reason(accepted, vetoed, F.col("retention"), passed, F.col("confidence"))
+    else:
+        clean = F.coalesce(passed & (F.col("reliability") == 1.0), F.lit(False))
+        reason = F.when(vetoed, "vetoed").when(F.col("verdict").isNull(), "no_verdict").when(~clean, "no_clean_pass").when(F.col("confidence").isNull() | (F.col("confidence") < FLOOR), "below_floor")
+    return completions.select(F.lit(recipe).alias("recipe"), "id", "model", "confidence", reason.alias("reason"))
+
+
+def tasks(trajectories: DataFrame, patches: DataFrame) -> DataFrame:
+    """(session_id, repo, commit_sha, reward, patch, sections): a task for each session whose last commit with a verdict has a patch.
+
+    ``trajectories`` (session_id, repo, commit_sha, position, verdict), ``patches`` (commit_sha, position, patch): the reference patch is the sections in diff order.
+    """
+    last = trajectories.where("verdict is not null").groupBy("session_id").agg(F.max(F.struct("position", "repo", "commit_sha", "verdict")).alias("m")).select("session_id", "m.repo", "m.commit_sha", "m.verdict")
+    joined = patches.groupBy("commit_sha").agg(F.array_sort(F.collect_list(F.struct("position", "patch"))).alias("s"))
+    reward = F.when(F.col("verdict") == "passed", 1).when(F.col("verdict") == "failed", 0)
+    return last.join(joined, "commit_sha").select("session_id", "repo", "commit_sha", reward.alias("reward"), F.array_join(F.transform("s", lambda x: x["patch"]), "\n").alias("patch"), F.size("s").alias("sections"))
+
+
+def rescored(rows: DataFrame, score, knobs: dict[str, list[float]], policy, source: str) -> DataFrame:
+    """(source, knob, setting, n, affected, mean, mean_delta): the confidence ladder computed again with one knob of the policy set to each value of its grid.
+
+    ``score``: a function from a policy to the confidence Column.
+    """
+    base = score(policy)
+    cells = [F.struct(F.lit(k).alias("knob"), F.lit(float(v)).alias("setting"), score(replace(policy, **{k: v})).alias("value")) for k, grid in knobs.items() for v in grid]
+    each = rows.select(F.col(source).alias("source"), base.alias("_base"), F.explode(F.array(*cells)).alias("g")).where("_base is not null")
+    delta = F.col("g.value") - F.col("_base")
+    return each.groupBy("source", "g.knob", "g.setting").agg(F.count("*").alias("n"), F.count_if(F.abs(delta) > 1e-12).alias("affected"), F.avg("g.value").alias("mean"), F.avg(delta).alias("mean_delta"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from ..functions import text as T
 from ..functions.stats import Z95, corpus_floor, wilson_sql
 from ..functions.times import micros
 from ..operators import attribution, sequences
-from ..operators.confidence import branch, confidence
+from ..operators.confidence import ConfidencePolicy, branch_of, confidence
 from ..sources.bindings import ctes, facts
 from . import projections, reports
 from .registry import query
@@ -203,13 +205,6 @@ def corpus_floors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(corpus_floor(m), m) for m in (0.1, 0.05, 0.02)], "cases int, margin double")
 
 
-@query("a27_sensitivity", _PAIRS + """, g AS (SELECT k.knob, k.setting, score * (1 + k.part * (k.setting - 1)) - score AS d FROM p CROSS JOIN
-  (VALUES ('ci', 0.5::double, 0.8::double), ('ci', 0.5::double, 1.2::double), ('decision', 1.0::double, 0.9::double)) k(knob, part, setting))
-SELECT knob, setting, count(*) FILTER (WHERE abs(d) > 1e-12) AS affected, avg(d) AS mean_delta FROM g GROUP BY knob, setting""")
-def sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.sensitivity(_pairs(spark, sf_dir), F.col("score"), {"ci": (F.lit(0.5), [0.8, 1.2]), "decision": (F.lit(1.0), [0.9])})
-
-
 _SAID = ctes("decisions") + """,
 d AS (SELECT call_id, bool_or(explicit AND NOT accepted) AS er, bool_or(explicit AND accepted) AS ea, bool_or(NOT accepted) AS ir, bool_and(agent_harness = 'codex') AS cx, min(edit_retention_score) AS ret,
   min(CASE WHEN accepted THEN file_path END) AS f FROM decisions GROUP BY call_id),
@@ -221,9 +216,11 @@ c AS (SELECT *, least(1e0, greatest(0e0, CASE kind WHEN 'explicit_reject' THEN 1
 
 
 def _scored_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fields = F.struct("accepted", "explicit", "agent_harness")
-    grouped = facts(spark, sf_dir, "decisions").groupBy("call_id").agg(F.collect_list(fields).alias("decisions"), F.min("edit_retention_score").alias("ret"))
-    marked = grouped.withColumn("kind", branch(F.col("decisions"))).withColumn("verdict", F.when(F.col("call_id") % 3 == 0, "passed").when(F.col("call_id") % 3 == 1, "failed"))
+    accepted, explicit = F.col("accepted"), F.col("explicit")
+    grouped = facts(spark, sf_dir, "decisions").groupBy("call_id").agg(
+        F.bool_or(explicit & ~accepted).alias("er"), F.bool_or(explicit & accepted).alias("ea"), F.bool_or(~accepted).alias("ir"), F.bool_and(F.col("agent_harness") == "codex").alias("cx"), F.min("edit_retention_score").alias("ret")
+    )
+    marked = grouped.withColumn("kind", branch_of(F.col("er"), F.col("ea"), F.col("ir"), F.col("cx"), F.lit(True))).withColumn("verdict", F.when(F.col("call_id") % 3 == 0, "passed").when(F.col("call_id") % 3 == 1, "failed"))
     similarity = F.when(F.col("call_id") % 5 == 0, F.lit(0.8))
     return marked.withColumn("confidence", confidence(F.col("kind"), F.col("ret"), F.col("verdict"), F.lit(None).cast("double"), similarity))
 
@@ -233,12 +230,36 @@ def label_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored_calls(spark, sf_dir).select("call_id", "kind", "confidence")
 
 
+#: Knobs of the confidence policy and the grid of each.
+KNOBS = {
+    "base": [0.5, 0.7], "explicit_accept": [0.9], "explicit_reject": [0.9], "up": [1.05, 1.2], "down": [0.8, 0.95], "ci_pass": [1.0, 1.2], "ci_fail": [0.5, 0.9], "similarity_weight": [0.5], "reliability_weight": [0.5], "floor": [0.5, 0.7],
+}
+
+
+def _ladder_sql(p: ConfidencePolicy) -> str:
+    d = lambda v: f"{v!r}::double"
+    kept = "least(1e0, greatest(0e0, ret))"
+    decision = f"CASE kind WHEN 'explicit_reject' THEN {d(p.explicit_reject)} WHEN 'explicit_accept' THEN {d(p.explicit_accept)} WHEN 'implicit_reject' THEN {d(p.base)} * {d(p.down)} WHEN 'neutral' THEN {d(p.base)} ELSE {d(p.base)} * coalesce({d(p.down)} + ({d(p.up)} - {d(p.down)}) * {kept}, {d(p.up)}) END"
+    return f"least(1e0, greatest(0e0, {decision} * CASE verdict WHEN 'passed' THEN {d(p.ci_pass)} WHEN 'failed' THEN {d(p.ci_fail)} ELSE 1e0 END * (1 + {d(p.similarity_weight)} * (coalesce(sim, 1e0) - 1))))"
+
+
+_GRID = " UNION ALL ".join(f"SELECT kind AS source, '{k}' AS knob, {float(v)!r}::double AS setting, {_ladder_sql(replace(ConfidencePolicy(), **{k: v}))} AS v, {_ladder_sql(ConfidencePolicy())} AS b FROM b" for k, grid in KNOBS.items() for v in grid)
+
+
+@query("a27_sensitivity", _SAID + f""", g AS ({_GRID})
+SELECT source, knob, setting, count(*) AS n, count(*) FILTER (WHERE abs(v - b) > 1e-12) AS affected, avg(v) AS mean, avg(v - b) AS mean_delta FROM g GROUP BY ALL""")
+def sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _scored_calls(spark, sf_dir)
+    similarity = F.when(F.col("call_id") % 5 == 0, F.lit(0.8))
+    score = lambda p: confidence(F.col("kind"), F.col("ret"), F.col("verdict"), F.lit(None).cast("double"), similarity, p)
+    return projections.rescored(rows, score, KNOBS, ConfidencePolicy(), "kind")
+
+
 @query("d15_curated_samples", _SAID + """
 SELECT CASE WHEN er THEN 'vetoed' WHEN confidence < 0.6::double THEN 'below_floor' WHEN NOT (ea OR coalesce(ret, 0e0) >= 0.8::double OR coalesce(verdict = 'passed', false)) THEN 'no_positive_signal' ELSE 'kept' END AS reason, count(*) AS n FROM c GROUP BY 1""")
 def curated_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = _scored_calls(spark, sf_dir)
-    explicit = F.exists("decisions", lambda d: d["explicit"] & d["accepted"])
-    reason = projections.curated_reason(explicit, F.col("kind") == "explicit_reject", F.col("ret"), F.col("verdict") == "passed", F.col("confidence"))
+    reason = projections.curated_reason(F.col("ea"), F.col("kind") == "explicit_reject", F.col("ret"), F.col("verdict") == "passed", F.col("confidence"))
     return calls.groupBy(F.coalesce(reason, F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 

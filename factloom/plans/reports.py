@@ -195,8 +195,9 @@ def share_alerts(current: DataFrame, baseline: DataFrame, repo: str, least: int)
     return both.select(repo, alert.alias("alert")).where("alert is not null")
 
 
-def sensitivity(rows: DataFrame, value: Column, knobs: dict[str, tuple[Column, list[float]]]) -> DataFrame:
-    """(knob, setting, affected, mean_delta): the change of a value when one knob is scaled over its grid. ``knobs``: name -> (share of the value it scales, grid)."""
-    grid = [F.struct(F.lit(k).alias("knob"), F.lit(float(g)).alias("setting"), (value * (1 + part * (g - 1)) - value).alias("delta")) for k, (part, gs) in knobs.items() for g in gs]
-    each = rows.select(F.explode(F.array(*grid)).alias("g"))
-    return each.groupBy("g.knob", "g.setting").agg(F.count_if(F.abs("g.delta") > 1e-12).alias("affected"), F.avg("g.delta").alias("mean_delta"))
+def confusion(universe: DataFrame, manifest: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """One row: tp, fp, fn, tn over all pairs that could have been found."""
+    flag = lambda df, name: df.select(*keys).distinct().withColumn(name, F.lit(True))
+    both = universe.select(*keys).distinct().join(flag(manifest, "_m"), keys, "left").join(flag(found, "_f"), keys, "left")
+    m, f = F.coalesce("_m", F.lit(False)), F.coalesce("_f", F.lit(False))
+    return both.agg(F.count_if(f & m).alias("tp"), F.count_if(f & ~m).alias("fp"), F.count_if(~f & m).alias("fn"), F.count_if(~f & ~m).alias("tn"))

@@ -6,6 +6,7 @@ Facts have the columns of ``schemas.FACTS``. Sets of keys are frames and become
 
 from __future__ import annotations
 
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -185,3 +186,14 @@ def quarantine_actions(log: DataFrame, facts: DataFrame, key: str, action: str,
     last = log.agg(F.coalesce(F.max("quarantine_revision"), F.lit(0)).alias("_last"))
     placed = numbered(state.where(other).select("fact_id"), ["fact_id"], "_n", "_m").join(F.broadcast(last))
     return placed.select("fact_id", F.lit(action).alias("action"), F.lit(reason).alias("reason"), (F.col("_n") + F.col("_last")).alias("quarantine_revision"))
+
+
+COHORT_DAYS = 31
+
+
+def cohort(facts: DataFrame, at: str, start: str, end: str, as_of: str, captured: str | None = None) -> DataFrame:
+    """Facts of a report's half-open cohort, captured as of a moment; an error if it is empty, longer than ``COHORT_DAYS``, or not over by then."""
+    first, last, now = (datetime.fromisoformat(x) for x in (start, end, as_of))
+    if not first < last <= now or (last - first).days > COHORT_DAYS:
+        raise ValueError(f"a cohort ends after it begins, within {COHORT_DAYS} days, and not after the report's moment")
+    return scope(facts, at, start, end, as_of, captured)

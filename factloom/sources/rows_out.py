@@ -2,26 +2,62 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
 def write_jsonl(rows: DataFrame, folder: str, split: str | None = None) -> bool:
-    """Write rows as JSON lines, a folder for each split; False and nothing written if there are none, or a number isn't finite (an error)."""
-    numbers = [c for c, t in rows.dtypes if t in ("double", "float")]
+    """Write rows as JSON lines, a folder for each split, in place of what the folder held. False, and the folder stays, if there are none; an error if a number isn't finite.
+
+    Rows are read once: they go to a folder beside it, are counted on the way, and that folder takes the name when all are there.
+    """
     bad = F.lit(False)
-    for c in numbers:
+    for c in (c for c, t in rows.dtypes if t in ("double", "float")):
         bad |= F.coalesce(F.isnan(c) | (F.abs(c) == float("inf")), F.lit(False))
-    counts = rows.agg(F.count("*").alias("n"), F.count_if(bad).alias("bad")).first()
-    if counts.bad:
-        raise ValueError(f"{counts.bad} rows hold numbers that are not finite")
-    if not counts.n:
+    seen, staging = Observation(), f"{folder.rstrip('/')}.{uuid.uuid4().hex}"
+    writer = rows.observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(bad.cast("int")), F.lit(0)).alias("bad")).write
+    (writer.partitionBy(split) if split else writer).json(staging)
+    spark = rows.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(staging).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    counts = seen.get
+    if counts["bad"] or not counts["n"]:
+        fs.delete(path(staging), True)
+        if counts["bad"]:
+            raise ValueError(f"{counts['bad']} rows hold numbers that are not finite")
         return False
-    writer = rows.write.mode("overwrite")
-    (writer.partitionBy(split) if split else writer).json(folder)
+    fs.delete(path(folder), True)
+    if not fs.rename(path(staging), path(folder)):
+        raise OSError(f"{staging} can't take the name {folder}")
     return True
 
 
+def table_digest(rows: DataFrame) -> DataFrame:
+    """(rows, digest): how many rows a table has and a sum of their 64-bit hashes, the same in any order."""
+    return rows.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)")), F.lit(0)).cast("string").alias("digest"))
+
+
+def write_bundle(tables: dict[str, DataFrame], folder: str) -> None:
+    """Write tables as Parquet and a manifest with each one's count and digest; the manifest comes last, so a bundle without one is not finished."""
+    spark = next(iter(tables.values())).sparkSession
+    listed = []
+    for name, rows in tables.items():
+        rows.write.mode("overwrite").parquet(f"{folder}/{name}")
+        own = table_digest(spark.read.schema(rows.schema).parquet(f"{folder}/{name}")).first()
+        listed.append((name, own.rows, own.digest))
+    spark.createDataFrame(listed, "name string, rows long, digest string").coalesce(1).write.mode("overwrite").json(f"{folder}/manifest")
+
+
+def bundle_faults(spark, folder: str) -> DataFrame:
+    """(name, rows, found_rows, intact): each table of a bundle's manifest against what is there now."""
+    manifest = spark.read.schema("name string, rows long, digest string").json(f"{folder}/manifest")
+    found = reduce(DataFrame.unionAll, (table_digest(spark.read.parquet(f"{folder}/{r.name}")).select(F.lit(r.name).alias("name"), F.col("rows").alias("found_rows"), F.col("digest").alias("found")) for r in manifest.select("name").collect()))
+    return manifest.join(found, "name").select("name", "rows", "found_rows", ((F.col("rows") == F.col("found_rows")) & (F.col("digest") == F.col("found"))).alias("intact"))
+
+
 def digest(*columns: Column | str) -> Column:
     """SHA-256 of the canonical JSON of columns, absent fields left out."""
     return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "true"}), 256)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -45,6 +46,11 @@ class Workspace:
         while self.kept:
             self.kept.pop().unpersist()
 
+    def settle(self) -> None:
+        """Let Spark delete the files of shuffles that nothing refers to any more, before a step that needs the room."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, name: str) -> None:
         """Delete a table that no later step reads."""
         jvm, path = self.spark._jvm, self.path(name)
