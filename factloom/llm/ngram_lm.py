@@ -283,6 +283,8 @@ def train(docs: DataFrame, text: str = "text", order: int = ORDER) -> Model:
     ids = model.ids(np.array([r.key for r in many], np.int64).view(np.uint64))[0]
     model.frequent = np.append(ids[ids >= 0], model.words).astype(np.uint64)  # the last stands before the first word of a text
     space.drop("unigrams")
+    del counted, unigrams
+    space.settle()  # the words' shuffles are done with
 
     vocabulary, begin, shards = model.vocabulary, model.words, Shards(bits, model.frequent)
 
