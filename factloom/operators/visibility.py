@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import base64
+import hashlib
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +42,27 @@ def keyset_page(facts: DataFrame, at: str, key: str, limit: int, before: tuple |
     return facts.orderBy(F.desc(at), F.desc(key)).limit(limit + 1)
 
 
+def page(facts: DataFrame, at: str, key: str, limit: int, asked: dict, revision: int, cursor: str | None = None) -> tuple[DataFrame, str | None]:
+    """(the newest ``limit`` facts after a cursor, the cursor of the next page or None). A page's rows are held by the driver.
+
+    A cursor is bound to what was asked and to the quarantine revision: with another question, or after a quarantine, it is refused.
+    """
+    bound = hashlib.sha256(json.dumps([asked, revision], sort_keys=True).encode()).hexdigest()[:16]
+    before = None
+    if cursor is not None:
+        told, moment, last = json.loads(base64.urlsafe_b64decode(cursor))
+        if told != bound:
+            raise ValueError("the cursor is of another question or revision")
+        before = (F.lit(moment).cast("timestamp"), last)
+    rows = keyset_page(facts, at, key, limit, before).collect()
+    schema = facts.schema
+    following = None
+    if len(rows) > limit:
+        end = rows[limit - 1]
+        following = base64.urlsafe_b64encode(json.dumps([bound, str(end[at]), end[key]]).encode()).decode()
+    return facts.sparkSession.createDataFrame(rows[:limit], schema), following
+
+
 def within(facts: DataFrame, limit: int) -> DataFrame:
     """facts, or an error if there are more than ``limit``: a bounded read refuses and never truncates."""
     if facts.limit(limit + 1).count() > limit:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.stats import split_score
-from ..operators import attachment, ci, evidence, repositories, sequences, visibility
+from ..operators import attachment, ci, context, evidence, repositories, sequences, visibility
 from ..sources import reads, rows_out
 from ..sources.bindings import ctes, facts
 from ..sources.shared import Workspace
@@ -190,3 +190,67 @@ def content_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = _gateway(spark, sf_dir).withColumn("inference_call_id", F.col("model_call_id"))
     parts = evidence.parts(calls).where("side = 'output' and message = 0 and part = 0")
     return parts.select(F.col("inference_call_id").alias("model_call_id"), F.sha2("text", 256).alias("content_key"))
+
+
+@query("x25_trainer_messages", _GATEWAY + """, p AS (SELECT model_call_id, event_type, event_id % 7 AS k, event_id % 4 AS j FROM g WHERE session_id IS NOT NULL),
+r AS (SELECT *, CASE k WHEN 0 THEN 'unsupported_completion_role' WHEN 1 THEN 'completionless' WHEN 2 THEN CASE WHEN j IN (0, 2) THEN 'unrepresentable_part_order' END WHEN 3 THEN CASE WHEN j IN (0, 2) THEN 'duplicate_tool_call_id' END WHEN 4 THEN 'unsupported_message_role' WHEN 5 THEN 'unresolved_tool_call' END AS reason FROM p)
+SELECT model_call_id, reason, CASE WHEN reason IS NULL THEN CASE j WHEN 0 THEN 'said ' || event_type WHEN 1 THEN 'plain' WHEN 2 THEN 'item ' || event_type ELSE 'whole' END END AS content, CASE WHEN reason IS NULL AND j = 2 THEN 'thinking' END AS thinking,
+  CASE WHEN reason IS NULL THEN CASE j WHEN 0 THEN 'Edit' WHEN 2 THEN 'Write' END END AS tool FROM r""")
+def trainer_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of which six of seven are spoilt in some way."""
+    from ..functions.trainer import conversation
+
+    # the id's remainder by seven is told by the alias, which holds the id
+    calls = _gateway(spark, sf_dir).withColumn("k", F.regexp_extract("model_call_id", "[0-9]+", 0).cast("long") % 7)
+    k, out, given = F.col("k"), F.col("output_messages"), F.col("input_messages")
+    kind = dict(calls.dtypes)["output_messages"]
+    role = lambda m, r: F.struct(F.lit(r).alias("role"), m["finish_reason"].alias("finish_reason"), m["parts"].alias("parts"))
+    answer = F.struct(F.lit("tool_call_response").alias("type"), F.lit(None).cast("string").alias("content"), F.lit("nowhere").alias("id"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("arguments"), F.lit("x").alias("result"))
+    turned = F.transform(out, lambda m: F.struct(m["role"].alias("role"), m["finish_reason"].alias("finish_reason"), F.reverse(m["parts"]).alias("parts")))
+    spoilt_out = F.when(k == 0, F.transform(out, lambda m: role(m, "user"))).when(k == 1, F.array().cast(kind)).when(k == 2, turned).when(k == 3, F.concat(out, out)).otherwise(out)
+    spoilt_in = F.when(k == 4, F.transform(given, lambda m: role(m, "alien"))).when(k == 5, F.transform(given, lambda m: F.struct(m["role"].alias("role"), m["finish_reason"].alias("finish_reason"), F.concat(m["parts"], F.array(answer)).alias("parts")))).otherwise(given)
+    told = calls.select("model_call_id", conversation(spoilt_in, spoilt_out).alias("c"))
+    first = F.get(F.col("c.completion"), 0)
+    return told.select("model_call_id", F.col("c.reason").alias("reason"), first["content"].alias("content"), first["thinking"].alias("thinking"), F.get(first["tool_calls"], 0)["name"].alias("tool"))
+
+
+_WORDS = ["license", "token", "password", "released"]
+_CONTEXT = f"""WITH p AS (SELECT source AS session_id, doc_id AS inference_call_id, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' MINUTE * (doc_id % 50) AS observed_at, CASE WHEN doc_id % 3 = 0 THEN 'output' ELSE 'input' END AS side, doc_id % 4 AS message, lang AS role,
+  CASE WHEN doc_id % 11 = 0 THEN 'reasoning' ELSE 'text' END AS type, text, len(list_intersect(list_distinct(list_transform(regexp_extract_all(text, '[a-zA-Z_][a-zA-Z0-9_]*|[0-9]+'), lambda x: lower(x))), {_WORDS}))::integer AS score FROM documents),
+f AS (SELECT *, row_number() OVER (ORDER BY score DESC, observed_at DESC, inference_call_id) AS i FROM p WHERE type <> 'reasoning' AND score > 0)"""
+
+
+def _context_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id")
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+        F.col("source").alias("session_id"), i.alias("inference_call_id"), F.expr("timestamp'2024-01-01 00:00:00' + interval '1' minute * (doc_id % 50)").alias("observed_at"), F.when(i % 3 == 0, "output").otherwise("input").alias("side"), (i % 4).alias("message"),
+        F.lit(0).alias("part"), F.col("lang").alias("role"), F.when(i % 11 == 0, "reasoning").otherwise("text").alias("type"), "text",
+    )
+
+
+@query("d13_retrieved_parts", _CONTEXT + " SELECT session_id, inference_call_id, side, score FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY role, text ORDER BY i) = 1) ORDER BY i LIMIT 8")
+def retrieved_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context.retrieve(_context_parts(spark, sf_dir), _WORDS).select("session_id", "inference_call_id", "side", "score")
+
+
+@query("d13_discovered_sessions", _CONTEXT + """, s AS (SELECT DISTINCT source AS session_id, CASE WHEN source IN ('src3', 'src5') THEN 'abc' END AS commit_match FROM documents),
+b AS (SELECT session_id, count(*) AS matched, arg_min(score, i) AS score, arg_min(inference_call_id, i) AS best_call FROM f GROUP BY session_id)
+SELECT session_id, commit_match, coalesce(score, 0) AS score, coalesce(matched, 0) AS matched, best_call FROM s LEFT JOIN b USING (session_id) WHERE commit_match IS NOT NULL OR best_call IS NOT NULL ORDER BY commit_match IS NULL, coalesce(score, 0) DESC, session_id LIMIT 8""")
+def discovered_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = _context_parts(spark, sf_dir)
+    sessions = parts.select("session_id").distinct().withColumn("commit_match", F.when(F.col("session_id").isin("src3", "src5"), "abc"))
+    return context.discover(parts, sessions, _WORDS)
+
+
+@query("l03_next_page", ctes("ci_outcomes") + "SELECT outcome_id, captured_at FROM ci_outcomes WHERE result = 'failed' ORDER BY captured_at DESC, outcome_id DESC LIMIT 50 OFFSET 50")
+def next_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page, by the cursor of the first."""
+    failed = facts(spark, sf_dir, "ci_outcomes").where("result = 'failed'").select("outcome_id", "captured_at")
+    asked = {"result": "failed"}
+    _, cursor = visibility.page(failed, "captured_at", "outcome_id", 50, asked, 7)
+    return visibility.page(failed, "captured_at", "outcome_id", 50, asked, 7, cursor)[0]
+
+
+@query("f13_evidence_json", """SELECT o_orderkey, CASE WHEN strlen(concat('{"o_custkey":', o_custkey, ',"o_orderpriority":"', o_orderpriority, '"}')) <= 46 THEN concat('{"o_custkey":', o_custkey, ',"o_orderpriority":"', o_orderpriority, '"}') END AS json FROM orders""")
+def evidence_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", T.evidence_json(F.struct("o_custkey", "o_orderpriority"), 46).alias("json"))
