@@ -231,18 +231,46 @@ def noted_sessions(notes: DataFrame, note: str = "note") -> DataFrame:
     return each.select("commit_sha", "s.tool", "s.session_id").distinct()
 
 
+def unquoted(path: Column) -> Column:
+    """A path as Git quotes it in C style: escapes of bytes in octal and of some letters, read as UTF-8. A path without a backslash is as it is."""
+    token = F.regexp_extract_all(path, F.lit(r"\\[0-7]{3}|\\.|[^\\]+"), F.lit(0))
+    letters = F.create_map(*(F.lit(x) for pair in (("a", "07"), ("b", "08"), ("t", "09"), ("n", "0A"), ("v", "0B"), ("f", "0C"), ("r", "0D")) for x in pair))
+    bytes_of = lambda t: F.when(t.rlike(r"^\\[0-7]{3}$"), F.lpad(F.conv(F.substring(t, 2, 3), 8, 16), 2, "0")).when(
+        t.startswith("\\"), F.coalesce(F.try_element_at(letters, F.substring(t, 2, 1)), F.hex(F.encode(F.substring(t, 2, 9), "UTF-8")))
+    ).otherwise(F.hex(F.encode(t, "UTF-8")))
+    return F.when(F.contains(path, F.lit("\\")), F.decode(F.unhex(F.array_join(F.transform(token, bytes_of), "")), "UTF-8")).otherwise(path)
+
+
+def hunks_fit(body: Column) -> Column:
+    """Whether the hunks of a section (its text from the first ``@@``) hold as many old and new lines as their headers say, and nothing else."""
+    state = lambda old, new, bad: F.struct(old.cast("int").alias("old"), new.cast("int").alias("new"), bad.alias("bad"))
+    head = r"^@@ -[0-9]+(?:,([0-9]+))? [+][0-9]+(?:,([0-9]+))? @@(?: .*)?$"
+    count = lambda line, k: F.coalesce(F.nullif(F.regexp_extract(line, head, k), F.lit("")), F.lit("1")).cast("int")
+    inside = lambda a: (a["old"] > 0) | (a["new"] > 0)
+    step = lambda a, line: (
+        F.when(line.startswith("@@"), state(count(line, 1), count(line, 2), a["bad"] | inside(a) | ~line.rlike(head)))
+        .when(line.startswith("\\ "), a).when(~inside(a), state(a["old"], a["new"], a["bad"] | (line != "")))
+        .when(line.startswith("+"), state(a["old"], a["new"] - 1, a["bad"])).when(line.startswith("-"), state(a["old"] - 1, a["new"], a["bad"]))
+        .otherwise(state(a["old"] - 1, a["new"] - 1, a["bad"] | ~(line.startswith(" ") | (line == ""))))
+    )
+    return F.aggregate(F.split(body, "\n", -1), state(F.lit(0), F.lit(0), F.lit(False)), step, lambda a: ~a["bad"] & (a["old"] == 0) & (a["new"] == 0))
+
+
 def diff_sections(diffs: DataFrame, diff: str = "diff") -> DataFrame:
-    """(other columns, position, path, patch, added): the file sections of unified diffs; added: text of added lines. A deleted file keeps its old path."""
+    """(other columns, position, path, patch, added, reason): the file sections of unified diffs; added: text of added lines. A deleted file keeps its old path.
+
+    reason: ``malformed_diff_section`` where hunks don't fit their headers or no path is told, ``unsupported_diff_section`` for combined diffs; null for a section to use.
+    """
     keep = [c for c in diffs.columns if c != diff]
-    parts = diffs.select(*keep, F.posexplode(F.filter(F.split(diff, r"(?m)^(?=diff --git )"), lambda s: s.startswith("diff --git "))).alias("position", "patch"))
-    new = F.regexp_extract("patch", r'(?m)^\+\+\+ "?b/(.*?)"?\t?$', 1)
-    old = F.regexp_extract("patch", r'(?m)^--- "?a/(.*?)"?\t?$', 1)
-    named = F.regexp_extract("patch", r'^diff --git "?a/.*? "?b/(.*?)"?\n', 1)
-    hunks = F.regexp_replace("patch", r"(?s)^.*?(?=\n@@)", "")
-    body = F.when(F.contains("patch", F.lit("\n@@")), hunks).otherwise(F.lit(""))
-    added = F.array_join(F.transform(F.regexp_extract_all(body, F.lit(r"(?m)^\+(.*)$"), F.lit(1)), lambda x: x), "\n")
+    parts = diffs.select(*keep, F.posexplode(F.filter(F.split(diff, r"(?m)^(?=diff --(?:git|cc|combined) )"), lambda s: s.startswith("diff --"))).alias("position", "patch"))
+    told = lambda mark, side: F.coalesce(F.nullif(unquoted(F.regexp_extract("patch", rf'(?m)^{mark} "{side}/((?:[^"\\]|\\.)*)"\t?$', 1)), F.lit("")), F.regexp_extract("patch", rf"(?m)^{mark} {side}/(.*?)\t?$", 1))
+    new, old = told(r"\+\+\+", "b"), told("---", "a")
+    named = F.regexp_extract("patch", r'^diff --git "?a/.*? "?b/(.*?)"?(?:\n|$)', 1)
+    body = F.when(F.contains("patch", F.lit("\n@@")), F.regexp_replace("patch", r"(?s)^.*?\n(?=@@)", "")).otherwise(F.lit(""))
+    added = F.array_join(F.regexp_extract_all(body, F.lit(r"(?m)^\+(.*)$"), F.lit(1)), "\n")
     path = F.when(new != "", new).when(old != "", old).otherwise(named)
-    return parts.select(*keep, "position", path.alias("path"), "patch", added.alias("added"))
+    reason = F.when(~F.startswith("patch", F.lit("diff --git ")), "unsupported_diff_section").when((path == "") | ~hunks_fit(body), "malformed_diff_section")
+    return parts.select(*keep, "position", path.alias("path"), "patch", added.alias("added"), reason.alias("reason"))
 
 
 _SHA = "^(?:[0-9a-f]{40}|[0-9a-f]{64})$"

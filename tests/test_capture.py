@@ -84,3 +84,15 @@ def test_edges_are_appended_once(spark, tmp_path):
     write(a, 0)
     write(a.unionByName(spark.createDataFrame([("d", "s", 3)], a.schema)), 1)
     assert sorted(r.commit_sha for r in spark.read.parquet(str(tmp_path / "edges")).collect()) == ["c", "d"]
+
+
+def test_diff_sections_are_checked(spark):
+    good = 'diff --git "a/f\\303\\244 \\"x\\t.py" "b/f\\303\\244 \\"x\\t.py"\n--- "a/f\\303\\244 \\"x\\t.py"\n+++ "b/f\\303\\244 \\"x\\t.py"\n@@ -1,2 +1,3 @@ def f\n a\n-b\n+c\n+d\n\\ No newline at end of file'
+    short = "diff --git a/s b/s\n--- a/s\n+++ b/s\n@@ -1 +1,2 @@\n-x\n+y"
+    long = "diff --git a/l b/l\n--- a/l\n+++ b/l\n@@ -1 +1 @@\n-x\n+y\n+z"
+    header = "diff --git a/h b/h\n--- a/h\n+++ b/h\n@@ nonsense @@\n+y"
+    merged = "diff --cc m.py\n@@@ -1 -1 +1 @@@\n++x"
+    df = spark.createDataFrame([("c", "\n".join([good, short, long, header, merged]))], "commit_sha string, diff string")
+    got = [(r.path, r.added, r.reason) for r in capture.diff_sections(df).orderBy("position").collect()]
+    assert got[0] == ('fä "x\t.py', "c\nd", None)
+    assert [(p, r) for p, _, r in got[1:]] == [("s", "malformed_diff_section"), ("l", "malformed_diff_section"), ("h", "malformed_diff_section"), ("", "unsupported_diff_section")]
