@@ -17,17 +17,16 @@ NOTES_FLOOR, JACCARD_FLOOR = 0.3, 0.7
 NOTES_MINUTES, JACCARD_MINUTES, GRACE_MINUTES = 10080, 60, 10
 COMMITS_PER_PUSH = 20
 CHUNK = 32  # rows of a group that a round of packing has at once
-FREQUENT = 1000  # tokens that go last in the common order of tokens
+FREQUENT = 200  # tokens that go last in the common order of tokens
 
 
 def rare_first(*token_arrays: DataFrame) -> Callable[[Column, Column], Column]:
-    """A function that gives the first n tokens of an array in one order for all texts: the ``FREQUENT`` most frequent tokens of the frames go last, the rest by hash."""
+    """A function that gives the first n tokens of an array in one order for all texts: the ``FREQUENT`` most frequent tokens of the frames go last, else by hash."""
     every = reduce(DataFrame.unionAll, (df.select(F.explode("tokens").alias("token")) for df in token_arrays))
     frequent = [r.token for r in every.groupBy("token").agg(F.count("*").alias("f")).orderBy(F.desc("f"), "token").limit(FREQUENT).collect()]
-    last = F.lit(frequent) if frequent else F.array().cast("array<string>")
 
     def first(tokens: Column, n: Column) -> Column:
-        ordered = F.array_sort(F.transform(tokens, lambda t: F.struct(F.array_position(last, t).alias("f"), F.xxhash64(t).alias("h"), t.alias("t"))))
+        ordered = F.array_sort(F.transform(tokens, lambda t: F.struct(t.isin(frequent).alias("f"), F.xxhash64(t).alias("h"), t.alias("t"))))
         return F.transform(F.slice(ordered, 1, n), lambda s: s["t"])
 
     return first
@@ -37,17 +36,25 @@ def scored(left: DataFrame, right: DataFrame, floor: float, on: list[str] = [],
     """(left_id, right_id, score, keep) of pairs whose token Jaccard is at least ``floor`` (above 0).
 
     Two sets over the floor share one of their first n - ceil(floor * n) + 1 tokens in any common order, so only those meet in the join, inside
-    the keys ``on`` and where ``near`` (a condition over the frames' other columns) holds. No pair is lost; frequent tokens join next to nothing.
+    the keys ``on`` and where ``near`` (a condition over the frames' other columns) holds. No pair is lost; frequent tokens join next to nothing. Whole
+    token arrays are joined to the pairs that are left. Rows of one id have the same tokens.
     """
     first = rare_first(left, right)
     n = F.size("tokens")
     prefix = (n - F.ceil(F.lit(floor) * n - 1e-9) + 1).cast("int")
-    whole = lambda df, id_, tokens: df.where(n > 0).select(*(c for c in df.columns if c not in ("id", "tokens")), F.col("id").alias(id_), F.col("tokens").alias(tokens), F.explode(first(F.col("tokens"), prefix)).alias("_token"))
-    both = whole(left, "left_id", "_l").join(whole(right, "right_id", "_r"), [*on, "_token"])
-    close = F.least(F.size("_l"), F.size("_r")) >= F.lit(floor) * F.greatest(F.size("_l"), F.size("_r")) - 1e-9
+
+    def meeting(df: DataFrame, id_: str, size: str) -> DataFrame:
+        others = [c for c in df.columns if c not in ("id", "tokens")]
+        return df.where(n > 0).select(*others, F.col("id").alias(id_), n.alias(size), F.explode(first(F.col("tokens"), prefix)).alias("_token"))
+
+    both = meeting(left, "left_id", "_n").join(meeting(right, "right_id", "_m"), [*on, "_token"])
+    close = F.least("_n", "_m") >= F.lit(floor) * F.greatest("_n", "_m") - 1e-9
+    pairs = both.where(close & near if near is not None else close).select("left_id", "right_id", *keep).distinct()
+    whole = lambda df, id_, tokens: df.select(F.col("id").alias(id_), F.col("tokens").alias(tokens)).dropDuplicates([id_])
+    told = pairs.join(whole(left, "left_id", "_l"), "left_id").join(whole(right, "right_id", "_r"), "right_id")
     common = F.size(F.array_intersect("_l", "_r"))
-    score = both.where(close & near if near is not None else close).withColumn("score", common / (F.size("_l") + F.size("_r") - common))
-    return score.where((F.col("score") >= floor) & (F.col("score") > 0)).select("left_id", "right_id", "score", *keep).distinct()
+    score = told.withColumn("score", common / (F.size("_l") + F.size("_r") - common))
+    return score.where((F.col("score") >= floor) & (F.col("score") > 0)).select("left_id", "right_id", "score", *keep)
 
 
 def best_match(candidates: DataFrame, priority: Column | None = None) -> DataFrame:
