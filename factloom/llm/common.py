@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.shared import Workspace, shared_root
 
-__all__ = ["Workspace", "fresh_name", "shared_root", "small_batches", "table", "tokenizer_spec"]
+__all__ = ["Workspace", "block_batches", "fresh_name", "shared_root", "small_batches", "table", "tokenizer_spec"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +36,18 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_ROWS))
 
 
+@contextmanager
+def block_batches(spark: SparkSession, rows: int = 4) -> Iterator[None]:
+    """A few rows at once for the jobs run inside, where a row is a block of some megabytes; the session's batch size is put back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def tokenizer_spec(path: str | None = None) -> str:
     """The text of a tokenizer file; by default the public 49k word vocabulary of this machine."""
     if path is None:

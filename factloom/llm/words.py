@@ -78,3 +78,18 @@ def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
     ends = np.cumsum(lengths)
     total = int(ends[-1]) if len(ends) else 0
     return flat[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)]
+
+
+def alphanumeric(texts: pa.Array) -> pa.StringArray:
+    """The texts with A-Z lower-cased and every ASCII character but digits and letters as a space; nulls are empty."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    kept = np.arange(256, dtype=np.uint8)
+    kept[ord("A") : ord("Z") + 1] += 32
+    word = np.zeros(256, bool)
+    word[[*range(ord("0"), ord("9") + 1), *range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(128, 256)]] = True
+    kept[~word] = ord(" ")
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = texts.buffers()[2]
+    flat = kept[np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]] if data is not None and len(texts) else kept[:0]
+    own = offsets - offsets[0] if len(texts) else np.zeros(1, np.int64)
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(own.tobytes()), pa.py_buffer(flat.tobytes()))
