@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,39 +16,44 @@ NOTES_FLOOR, JACCARD_FLOOR = 0.3, 0.7
 NOTES_MINUTES, JACCARD_MINUTES, GRACE_MINUTES = 10080, 60, 10
 COMMITS_PER_PUSH = 20
 CHUNK = 32  # rows of a group that a round of packing has at once
-FREQUENT = 200  # tokens that go last in the common order of tokens
+SPREAD = 64  # parts in which the first rows of a group are sought
 
 
-def rare_first(*token_arrays: DataFrame) -> Callable[[Column, Column], Column]:
-    """A function that gives the first n tokens of an array in one order for all texts: the ``FREQUENT`` most frequent tokens of the frames go last, else by hash."""
-    every = reduce(DataFrame.unionAll, (df.select(F.explode("tokens").alias("token")) for df in token_arrays))
-    frequent = [r.token for r in every.groupBy("token").agg(F.count("*").alias("f")).orderBy(F.desc("f"), "token").limit(FREQUENT).collect()]
+def token_order(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(token, weight): how many pairs of a left and a right row a token makes, in two frames (tokens); in one frame, how many rows hold it."""
+    counted = lambda df: df.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    if left is right:
+        return counted(left).withColumnRenamed("n", "weight")
+    both = counted(left).withColumn("other", F.lit(0)).unionAll(counted(right).select("token", F.lit(0), "n"))
+    return both.groupBy("token").agg((F.sum("n") * F.sum("other")).alias("weight"))
 
-    def first(tokens: Column, n: Column) -> Column:
-        ordered = F.array_sort(F.transform(tokens, lambda t: F.struct(t.isin(frequent).alias("f"), F.xxhash64(t).alias("h"), t.alias("t"))))
-        return F.transform(F.slice(ordered, 1, n), lambda s: s["t"])
 
-    return first
+def rarest(rows: DataFrame, order: DataFrame, floor: float, id_: str, size: str, place: str) -> DataFrame:
+    """rows (id, tokens, others) as (others, ``id_``, ``size``, ``place``, _token): the first size - ceil(floor * size) + 1 tokens of each, rarest first, with their places from 1.
+
+    Tokens go by their weight in ``order``, then by hash, so all rows have them in one order.
+    """
+    others = [c for c in rows.columns if c not in ("id", "tokens")]
+    each = rows.select(*others, F.col("id").alias(id_), F.size("tokens").alias(size), F.explode("tokens").alias("token")).join(order, "token")
+    own = Window.partitionBy(id_, *others).orderBy("weight", F.xxhash64("token"), "token")
+    prefix = F.col(size) - F.ceil(F.lit(floor) * F.col(size) - 1e-9) + 1
+    return each.withColumn(place, F.row_number().over(own)).where(F.col(place) <= prefix).select(*others, id_, size, place, F.col("token").alias("_token"))
 
 
 def scored(left: DataFrame, right: DataFrame, floor: float, on: list[str] = [], near: Column | None = None, keep: list[str] = []) -> DataFrame:
     """(left_id, right_id, score, keep) of pairs whose token Jaccard is at least ``floor`` (above 0).
 
     Two sets over the floor share one of their first n - ceil(floor * n) + 1 tokens in any common order, so only those meet in the join, inside
-    the keys ``on`` and where ``near`` (a condition over the frames' other columns) holds. No pair is lost; frequent tokens join next to nothing. Whole
-    token arrays are joined to the pairs that are left. Rows of one id have the same tokens.
+    the keys ``on`` and where ``near`` (a condition over the frames' other columns) holds. The order is by rarity in both frames together, so what meets is
+    rare. A pair that meets at places i and j first has at most 1 + min(n - i, m - j) tokens in common, and sizes beyond the floor's ratio can't reach it; pairs
+    that fail either test end in the join. No pair is lost. Whole token arrays are joined to the pairs that are left. Rows of one id have the same tokens.
     """
-    first = rare_first(left, right)
-    n = F.size("tokens")
-    prefix = (n - F.ceil(F.lit(floor) * n - 1e-9) + 1).cast("int")
-
-    def meeting(df: DataFrame, id_: str, size: str) -> DataFrame:
-        others = [c for c in df.columns if c not in ("id", "tokens")]
-        return df.where(n > 0).select(*others, F.col("id").alias(id_), n.alias(size), F.explode(first(F.col("tokens"), prefix)).alias("_token"))
-
-    both = meeting(left, "left_id", "_n").join(meeting(right, "right_id", "_m"), [*on, "_token"])
+    order = token_order(left, right)
+    both = rarest(left, order, floor, "left_id", "_n", "_i").join(rarest(right, order, floor, "right_id", "_m", "_j"), [*on, "_token"])
     close = F.least("_n", "_m") >= F.lit(floor) * F.greatest("_n", "_m") - 1e-9
-    pairs = both.where(close & near if near is not None else close).select("left_id", "right_id", *keep).distinct()
+    reach = 1 + F.least(F.col("_n") - F.col("_i"), F.col("_m") - F.col("_j")) >= F.lit(floor / (1 + floor)) * (F.col("_n") + F.col("_m")) - 1e-9
+    test = close & reach
+    pairs = both.where(test & near if near is not None else test).select("left_id", "right_id", *keep).distinct()
     whole = lambda df, id_, tokens: df.select(F.col("id").alias(id_), F.col("tokens").alias(tokens)).dropDuplicates([id_])
     told = pairs.join(whole(left, "left_id", "_l"), "left_id").join(whole(right, "right_id", "_r"), "right_id")
     common = F.size(F.array_intersect("_l", "_r"))
@@ -134,12 +138,18 @@ def similar_counts(texts: DataFrame, group: list[str], floor: float = 0.8, examp
     near = similar_within(classes.select(*group, "id", "tokens"), group, floor)
     across = near.join(sizes.withColumnRenamed("id", "left_id"), "left_id").join(sizes.select(F.col("id").alias("right_id"), F.col("n").alias("m")), "right_id")
     pairs = inside.unionByName(across.select(*group, (F.col("n") * F.col("m")).alias("pairs"), "left_id", "right_id"))
-    order = Window.partitionBy(*group).orderBy("left_id", "right_id")
-    ranked = pairs.withColumn("_rank", F.row_number().over(order))
-    shown = F.array_sort(F.collect_list(F.when(F.col("_rank") <= examples, F.struct("left_id", "right_id"))))
-    counts = ranked.groupBy(*group).agg(F.sum("pairs").alias("pairs"), shown.alias("examples"))
+    pairs = Workspace(texts.sparkSession, "similar").save(pairs, "pairs")
+    counts = pairs.groupBy(*group).agg(F.sum("pairs").alias("pairs"))
+    shown = first_rows(pairs, group, ["left_id", "right_id"], examples).groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("left_id", "right_id"))).alias("examples"))
     every = texts.groupBy(*group).agg(F.count("*").alias("texts"))
-    return every.join(counts, group, "left").select(*group, "texts", F.coalesce("pairs", F.lit(0)).alias("pairs"), "examples")
+    return every.join(counts, group, "left").join(shown, group, "left").select(*group, "texts", F.coalesce("pairs", F.lit(0)).alias("pairs"), "examples")
+
+
+def first_rows(rows: DataFrame, group: list[str], order: list[str], n: int) -> DataFrame:
+    """The first n rows of each group, sought in ``SPREAD`` parts of a group first, so that no task has all rows of one."""
+    part = F.pmod(F.xxhash64(*order), F.lit(SPREAD))
+    rank = lambda df, keys: df.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_i") <= n)
+    return rank(rank(rows.withColumn("_part", part), [*group, "_part"]), group).drop("_i", "_part")
 
 
 def keyword_overlap(parts: DataFrame, query: list[str], stop_words: list[str] = []) -> DataFrame:

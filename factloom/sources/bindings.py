@@ -63,6 +63,11 @@ BINDINGS: dict[str, tuple[tuple[str, ...], str]] = {
         "SELECT l_orderkey * 10 + l_linenumber AS observation_id, concat('repo', cast(l_suppkey % 20 AS string)) AS repo, l_partkey AS commit_sha, l_suppkey AS session_id, l_orderkey AS source_push_id, l_shipdate AS captured_at FROM {lineitem}",
     ),
     "rejections": (("lineitem",), "SELECT l_orderkey * 10 + l_linenumber AS rejection_id, l_suppkey AS session_id, l_orderkey AS call_id, l_shipdate AS occurred_at FROM {lineitem} WHERE l_returnflag = 'R'"),
+    "retold": (
+        ("conversations",),
+        """SELECT conv_id * 100 + turn AS id, role, text FROM {conversations} UNION ALL SELECT conv_id * 100 + turn + 50, role, concat(text, ' once more') FROM {conversations} WHERE conv_id % 3 = 0
+        UNION ALL SELECT conv_id * 100 + turn + 75, role, text FROM {conversations} WHERE conv_id % 7 = 0""",
+    ),
     "turns": (("conversations",), "SELECT conv_id AS session_id, turn, role, text FROM {conversations}"),
     "written": (
         ("documents",),
@@ -79,9 +84,11 @@ BINDINGS: dict[str, tuple[tuple[str, ...], str]] = {
         ("documents",),
         """SELECT concat('repo', cast(doc_id % 3 AS string)) AS repository, cast(floor(doc_id / 6) AS bigint) AS commit_sha,
           concat('src/f', cast(doc_id AS string), CASE WHEN doc_id % 7 = 0 THEN '.md' ELSE '.py' END) AS file_path, CASE WHEN doc_id % 50 = 1 THEN '  ' ELSE text END AS added
-        FROM {documents} WHERE doc_id % 2 = 1 AND doc_id % 12 <> 1""",
+        FROM {documents} WHERE doc_id % 2 = 1 AND doc_id % 12 <> 1
+        UNION ALL SELECT concat('repo', cast(doc_id % 3 AS string)), cast(floor(doc_id / 6) AS bigint), concat('src/g', cast(doc_id AS string), '.py'), concat(text, ' changed by hand')
+        FROM {documents} WHERE doc_id % 4 = 2""",
     ),
-    "noted": (("documents",), "SELECT concat('repo', cast(doc_id % 3 AS string)) AS repository, cast(floor(doc_id / 6) AS bigint) AS commit_sha, source AS session_id FROM {documents} WHERE doc_id % 4 = 1"),
+    "noted": (("documents",), "SELECT concat('repo', cast(doc_id % 3 AS string)) AS repository, cast(floor(doc_id / 6) AS bigint) AS commit_sha, source AS session_id FROM {documents} WHERE doc_id % 4 = 2 OR doc_id % 12 = 1"),
     "parts": (("documents",), "SELECT doc_id, source AS session_id, lang AS role, text FROM {documents}"),
 }
 
