@@ -48,7 +48,9 @@ def scored(left: DataFrame, right: DataFrame, floor: float, on: list[str] = [],
     rare. A pair that meets at places i and j first has at most 1 + min(n - i, m - j) tokens in common, and sizes beyond the floor's ratio can't reach it; pairs
     that fail either test end in the join. No pair is lost. Whole token arrays are joined to the pairs that are left. Rows of one id have the same tokens.
     """
-    order = token_order(left, right)
+    space = Workspace(left.sparkSession, "scored")  # each side is read three times: made once
+    left, right = (space.save(left, "left"),) * 2 if left is right else (space.save(left, "left"), space.save(right, "right"))
+    order = space.save(token_order(left, right), "order")
     both = rarest(left, order, floor, "left_id", "_n", "_i").join(rarest(right, order, floor, "right_id", "_m", "_j"), [*on, "_token"])
     close = F.least("_n", "_m") >= F.lit(floor) * F.greatest("_n", "_m") - 1e-9
     reach = 1 + F.least(F.col("_n") - F.col("_i"), F.col("_m") - F.col("_j")) >= F.lit(floor / (1 + floor)) * (F.col("_n") + F.col("_m")) - 1e-9
@@ -101,14 +103,16 @@ def attribute(files: DataFrame, calls: DataFrame, noted: DataFrame) -> DataFrame
     and organisation limit the pairs before their texts are compared. Ties: the earliest call, then the smallest id.
     """
     file = ["org_id", "repository", "commit_sha", "file_path"]
-    found = Workspace(files.sparkSession, "attribution").save(files.withColumn("id", F.concat_ws("\x00", *(F.coalesce(k, F.lit("")) for k in file))), "files")
+    space = Workspace(files.sparkSession, "attribution")
+    calls = space.save(calls, "calls")
+    found = space.save(files.withColumn("id", F.concat_ws("\x00", *(F.coalesce(k, F.lit("")) for k in file))), "files")
     real = found.where("reason is null")
     n = lambda c: F.col(f"c.{c}")
     c = calls.alias("c")
     by_note = real.join(noted.distinct(), ["repository", "commit_sha"]).alias("f").join(c, (F.col("f.org_id") == n("org_id")) & (F.col("f.session_id") == n("session_id")))
     by_note = by_note.where(in_lookback(n("observed_at"), F.col("f.captured_at"), NOTES_MINUTES)).withColumn("score", jaccard(F.col("f.tokens"), n("tokens")))
     by_note = by_note.where((F.col("score") >= NOTES_FLOOR) & (F.col("score") > 0)).select(F.col("f.id").alias("left_id"), n("inference_call_id").alias("right_id"), "score", n("observed_at"), n("session_id"), F.lit("git_notes").alias("source"))
-    first = best_match(by_note)
+    first = space.save(best_match(by_note), "noted")
     left = real.join(first.select(F.col("left_id").alias("id")), "id", "left_anti")
     width = (JACCARD_MINUTES + GRACE_MINUTES) * 60_000_000  # a window meets two buckets at most
     bucket = lambda c, shift: F.floor((micros(c) + shift * 60_000_000) / width)

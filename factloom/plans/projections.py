@@ -13,11 +13,11 @@ PAIR_CAP = 3
 FLOOR, KEPT = 0.6, 0.8
 
 
-def preference_pairs(completions: DataFrame, bucket: list[str], cap: int = PAIR_CAP, contrast: float = 0.0) -> DataFrame:
-    """(bucket, chosen_id, rejected_id, chosen_confidence, rejected_confidence, margin).
+def preference_pairs(completions: DataFrame, bucket: list[str], cap: int = PAIR_CAP) -> DataFrame:
+    """(bucket, chosen_id, rejected_id, chosen_confidence, rejected_confidence, margin, label_confidence); the smaller confidence is the pair's.
 
     ``completions``: bucket, id, good (null: neither), confidence, text. The best row of a call stands for it. Of each bucket the first ``cap`` pairs
-    in (chosen, rejected) id order are looked at, before the contrast check and without a refill: only the first ``cap`` ids of a
+    in (chosen, rejected) id order are looked at; those whose texts are the same go, without a refill: only the first ``cap`` ids of a
     side can be in them, so sides are cut before they meet.
     """
     best = completions.groupBy(*bucket, "id").agg(F.max(F.struct("confidence", "text", "good")).alias("m")).select(*bucket, "id", "m.*")
@@ -26,14 +26,30 @@ def preference_pairs(completions: DataFrame, bucket: list[str], cap: int = PAIR_
     both = side(F.col("good"), "chosen").join(side(~F.col("good"), "rejected"), bucket)
     ranked = both.withColumn("_n", F.row_number().over(Window.partitionBy(*bucket).orderBy("chosen_id", "rejected_id"))).where(F.col("_n") <= cap)
     margin = F.col("chosen_confidence") - F.col("rejected_confidence")
-    kept = ranked.where((margin > contrast) & (F.col("chosen_text") != F.col("rejected_text")))
-    return kept.select(*bucket, "chosen_id", "rejected_id", "chosen_confidence", "rejected_confidence", margin.alias("margin"))
+    kept = ranked.where(F.col("chosen_text") != F.col("rejected_text"))
+    return kept.select(*bucket, "chosen_id", "rejected_id", "chosen_confidence", "rejected_confidence", margin.alias("margin"), F.least("chosen_confidence", "rejected_confidence").alias("label_confidence"))
 
 
-def curated_reason(explicit_accept: Column, vetoed: Column, retention: Column, passed: Column, confidence: Column, floor: float = FLOOR, kept: float = KEPT) -> Column:
-    """Why a completion is no curated sample: vetoed, no_confidence, below_floor, no_positive_signal; null if it is one."""
-    positive = F.coalesce(explicit_accept, F.lit(False)) | (F.coalesce(retention, F.lit(0.0)) >= kept) | F.coalesce(passed, F.lit(False))
-    return F.when(vetoed, "vetoed").when(confidence.isNull(), "no_confidence").when(confidence < floor, "below_floor").when(~positive, "no_positive_signal")
+def eligibility(recipe: str) -> tuple[Column, Column]:
+    """(source, reason) of a completion as a sample of a recipe: what makes it one, or why it is none.
+
+    Columns: kind (decision branch), vetoed (any explicit reject), accepted (any explicit accept), kept (the best retention of its accepted decisions), failed (any
+    workflow failed), verdict, flake. Abandonment, an explicit reject and any failed workflow rule out both recipes. ``sft_curated`` wants an explicit accept or an
+    accepted decision with retention of ``KEPT``; ``sft_verified`` a pass that is no suspected flake.
+    """
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    passed = F.coalesce(F.col("verdict") == "passed", F.lit(False))
+    bad = F.when(F.col("kind") == "abandoned", "abandoned").when(yes("vetoed"), "explicit_reject").when(yes("failed"), "resolved_ci_failure")
+    if recipe == "sft_verified":
+        reason = bad.when(~passed, "no_eligibility_source").when(yes("flake"), "unreliable_ci_resolution")
+        return F.when(reason.isNull(), "resolved_ci_pass"), reason
+    source = F.when(yes("accepted"), "explicit_accept").when(F.coalesce(F.col("kept"), F.lit(0.0)) >= KEPT, "edit_retention")
+    reason = bad.when(source.isNull(), "no_eligibility_source")
+    return F.when(reason.isNull(), source), reason
+
+
+def below_floor(reason: Column, confidence: Column, floor: float = FLOOR) -> Column:
+    return F.coalesce(reason, F.when(confidence.isNull(), "no_reward_signal").when(confidence < floor, "below_confidence_floor"))
 
 
 def one_per_call(rows: DataFrame, call: str, evidence: str) -> DataFrame:
@@ -91,10 +107,15 @@ def decision_latency(rows: DataFrame, key: str, at: str, decided: str, buckets:
 def recipe_pairs(completions: DataFrame, recipe: str, cap: int = PAIR_CAP) -> DataFrame:
     """Preference pairs of a recipe, within (org_id, model, prompt_key), with the split of the pair: eval if either side's session is.
 
-    ``completions``: org_id, model, prompt_key, id, session_id, text, confidence, explicit (accept true, reject false, else null), verdict, is_eval. ``dpo_human``
-    takes explicit decisions for labels, ``dpo_outcome`` resolved CI verdicts; a completion without the recipe's label is on neither side.
+    ``completions``: org_id, model, prompt_key, id, text, confidence, kind (decision branch), verdict, flake, is_eval. ``dpo_human``
+    takes explicit decisions for labels (an abandoned accept is none), ``dpo_outcome`` resolved CI verdicts that are no suspected flake; a completion without the
+    recipe's label is on neither side.
     """
-    good = {"dpo_human": F.col("explicit"), "dpo_outcome": F.when(F.col("verdict") == "passed", True).when(F.col("verdict") == "failed", False)}[recipe]
+    sure = ~F.coalesce("flake", F.lit(False))
+    good = {
+        "dpo_human": F.when(F.col("kind") == "explicit_accept", True).when(F.col("kind") == "explicit_reject", False),
+        "dpo_outcome": F.when(sure & (F.col("verdict") == "passed"), True).when(sure & (F.col("verdict") == "failed"), False),
+    }[recipe]
     bucket = ["org_id", "model", "prompt_key"]
     pairs = preference_pairs(completions.select(*bucket, "id", good.alias("good"), "confidence", "text"), bucket, cap)
     flags = completions.groupBy("id").agg(F.max("is_eval").alias("e"))
@@ -103,18 +124,10 @@ def recipe_pairs(completions: DataFrame, recipe: str, cap: int = PAIR_CAP) -> Da
 
 
 def sample_rows(completions: DataFrame, recipe: str) -> DataFrame:
-    """(recipe, id, model, confidence, reason): a row for each completion, with why it is no sample (null if it is one).
-
-    ``sft_curated`` wants an explicit accept, retention or a pass; ``sft_verified`` a clean pass (reliability 1) and no explicit reject.
-    """
-    accepted, vetoed = F.coalesce(F.col("explicit"), F.lit(False)), F.coalesce(~F.col("explicit"), F.lit(False))
-    passed = F.col("verdict") == "passed"
-    if recipe == "sft_curated":
-        reason = curated_reason(accepted, vetoed, F.col("retention"), passed, F.col("confidence"))
-    else:
-        clean = F.coalesce(passed & (F.col("reliability") == 1.0), F.lit(False))
-        reason = F.when(vetoed, "vetoed").when(F.col("verdict").isNull(), "no_verdict").when(~clean, "no_clean_pass").when(F.col("confidence").isNull() | (F.col("confidence") < FLOOR), "below_floor")
-    return completions.select(F.lit(recipe).alias("recipe"), "id", "model", "confidence", reason.alias("reason"))
+    """(recipe, id, model, confidence, source, reason): a row for each completion, with what makes it a sample or why it is none (see ``eligibility``)."""
+    source, reason = eligibility(recipe)
+    told = below_floor(reason, F.col("confidence"))
+    return completions.select(F.lit(recipe).alias("recipe"), "id", "model", "confidence", F.when(told.isNull(), source).alias("source"), told.alias("reason"))
 
 
 def tasks(trajectories: DataFrame, patches: DataFrame) -> DataFrame:
@@ -128,13 +141,48 @@ def tasks(trajectories: DataFrame, patches: DataFrame) -> DataFrame:
     return last.join(joined, "commit_sha").select("session_id", "repo", "commit_sha", reward.alias("reward"), F.array_join(F.transform("s", lambda x: x["patch"]), "\n").alias("patch"), F.size("s").alias("sections"))
 
 
-def rescored(rows: DataFrame, score, knobs: dict[str, list[float]], policy, source: str) -> DataFrame:
-    """(source, knob, setting, n, affected, mean, mean_delta): the confidence ladder computed again with one knob of the policy set to each value of its grid.
+#: Which decision branches each knob of the ladder bears on.
+BRANCHES = {
+    "explicit_accept": ["explicit_accept"], "explicit_reject": ["abandoned", "explicit_reject"], "base": ["none", "implicit_reject", "neutral", "implicit_accept"], "up": ["implicit_accept"], "down": ["implicit_reject", "implicit_accept"],
+}
+
+
+def _bears(knob: str) -> Column:
+    if knob in BRANCHES:
+        return F.col("kind").isin(BRANCHES[knob])
+    known = F.col("verdict").isNotNull()
+    tests = {
+        "ci_pass": F.col("verdict") == "passed", "ci_fail": F.col("verdict") == "failed", "clean_reliability": known & ~F.col("flake"), "suspected_flake_reliability": known & F.col("flake"), "non_verdict_reliability": known & F.col("non_verdict"),
+    }
+    return F.coalesce(tests[knob], F.lit(False))
+
+
+def rescored(rows: DataFrame, score, older: Column, knobs: dict[str, list[float]], policy, floor: float = FLOOR) -> DataFrame:
+    """The ladder computed again with one knob of the policy set to each value of its grid, within each eligibility source (null: not eligible).
 
-    ``score``: a function from a policy to the confidence Column.
+    (source, knob, setting, affected, n, mean, median, mean_delta, median_delta, eligible, eligible_delta, older_mean, older_eligible). ``rows``: source, kind,
+    retention, verdict, flake, non_verdict, similarity; ``score``: a function from a policy to the confidence Column; ``older``: the older policy's Column. Rows with
+    the same inputs are one class, so the grid meets classes and medians are read from counts of equal values.
     """
-    base = score(policy)
-    cells = [F.struct(F.lit(k).alias("knob"), F.lit(float(v)).alias("setting"), score(replace(policy, **{k: v})).alias("value")) for k, grid in knobs.items() for v in grid]
-    each = rows.select(F.col(source).alias("source"), base.alias("_base"), F.explode(F.array(*cells)).alias("g")).where("_base is not null")
-    delta = F.col("g.value") - F.col("_base")
-    return each.groupBy("source", "g.knob", "g.setting").agg(F.count("*").alias("n"), F.count_if(F.abs(delta) > 1e-12).alias("affected"), F.avg("g.value").alias("mean"), F.avg(delta).alias("mean_delta"))
+    inputs = ["source", "kind", "retention", "verdict", "flake", "non_verdict", "similarity"]
+    classes = rows.groupBy(*inputs).agg(F.count("*").alias("n")).withColumns({"own": score(policy), "older": older})
+    cells = [F.struct(F.lit(k).alias("knob"), F.lit(float(v)).alias("setting"), score(replace(policy, **{k: v})).alias("value"), _bears(k).alias("bears")) for k, grid in knobs.items() for v in grid]
+    base = F.struct(F.lit("").alias("knob"), F.lit(0.0).alias("setting"), F.col("own").alias("value"), F.lit(False).alias("bears"))
+    each = classes.select("source", "n", "older", F.explode(F.array(base, *cells)).alias("g")).select("source", "n", "older", "g.*")
+    cell = ["source", "knob", "setting"]
+    values = each.groupBy(*cell, "value").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("bears"), F.col("n")).otherwise(0)).alias("affected"), F.sum(F.col("older") * F.col("n")).alias("older"), F.sum(F.when(F.col("older") >= floor, F.col("n")).otherwise(0)).alias("older_eligible"))
+    known = F.col("value").isNotNull()
+    to = F.sum(F.when(known, F.col("n"))).over(Window.partitionBy(*cell).orderBy(F.col("value").asc_nulls_last()))
+    total = F.sum(F.when(known, F.col("n"))).over(Window.partitionBy(*cell))
+    placed = values.withColumns({"_to": to, "_all": total}).withColumn("_from", F.col("_to") - F.col("n"))
+    at = lambda r: F.max(F.when(known & (F.col("_from") < r) & (F.col("_to") >= r), F.col("value")))
+    stats = placed.groupBy(*cell).agg(
+        F.sum("affected").alias("affected"), F.sum(F.when(known, F.col("n"))).alias("n"), (F.sum(F.col("value") * F.col("n")) / F.sum(F.when(known, F.col("n")))).alias("mean"),
+        ((at(F.floor((F.col("_all") + 1) / 2)) + at(F.floor(F.col("_all") / 2) + 1)) / 2).alias("median"),
+        F.sum(F.when(F.col("source").isNotNull() & (F.col("value") >= floor), F.col("n")).otherwise(0)).alias("eligible"), (F.sum("older") / F.sum("n")).alias("older_mean"), F.sum(F.when(F.col("source").isNotNull(), F.col("older_eligible")).otherwise(0)).alias("older_eligible"),
+    )
+    own = stats.where("knob = ''").select(F.col("source").alias("_s"), F.col("mean").alias("_mean"), F.col("median").alias("_median"), F.col("eligible").alias("_eligible"))
+    swept = stats.where("knob <> ''").join(F.broadcast(own), F.col("source").eqNullSafe(F.col("_s")))  # a row for a source
+    return swept.select(
+        *cell, "affected", "n", "mean", "median", (F.col("mean") - F.col("_mean")).alias("mean_delta"), (F.col("median") - F.col("_median")).alias("median_delta"), "eligible", (F.col("eligible") - F.col("_eligible")).alias("eligible_delta"), "older_mean", "older_eligible",
+    )

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from ..functions import text as T
 from ..functions.stats import Z95, corpus_floor, wilson_sql
 from ..functions.times import micros
 from ..operators import attribution, sequences
-from ..operators.confidence import ConfidencePolicy, branch_of, confidence
+from ..operators.confidence import ConfidencePolicy, branch_of, confidence, reliability, unreliable_confidence
 from ..sources.bindings import ctes, facts
 from . import projections, reports
 from .registry import query
@@ -205,24 +203,37 @@ def corpus_floors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(corpus_floor(m), m) for m in (0.1, 0.05, 0.02)], "cases int, margin double")
 
 
-_SAID = ctes("decisions") + """,
+def _ladder_sql(base=0.6, accept=1.0, reject=0.0, up=1.1, down=0.9, ci_pass=1.1, ci_fail=0.7, clean=1.0, flake=0.0) -> str:
+    """The ladder's numbers as SQL, written out once more."""
+    d = lambda v: f"{float(v)!r}::double"
+    kept = "least(1e0, greatest(0e0, ret))"
+    decision = f"CASE WHEN kind IN ('abandoned', 'explicit_reject') THEN {d(reject)} WHEN kind = 'explicit_accept' THEN {d(accept)} WHEN kind = 'implicit_reject' THEN {d(base)} * {d(down)} WHEN kind = 'neutral' THEN {d(base)} ELSE {d(base)} * coalesce({d(down)} + ({d(up)} - {d(down)}) * {kept}, {d(up)}) END"
+    ci = f"CASE verdict WHEN 'passed' THEN {d(ci_pass)} WHEN 'failed' THEN {d(ci_fail)} ELSE 1e0 END * CASE WHEN verdict IS NULL THEN 1e0 WHEN flake THEN {d(flake)} ELSE {d(clean)} END"
+    return f"least(1e0, greatest(0e0, {decision} * {ci} * coalesce(sim, 1e0)))"
+
+
+_SAID = ctes("decisions") + f""",
 d AS (SELECT call_id, bool_or(explicit AND NOT accepted) AS er, bool_or(explicit AND accepted) AS ea, bool_or(NOT accepted) AS ir, bool_and(agent_harness = 'codex') AS cx, min(edit_retention_score) AS ret,
-  min(CASE WHEN accepted THEN file_path END) AS f FROM decisions GROUP BY call_id),
-b AS (SELECT *, CASE WHEN er THEN 'explicit_reject' WHEN ea THEN 'explicit_accept' WHEN ir THEN 'implicit_reject' WHEN cx THEN 'neutral' ELSE 'implicit_accept' END AS kind,
-  CASE call_id % 3 WHEN 0 THEN 'passed' WHEN 1 THEN 'failed' END AS verdict, CASE WHEN call_id % 5 = 0 THEN 0.8::double END AS sim FROM d),
-c AS (SELECT *, least(1e0, greatest(0e0, CASE kind WHEN 'explicit_reject' THEN 1e0 WHEN 'explicit_accept' THEN 1e0 WHEN 'implicit_reject' THEN 0.6::double * 0.9::double WHEN 'neutral' THEN 0.6::double
-  ELSE 0.6::double * coalesce(0.9::double + (1.1::double - 0.9::double) * least(1e0, greatest(0e0, ret)), 1.1::double) END * CASE verdict WHEN 'passed' THEN 1.1::double WHEN 'failed' THEN 0.7::double ELSE 1e0 END * coalesce(sim, 1e0))) AS confidence FROM b)
+  max(CASE WHEN accepted THEN edit_retention_score END) AS kept FROM decisions GROUP BY call_id),
+b AS (SELECT *, CASE WHEN ea AND call_id % 13 = 0 THEN 'abandoned' WHEN er THEN 'explicit_reject' WHEN ea THEN 'explicit_accept' WHEN ir THEN 'implicit_reject' WHEN cx THEN 'neutral' ELSE 'implicit_accept' END AS kind,
+  CASE call_id % 3 WHEN 0 THEN 'passed' WHEN 1 THEN 'failed' END AS verdict, call_id % 3 < 2 AND call_id % 5 = 1 AS flake, call_id % 3 = 1 OR call_id % 11 = 2 AS failed, call_id % 7 = 3 AS non_verdict, CASE WHEN call_id % 5 = 0 THEN 0.8::double END AS sim FROM d),
+c AS (SELECT *, {_ladder_sql()} AS confidence FROM b)
 """
 
 
 def _scored_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    accepted, explicit = F.col("accepted"), F.col("explicit")
+    """Calls by their decisions, with a verdict, suspected flakes, failed workflows, abandoned accepts and similarities by rules over their ids."""
+    accepted, explicit, i = F.col("accepted"), F.col("explicit"), F.col("call_id")
     grouped = facts(spark, sf_dir, "decisions").groupBy("call_id").agg(
-        F.bool_or(explicit & ~accepted).alias("er"), F.bool_or(explicit & accepted).alias("ea"), F.bool_or(~accepted).alias("ir"), F.bool_and(F.col("agent_harness") == "codex").alias("cx"), F.min("edit_retention_score").alias("ret")
-    )
-    marked = grouped.withColumn("kind", branch_of(F.col("er"), F.col("ea"), F.col("ir"), F.col("cx"), F.lit(True))).withColumn("verdict", F.when(F.col("call_id") % 3 == 0, "passed").when(F.col("call_id") % 3 == 1, "failed"))
-    similarity = F.when(F.col("call_id") % 5 == 0, F.lit(0.8))
-    return marked.withColumn("confidence", confidence(F.col("kind"), F.col("ret"), F.col("verdict"), F.lit(None).cast("double"), similarity))
+        F.bool_or(explicit & ~accepted).alias("vetoed"), F.bool_or(explicit & accepted).alias("accepted"), F.bool_or(~accepted).alias("ir"), F.bool_and(F.col("agent_harness") == "codex").alias("cx"),
+        F.min("edit_retention_score").alias("ret"), F.max(F.when(accepted, F.col("edit_retention_score"))).alias("kept"),
+    )
+    said = branch_of(F.col("vetoed"), F.col("accepted"), F.col("ir"), F.col("cx"), F.lit(True))
+    marked = grouped.withColumns({
+        "kind": F.when(F.col("accepted") & (i % 13 == 0), "abandoned").otherwise(said), "verdict": F.when(i % 3 == 0, "passed").when(i % 3 == 1, "failed"), "flake": (i % 3 < 2) & (i % 5 == 1), "failed": (i % 3 == 1) | (i % 11 == 2),
+        "non_verdict": i % 7 == 3, "similarity": F.when(i % 5 == 0, F.lit(0.8)),
+    })
+    return marked.withColumn("confidence", confidence(F.col("kind"), F.col("ret"), F.col("verdict"), reliability(F.col("verdict"), F.col("flake")), F.col("similarity")))
 
 
 @query("x08_confidence", _SAID + "SELECT call_id, kind, confidence FROM c")
@@ -230,37 +241,43 @@ def label_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored_calls(spark, sf_dir).select("call_id", "kind", "confidence")
 
 
-#: Knobs of the confidence policy and the grid of each.
+#: The knobs of the confidence policy and the grid of each.
 KNOBS = {
-    "base": [0.5, 0.7], "explicit_accept": [0.9], "explicit_reject": [0.9], "up": [1.05, 1.2], "down": [0.8, 0.95], "ci_pass": [1.0, 1.2], "ci_fail": [0.5, 0.9], "similarity_weight": [0.5], "reliability_weight": [0.5], "floor": [0.5, 0.7],
+    "explicit_accept": [0.8, 0.9, 1.0], "explicit_reject": [0.0, 0.1, 0.2], "base": [0.4, 0.5, 0.6, 0.7, 0.8], "up": [1.0, 1.1, 1.2, 1.3, 1.4, 1.5], "down": [0.5, 0.7, 0.9, 1.0, 1.1], "ci_pass": [1.0, 1.1, 1.2, 1.3],
+    "ci_fail": [0.5, 0.7, 0.9, 1.0], "clean_reliability": [0.8, 0.9, 1.0], "suspected_flake_reliability": [0.0, 0.25, 0.5, 0.75, 1.0], "non_verdict_reliability": [0.5, 0.75, 1.0],
 }
 
-
-def _ladder_sql(p: ConfidencePolicy) -> str:
-    d = lambda v: f"{v!r}::double"
-    kept = "least(1e0, greatest(0e0, ret))"
-    decision = f"CASE kind WHEN 'explicit_reject' THEN {d(p.explicit_reject)} WHEN 'explicit_accept' THEN {d(p.explicit_accept)} WHEN 'implicit_reject' THEN {d(p.base)} * {d(p.down)} WHEN 'neutral' THEN {d(p.base)} ELSE {d(p.base)} * coalesce({d(p.down)} + ({d(p.up)} - {d(p.down)}) * {kept}, {d(p.up)}) END"
-    return f"least(1e0, greatest(0e0, {decision} * CASE verdict WHEN 'passed' THEN {d(p.ci_pass)} WHEN 'failed' THEN {d(p.ci_fail)} ELSE 1e0 END * (1 + {d(p.similarity_weight)} * (coalesce(sim, 1e0) - 1))))"
+_SOURCE = "CASE WHEN kind = 'abandoned' OR er OR failed THEN NULL WHEN ea THEN 'explicit_accept' WHEN kept >= 0.8::double THEN 'edit_retention' END"
+_TOUCHED = {
+    "explicit_accept": ("accept", "kind = 'explicit_accept'"), "explicit_reject": ("reject", "kind IN ('abandoned', 'explicit_reject')"), "base": ("base", "kind IN ('implicit_reject', 'neutral', 'implicit_accept')"), "up": ("up", "kind = 'implicit_accept'"),
+    "down": ("down", "kind IN ('implicit_reject', 'implicit_accept')"), "ci_pass": ("ci_pass", "coalesce(verdict = 'passed', false)"), "ci_fail": ("ci_fail", "coalesce(verdict = 'failed', false)"), "clean_reliability": ("clean", "verdict IS NOT NULL AND NOT flake"),
+    "suspected_flake_reliability": ("flake", "verdict IS NOT NULL AND flake"), "non_verdict_reliability": ("", "verdict IS NOT NULL AND non_verdict"),
+}
+_GRID = " UNION ALL ".join(f"SELECT source, '{k}' AS knob, {v!r}::double AS setting, {_TOUCHED[k][1]} AS hit, {_ladder_sql(**({_TOUCHED[k][0]: v} if _TOUCHED[k][0] else {}))} AS v, confidence AS own, older FROM o" for k, grid in KNOBS.items() for v in grid)
+_OLDER = _ladder_sql(clean=1.0, flake=1.0).replace("CASE verdict", "CASE coalesce(CASE WHEN flake THEN 'passed' END, verdict)")
 
 
-_GRID = " UNION ALL ".join(f"SELECT kind AS source, '{k}' AS knob, {float(v)!r}::double AS setting, {_ladder_sql(replace(ConfidencePolicy(), **{k: v}))} AS v, {_ladder_sql(ConfidencePolicy())} AS b FROM b" for k, grid in KNOBS.items() for v in grid)
+@query("a27_sensitivity", _SAID + f""", o AS (SELECT *, {_SOURCE} AS source, {_OLDER} AS older FROM c), g AS ({_GRID})
+SELECT source, knob, setting, count(*) FILTER (WHERE hit) AS affected, count(*) AS n, avg(v) AS mean, median(v) AS median, avg(v) - avg(own) AS mean_delta, median(v) - median(own) AS median_delta, count(*) FILTER (WHERE source IS NOT NULL AND v >= 0.6::double) AS eligible,
+  count(*) FILTER (WHERE source IS NOT NULL AND v >= 0.6::double) - count(*) FILTER (WHERE source IS NOT NULL AND own >= 0.6::double) AS eligible_delta, avg(older) AS older_mean, count(*) FILTER (WHERE source IS NOT NULL AND older >= 0.6::double) AS older_eligible FROM g GROUP BY ALL""")
+def sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _scored_calls(spark, sf_dir).withColumnRenamed("ret", "retention").withColumn("source", projections.eligibility("sft_curated")[0])
+    kind, kept, verdict, flake, similarity = map(F.col, ("kind", "retention", "verdict", "flake", "similarity"))
+    score = lambda p: confidence(kind, kept, verdict, reliability(verdict, flake, p), similarity, p)
+    older = unreliable_confidence(kind, kept, F.when(flake | (verdict == "passed"), True).when(verdict == "failed", False), similarity)
+    return projections.rescored(rows, score, older, KNOBS, ConfidencePolicy())
 
 
-@query("a27_sensitivity", _SAID + f""", g AS ({_GRID})
-SELECT source, knob, setting, count(*) AS n, count(*) FILTER (WHERE abs(v - b) > 1e-12) AS affected, avg(v) AS mean, avg(v - b) AS mean_delta FROM g GROUP BY ALL""")
-def sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _scored_calls(spark, sf_dir)
-    similarity = F.when(F.col("call_id") % 5 == 0, F.lit(0.8))
-    score = lambda p: confidence(F.col("kind"), F.col("ret"), F.col("verdict"), F.lit(None).cast("double"), similarity, p)
-    return projections.rescored(rows, score, KNOBS, ConfidencePolicy(), "kind")
+_WHY = {
+    "sft_curated": f"CASE WHEN kind = 'abandoned' THEN 'abandoned' WHEN er THEN 'explicit_reject' WHEN failed THEN 'resolved_ci_failure' WHEN {_SOURCE} IS NULL THEN 'no_eligibility_source' WHEN confidence < 0.6::double THEN 'below_confidence_floor' END",
+    "sft_verified": "CASE WHEN kind = 'abandoned' THEN 'abandoned' WHEN er THEN 'explicit_reject' WHEN failed THEN 'resolved_ci_failure' WHEN verdict IS DISTINCT FROM 'passed' THEN 'no_eligibility_source' WHEN flake THEN 'unreliable_ci_resolution' WHEN confidence < 0.6::double THEN 'below_confidence_floor' END",
+}
 
 
-@query("d15_curated_samples", _SAID + """
-SELECT CASE WHEN er THEN 'vetoed' WHEN confidence < 0.6::double THEN 'below_floor' WHEN NOT (ea OR coalesce(ret, 0e0) >= 0.8::double OR coalesce(verdict = 'passed', false)) THEN 'no_positive_signal' ELSE 'kept' END AS reason, count(*) AS n FROM c GROUP BY 1""")
+@query("d15_curated_samples", _SAID + f"SELECT coalesce({_WHY['sft_curated']}, 'kept') AS reason, count(*) AS n FROM c GROUP BY 1")
 def curated_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = _scored_calls(spark, sf_dir)
-    reason = projections.curated_reason(F.col("ea"), F.col("kind") == "explicit_reject", F.col("ret"), F.col("verdict") == "passed", F.col("confidence"))
-    return calls.groupBy(F.coalesce(reason, F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
+    reason = projections.below_floor(projections.eligibility("sft_curated")[1], F.col("confidence"))
+    return _scored_calls(spark, sf_dir).groupBy(F.coalesce(reason, F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 
 @query("a21_floor_exclusion", _SAID + "SELECT kind AS model, count(*) AS calls, count(*) FILTER (WHERE confidence < 0.6::double) AS excluded, count(*) FILTER (WHERE confidence < 0.6::double) / count(*) AS rate FROM c GROUP BY kind")
@@ -271,7 +288,7 @@ def floor_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("d14_preference_pairs", _SAID + """, x AS (SELECT call_id % 500 AS bucket, call_id AS id, confidence, CASE WHEN kind IN ('explicit_accept', 'implicit_accept') THEN true WHEN kind IN ('explicit_reject', 'implicit_reject') THEN false END AS good FROM c),
 g AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY id) AS i FROM x WHERE good), r AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY id) AS i FROM x WHERE NOT good),
 p AS (SELECT g.bucket, g.id AS chosen_id, r.id AS rejected_id, g.confidence AS a, r.confidence AS b, row_number() OVER (PARTITION BY g.bucket ORDER BY g.id, r.id) AS n FROM g JOIN r ON g.bucket = r.bucket AND g.i <= 3 AND r.i <= 3)
-SELECT bucket, chosen_id, rejected_id, a AS chosen_confidence, b AS rejected_confidence, a - b AS margin FROM p WHERE n <= 3 AND a - b > 0""")
+SELECT bucket, chosen_id, rejected_id, a AS chosen_confidence, b AS rejected_confidence, a - b AS margin, least(a, b) AS label_confidence FROM p WHERE n <= 3""")
 def preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = F.when(F.col("kind").isin("explicit_accept", "implicit_accept"), True).when(F.col("kind").isin("explicit_reject", "implicit_reject"), False)
     rows = _scored_calls(spark, sf_dir).select((F.col("call_id") % 500).alias("bucket"), F.col("call_id").alias("id"), "confidence", good.alias("good"), F.col("call_id").cast("string").alias("text"))

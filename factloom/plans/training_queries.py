@@ -15,39 +15,40 @@ from . import projections, reports
 from .capture_queries import _GATEWAY, _gateway
 from .fact_queries import _VERDICTS, _kept_verdicts
 from .registry import query
-from .report_queries import _SAID, _scored_calls
+from .report_queries import _SAID, _SOURCE, _WHY, _scored_calls
 
-_ROWS = _SAID + """, k AS (SELECT 'org' || (c.call_id % 2) AS org_id, 'm' || (c.call_id % 3) AS model, c.call_id % 97 AS prompt_key, c.call_id AS id, confidence, CASE WHEN er THEN false WHEN ea THEN true END AS explicit, verdict, ret AS retention,
-  CASE WHEN c.call_id % 4 = 0 THEN 0.0::double ELSE 1.0::double END AS reliability, (('0x' || substr(sha256((c.call_id % 40)::varchar), 1, 16))::ubigint)::double / 18446744073709551616::double < 0.2::double AS is_eval FROM c)"""
+_ROWS = _SAID + """, k AS (SELECT 'org' || (c.call_id % 2) AS org_id, 'm' || (c.call_id % 4) AS model, c.call_id % 97 AS prompt_key, c.call_id AS id, confidence, kind, er, ea, kept, failed, verdict, flake,
+  (('0x' || substr(sha256((c.call_id % 40)::varchar), 1, 16))::ubigint)::double / 18446744073709551616::double < 0.2::double AS is_eval FROM c)"""
 
 
 def _completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("call_id")
     named = lambda c, n: F.concat(F.lit(c), (i % n).cast("string"))
     return _scored_calls(spark, sf_dir).select(
-        named("org", 2).alias("org_id"), named("m", 3).alias("model"), (i % 97).alias("prompt_key"), i.alias("id"), i.cast("string").alias("text"), "confidence", F.when(F.col("er"), False).when(F.col("ea"), True).alias("explicit"), "verdict",
-        F.col("ret").alias("retention"), F.when(i % 4 == 0, 0.0).otherwise(1.0).alias("reliability"), (split_score((i % 40).cast("string")) < 0.2).alias("is_eval"),
+        named("org", 2).alias("org_id"), named("m", 4).alias("model"), (i % 97).alias("prompt_key"), i.alias("id"), i.cast("string").alias("text"), "confidence", "kind", "vetoed", "accepted", "kept", "failed", "verdict", "flake",
+        (split_score((i % 40).cast("string")) < 0.2).alias("is_eval"),
     )
 
 
 def _recipe_sql(recipe: str, good: str) -> str:
     bucket = "org_id, model, prompt_key"
-    return f"""SELECT '{recipe}' AS recipe, g.org_id, g.model, g.prompt_key, g.id AS chosen_id, r.id AS rejected_id, g.confidence AS chosen_confidence, r.confidence AS rejected_confidence, g.confidence - r.confidence AS margin, CASE WHEN g.is_eval OR r.is_eval THEN 'eval' ELSE 'train' END AS split
+    return f"""SELECT '{recipe}' AS recipe, g.org_id, g.model, g.prompt_key, g.id AS chosen_id, r.id AS rejected_id, g.confidence AS chosen_confidence, r.confidence AS rejected_confidence, g.confidence - r.confidence AS margin, least(g.confidence, r.confidence) AS label_confidence, CASE WHEN g.is_eval OR r.is_eval THEN 'eval' ELSE 'train' END AS split
 FROM (SELECT *, {good} AS good, row_number() OVER (PARTITION BY {bucket}, {good} ORDER BY id) AS i FROM k) g JOIN (SELECT *, {good} AS good, row_number() OVER (PARTITION BY {bucket}, {good} ORDER BY id) AS i FROM k) r USING ({bucket})
 WHERE g.good AND NOT r.good AND g.i <= 3 AND r.i <= 3 QUALIFY row_number() OVER (PARTITION BY {bucket} ORDER BY g.id, r.id) <= 3"""
 
 
-_OUTCOME = "CASE verdict WHEN 'passed' THEN true WHEN 'failed' THEN false END"
+_HUMAN = "CASE kind WHEN 'explicit_accept' THEN true WHEN 'explicit_reject' THEN false END"
+_OUTCOME = "CASE WHEN flake THEN NULL WHEN verdict = 'passed' THEN true WHEN verdict = 'failed' THEN false END"
 
 
-@query("d14_recipe_pairs", _ROWS + f", p AS ({_recipe_sql('dpo_human', 'explicit')}), o AS ({_recipe_sql('dpo_outcome', _OUTCOME)}) SELECT * FROM p WHERE margin > 0 UNION ALL SELECT * FROM o WHERE margin > 0")
+@query("d14_recipe_pairs", _ROWS + f", p AS ({_recipe_sql('dpo_human', _HUMAN)}), o AS ({_recipe_sql('dpo_outcome', _OUTCOME)}) SELECT * FROM p UNION ALL SELECT * FROM o")
 def recipe_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _completions(spark, sf_dir)
     return projections.recipe_pairs(rows, "dpo_human").unionByName(projections.recipe_pairs(rows, "dpo_outcome"))
 
 
-@query("d15_sample_rows", _ROWS + """ SELECT 'sft_curated' AS recipe, id, model, confidence, CASE WHEN explicit = false THEN 'vetoed' WHEN confidence < 0.6::double THEN 'below_floor' WHEN NOT (coalesce(explicit, false) OR coalesce(retention, 0e0) >= 0.8::double OR coalesce(verdict = 'passed', false)) THEN 'no_positive_signal' END AS reason FROM k
-UNION ALL SELECT 'sft_verified', id, model, confidence, CASE WHEN explicit = false THEN 'vetoed' WHEN verdict IS NULL THEN 'no_verdict' WHEN verdict <> 'passed' OR reliability <> 1 THEN 'no_clean_pass' WHEN confidence < 0.6::double THEN 'below_floor' END FROM k""")
+@query("d15_sample_rows", _ROWS + f""", s AS (SELECT 'sft_curated' AS recipe, id, model, confidence, {_SOURCE} AS source, {_WHY['sft_curated']} AS reason FROM k UNION ALL SELECT 'sft_verified', id, model, confidence, 'resolved_ci_pass', {_WHY['sft_verified']} FROM k)
+SELECT recipe, id, model, confidence, CASE WHEN reason IS NULL THEN source END AS source, reason FROM s""")
 def sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _completions(spark, sf_dir)
     return projections.sample_rows(rows, "sft_curated").unionByName(projections.sample_rows(rows, "sft_verified"))
@@ -159,7 +160,7 @@ def abandonment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("d20_confidence_inspection", _SAID + """ SELECT call_id, kind, verdict, ret, sim, confidence FROM c QUALIFY true ORDER BY row_number() OVER (PARTITION BY kind, verdict ORDER BY call_id), kind, verdict NULLS FIRST LIMIT 40""")
 def confidence_inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _scored_calls(spark, sf_dir).withColumn("sim", F.when(F.col("call_id") % 5 == 0, F.lit(0.8)))
+    rows = _scored_calls(spark, sf_dir).withColumnRenamed("similarity", "sim")
     return sequences.round_robin(rows, ["kind", "verdict"], "call_id", 40).select("call_id", "kind", "verdict", "ret", "sim", "confidence")
 
 

@@ -71,7 +71,7 @@ BINDINGS: dict[str, tuple[tuple[str, ...], str]] = {
     "turns": (("conversations",), "SELECT conv_id AS session_id, turn, role, text FROM {conversations}"),
     "written": (
         ("documents",),
-        """SELECT doc_id AS inference_call_id, CASE WHEN doc_id % 10 < 8 THEN 'org0' ELSE 'org1' END AS org_id, source AS session_id, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' MINUTE * (doc_id * 37 % 600) AS observed_at, text
+        """SELECT doc_id AS inference_call_id, CASE WHEN doc_id % 10 < 8 THEN 'org0' ELSE 'org1' END AS org_id, concat(source, '-', cast(cast(floor(doc_id / 40) AS bigint) AS string)) AS session_id, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' MINUTE * (doc_id * 37 % 600) AS observed_at, text
         FROM {documents} WHERE doc_id % 2 = 0""",
     ),
     "code_pushes": (
@@ -88,7 +88,7 @@ BINDINGS: dict[str, tuple[tuple[str, ...], str]] = {
         UNION ALL SELECT concat('repo', cast(doc_id % 3 AS string)), cast(floor(doc_id / 6) AS bigint), concat('src/g', cast(doc_id AS string), '.py'), concat(text, ' changed by hand')
         FROM {documents} WHERE doc_id % 4 = 2""",
     ),
-    "noted": (("documents",), "SELECT concat('repo', cast(doc_id % 3 AS string)) AS repository, cast(floor(doc_id / 6) AS bigint) AS commit_sha, source AS session_id FROM {documents} WHERE doc_id % 4 = 2 OR doc_id % 12 = 1"),
+    "noted": (("documents",), "SELECT concat('repo', cast(doc_id % 3 AS string)) AS repository, cast(floor(doc_id / 6) AS bigint) AS commit_sha, concat(source, '-', cast(cast(floor(doc_id / 40) AS bigint) AS string)) AS session_id FROM {documents} WHERE doc_id % 4 = 2 OR doc_id % 12 = 1"),
     "parts": (("documents",), "SELECT doc_id, source AS session_id, lang AS role, text FROM {documents}"),
 }
 
