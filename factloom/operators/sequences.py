@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stats import Z95
 from ..sources.shared import Workspace
 
 DELETED, UNMODIFIED = 0.1, 0.9
@@ -87,14 +88,55 @@ def numbered(rows: DataFrame, order: list[str], number: str, total: str) -> Data
     return placed.withColumn(number, F.col("_own") + F.col("_offset")).drop("_part", "_own", "_offset")
 
 
+def running(rows: DataFrame, group: list[str], order: list[str], weight: Column, to: str, total: str) -> DataFrame:
+    """rows with the sum of weights up to them (``to``, themselves included) in the order within their group, and the group's sum, without one task that has a whole group.
+
+    Rows are dealt by range of group and order, so a large group lies in several ranges; a range starts with what the ranges before it hold of its
+    group. ``order`` is total within a group, or equal rows may go in any order.
+    """
+    space = Workspace(rows.sparkSession, "running")
+    held = space.save(rows.withColumn("_w", weight).repartitionByRange(*group, *order).withColumn("_part", F.spark_partition_id()), "rows")
+    sums = held.groupBy("_part", *group).agg(F.sum("_w").alias("_n"))  # a row for a group and each range it lies in
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(F.col("_part").alias("_p"), *(F.col(g).alias(f"_g_{g}") for g in group), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(*group)).alias(total))
+    own = Window.partitionBy("_part", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    same = F.col("_part") == F.col("_p")
+    for g in group:
+        same &= F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+    placed = held.withColumn("_own", F.sum("_w").over(own)).join(offsets, same)
+    return placed.withColumn(to, F.col("_own") + F.col("_before")).drop("_w", "_part", "_p", "_own", "_before", *(f"_g_{g}" for g in group))
+
+
+def quantiles(rows: DataFrame, group: list[str], value: str, at: dict[str, float], nearest: dict[str, float] = {}) -> DataFrame:
+    """(group, the names of ``at`` and ``nearest``): exact quantiles of each group, nulls left out; linear between ranks, or the value at rank ceil(q * n).
+
+    Equal values are counted first, so a value that many rows hold is one row; the wanted ranks are then found by running sums, and no buffer has a group's values.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_c"))
+    placed = running(counts, group, [value], F.col("_c"), "_to", "_all").withColumn("_from", F.col("_to") - F.col("_c"))
+    held = lambda rank: F.max(F.when((F.col("_from") <= rank) & (F.col("_to") > rank), F.col(value).cast("double")))  # noqa: E731  rank from 0
+    out = []
+    for name, q in at.items():
+        rank = (F.col("_all") - 1) * F.lit(float(q))
+        low, high = held(F.floor(rank)), held(F.ceil(rank))
+        out.append((low + (high - low) * F.max(rank - F.floor(rank))).alias(name))
+    out += [held(F.greatest(F.ceil(F.col("_all") * F.lit(float(q)) - 1e-9), F.lit(1)) - 1).alias(name) for name, q in nearest.items()]
+    return placed.groupBy(*group).agg(*out)
+
+
+def with_quantiles(summary: DataFrame, found: DataFrame, group: list[str]) -> DataFrame:
+    """A report's rows with the quantiles of their groups, nulls in the groups' keys included."""
+    renamed = found.withColumnsRenamed({g: f"_q_{g}" for g in group})
+    same = F.lit(True)
+    for g in group:
+        same &= F.col(g).eqNullSafe(F.col(f"_q_{g}"))
+    return summary.join(renamed, same, "left").drop(*(f"_q_{g}" for g in group))
+
+
 def quantile_buckets(rows: DataFrame, value: str, key: str, buckets: int, within: list[str] = []) -> DataFrame:
-    """rows with ``bucket`` by position: sorted row i of n (from 1) goes to floor((i * buckets - 1) / n)."""
-    if not within:
-        placed = numbered(rows, [value, key], "_i", "_n")
-        return placed.withColumn("bucket", F.floor((F.col("_i") * buckets - 1) / F.col("_n")).cast("int")).drop("_i", "_n")
-    w = Window.partitionBy(*within)
-    number, n = F.row_number().over(w.orderBy(value, key)), F.count("*").over(w)
-    return rows.withColumn("bucket", F.floor((number * buckets - 1) / n).cast("int"))
+    """rows with ``bucket`` by position (within a group): sorted row i of n (from 1) goes to floor((i * buckets - 1) / n)."""
+    placed = running(rows, within, [value, key], F.lit(1), "_i", "_n") if within else numbered(rows, [value, key], "_i", "_n")
+    return placed.withColumn("bucket", F.floor((F.col("_i") * buckets - 1) / F.col("_n")).cast("int")).drop("_i", "_n")
 
 
 def round_robin(rows: DataFrame, cell: list[str], key: str, n: int) -> DataFrame:
@@ -125,10 +167,37 @@ def benjamini_hochberg(tests: DataFrame, p: str, key: str, alpha: float = 0.05)
 
 def prefix_checkpoints(trials: DataFrame, key: list[str], order: list[str], success: str, fractions: list[float]) -> DataFrame:
     """(key, fraction, n, successes) of the first ceil(n * fraction) trials of each group."""
-    w = Window.partitionBy(*key)
-    ranked = trials.select(*key, success, F.row_number().over(w.orderBy(*order)).alias("_i"), F.count("*").over(w).alias("_n"))
-    each = ranked.select("*", F.explode(F.array(*map(F.lit, fractions))).alias("fraction")).where(F.col("_i") <= F.ceil(F.col("_n") * F.col("fraction") - 1e-9))
-    return each.groupBy(*key, "fraction").agg(F.count("*").alias("n"), F.sum(F.col(success).cast("int")).alias("successes"))
+    placed = running(trials, key, order, F.lit(1), "_i", "_n")
+    cells = [F.struct(F.lit(float(f)).alias("fraction"), F.ceil(F.col("_n") * f).alias("upto")) for f in fractions]
+    each = placed.select(*key, F.col(success).cast("int").alias("_s"), "_i", F.explode(F.array(*cells)).alias("f")).where(F.col("_i") <= F.col("f.upto"))
+    return each.groupBy(*key, "f.fraction").agg(F.count("*").alias("n"), F.sum("_s").cast("long").alias("successes"))
+
+
+def disjoint_blocks(trials: DataFrame, key: list[str], order: list[str], success: str, blocks: int = 10) -> DataFrame:
+    """(key, block, n, successes): each group's trials in arrival order cut into disjoint blocks; block b (from 0) has the trials from floor(b * n / blocks) on."""
+    placed = running(trials, key, order, F.lit(1), "_i", "_n")
+    block = F.floor((F.col("_i") * blocks - 1) / F.col("_n")).cast("int")
+    return placed.groupBy(*key, block.alias("block")).agg(F.count("*").alias("n"), F.sum(F.col(success).cast("int")).cast("long").alias("successes"))
+
+
+def effect_decay(blocks: DataFrame, arm: str, checkpoints: DataFrame) -> DataFrame:
+    """(left, right, blocks, s, z, decreasing, effect): how the effect between two arms moves over their disjoint blocks.
+
+    The effect of a block is Cohen's h without its sign; blocks that one side lacks are left out. ``s`` and ``z`` are Mann-Kendall's with the variance corrected for
+    ties; ``decreasing``: z below -1.96. ``effect``: that of the whole arms (``checkpoints`` at fraction 1).
+    """
+    h = lambda a, b: F.abs(2 * F.asin(F.sqrt(a)) - 2 * F.asin(F.sqrt(b)))
+    rate = F.col("successes") / F.col("n")
+
+    def pairs(df: DataFrame, on: list[str]) -> DataFrame:
+        a, b = (df.select(*on, F.col(arm).alias(side), rate.alias(f"_{side}")) for side in ("left", "right"))
+        both = a.join(b, on) if on else a.join(b, F.lit(True))
+        return both.where("left < right").withColumn("effect", h(F.col("_left"), F.col("_right")))
+
+    series = pairs(blocks, ["block"])
+    trend = mann_kendall(series, ["left", "right"], "block", "effect")
+    whole = pairs(checkpoints.where("fraction = 1"), ["fraction"]).select("left", "right", "effect")
+    return trend.select("left", "right", F.col("n").alias("blocks"), "s", "z", F.coalesce(F.col("z") < -Z95, F.lit(False)).alias("decreasing")).join(whole, ["left", "right"])
 
 
 def external_changes(edits: DataFrame, session: str, file: str, order: list[str], before: str, after: str) -> DataFrame:

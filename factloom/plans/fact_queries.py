@@ -278,6 +278,32 @@ def prefix_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.prefix_checkpoints(trials, ["model"], ["observed_at", "inference_call_id"], "ok", [0.25, 0.5, 1.0])
 
 
+_BLOCKS = ctes("calls") + """,
+r AS (SELECT model, CASE WHEN value > 50 THEN 1 ELSE 0 END AS ok, (row_number() OVER (PARTITION BY model ORDER BY observed_at, inference_call_id) * 10 - 1) // count(*) OVER (PARTITION BY model) AS block FROM calls),
+b AS (SELECT model, block::integer AS block, count(*) AS n, sum(ok)::bigint AS successes FROM r GROUP BY ALL)"""
+
+
+@query("w10_disjoint_blocks", _BLOCKS + " SELECT * FROM b")
+def disjoint_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trials = facts(spark, sf_dir, "calls").withColumn("ok", F.col("value") > 50)
+    return sequences.disjoint_blocks(trials, ["model"], ["observed_at", "inference_call_id"], "ok")
+
+
+@query("w10_effect_decay", _BLOCKS + """,
+h AS (SELECT a.model AS "left", b.model AS "right", a.block, abs(2 * asin(sqrt(a.successes / a.n)) - 2 * asin(sqrt(b.successes / b.n))) AS e FROM b a JOIN b ON a.block = b.block AND a.model < b.model),
+s AS (SELECT x."left", x."right", sum(sign(y.e - x.e))::bigint AS s FROM h x JOIN h y ON x."left" = y."left" AND x."right" = y."right" AND x.block < y.block GROUP BY ALL),
+t AS (SELECT "left", "right", sum(t)::bigint AS n, sum(t * (t - 1) * (2 * t + 5)) AS tied FROM (SELECT "left", "right", e, count(*) AS t FROM h GROUP BY ALL) GROUP BY ALL),
+z AS (SELECT "left", "right", n, s, (n * (n - 1) * (2 * n + 5) - tied) / 18.0::double AS v FROM s JOIN t USING ("left", "right")),
+w AS (SELECT model, sum(successes) / sum(n) AS p FROM b GROUP BY model)
+SELECT "left", "right", z.n AS blocks, s, CASE WHEN v > 0 THEN (s - sign(s)) / sqrt(v) ELSE 0e0 END AS z, CASE WHEN v > 0 THEN (s - sign(s)) / sqrt(v) < -1.959963984540054::double ELSE false END AS decreasing, abs(2 * asin(sqrt(l.p)) - 2 * asin(sqrt(r.p))) AS effect
+FROM z JOIN w l ON l.model = "left" JOIN w r ON r.model = "right" """)
+def effect_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Do differences between models' rates shrink as calls arrive? Trend over ten disjoint blocks, not over nested prefixes."""
+    trials = facts(spark, sf_dir, "calls").withColumn("ok", F.col("value") > 50)
+    order = ["observed_at", "inference_call_id"]
+    return sequences.effect_decay(sequences.disjoint_blocks(trials, ["model"], order, "ok"), "model", sequences.prefix_checkpoints(trials, ["model"], order, "ok", [1.0]))
+
+
 @query("w16_external_changes", ctes("edits") + """
 SELECT call_id, lead(lines_removed) OVER w AS next_before, CASE WHEN lead(lines_removed) OVER w IS NOT NULL THEN lead(lines_removed) OVER w <> lines_added END AS changed_outside
 FROM edits WINDOW w AS (PARTITION BY session_id, file_id ORDER BY occurred_at, call_id)""")

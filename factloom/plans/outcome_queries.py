@@ -114,10 +114,11 @@ def fate_diagnostic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SIZES = "z AS (SELECT c_custkey, floor(abs(c_acctbal))::bigint % 1200 AS size FROM customer)"
+_BIN = "CASE WHEN size <= 0 THEN '0' WHEN size <= 5 THEN '1-5' WHEN size <= 10 THEN '6-10' WHEN size <= 25 THEN '11-25' WHEN size <= 50 THEN '26-50' WHEN size <= 100 THEN '51-100' WHEN size <= 200 THEN '101-200' WHEN size <= 500 THEN '201-500' WHEN size <= 1000 THEN '501-1000' ELSE '>1000' END"
 
 
-@query("a13_recovery_yield", f"""WITH {_SIZES}, b AS (SELECT CASE WHEN size >= 1000 THEN 1000 WHEN size >= 500 THEN 500 WHEN size >= 200 THEN 200 WHEN size >= 100 THEN 100 WHEN size >= 50 THEN 50 WHEN size >= 25 THEN 25 WHEN size >= 10 THEN 10 WHEN size >= 5 THEN 5 ELSE 0 END AS b, count(*) AS n FROM z GROUP BY 1)
-SELECT count(*) AS n, min(size) AS low, quantile_cont(size::double, 0.5) AS median, max(size) AS high, (list_sort(list(size)))[ceil(count(*) * 0.9)::bigint] AS p90, (SELECT string_agg(lpad(b::varchar, 4, '0') || '=' || n, ',' ORDER BY b) FROM b) AS histogram FROM z""")
+@query("a13_recovery_yield", f"""WITH {_SIZES}, b AS (SELECT size <= 200 AS kept, {_BIN} AS b, min(size) AS low, count(*) AS n FROM z GROUP BY 1, 2), h AS (SELECT kept, string_agg(b || '=' || n, ',' ORDER BY low) AS histogram FROM b GROUP BY kept)
+SELECT size <= 200 AS kept, count(*) AS n, min(size) AS low, quantile_cont(size::double, 0.5) AS median, max(size) AS high, (list_sort(list(size)))[ceil(count(*) * 0.9)::bigint]::double AS p90, any_value(histogram) AS histogram FROM z JOIN h ON h.kept = (size <= 200) GROUP BY 1""")
 def recovery_yield(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.pmod(F.floor(F.abs("c_acctbal")).cast("long"), F.lit(1200)).alias("size"))
     return outcomes.recovery_yield(sizes, "size")
@@ -146,8 +147,9 @@ def accepted_work(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("a15_merge_retention", """WITH s AS (SELECT l_returnflag, 'at_head' AS score, abs(l_discount) * 10 AS value FROM lineitem WHERE l_linenumber < 6 UNION ALL SELECT l_returnflag, 'at_merge', abs(l_tax) * 12 FROM lineitem)
-SELECT l_returnflag, score, count(*) AS n, avg(value) AS mean, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.1) AS p10, quantile_cont(value, 0.9) AS p90, concat('0.1=', count(*) FILTER (WHERE value < 0.1::double), ',0.25=', count(*) FILTER (WHERE value < 0.25::double),
-  ',0.5=', count(*) FILTER (WHERE value < 0.5::double), ',0.75=', count(*) FILTER (WHERE value < 0.75::double), ',0.9=', count(*) FILTER (WHERE value < 0.9::double)) AS below FROM s GROUP BY ALL""")
+SELECT l_returnflag, score, count(*) AS n, avg(value) AS mean, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.1) AS p10, quantile_cont(value, 0.9) AS p90,
+  concat('0.8=', count(*) FILTER (WHERE value < 0.8::double), ',0.9=', count(*) FILTER (WHERE value < 0.9::double), ',1.0=', count(*) FILTER (WHERE value < 1.0::double)) AS below,
+  [count(*) FILTER (WHERE value < 0.8::double) / count(*), count(*) FILTER (WHERE value < 0.9::double) / count(*), count(*) FILTER (WHERE value < 1.0::double) / count(*)] AS rates FROM s GROUP BY ALL""")
 def merge_retention_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _lines(spark, sf_dir).select("l_returnflag", F.when(F.col("l_linenumber") < 6, F.abs("l_discount") * 10).alias("at_head"), (F.abs("l_tax") * 12).alias("at_merge"))
     return outcomes.retention_summary(rows, ["at_head", "at_merge"], ["l_returnflag"])

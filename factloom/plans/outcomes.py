@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import ratio, wilson
-from .reports import SIZE_BOUNDS, size_histogram
+from ..operators.sequences import quantiles, with_quantiles
+from .reports import RECOVERY_CAP, size_label
 
-THRESHOLDS = (0.1, 0.25, 0.5, 0.75, 0.9)
+#: Retention below which a report counts.
+THRESHOLDS = (0.8, 0.9, 1.0)
 UNNAMED = "(unnamed)"
 
 
@@ -85,15 +87,14 @@ def signal_funnel(calls: DataFrame, attributed: DataFrame, verdicts: DataFrame,
     return sums.select("model", *names, *(ratio(F.col(b), F.col(a)).alias(f"{b}_rate") for a, b in zip(names, names[1:], strict=False)))
 
 
-def recovery_yield(sizes: DataFrame, size: str) -> DataFrame:
-    """One row: recoveries, their smallest, median (linear), 90th percentile (the value at rank ceil(0.9 n)) and largest diff, and the histogram as ``bound=n``."""
-    basic = sizes.agg(F.count("*").alias("n"), F.min(size).alias("low"), F.percentile(size, 0.5).alias("median"), F.max(size).alias("high"))
-    ranks = sizes.groupBy(size).agg(F.count("*").alias("_n"))  # sizes are few: lines of a diff under its cap
-    running = ranks.withColumn("_to", F.sum("_n").over(Window.orderBy(size))).withColumn("_all", F.sum("_n").over(Window.partitionBy()))
-    p90 = running.where(F.col("_to") >= F.ceil(F.col("_all") * 0.9 - 1e-9)).agg(F.min(size).alias("p90"))
-    bounds = size_histogram(sizes, size).where("bound is not null").select(F.lit(1).alias("_one"), F.lpad(F.col("bound").cast("string"), len(str(SIZE_BOUNDS[-1])), "0").alias("_b"), F.col("n").alias("_n"))
-    shown = listed(bounds, ["_one"], "_b", "_n", "histogram").drop("_one")
-    return basic.join(p90).join(shown)
+def recovery_yield(sizes: DataFrame, size: str, cap: int = RECOVERY_CAP) -> DataFrame:
+    """(kept, n, low, median, p90, high, histogram): changed lines of recoveries within the cap and beyond it; p90 is the value at rank ceil(0.9 n), the histogram ``bin=n`` in bin order."""
+    rows = sizes.withColumn("kept", F.col(size) <= cap)
+    basic = rows.groupBy("kept").agg(F.count("*").alias("n"), F.min(size).alias("low"), F.max(size).alias("high"))
+    found = quantiles(rows, ["kept"], size, {"median": 0.5}, {"p90": 0.9})
+    bins = rows.groupBy("kept", size_label(F.col(size), cap).alias("bin")).agg(F.min(size).alias("_at"), F.count("*").alias("_n"))
+    shown = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", F.concat("bin", F.lit("="), F.col("_n").cast("string")).alias("t")))), lambda x: x["t"]), ",")
+    return with_quantiles(basic, found, ["kept"]).join(bins.groupBy("kept").agg(shown.alias("histogram")), "kept")
 
 
 REWORK = ("rejected", "retried", "failed_ci", "reverted", "deleted", "external_changes")
@@ -124,18 +125,21 @@ def accepted_work(sessions: DataFrame, group: list[str], examples: int = 3) -> D
 
 
 def retention_summary(rows: DataFrame, scores: list[str], group: list[str]) -> DataFrame:
-    """(group, score, n, mean, median, p10, p90, below as ``threshold=n``): exact, linear between ranks."""
+    """(group, score, n, mean, median, p10, p90, below, rates): exact, linear between ranks; how many are below each of ``THRESHOLDS`` as ``threshold=n`` and which share."""
     each = rows.select(*group, F.explode(F.array(*(F.struct(F.lit(s).alias("score"), F.col(s).alias("value")) for s in scores))).alias("s")).select(*group, "s.score", "s.value").where("value is not null")
-    below = F.concat_ws(",", *(F.concat(F.lit(f"{t}="), F.count_if(F.col("value") < t).cast("string")) for t in THRESHOLDS))
-    return each.groupBy(*group, "score").agg(
-        F.count("*").alias("n"), F.avg("value").alias("mean"), F.percentile("value", 0.5).alias("median"), F.percentile("value", 0.1).alias("p10"), F.percentile("value", 0.9).alias("p90"), below.alias("below")
-    )
+    under = [F.count_if(F.col("value") < t) for t in THRESHOLDS]
+    below = F.concat_ws(",", *(F.concat(F.lit(f"{t}="), n.cast("string")) for t, n in zip(THRESHOLDS, under, strict=True)))
+    sums = each.groupBy(*group, "score").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), below.alias("below"), F.array(*(n / F.count("*") for n in under)).alias("rates"))
+    return with_quantiles(sums, quantiles(each, [*group, "score"], "value", {"median": 0.5, "p10": 0.1, "p90": 0.9}), [*group, "score"])
 
 
 def compute_arms(timings: DataFrame, arm: list[str], durations: list[str]) -> DataFrame:
     """(arm, sessions, changed, and the quartiles of each duration) of session timings (arm, changed, durations in ms)."""
-    quartiles = [F.percentile(d, q).alias(f"{d}_{name}") for d in durations for name, q in (("p25", 0.25), ("median", 0.5), ("p75", 0.75))]
-    return timings.groupBy(*arm).agg(F.count("*").alias("sessions"), F.count_if("changed").alias("changed"), *quartiles)
+    sums = timings.groupBy(*arm).agg(F.count("*").alias("sessions"), F.count_if("changed").alias("changed"))
+    each = timings.select(*arm, F.explode(F.array(*(F.struct(F.lit(d).alias("d"), F.col(d).cast("double").alias("v")) for d in durations))).alias("x")).select(*arm, "x.d", "x.v")
+    found = quantiles(each, [*arm, "d"], "v", {"p25": 0.25, "median": 0.5, "p75": 0.75})
+    wide = found.groupBy(*arm).agg(*(F.max(F.when(F.col("d") == d, F.col(n))).alias(f"{d}_{n}") for d in durations for n in ("p25", "median", "p75")))
+    return with_quantiles(sums, wide, arm)
 
 
 def arm_differences(arms: DataFrame, source: str, arm: str, durations: list[str]) -> DataFrame:
@@ -148,7 +152,8 @@ def arm_differences(arms: DataFrame, source: str, arm: str, durations: list[str]
 def dataset_distributions(rows: DataFrame, stratum: list[str], model: str, value: str) -> DataFrame:
     """(stratum, model, n, mean, median, low, high, deviation) with an ``overall`` row for each stratum; the sample deviation of one row is 0."""
     both = rows.select(*stratum, model, value).withColumn("_m", F.explode(F.array(F.col(model).cast("string"), F.lit("overall"))))
-    out = both.groupBy(*stratum, F.col("_m").alias("model")).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.percentile(value, 0.5).alias("median"), F.min(value).alias("low"), F.max(value).alias("high"), F.stddev_samp(value).alias("deviation"))
+    out = both.groupBy(*stratum, F.col("_m").alias("model")).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.min(value).alias("low"), F.max(value).alias("high"), F.stddev_samp(value).alias("deviation"))
+    out = with_quantiles(out, quantiles(both.drop(model).withColumnRenamed("_m", "model"), [*stratum, "model"], value, {"median": 0.5}), [*stratum, "model"])
     return out.withColumn("deviation", F.when(F.col("n") > 1, F.col("deviation")).otherwise(F.lit(0.0)))
 
 

@@ -129,9 +129,9 @@ def share_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.share_alerts(reports.outcome_rates(calls.where(late), ["repo"], "ok"), reports.outcome_rates(calls.where(~late), ["repo"], "ok"), "repo", 20)
 
 
-@query("a13_size_histogram", """
-SELECT CASE WHEN l_quantity * 20 >= 1000 THEN 1000 WHEN l_quantity * 20 >= 500 THEN 500 WHEN l_quantity * 20 >= 200 THEN 200 WHEN l_quantity * 20 >= 100 THEN 100 WHEN l_quantity * 20 >= 50 THEN 50
-  WHEN l_quantity * 20 >= 25 THEN 25 WHEN l_quantity * 20 >= 10 THEN 10 WHEN l_quantity * 20 >= 5 THEN 5 WHEN l_quantity * 20 >= 0 THEN 0 END AS bound, count(*) AS n FROM lineitem GROUP BY 1""")
+@query("a13_size_histogram", """WITH z AS (SELECT l_quantity * 20 AS size FROM lineitem)
+SELECT CASE WHEN size <= 0 THEN '0' WHEN size <= 5 THEN '1-5' WHEN size <= 10 THEN '6-10' WHEN size <= 25 THEN '11-25' WHEN size <= 50 THEN '26-50' WHEN size <= 100 THEN '51-100' WHEN size <= 200 THEN '101-200'
+  WHEN size <= 500 THEN '201-500' WHEN size <= 1000 THEN '501-1000' ELSE '>1000' END AS bin, count(*) AS n FROM z GROUP BY 1""")
 def size_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.size_histogram(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select((F.col("l_quantity") * 20).alias("size")), "size")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import cohens_h, ratio, two_proportion_z, wilson, wilson_sql  # noqa: F401  reports' SQL uses it
 from ..functions.times import micros
-from ..operators.sequences import numbered
+from ..operators.sequences import numbered, quantiles, with_quantiles
 
 
 def outcome_rates(trials: DataFrame, group: list[str], success: str) -> DataFrame:
@@ -100,21 +100,28 @@ def shrunken(rates: DataFrame) -> DataFrame:
     return rates.select("*", ((s + k * mean) / (n + k)).alias("shrunken"))
 
 
-SIZE_BOUNDS = (0, 5, 10, 25, 50, 100, 200, 500, 1000)
+#: Boundaries of the histogram of diff sizes and the lines of a recovery's diff that count at most.
+SIZE_BOUNDS, RECOVERY_CAP = (0, 5, 10, 25, 50, 100, 200, 500, 1000), 200
 
 
-def size_histogram(rows: DataFrame, size: str) -> DataFrame:
-    """(bound, n): rows by the largest boundary that is not above their size."""
-    bound = F.lit(None).cast("int")
-    for b in SIZE_BOUNDS:
-        bound = F.when(F.col(size) >= b, F.lit(b)).otherwise(bound)
-    return rows.groupBy(bound.alias("bound")).agg(F.count("*").alias("n"))
+def size_label(size: Column, cap: int = RECOVERY_CAP) -> Column:
+    """The name of a size's bin: bins end with a boundary (the cap among them) and begin after the one before; beyond the last is a bin of its own."""
+    bounds = sorted({*SIZE_BOUNDS, max(0, cap)})
+    name = F.when(size <= bounds[0], str(bounds[0]))
+    for before, bound in zip(bounds, bounds[1:], strict=False):
+        name = name.when(size <= bound, str(bound) if before + 1 == bound else f"{before + 1}-{bound}")
+    return name.otherwise(f">{bounds[-1]}")
+
+
+def size_histogram(rows: DataFrame, size: str, cap: int = RECOVERY_CAP) -> DataFrame:
+    """(bin, n)."""
+    return rows.groupBy(size_label(F.col(size), cap).alias("bin")).agg(F.count("*").alias("n"))
 
 
 def quartiles(rows: DataFrame, group: list[str], value: str) -> DataFrame:
     """(group, n, mean, p10, q1, median, q3, p90): exact, linear between ranks."""
-    at = {"p10": 0.1, "q1": 0.25, "median": 0.5, "q3": 0.75, "p90": 0.9}
-    return rows.groupBy(*group).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), *(F.percentile(value, q).alias(k) for k, q in at.items()))
+    sums = rows.groupBy(*group).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
+    return with_quantiles(sums, quantiles(rows, group, value, {"p10": 0.1, "q1": 0.25, "median": 0.5, "q3": 0.75, "p90": 0.9}), group)
 
 
 def diagnostics(rows: DataFrame, stratum: str, model: str, value: str) -> DataFrame:
