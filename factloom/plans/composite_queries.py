@@ -33,14 +33,31 @@ def assembled_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("call_id", "commit_key", "verdict", F.coalesce("n", F.lit(0)).alias("decisions"), F.coalesce("a", F.lit(0)).alias("accepted"), "retention", kind.alias("evidence"))
 
 
-@query("d09_recovery_rows", ctes("ci_outcomes") + """,
+_PAIRS = ctes("ci_outcomes", "commit_parents").replace("WITH", "WITH RECURSIVE") + """,
 s AS (SELECT commit_key AS commit_sha, result, lag(result) OVER w AS before, lag(commit_key) OVER w AS red_commit FROM ci_outcomes WHERE result IN ('passed', 'failed') WINDOW w AS (PARTITION BY org_id, repository, branch, provider, workflow_id ORDER BY captured_at, outcome_id)),
 p AS (SELECT red_commit, commit_sha AS green_commit FROM s WHERE result = 'passed' AND before = 'failed'),
-z AS (SELECT c_custkey, floor(abs(c_acctbal))::bigint % 400 AS changed, (('0x' || substr(sha256(c_custkey::varchar), 1, 16))::ubigint)::double / 18446744073709551616::double < 0.2::double AS e FROM customer)
-SELECT red_commit, green_commit, g.changed, CASE WHEN r.e OR g.e THEN 'eval' ELSE 'train' END AS split FROM p JOIN z g ON g.c_custkey = green_commit JOIN z r ON r.c_custkey = red_commit WHERE g.changed <= 200""")
-def recovery_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+a AS (SELECT DISTINCT green_commit AS head, green_commit AS c FROM p UNION SELECT a.head, q.parent FROM a JOIN commit_parents q ON q.commit_sha = a.c WHERE q.parent IS NOT NULL),
+f AS (SELECT red_commit, green_commit, EXISTS (SELECT 1 FROM a WHERE head = green_commit AND c = red_commit) AS is_ancestor FROM p)"""
+
+
+def _recovery_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a failing and a passing commit of one lineage, and whether the passing one descends from the failing one."""
     outcomes = facts(spark, sf_dir, "ci_outcomes").withColumn("commit_sha", F.col("commit_key"))
     pairs = ci.red_to_green(outcomes, ["org_id", "repository", "branch", "provider", "workflow_id"]).select("red_commit", "green_commit")
+    return repositories.ancestors(repositories.chains(facts(spark, sf_dir, "commit_parents")), pairs, "green_commit", "red_commit")
+
+
+@query("d09_recoveries_by_ancestry", _PAIRS + " SELECT CASE WHEN red_commit = green_commit THEN 'same_commit' WHEN NOT is_ancestor THEN 'not_ancestor' ELSE 'recovered' END AS outcome, count(*) AS n, min(green_commit) AS first_green FROM f GROUP BY 1")
+def recoveries_by_ancestry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outcome = F.when(F.col("red_commit") == F.col("green_commit"), "same_commit").when(~F.col("is_ancestor"), "not_ancestor").otherwise("recovered")
+    return _recovery_pairs(spark, sf_dir).groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"), F.min("green_commit").alias("first_green"))
+
+
+@query("d09_recovery_rows", _PAIRS + """,
+z AS (SELECT c_custkey, floor(abs(c_acctbal))::bigint % 400 AS changed, (('0x' || substr(sha256(c_custkey::varchar), 1, 16))::ubigint)::double / 18446744073709551616::double < 0.2::double AS e FROM customer)
+SELECT red_commit, green_commit, g.changed, CASE WHEN r.e OR g.e THEN 'eval' ELSE 'train' END AS split FROM f JOIN z g ON g.c_custkey = green_commit JOIN z r ON r.c_custkey = red_commit WHERE g.changed <= 200 AND is_ancestor AND red_commit <> green_commit""")
+def recovery_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = _recovery_pairs(spark, sf_dir).where("is_ancestor and red_commit <> green_commit").drop("is_ancestor")
     customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
     changed = F.pmod(F.floor(F.abs("c_acctbal")).cast("long"), F.lit(400))
     sizes = customer.select(F.col("c_custkey").alias("green_commit"), changed.alias("changed"))

@@ -99,21 +99,19 @@ def bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows_out.bundle_faults(spark, folder)
 
 
-@query("j08_ancestry_membership", """
-WITH o AS (SELECT o_orderkey AS outcome_id, o_custkey AS c FROM orders), m AS (SELECT l_orderkey AS merge_id, l_partkey AS head, l_partkey - l_partkey % 10 + (l_partkey % 10) // 2 AS base FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 10 = 0),
-j AS (SELECT DISTINCT outcome_id, merge_id FROM o JOIN m ON c // 10 = head // 10 AND c <= head AND c > base), g AS (SELECT outcome_id, count(merge_id) AS n, min(merge_id) AS merge_id FROM o LEFT JOIN j USING (outcome_id) GROUP BY outcome_id)
+#: Every ancestor of some heads, from head to head.
+REACH = """a AS (SELECT DISTINCT head, head AS c FROM heads UNION SELECT a.head, p.parent FROM a JOIN commit_parents p ON p.commit_sha = a.c WHERE p.parent IS NOT NULL)"""
+
+
+@query("j08_ancestry_membership", ctes("commit_parents", "branch_merges").replace("WITH", "WITH RECURSIVE") + f""", heads AS (SELECT head FROM branch_merges UNION SELECT base FROM branch_merges), {REACH},
+j AS (SELECT o_orderkey AS outcome_id, merge_id FROM orders JOIN a ON a.c = o_custkey JOIN branch_merges m ON m.head = a.head WHERE NOT EXISTS (SELECT 1 FROM a b WHERE b.head = m.base AND b.c = o_custkey)),
+g AS (SELECT o_orderkey AS outcome_id, count(merge_id) AS n, min(merge_id) AS merge_id FROM orders LEFT JOIN j ON outcome_id = o_orderkey GROUP BY o_orderkey)
 SELECT outcome_id, CASE WHEN n = 1 THEN 'joined' WHEN n = 0 THEN 'without_merge' ELSE 'ambiguous' END AS status, CASE WHEN n = 1 THEN merge_id END AS merge_id FROM g""")
 def ancestry_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A commit belongs to the merge whose head descends from it and whose base doesn't; commits are chains of ten."""
-    lines, orders = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "orders"))
-    head = F.col("l_partkey")
-    merges = lines.where("l_linenumber = 1 and l_orderkey % 10 = 0").select(F.col("l_orderkey").alias("merge_id"), head.alias("head"), (head - head % 10 + F.floor(head % 10 / 2)).alias("base"))
-    known = lines.select(F.explode(F.sequence(head - head % 10, head)).alias("commit_sha")).distinct()
-    parents = known.select("commit_sha", F.when(F.col("commit_sha") % 10 > 0, F.col("commit_sha") - 1).alias("parent"))
-    closure = repositories.commits(parents, merges.select(F.explode(F.array("head", "base")).alias("head")).distinct(), 10)
-    outcomes = orders.select(F.col("o_orderkey").alias("outcome_id"), F.col("o_custkey").alias("commit_sha"), F.floor(F.col("o_custkey") / 10).alias("repo"))
-    candidates = outcomes.join(merges.withColumn("repo", F.floor(F.col("head") / 10)), "repo")  # of one repository
-    found = repositories.reachable(closure, candidates).select("outcome_id", "merge_id")
+    """A commit belongs to the merge whose head descends from it and whose base doesn't, in graphs some 900 generations deep."""
+    index = repositories.chains(facts(spark, sf_dir, "commit_parents"))
+    outcomes = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("outcome_id"), F.col("o_custkey").alias("commit_sha"))
+    found = repositories.membership(index, outcomes, facts(spark, sf_dir, "branch_merges"))
     every = outcomes.select("outcome_id").join(found, "outcome_id", "left").withColumn("resolved", F.lit(True))
     return attachment.pull_request_membership(every)
 

@@ -63,6 +63,16 @@ BINDINGS: dict[str, tuple[tuple[str, ...], str]] = {
         "SELECT l_orderkey * 10 + l_linenumber AS observation_id, concat('repo', cast(l_suppkey % 20 AS string)) AS repo, l_partkey AS commit_sha, l_suppkey AS session_id, l_orderkey AS source_push_id, l_shipdate AS captured_at FROM {lineitem}",
     ),
     "rejections": (("lineitem",), "SELECT l_orderkey * 10 + l_linenumber AS rejection_id, l_suppkey AS session_id, l_orderkey AS call_id, l_shipdate AS occurred_at FROM {lineitem} WHERE l_returnflag = 'R'"),
+    "commit_parents": (  # repositories of 1,000 commits; of each ten, two stand on a branch that is merged
+        ("customer",),
+        """SELECT c_custkey AS commit_sha, 0 AS place, CASE WHEN (c_custkey - 1) % 1000 = 0 THEN NULL WHEN c_custkey % 10 = 6 THEN c_custkey - 2 WHEN c_custkey % 10 = 8 THEN c_custkey - 3 ELSE c_custkey - 1 END AS parent FROM {customer}
+        UNION ALL SELECT c_custkey, 1, c_custkey - 2 FROM {customer} WHERE c_custkey % 10 = 9""",
+    ),
+    "branch_merges": (
+        ("customer",),
+        """SELECT c_custkey AS merge_id, CASE WHEN c_custkey % 200 = 199 THEN c_custkey ELSE c_custkey - 2 END AS head, CASE WHEN c_custkey % 200 = 199 THEN c_custkey - 100 ELSE c_custkey - 1 END AS base
+        FROM {customer} WHERE c_custkey % 200 = 199 OR c_custkey % 200 < 100 AND c_custkey % 10 = 9""",
+    ),
     "retold": (
         ("conversations",),
         """SELECT conv_id * 100 + turn AS id, role, text FROM {conversations} UNION ALL SELECT conv_id * 100 + turn + 50, role, concat(text, ' once more') FROM {conversations} WHERE conv_id % 3 = 0

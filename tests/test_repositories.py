@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from factloom.operators import evidence, repositories
@@ -14,12 +16,29 @@ def test_identity_rules(spark):
     assert {r.identity: r.label for r in repositories.labels(df).collect()}["gh/h/1"] == "acme/app"
 
 
-def test_reachable_commits(spark):
-    parents = spark.createDataFrame([("d", "c"), ("c", "b"), ("b", "a"), ("m", "d"), ("m", "x"), ("x", "a")], "commit_sha string, parent string")
-    closure = repositories.commits(parents, spark.createDataFrame([("m",), ("b",)], "head string"), 5).cache()
-    assert {r.commit_sha for r in closure.where("head = 'm'").collect()} == set("mdcbax")
-    candidates = spark.createDataFrame([(1, 9, "c", "m", "b"), (2, 9, "a", "m", "b"), (3, 9, "zz", "m", "b")], "outcome_id int, merge_id int, commit_sha string, head string, base string")
-    assert [r.outcome_id for r in repositories.reachable(closure, candidates).collect()] == [1]
+def _reached(parents, head):
+    seen, front = set(), [head]
+    while front:
+        c = front.pop()
+        if c in parents and c not in seen:
+            seen.add(c)
+            front += [p for p in parents[c] if p is not None]
+    return seen
+
+
+def test_reachability_against_a_walk(spark):
+    rng = random.Random(7)
+    parents = {i: sorted({rng.randrange(max(0, i - 6), i) for _ in range(rng.choice([1, 1, 1, 2, 3]))}, key=lambda _: rng.random()) if i % 23 else [None] for i in range(150)}
+    parents[150] = [9999]  # a parent that nobody knows
+    rows = [(c, p, k) for c, own in parents.items() for k, p in enumerate(own)]
+    index = repositories.chains(spark.createDataFrame(rows, "commit_sha long, parent long, place int"))
+    pairs = [(rng.randrange(152), rng.randrange(152)) for _ in range(400)]
+    got = repositories.ancestors(index, spark.createDataFrame(pairs, "head long, commit_sha long")).collect()
+    assert len(got) == len(pairs) and all(r.is_ancestor == (r.commit_sha in _reached(parents, r.head)) for r in got)
+    merges = [(k, rng.randrange(150), rng.choice([None, 500, rng.randrange(150)])) for k in range(20)]
+    found = repositories.membership(index, spark.createDataFrame([(c, c) for c in range(152)], "outcome_id long, commit_sha long"), spark.createDataFrame(merges, "merge_id long, head long, base long"))
+    want = {(c, k) for k, h, b in merges for c in _reached(parents, h) - _reached(parents, b)}
+    assert {tuple(r) for r in found.collect()} == want
 
 
 def test_parts_by_reference(spark):
