@@ -37,23 +37,25 @@ def segments(turns: DataFrame, session: str, order: list[str], starts: Column, n
 def rollouts(calls: DataFrame) -> DataFrame:
     """calls (session_id, id, at, input, output: arrays of canonical message strings) with ``segment``, ``reason`` and ``new_input``.
 
+    ``said`` tells whether an output has any content; without that column one that has messages has.
+
     A call goes on with a segment if its input begins with the input of the call before it and then that call's output; its new messages
     are those after the prior input, the output's echo among them. Else it begins a segment with its full input: ``prior_output_absent`` (no
     output to replay), ``input_history_changed`` or ``prior_output_not_replayed``. A session's first call has no reason.
     """
     w = Window.partitionBy("session_id").orderBy("at", "id")
-    before, said = F.lag("input").over(w), F.lag("output").over(w)
-    seen = calls.withColumns({"_before": before, "_said": said, "_first": F.row_number().over(w) == 1})
+    any_said = F.col("said") if "said" in calls.columns else F.size("output") > 0
+    seen = calls.withColumns({"_before": F.lag("input").over(w), "_said": F.lag("output").over(w), "_any": F.lag(any_said).over(w), "_first": F.row_number().over(w) == 1})
     n, m = F.size(F.coalesce("_before", F.array().cast("array<string>"))), F.size(F.coalesce("_said", F.array().cast("array<string>")))
     begins = lambda whole, part, size: (size == 0) | F.coalesce(F.slice(whole, 1, F.greatest(size, F.lit(1))) == part, F.lit(False))
     reason = (
-        F.when(F.col("_first"), F.lit(None)).when(m == 0, "prior_output_absent").when(~begins("input", F.col("_before"), n), "input_history_changed")
+        F.when(F.col("_first"), F.lit(None)).when(~F.coalesce("_any", F.lit(False)), "prior_output_absent").when(~begins("input", F.col("_before"), n), "input_history_changed")
         .when(~begins("input", F.concat("_before", "_said"), n + m), "prior_output_not_replayed")
     )
     marked = seen.withColumn("reason", reason)
     whole = F.col("_first") | F.col("reason").isNotNull()
     out = marked.withColumn("new_input", F.when(whole, F.col("input")).otherwise(F.slice("input", n + 1, F.greatest(F.size("input") - n, F.lit(1))))).withColumn("_new", whole)
-    return out.withColumn("segment", F.count_if("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_before", "_said", "_first", "_new")
+    return out.withColumn("segment", F.count_if("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_before", "_said", "_any", "_first", "_new")
 
 
 def busy_time(intervals: DataFrame, session: str, start: str, end: str) -> DataFrame:

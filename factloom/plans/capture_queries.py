@@ -331,21 +331,6 @@ def merge_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derivations.merge_retention(edits, blobs, merges).select("applied_id", "at_head", "at_merge")
 
 
-@query("d05_rollouts", """WITH t AS (SELECT conv_id, turn, text, lead(text) OVER w AS reply, row_number() OVER w AS i, role FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
-SELECT conv_id AS session_id, turn, (sum(CASE WHEN i = 1 OR conv_id % 3 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn))::bigint AS segment, CASE WHEN conv_id % 3 = 0 THEN 1 ELSE least(i, 2) END::integer AS new_messages,
-  CASE WHEN i > 1 AND conv_id % 3 = 0 THEN 'input_history_changed' END AS reason FROM t""")
-def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A call for each turn: its input is all turns up to it and the outputs between them, but only its own turn in every third session."""
-    from pyspark.sql import Window
-
-    turns = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), "turn", F.concat(F.lit("u"), _text("turn"), "text").alias("said"), F.concat(F.lit("r"), _text("turn")).alias("reply"))
-    order = Window.partitionBy("session_id").orderBy("turn")
-    upto = F.flatten(F.collect_list(F.array("said", "reply")).over(order))
-    whole = F.slice(upto, 1, F.size(upto) - 1)
-    calls = turns.select("session_id", "turn", F.col("turn").alias("id"), F.col("turn").alias("at"), F.when(F.col("session_id") % 3 == 0, F.array("said")).otherwise(whole).alias("input"), F.array("reply").alias("output"))
-    return sequences.rollouts(calls).select("session_id", "turn", "segment", F.size("new_input").alias("new_messages"), "reason")
-
-
 # --- statistics -----------------------------------------------------------------
 
 _RATES = "WITH r AS (SELECT event_type AS model, count(*)::double AS n, sum(CASE WHEN value > 50 THEN 1 ELSE 0 END)::double AS s FROM events GROUP BY 1), p AS (SELECT *, s / n AS p FROM r)"
