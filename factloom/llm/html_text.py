@@ -1,15 +1,16 @@
 """Operator 7: main text of web pages by two-pass block rules.
 
 A page is cut into blocks at block-level tags. What structure takes out goes first: navigation, headers, footers, sidebars, forms,
-notices, adverts, reader comments, and in a page with an ``article`` or ``main`` element what stands outside it. Pass 1
-decides the other blocks by link density, length and stop-word density: linked ones are bad, long ones with a high density of stop
-words are good, those with a low density are bad if they hold links and doubtful if not; short blocks and middling densities stay open. Pass 2
-gives an open block the label of its nearest decided neighbours (where they differ both have to be good, or the block inside
-``article`` or ``main``; else ties go by distance). A doubtful block (a table, a list of names) outside these elements needs a good
-neighbour on both sides. Stop words are known for four languages: where no
-block has a high density of them, length and link density alone decide, so that a text in another language stays.
-
-Row-local. Null html is the empty page with an empty text. Unclosed and cut-off markup is read as far as it goes.
+notices, adverts, reader comments (by element, role, or a class or id that is such a name as a whole, with or without a part's name as in
+``comments-area``), and in a page with an ``article`` or ``main`` element what stands outside it. Pass 1 decides the other blocks by link density,
+length and stop-word density (stop words among runs of letters): linked ones are bad, dense ones of some length are good, those with a low
+density are bad if they hold links and doubtful if not; short blocks and middling densities stay open. Pass 2 gives an open block the label of
+its nearest decided neighbours (where they differ both have to be good, or the block inside ``article`` or ``main``; else ties go by distance and an
+equal distance is bad). A doubtful block (a table, a list of names) outside these elements needs a good
+neighbour on both sides, or one at an end of the page if it has any stop word; where a page has no decided block short ones stay if they are dense. Stop words are
+known for four languages: where no block of a page is dense, length and link density alone decide, so that tables and other languages stay.
+
+An empty table gives no rows; a very long page takes time in proportion to its length. Row-local. Null html is the empty page with an empty text. Unclosed and cut-off markup is read as far as it goes.
 Repeated rows each give a row. Only the html column is read, whatever the names of the others.
 """
 
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import fresh_name, small_batches, table
 
-SHORT, LONG = 70, 200  # characters
-LINKS, STOP_LOW, STOP_HIGH = 0.3, 0.15, 0.3
+SHORT, LONG = 70, 140  # characters
+LINKS, STOP_LOW, STOP_HIGH = 0.3, 0.1, 0.2
 
 #: Frequent function words of some languages.
 STOP_WORDS = frozenset(
@@ -43,9 +44,15 @@ _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul head".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+_NAMES = (
+    r"(?:ad|ads|adverts?|advertisements?|advertising|banner|sponsor|sponsored|promo|promotion|comments?|commentlist|disqus|respond|nav|navbar|navigation|menu|breadcrumbs?|sidebar|footer|header|masthead|cookies?|consent|notice|popup|modal|newsletter|subscribe"
+    r"|share|social|related|pagination|pager)"
+)
+#: A class or id that names such a part of a page: the name alone, or with where it stands and what kind of box it is.
 _NOT_TEXT = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|comment|comments|commentlist|disqus|respond|nav|navbar|navigation|menu|breadcrumbs?|sidebar|footer|header|masthead|cookie|cookies|consent|notice|popup|modal|newsletter|subscribe|share|social|related|pagination|pager)(?:$|[\s_-])", re.I
+    rf"(?:(?:site|page|main|top|bottom|left|right|primary|secondary|global|user|reader|google|js)[-_])?{_NAMES}(?:[-_](?:{_NAMES}|area|list|section|container|wrapper|wrap|box|block|bar|banner|inner|outer|left|right|top|bottom|slot|unit|widget|buttons?|links?|posts?|articles?|items?|form|content|main|primary|\d+))*", re.I
 )
+_INLINE_ROLES = frozenset("h1 h2 h3 h4 h5 h6 html body article main".split())
 _ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s>]+)))?""")
 _DECIDING = re.compile("class|id|role|hidden", re.I)
 _MARKUP = re.compile(
@@ -125,8 +132,8 @@ def blocks(page: str) -> list[Block]:
                 opened["p"] -= 1
             out = name in _OUT and not (name == "header" and mains)
             for key, text in deciding.items():
-                if key in ("class", "id", "role") and name not in ("html", "body", *_MAIN):
-                    out = out or bool(_NOT_TEXT.search(text))
+                if key in ("class", "id", "role"):
+                    out = out or name in _BLOCK and name not in _INLINE_ROLES and any(map(_NOT_TEXT.fullmatch, text.split()))
                 elif key == "hidden" or key == "aria-hidden" and text.lower() == "true":
                     out = True
             open_tags.append((name, out))
@@ -145,10 +152,13 @@ def blocks(page: str) -> list[Block]:
     return found
 
 
+_WORD = re.compile(r"[^\W\d_]+")
+
+
 def _density(text: str) -> float:
-    """Share of stop words among the words."""
-    words = text.lower().split()
-    return sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
+    """Share of stop words among the runs of letters."""
+    words = _WORD.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
 
 
 def _decide(found: list[Block]) -> list[Block]:
@@ -159,12 +169,12 @@ def _decide(found: list[Block]) -> list[Block]:
             b.label = False
         elif len(b.text) >= SHORT:
             density[i] = _density(b.text)
-    known = any(d >= STOP_HIGH for d in density.values())  # else the page is in none of the languages, maybe in a related one
+    known = any(d >= STOP_HIGH for d in density.values())  # else there are no sentences of a language that is known
     for i, d in density.items():
         b = found[i]
         if not known or d >= STOP_HIGH and len(b.text) >= LONG:
             b.label = True
-        elif d < STOP_LOW and b.links and not b.main:
+        elif d < STOP_LOW and b.links:
             b.label = False
         else:
             b.doubtful = d < STOP_LOW and not b.main
@@ -176,13 +186,13 @@ def _decide(found: list[Block]) -> list[Block]:
         if b.label is None:
             before, after = decided[k - 1] if k else None, decided[k] if k < len(decided) else None
             if b.doubtful:
-                labels[i] = bool(before and after and before[1] and after[1])
+                labels[i] = bool(before or after) and all(x[1] if x else density[i] > 0 for x in (before, after))
             elif before and after and before[1] != after[1]:
                 gaps = i - before[0], after[0] - i
                 labels[i] = b.main or (gaps[0] != gaps[1] and (before if gaps[0] < gaps[1] else after)[1])
             else:
                 nearest = before or after
-                labels[i] = nearest[1] if nearest else b.main or len(b.text) >= SHORT
+                labels[i] = nearest[1] if nearest else b.main or len(b.text) >= SHORT or _density(b.text) >= STOP_HIGH
     return [b for b, good in zip(found, labels, strict=True) if good]
 
 

@@ -131,3 +131,59 @@ def best_windows(docs, items, size=5):
                 common = sum((got & want).values())
                 out[d, i] = max(out.get((d, i), 0), common / (sum(got.values()) + sum(want.values()) - common))
     return out
+
+
+def repeated_words(docs, size):
+    """doc (place in the order of ids) -> (words, kept words)."""
+    split = [SPACE_WORD.findall(t or "") for _, t in docs]
+    seen, gone = set(), [set() for _ in docs]
+    for k, w in enumerate(split):
+        for i in range(len(w) - size + 1):
+            key = tuple(w[i : i + size])
+            if key in seen:
+                gone[k].update(range(i, i + size))
+            seen.add(key)
+    return [(w, [x for i, x in enumerate(w) if i not in gone[k]]) for k, w in enumerate(split)]
+
+
+def resampled(docs, target, percent, least, buckets=10_000, seed=42):
+    """doc_id -> (features, weight, score, rank)."""
+    rx = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+    def counted(t):
+        w = rx.findall((t or "").translate(LOWER))
+        return len(w), Counter(zlib.crc32(" ".join(w[i : i + n]).encode()) % buckets for n in (1, 2, 3) for i in range(len(w) - n + 1))
+
+    rows = {d: counted(t) for d, t in docs}
+    s, t = (sum((c for _, c in x), Counter()) for x in (rows.values(), [counted(x) for x in target]))
+    big_s, big_t = sum(s.values()), sum(t.values())
+    gain = {b: math.floor(1000 * math.log((t[b] + 1) * (big_s + 10_000) / ((s[b] + 1) * (big_t + 10_000)))) for b in s}
+    out = {}
+    for d, (n, c) in rows.items():
+        weight = sum(k * gain[b] for b, k in c.items())
+        h = int(hashlib.sha256(f"{seed}:{d}".encode()).hexdigest()[:8], 16)
+        out[d] = (n, sum(c.values()), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))))
+    may = sorted((d for d, r in out.items() if r[0] >= least), key=lambda d: (-out[d][3], d))
+    rank = {d: k + 1 for k, d in enumerate(may[: percent * len(may) // 100])}
+    return {d: (n, w, s, rank.get(d)) for d, (_, n, w, s) in out.items()}
+
+
+def audited(rows, letters):
+    """(part, order, step) -> (kept, removed, redundant, unique, shapley) of (part, the letters it fails) rows, filter by filter."""
+    from itertools import permutations
+
+    out = {}
+    for part in {p for p, _ in rows}:
+        own = [f for p, f in rows if p == part]
+        total = Counter()
+        for order in permutations(letters):
+            left = own
+            for k, x in enumerate(order):
+                removed = [f for f in left if x in f]
+                left = [f for f in left if x not in f]
+                total[x] += len(removed)
+                out[part, "".join(order), k + 1] = (len(left), len(removed), sum(x in f for f in own) - len(removed), sum(set(f) == {x} for f in own))
+        for (p, order, k), v in list(out.items()):
+            if p == part:
+                out[p, order, k] = (*v[:4], total[order[k - 1]])
+    return out

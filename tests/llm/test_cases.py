@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, decontaminate, gram_arrays, html_text, license_scan, minhash, ngram_lm, secret_scan, token_files, toxicity, vector_dedup
+from factloom.llm import bpe, decontaminate, filter_audit, gram_arrays, html_text, license_scan, minhash, ngram_lm, resampling, secret_scan, token_files, toxicity, vector_dedup, window_dedup
 from factloom.llm.common import Workspace
 from factloom.llm.html_text import main_text
 
@@ -349,7 +349,7 @@ def test_pages_without_an_article_element(spark):
     """Most of the given pages' texts are the same if the article's tag doesn't tell it."""
     pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
     same = sum(main_text(p.replace("<article", "<div").replace("</article", "</div")) == main_text(p) for p in pages)
-    assert same >= 0.7 * len(pages)
+    assert same >= 0.95 * len(pages)
 
 
 def test_stop_words_decide_inside_an_article(monkeypatch):
@@ -423,3 +423,117 @@ def test_pipeline_with_odd_tables(spark, tmp_path):
         spark.createDataFrame([(1, "an item of a benchmark that stands nowhere")], "item_id long, text string").write.parquet(f"{tmp_path}/{folder}/benchmark.parquet")
     assert sorted(r.doc_id or 0 for r in cp.run(spark, f"{tmp_path}/odd").collect()) == [0, 1, 2, 3, 4]
     assert cp.run(spark, f"{tmp_path}/none").count() == 0
+
+
+@pytest.mark.parametrize("name", ["related-work", "share-price", "social-sciences", "comment-on-policy", "menu-of-the-day", "notice-board-history"])
+def test_names_that_only_begin_like_a_part_of_a_page(name):
+    said = "The price of the share was in the news for a week and it is not known what will be done with it by the board of the firm."
+    assert main_text(f'<article><div class="{name}"><p>{said}</p></div></article>') == said
+    for part in ("ad", "comments-area", "site-footer", "x menu", "social-share-buttons", "reader-comments"):
+        assert main_text(f'<body><div class="{part}"><p>{said}</p></div><p>{said} Once more.</p></body>') == f"{said} Once more."
+
+
+def test_blocks_without_stop_words_between_linked_ones(monkeypatch):
+    """Density decides where no element tells the article: a list of names beside links goes, and stays if no stop word is known."""
+    said = "<p>It was the first of the days on which they had been at the house and there was not a word of it in the papers of the town, and it is not known who was there with them at that time.</p>"
+    names = "<p>Aldric Bexley Corwin Dunstan Edmund Farley Garrick Hadley Irving Jareth Kendrick Lorne Merrick</p>"
+    page = f'<body><div><a href="/x">Somewhere else in this place, and a long link at that, as long as it has to be</a></div>{names}{said}</body>'
+    assert "Aldric" not in main_text(page) and "first of the days" in main_text(page)
+    monkeypatch.setattr(html_text, "STOP_WORDS", frozenset())
+    assert "Aldric" in main_text(page)
+
+
+def test_equal_distances(spark):
+    """Between a good and a bad neighbour at equal distances a short block goes, but stays in an article."""
+    said = "<p>It was the first of the days on which they had been at the house and there was not a word of it in the papers of the town, and it is not known who was there with them at that time.</p>"
+    link = '<p><a href="/">all of this is a link to another page of the place</a></p>'
+    assert "Short one" not in main_text(f"<body>{said}<p>Short one</p>{link}</body>") and "Short one" in main_text(f"<article>{said}<p>Short one</p>{link}</article>")
+
+
+def test_elias_fano_lists():
+    rng = np.random.default_rng(3)
+    for n, top in ((0, 10), (1, 1), (1, 1 << 64), (1000, 1 << 64), (5000, 6000), (70_000, 1 << 24)):
+        values = np.unique(rng.integers(0, top, n, np.uint64, endpoint=False))
+        assert (window_dedup.unpacked(window_dedup.packed(values, top)) == values).all()
+
+
+def test_runs_are_told_by_their_words():
+    rng = np.random.default_rng(4)
+    codes = rng.integers(0, 3, 400).astype(np.uint64)
+    for size in (1, 2, 5, 7, 20):
+        got = window_dedup.runs(codes, size)
+        seen = {}
+        assert len(got) == len(codes) - size + 1 and all(seen.setdefault(tuple(codes[i : i + size]), h) == h for i, h in enumerate(got)) and len(set(seen.values())) == len(seen)
+    assert len(window_dedup.runs(codes[:4], 5)) == 0
+
+
+@pytest.mark.parametrize("size", [1, 3, 20])
+def test_repeated_windows(spark, size, monkeypatch):
+    monkeypatch.setattr(window_dedup, "BLOCK_BYTES", 600)  # many blocks and shards
+    monkeypatch.setattr(window_dedup, "SHARD_BYTES", 2000)
+    monkeypatch.setattr(window_dedup, "CELL_BITS", 6)  # counters that many windows share lose nothing
+    rng = np.random.default_rng(size)
+    shared = ["".join(rng.choice(list("abcdé"), 3)) for _ in range(60)]
+    texts = [" ".join(rng.choice(shared, rng.integers(0, 40))) for _ in range(60)]
+    docs = [(d, texts[int(k)] + ("\n" + " ".join(shared[:30]) if d % 4 == 0 else "")) for d, k in enumerate(rng.integers(0, 60, 120))]
+    got = {r.doc_id: r for r in window_dedup.dedup(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), size).collect()}
+    for (d, _), (words, kept) in zip(docs, brute.repeated_words(docs, size), strict=True):
+        assert (got[d].n_words, got[d].n_removed, got[d].text) == (len(words), len(words) - len(kept), " ".join(kept))
+
+
+def test_repeated_windows_of_odd_rows(odd, nothing):
+    rows = window_dedup.dedup(odd, 3).collect()
+    got = {r.doc_id: r for r in rows}
+    assert len(rows) == 10 and got[1].n_words == got[2].n_words == got[3].n_words == 0 and got[1].text == ""
+    assert got[5].n_removed == 0 and sorted(r.n_removed for r in rows if r.doc_id == 6) == [7, 7] and got[None].n_removed == 0
+    assert got[4].n_removed == got[4].n_words - 18 and window_dedup.dedup(nothing).count() == 0
+
+
+def test_resampling_of_odd_rows(spark, odd, nothing):
+    target = spark.createDataFrame([("the quick fox",), (None,), ("",)], "text string")
+    got = resampling.resample(odd, target, percent=100, min_words=2).collect()
+    known = [(d, t) for d, t in odd.select("doc_id", "text").collect() if d is not None]
+    assert len(got) == 10 and {r.n_features for r in got if r.doc_id in (1, 2, 3)} == {0} and {r.weight for r in got if r.doc_id in (1, 2, 3)} == {0}
+    assert sorted(r.rank for r in got if r.rank) == list(range(1, sum(r.n_words >= 2 for r in got) + 1)) and len({(r.weight, r.score) for r in got if r.doc_id == 6}) == 1
+    assert {r.doc_id for r in got if r.rank is None} == {d for d, t in known if len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t or "")) < 2}
+    assert resampling.resample(nothing, target).count() == 0 and resampling.resample(odd, target.where("false")).count() == 10
+
+
+def test_resampling_against_dictionaries(spark):
+    docs = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    target = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").collect()]
+    for percent, least in ((5, 20), (33, 100)):
+        got = resampling.resample(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(t,) for t in target], "text string"), percent, least).collect()
+        assert {r.doc_id: (r.n_features, r.weight, r.score, r.rank) for r in got} == brute.resampled(docs, target, percent, least)
+
+
+def test_checksums_of_long_parts():
+    import zlib
+
+    from factloom.llm.crc import Shift
+
+    shift = Shift()
+    for n in (0, 1, 63, 64, 65, 1000, 123_457):
+        a, b = b"some words", bytes(i * 7 % 251 for i in range(n))
+        assert int(shift(np.array([zlib.crc32(a)], np.uint32), np.array([n]))[0]) ^ zlib.crc32(b) == zlib.crc32(a + b)
+
+
+def test_audit_of_odd_rows(spark, odd, nothing):
+    labels = spark.createDataFrame([(6, 1, 0), (6, 0, 1), (None, 1, 1), (5, None, 1)], "doc_id long, quality int, toxic int")
+    docs = odd.withColumn("source", F.when(F.col("doc_id") == 5, None).otherwise("a"))
+    classes = filter_audit.document_failures(docs, labels)
+    assert {r.part for r in classes.collect()} == {"", "a"} and classes.agg(F.sum("n")).first()[0] == 10
+    copies = classes.where(F.col("bits").bitwiseAND(16) != 0).agg(F.sum("n"), F.sum("good"), F.sum("toxic")).first()
+    assert tuple(copies) == (3, 2, 2)  # doc 2 has the empty text of doc 1, both rows of doc 6 that of doc 5
+    got = filter_audit.audit(classes, "ABCDE", {"good": "good_lost", "toxic": "toxic_lost"})
+    assert got.count() == 2 * 600 and filter_audit.audit(filter_audit.document_failures(nothing.withColumn("source", F.lit("a")), labels), "ABCDE", {}).count() == 0
+
+
+@pytest.mark.parametrize("letters", ["A", "AB", "ABCD"])
+def test_audit_against_every_order(spark, letters):
+    rng = np.random.default_rng(len(letters))
+    rows = [(str(p), "".join(x for x in letters if rng.random() < 0.4)) for p in range(3) for _ in range(50)]
+    bits = [(p, sum(1 << letters.index(x) for x in f), 1) for p, f in rows]
+    classes = spark.createDataFrame(bits, "part string, bits int, n long").groupBy("part", "bits").agg(F.sum("n").alias("n"))
+    got = {(r.part, r.filter_order, r.step): (r.kept, r.removed, r.redundant, r.unique_fails, r.shapley) for r in filter_audit.audit(classes, letters, {}).collect()}
+    assert got == brute.audited(rows, letters)
