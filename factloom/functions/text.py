@@ -21,15 +21,24 @@ def tokens(text: Column) -> Column:
 
 
 QUERY_BYTES = 2048
+#: Words of a question that say nothing about what it asks for.
+QUERY_STOP_WORDS = "a an and are as at be by did do does for from how i in is it of on or that the this to was were what when where which who why with".split()
 
 
-def query_tokens(text: Column, stop_words: list[str]) -> Column:
-    """(tokens, reason) of a context query: its tokens without stop words; ``too_long`` beyond ``QUERY_BYTES``, ``no_token`` if none is left."""
-    found = F.array_except(tokens(text), F.array(*map(F.lit, stop_words)).cast("array<string>"))
+def query_tokens(text: Column) -> Column:
+    """(tokens, reason) of a context query: its tokens without ``QUERY_STOP_WORDS``; ``too_long`` beyond ``QUERY_BYTES``, ``no_token`` if none is left."""
+    found = F.array_except(tokens(text), F.array(*map(F.lit, QUERY_STOP_WORDS)).cast("array<string>"))
     reason = F.when(F.octet_length(text) > QUERY_BYTES, "too_long").when(F.size(found) == 0, "no_token")
     return F.struct(found.alias("tokens"), reason.alias("reason"))
 
 
+def ascii_bytes(json: Column) -> Column:
+    """The bytes of a JSON text whose other characters are written as ``\\uXXXX`` escapes, two of them beyond the basic plane."""
+    rest = F.char_length(F.regexp_replace(json, r"[\x00-\x7F]", ""))
+    high = F.char_length(F.regexp_replace(json, r"[^\x{10000}-\x{10FFFF}]", ""))
+    return (F.char_length(json) + 5 * rest + 6 * high).cast("long")
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Overlap of two token arrays over their union; 0 if both are empty."""
     union = F.size(F.array_union(a, b))

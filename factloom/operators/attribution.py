@@ -162,8 +162,8 @@ def keyword_overlap(parts: DataFrame, query: list[str], stop_words: list[str] =
     return parts.withColumn("matched", F.size(F.array_intersect("tokens", wanted))).where("matched > 0")
 
 
-def packed(ranked: DataFrame, group: str, order: str, size: str, items: int, room: int) -> DataFrame:
-    """The rows of each group taken greedily in order while they fit a byte budget: one that is too large is skipped, at most ``items`` are taken.
+def packed(ranked: DataFrame, group: str, order: str, size: str, items: int, room: int, comma: int = 0) -> DataFrame:
+    """The rows of each group taken greedily in order while they fit a byte budget: one that is too large is skipped, at most ``items`` are taken; every one after the first costs ``comma`` more.
 
     A group may have any number of rows; ``order`` is distinct within it. Each round folds the first ``CHUNK`` rows of a group that come after those
     tried and fit the room left. The first of them is always taken, so ``items`` rounds try every row; the state between rounds is (room, n, last).
@@ -174,9 +174,10 @@ def packed(ranked: DataFrame, group: str, order: str, size: str, items: int, roo
     start = F.struct(F.col("room"), F.col("n"), F.array().cast(rows.select(F.array("place")).schema[0].dataType).alias("taken"))
 
     def take(a: Column, row: Column) -> Column:
-        fits = (row["bytes"] <= a["room"]) & (a["n"] < items)
+        cost = row["bytes"] + F.when(a["n"] > 0, comma).otherwise(0)
+        fits = (cost <= a["room"]) & (a["n"] < items)
         return F.struct(
-            F.when(fits, a["room"] - row["bytes"]).otherwise(a["room"]).alias("room"), (a["n"] + fits.cast("int")).alias("n"),
+            F.when(fits, a["room"] - cost).otherwise(a["room"]).alias("room"), (a["n"] + fits.cast("int")).alias("n"),
             F.when(fits, F.concat(a["taken"], F.array(row["place"]))).otherwise(a["taken"]).alias("taken"),
         )
 

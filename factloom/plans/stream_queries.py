@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+from ..operators import context
 from ..sources.bindings import ctes
 from ..streaming import streams
 from .registry import query
@@ -50,3 +52,18 @@ def stream_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.floor(key / 10).cast("string"), F.lit("-"), "o_orderpriority").alias("run_id"), F.lit(1).alias("run_attempt"), F.col("o_orderkey").alias("outcome_id"), result.alias("result"),
     )
     return streams.drained(streams.running_verdicts(outcomes), "verdicts", "complete")
+
+
+@query("t13_stream_candidates", """WITH p AS (SELECT source, text, len(list_intersect(list_distinct(list_transform(regexp_extract_all(text, '[a-zA-Z_][a-zA-Z0-9_]*|[0-9]+'), lambda x: lower(x))), ['license', 'token', 'password', 'released', 'die', 'les'])) AS score FROM documents),
+c AS (SELECT source, text, max(score) AS score, max(strlen(text)) + 64 + 512 AS bytes FROM p WHERE score > 0 GROUP BY source, text), s AS (SELECT source AS session_id, count(*) AS contents, sum(bytes)::bigint AS state_bytes, sum(score)::bigint AS scores FROM c GROUP BY source)
+SELECT session_id, CASE WHEN state_bytes > 200000 THEN 0 ELSE contents END AS contents, CASE WHEN state_bytes <= 200000 THEN state_bytes END AS state_bytes, CASE WHEN state_bytes <= 200000 THEN scores END AS scores, state_bytes > 200000 AS refused FROM s""")
+def stream_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best part of each content as parts come in, within a byte budget for each session; sessions beyond it are refused."""
+    docs = streams.source(spark, sf_dir, "documents")
+    score = F.size(F.array_intersect(T.tokens(F.col("text")), F.array(*map(F.lit, ["license", "token", "password", "released", "die", "les"]))))
+    found = docs.select(
+        F.col("source").alias("session_id"), F.sha2("text", 256).alias("content"), score.alias("score"), F.lit(0).cast("long").alias("at"), F.col("doc_id").alias("inference_call_id"), F.lit(0).alias("answered"), F.lit(0).alias("message"), F.lit(0).alias("part"),
+        F.octet_length("text").cast("long").alias("bytes"),
+    ).where("score > 0")
+    rows = streams.drained(context.running_candidates(found, 200_000), "candidates", "update")
+    return context.settled_candidates(rows)

@@ -177,18 +177,21 @@ def operational_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.outcome_rates(cohort.withColumn("ok", F.col("value") > 50), ["model"], "ok").select("model", "n", "successes")
 
 
-@query("x26_query_tokens", """WITH q AS (SELECT item_id, list_distinct(list_transform(regexp_extract_all(text, '[a-zA-Z_][a-zA-Z0-9_]*|[0-9]+'), lambda x: lower(x))) AS t, strlen(text) AS n FROM benchmark)
-SELECT item_id, CASE WHEN n > 2048 THEN 'too_long' WHEN len(list_filter(t, lambda x: x NOT IN ('the', 'of', 'and', 'a', 'to', 'in', 'is'))) = 0 THEN 'no_token' END AS reason, len(list_filter(t, lambda x: x NOT IN ('the', 'of', 'and', 'a', 'to', 'in', 'is')))::integer AS tokens FROM q""")
+_STOPS = "['a', 'an', 'and', 'are', 'as', 'at', 'be', 'by', 'did', 'do', 'does', 'for', 'from', 'how', 'i', 'in', 'is', 'it', 'of', 'on', 'or', 'that', 'the', 'this', 'to', 'was', 'were', 'what', 'when', 'where', 'which', 'who', 'why', 'with']"
+
+
+@query("x26_query_tokens", f"""WITH q AS (SELECT doc_id, list_distinct(list_transform(regexp_extract_all(text, '[a-zA-Z_][a-zA-Z0-9_]*|[0-9]+'), lambda x: lower(x))) AS t, strlen(text) AS n FROM documents)
+SELECT doc_id, CASE WHEN n > 2048 THEN 'too_long' WHEN len(list_filter(t, lambda x: NOT list_contains({_STOPS}, x))) = 0 THEN 'no_token' END AS reason, len(list_filter(t, lambda x: NOT list_contains({_STOPS}, x)))::integer AS tokens FROM q""")
 def query_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = T.query_tokens(F.col("text"), ["the", "of", "and", "a", "to", "in", "is"])
-    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", found["reason"].alias("reason"), F.size(found["tokens"]).alias("tokens"))
+    """Every document as a question: many are too long."""
+    found = T.query_tokens(F.col("text"))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", found["reason"].alias("reason"), F.size(found["tokens"]).alias("tokens"))
 
 
-@query("x27_content_keys", _GATEWAY + """ SELECT model_call_id, sha256(CASE event_id % 4 WHEN 0 THEN 'said ' || event_type WHEN 1 THEN 'plain' WHEN 2 THEN 'thinking' ELSE 'whole' END) AS content_key FROM g WHERE session_id IS NOT NULL""")
+@query("x27_content_keys", """SELECT doc_id, sha256(to_json({'finish_reason': CASE WHEN doc_id % 3 = 0 THEN 'stop' END, 'part': {'type': CASE WHEN doc_id % 11 = 0 THEN 'reasoning' ELSE 'text' END, 'content': text}, 'role': lang})) AS content_key FROM documents""")
 def content_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = _gateway(spark, sf_dir).withColumn("inference_call_id", F.col("model_call_id"))
-    parts = evidence.parts(calls).where("side = 'output' and message = 0 and part = 0")
-    return parts.select(F.col("inference_call_id").alias("model_call_id"), F.sha2("text", 256).alias("content_key"))
+    parts = _context_parts(spark, sf_dir)
+    return parts.select(F.col("inference_call_id").alias("doc_id"), context.content_key(parts).alias("content_key"))
 
 
 @query("x25_trainer_messages", _GATEWAY + """, p AS (SELECT model_call_id, event_type, event_id % 7 AS k, event_id % 4 AS j FROM g WHERE session_id IS NOT NULL),
@@ -213,23 +216,38 @@ def trainer_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("model_call_id", F.col("c.reason").alias("reason"), first["content"].alias("content"), first["thinking"].alias("thinking"), F.get(first["tool_calls"], 0)["name"].alias("tool"))
 
 
-_WORDS = ["license", "token", "password", "released"]
-_CONTEXT = f"""WITH p AS (SELECT source AS session_id, doc_id AS inference_call_id, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' MINUTE * (doc_id % 50) AS observed_at, CASE WHEN doc_id % 3 = 0 THEN 'output' ELSE 'input' END AS side, doc_id % 4 AS message, lang AS role,
-  CASE WHEN doc_id % 11 = 0 THEN 'reasoning' ELSE 'text' END AS type, text, len(list_intersect(list_distinct(list_transform(regexp_extract_all(text, '[a-zA-Z_][a-zA-Z0-9_]*|[0-9]+'), lambda x: lower(x))), {_WORDS}))::integer AS score FROM documents),
-f AS (SELECT *, row_number() OVER (ORDER BY score DESC, observed_at DESC, inference_call_id) AS i FROM p WHERE type <> 'reasoning' AND score > 0)"""
+_WORDS = ["license", "token", "password", "released", "the", "with"]
+_CONTEXT = f"""WITH RECURSIVE p AS (SELECT source AS session_id, doc_id AS inference_call_id, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' MINUTE * (doc_id % 50) AS observed_at, CASE WHEN doc_id % 3 = 0 THEN 'output' ELSE 'input' END AS side, doc_id % 4 AS message, lang AS role,
+  CASE WHEN doc_id % 11 = 0 THEN 'reasoning' ELSE 'text' END AS type, text, CASE WHEN doc_id % 3 = 0 THEN 'stop' END AS finish_reason, len(list_intersect(list_distinct(list_transform(regexp_extract_all(text, '[a-zA-Z_][a-zA-Z0-9_]*|[0-9]+'), lambda x: lower(x))), ['license', 'token', 'password', 'released']))::integer AS score,
+  CASE WHEN doc_id % 11 = 0 THEN 'reasoning_part' WHEN doc_id % 13 = 0 THEN 'non_finite_number' END AS out FROM documents),
+f AS (SELECT *, row_number() OVER (ORDER BY score DESC, observed_at DESC, inference_call_id) AS i FROM p WHERE out IS NULL AND score > 0)"""
+_PACKED = r""", u AS (SELECT *, to_json({'score': score, 'evidence': {'reference': {'inference_call_id': inference_call_id, 'side': side, 'message_index': message, 'part_index': 0}, 'observed_at': strftime(observed_at, '%Y-%m-%dT%H:%M:%S.%fZ'), 'role': role, 'finish_reason': finish_reason, 'part': {'type': type, 'content': text}}})::varchar AS j,
+  count(*) OVER (PARTITION BY session_id, role, finish_reason, type, text) AS copies FROM f QUALIFY row_number() OVER (PARTITION BY session_id, role, finish_reason, type, text ORDER BY i) = 1),
+c AS (SELECT *, length(j) + 5 * length(regexp_replace(j, '[\x00-\x7F]', '', 'g')) + 6 * length(regexp_replace(j, '[^\x{10000}-\x{10FFFF}]', '', 'g')) AS bytes, row_number() OVER (PARTITION BY session_id ORDER BY i) AS k FROM u),
+g AS (SELECT session_id, 0::bigint AS k, 14336::bigint AS room, 0 AS n, false AS taken FROM (SELECT DISTINCT session_id FROM c)
+  UNION ALL SELECT g.session_id, c.k, CASE WHEN g.n < 8 AND c.bytes + (g.n > 0)::int <= g.room THEN g.room - c.bytes - (g.n > 0)::int ELSE g.room END, CASE WHEN g.n < 8 AND c.bytes + (g.n > 0)::int <= g.room THEN g.n + 1 ELSE g.n END, g.n < 8 AND c.bytes + (g.n > 0)::int <= g.room FROM g JOIN c ON c.session_id = g.session_id AND c.k = g.k + 1)"""
 
 
 def _context_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("doc_id")
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(
         F.col("source").alias("session_id"), i.alias("inference_call_id"), F.expr("timestamp'2024-01-01 00:00:00' + interval '1' minute * (doc_id % 50)").alias("observed_at"), F.when(i % 3 == 0, "output").otherwise("input").alias("side"), (i % 4).alias("message"),
-        F.lit(0).alias("part"), F.col("lang").alias("role"), F.when(i % 11 == 0, "reasoning").otherwise("text").alias("type"), "text",
+        F.lit(0).alias("part"), F.col("lang").alias("role"), F.when(i % 11 == 0, "reasoning").otherwise("text").alias("type"), "text", F.when(i % 3 == 0, "stop").alias("finish_reason"), (i % 13 != 0).alias("finite"),
     )
 
 
-@query("d13_retrieved_parts", _CONTEXT + " SELECT session_id, inference_call_id, side, score FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY role, text ORDER BY i) = 1) ORDER BY i LIMIT 8")
+@query("d13_retrieved_parts", _CONTEXT + _PACKED + " SELECT session_id, n AS rank, score, inference_call_id, side, bytes FROM g JOIN c USING (session_id, k) WHERE taken")
 def retrieved_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return context.retrieve(_context_parts(spark, sf_dir), _WORDS).select("session_id", "inference_call_id", "side", "score")
+    """One question to every session: the parts that fit into its response."""
+    return context.retrieve(_context_parts(spark, sf_dir), _WORDS)[0].select("session_id", "rank", "score", "inference_call_id", "side", "bytes")
+
+
+@query("d13_retrieval_summary", _CONTEXT + _PACKED + """, q AS (SELECT session_id, max(n) AS selected, min(k) FILTER (WHERE n = 8) AS last, max(k) AS groups FROM g GROUP BY session_id), z AS (SELECT session_id, sum(copies - 1)::bigint AS repeated FROM c GROUP BY session_id),
+s AS (SELECT session_id, count(*) AS scanned_parts, count(*) FILTER (WHERE out = 'reasoning_part') AS reasoning_part, count(*) FILTER (WHERE out = 'non_finite_number') AS non_finite_number, count(*) FILTER (WHERE out IS NULL AND score = 0) AS no_match FROM p GROUP BY session_id)
+SELECT session_id, scanned_parts, CASE WHEN selected > 0 THEN 'matched' WHEN groups > 0 THEN 'budget_exhausted' ELSE 'no_match' END AS status, coalesce(selected, 0) AS selected, reasoning_part, non_finite_number, no_match, coalesce(repeated, 0) AS repeated_content,
+  coalesce(groups - last, 0) AS item_limit, coalesce(groups - selected - coalesce(groups - last, 0), 0) AS response_budget FROM s LEFT JOIN q USING (session_id) LEFT JOIN z USING (session_id)""")
+def retrieval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context.retrieve(_context_parts(spark, sf_dir), _WORDS)[1]
 
 
 @query("d13_discovered_sessions", _CONTEXT + """, s AS (SELECT DISTINCT source AS session_id, CASE WHEN source IN ('src3', 'src5') THEN 'abc' END AS commit_match FROM documents),

@@ -51,7 +51,7 @@ def running_verdicts(outcomes: DataFrame) -> DataFrame:
 
 
 def drained(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """Run a stream over what its source has, and read the result: the last table in complete mode, all rows in append mode.
+    """Run a stream over what its source has, and read the result: the last table in complete mode, all rows of all batches else.
 
     Batches are written by their number, so a batch that is run again after a failure replaces its own rows.
     """
