@@ -5,7 +5,8 @@ code). A vector is list-decoded to all directions whose inner product with it ex
 inner products and cutting those that no further block can lift over it. Vectors that share a direction are compared in
 double precision. Equal vectors are one class before that, so copies are never compared.
 
-Directions with many vectors are split into chunks and joined chunk by chunk, so a task holds two chunks at most. A pair that shares
+Rotations of more than 64 dimensions are structured (three rounds of sign flips and Hadamard steps), so a code takes memory in
+proportion to the dimension. Directions with many vectors are split into chunks and joined chunk by chunk, so a task holds two chunks at most. A pair that shares
 several directions counts at the first of them. Tasks give the number of links of each vector and a spanning forest of what they
 saw, never a row for a pair; components come from star contraction.
 
@@ -15,6 +16,7 @@ test measures recall. A vector of another number of components is compared with
 
 A null vector, a zero vector and one with null or non-finite components links with nothing; so does a row with a null id (its component
 is null, kept is true). Rows that share an id are one node of the components. Repeated rows are copies: each links with the others.
+An empty table gives no rows. Only the key and the vector are read, whatever other columns are called. A pair at exactly the wanted cosine is linked.
 """
 
 from __future__ import annotations
@@ -37,44 +39,72 @@ LEAST = 0.95
 CHUNK = 1024  # vectors of a direction that are held together
 
 
+#: Dimensions up to this are rotated by a dense matrix; above it by sign flips and Hadamard steps, whose memory grows with the dimension only.
+DENSE = 64
+
+
+def hadamard(x: np.ndarray) -> np.ndarray:
+    """The orthonormal Walsh-Hadamard transform of each row; their length is a power of two."""
+    n = x.shape[1]
+    h = 1
+    while h < n:
+        pairs = x.reshape(len(x), n // (2 * h), 2, h)
+        x = np.concatenate([pairs[:, :, 0] + pairs[:, :, 1], pairs[:, :, 0] - pairs[:, :, 1]], axis=2).reshape(len(x), n)
+        h *= 2
+    return x / math.sqrt(n)
+
+
 class ProductCode:
     """The directions of all codes for vectors of a dimension: products of two blocks' words from 32 dimensions on, words of one block below."""
 
     def __init__(self, dimension: int):
         rng = np.random.default_rng([SEED, dimension])
-        parts = 2 if dimension >= 32 else 1
-        self.words = round(WORDS ** (1 / parts)) if dimension > 1 else 2
-        self.codes = []
-        for _ in range(CODES if dimension > 1 else 1):
-            rotation = np.linalg.qr(rng.standard_normal((dimension, dimension)))[0]
-            blocks = []
-            for block in np.array_split(np.arange(dimension), parts):
-                w = rng.standard_normal((self.words, len(block))) if dimension > 1 else np.array([[-1.0], [1.0]])
-                blocks.append((block, w * np.sqrt(len(block)) / np.linalg.norm(w, axis=1, keepdims=True)))
-            self.codes.append((rotation, blocks))
+        self.parts = 2 if dimension >= 32 else 1
+        self.words = round(WORDS ** (1 / self.parts)) if dimension > 1 else 2
+        self.dimension = dimension
+        self.wide = dimension if dimension <= DENSE else 1 << (dimension - 1).bit_length()
+        self.codes = [self._dense(rng) if dimension <= DENSE else c for c in range(CODES if dimension > 1 else 1)]
         self.threshold = 0.0
         if dimension > 1:  # so that a random vector has EXPECTED directions
-            unit = rng.standard_normal((256, dimension))
+            unit = rng.standard_normal((256 if dimension <= DENSE else 64, dimension))
             unit /= np.linalg.norm(unit, axis=1, keepdims=True)
             scores = np.concatenate([self._scores(unit, code).reshape(-1) for code in self.codes])
-            wide = LEAST * np.sqrt(dimension)  # in few dimensions a narrower cap would be smaller than the distance of a linked pair
-            self.threshold = min(wide, float(np.quantile(scores, 1 - EXPECTED / (len(self.codes) * self.words**parts))))
-            self.codes = self.codes[: math.ceil(EXPECTED / max(1e-9, (scores > self.threshold).mean() * self.words**parts))]
-
-    @staticmethod
-    def _scores(unit: np.ndarray, code) -> np.ndarray:
-        rotation, blocks = code
-        turned = unit @ rotation
+            wide = LEAST * np.sqrt(self.wide)  # in few dimensions a narrower cap would be smaller than the distance of a linked pair
+            self.threshold = min(wide, float(np.quantile(scores, 1 - EXPECTED / (len(self.codes) * self.words**self.parts))))
+            self.codes = self.codes[: math.ceil(EXPECTED / max(1e-9, (scores > self.threshold).mean() * self.words**self.parts))]
+
+    def _blocks(self, rng: np.random.Generator) -> list[tuple[np.ndarray, np.ndarray]]:
+        blocks = []
+        for block in np.array_split(np.arange(self.wide), self.parts):
+            w = rng.standard_normal((self.words, len(block))) if self.dimension > 1 else np.array([[-1.0], [1.0]])
+            blocks.append((block, w * np.sqrt(len(block)) / np.linalg.norm(w, axis=1, keepdims=True)))
+        return blocks
+
+    def _dense(self, rng: np.random.Generator):
+        return np.linalg.qr(rng.standard_normal((self.dimension, self.dimension)))[0], self._blocks(rng)
+
+    def _turned(self, unit: np.ndarray, code) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """(rotated vectors, blocks of words) of a code; a structured code is made from its number each time and never kept."""
+        if not isinstance(code, int):
+            return unit @ code[0], code[1]
+        rng = np.random.default_rng([SEED, self.dimension, code])
+        turned = np.pad(unit, ((0, 0), (0, self.wide - self.dimension)))
+        for _ in range(3):
+            turned = hadamard(turned * rng.choice([-1.0, 1.0], self.wide))
+        return turned, self._blocks(rng)
+
+    def _scores(self, unit: np.ndarray, code) -> np.ndarray:
+        turned, blocks = self._turned(unit, code)
         total = np.zeros((len(unit), 1))
         for block, w in blocks:
             total = (total[:, :, None] + (turned[:, block] @ w.T)[:, None, :]).reshape(len(unit), -1)
         return total
 
     def decode(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, direction) of every direction that exceeds the threshold, for unit vectors."""
+        """(row, direction) of every direction that exceeds the threshold, for unit vectors; a direction's number holds its dimension."""
         rows, ids = [], []
-        for c, (rotation, words) in enumerate(self.codes):
-            turned = unit @ rotation
+        for c, held in enumerate(self.codes):
+            turned, words = self._turned(unit, held)
             scores = [turned[:, block] @ w.T for block, w in words]
             best = [s.max(1) for s in scores]
             row, total, code = np.arange(len(unit)), np.zeros(len(unit)), np.full(len(unit), c, np.int64)
@@ -85,7 +115,7 @@ class ProductCode:
                 total, code, row = sums[a, b], code[a] * self.words + b, row[a]
             rows.append(row)
             ids.append(code)
-        return np.concatenate(rows), np.concatenate(ids) * 4096 + unit.shape[1] % 4096
+        return np.concatenate(rows), np.concatenate(ids) << 32 | self.dimension
 
 
 _CODES: dict[int, ProductCode] = {}
@@ -99,11 +129,16 @@ def _code(dimension: int) -> ProductCode:
 
 def _vectors(lists: pa.Array) -> list[np.ndarray | None]:
     """Each vector in double precision; None for one that can't be compared."""
-    out = []
-    for x in lists:
-        values = None if x.as_py() is None or x.values.null_count else x.values.to_numpy(zero_copy_only=False).astype(np.float64)
+    out: list[np.ndarray | None] = []
+    flat = lists.values
+    null = flat.is_null().to_numpy(zero_copy_only=False)
+    data = flat.fill_null(0.0).to_numpy(zero_copy_only=False).astype(np.float64)
+    offsets, there = lists.offsets.to_numpy(), lists.is_valid().to_numpy(zero_copy_only=False)
+    for known, a, b in zip(there, offsets[:-1], offsets[1:], strict=True):
+        values = data[a:b] if known and b > a and not null[a:b].any() else None
         # a norm that overflows or vanishes in double precision leaves no cosine either
-        out.append(values if values is not None and len(values) and np.isfinite(values).all() and 0 < values @ values < np.inf else None)
+        with np.errstate(over="ignore"):
+            out.append(values if values is not None and np.isfinite(values).all() and 0 < values @ values < np.inf else None)
     return out
 
 

@@ -537,3 +537,34 @@ def test_audit_against_every_order(spark, letters):
     classes = spark.createDataFrame(bits, "part string, bits int, n long").groupBy("part", "bits").agg(F.sum("n").alias("n"))
     got = {(r.part, r.filter_order, r.step): (r.kept, r.removed, r.redundant, r.unique_fails, r.shapley) for r in filter_audit.audit(classes, letters, {}).collect()}
     assert got == brute.audited(rows, letters)
+
+
+def test_hadamard_steps():
+    x = np.random.default_rng(0).standard_normal((5, 64))
+    y = vector_dedup.hadamard(x)
+    assert np.allclose((y * y).sum(1), (x * x).sum(1)) and np.allclose(vector_dedup.hadamard(y), x)
+
+
+def test_vectors_of_many_and_of_mixed_dimensions(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for k in range(60):
+        x = rng.standard_normal(1536)
+        g = rng.standard_normal(1536)
+        g -= g @ x / (x @ x) * x
+        y = 0.955 * x / np.linalg.norm(x) + np.sqrt(1 - 0.955**2) * g / np.linalg.norm(g)
+        rows += [(2 * k, x.tolist()), (2 * k + 1, y.tolist())]
+    rows += [(1000, [1.0]), (1001, [2.5]), (1002, [-1.0])]
+    wide = rng.standard_normal(4097)
+    rows += [(1003, wide.tolist()), (1004, (wide + 0.01 * rng.standard_normal(4097)).tolist()), (1005, rng.standard_normal(4097).tolist())]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_dedup.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert [got[i] for i in (1000, 1001, 1002, 1003, 1004, 1005)] == [(1, 1000), (1, 1000), (0, 1002), (1, 1003), (1, 1003), (0, 1005)]
+    found = sum(got[2 * k] == (1, 2 * k) and got[2 * k + 1] == (1, 2 * k) for k in range(60))
+    assert found >= 58 and all(n <= 1 for n, _ in got.values())
+
+
+def test_vectors_at_exactly_the_cosine(spark):
+    """(19, 6, 1, 1, 1) has length 20."""
+    rows = [(1, [1.0, 0.0, 0.0, 0.0, 0.0]), (2, [19.0, 6.0, 1.0, 1.0, 1.0]), (3, [-1.0, 0.0, 0.0, 0.0, 0.0]), (4, [-19.0, 6.0, 1.0, 1.0, 1.001])]
+    got = {r.vec_id: r.n_links for r in vector_dedup.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: 1, 2: 1, 3: 0, 4: 0}
