@@ -94,9 +94,17 @@ class GramFile:
         return out
 
 
-def new_path(folder: str) -> str:
-    os.makedirs(folder, exist_ok=True)
-    return f"{folder}/{uuid.uuid4().hex}"
+def file_of(folder: str, level: int, shard: int) -> str:
+    """Where the array of a level's shard stands; a shard without n-grams has none. Levels of contexts are negative."""
+    return f"{folder}/{level}/{shard >> 12:x}/{shard:x}"
+
+
+def put(path: str, keys: np.ndarray, values: list[np.ndarray], skip: int) -> None:
+    """``write`` under another name and then in one step at its place, so that an attempt of a task that was lost or repeated leaves a whole file."""
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    own = f"{path}.{uuid.uuid4().hex}"
+    write(own, keys, values, skip)
+    os.replace(own, path)
 
 
 def _planes(column: np.ndarray) -> tuple[int, bytes]:

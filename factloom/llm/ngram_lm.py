@@ -7,16 +7,19 @@ in a shorter one. A token's id is its rank in the vocabulary array. Discounts co
 N-grams of a context whose words are all so frequent that it could fill a shard are dealt by their own hash, and the sums of these contexts
 are added up once more, over all shards.
 
-Scoring: tasks map the arrays and look up the n-grams of a slice of texts. The driver sees file lists, a few sums and the ids of the
-words that could fill a shard (fewer than shards). Counts are exact, of 64 bits.
+Scoring: tasks map the arrays and look up the n-grams of a slice of texts. A file's name is made of its level and shard, so nobody keeps or
+sends a list of them, and a worker lets go of the maps it used longest ago. The driver sees the vocabulary's ranges, a row of sums for a level and
+the ids of the words that could fill a shard (fewer than shards). Counts are exact, of 64 bits.
 
 Tokens are white-space words, A-Z lower-cased, and one end for each text; null text is the empty text (an end alone).
-A null key counts as not held out. Repeated rows count each time. Without training rows every token has probability
+A null key counts as not held out. Repeated rows count each time. An empty table has no scores. A very long text is scored as a whole, in a slice of its own. Without training rows every token has probability
 1/(V+1) = 1. Only the text column is read, whatever the names of the others; columns that are added get free names.
 """
 
 from __future__ import annotations
 
+import os
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +40,8 @@ BUFFER = 1 << 21  # n-grams that a task counts before it hands them on
 SHARD = 1 << 22  # tokens of the training texts for each shard
 PARTITIONS = 1 << 14  # more shards than this share partitions, and a task takes its shards one by one
 _TEXT_ROWS, _NUMBER_ROWS, _BLOCK_ROWS = 2000, 200_000, 64
-_BLOCK, _FILE, _SUMS, _HOT = range(4)  # kinds of rows between the levels
+_BLOCK, _SUMS, _HOT = range(3)  # kinds of rows between the levels
+MAPS = 8192  # files that a worker has mapped at once; Linux allows 65,530 maps
 _ROWS = "shard long, kind int, level int, data binary"
 
 
@@ -137,20 +141,16 @@ def _reduced(shards: Shards, level: int, folder: str):
         columns, counts = _summed([np.concatenate([p[k] for p in parts]) for k in range(level)], np.concatenate([p[level] for p in parts]))
         n = [int((counts == k).sum()) for k in (1, 2, 3, 4)]
         rows = [(shard, _SUMS, level, np.array([*n, int(counts.sum()), int((counts > 2).sum())], "<u8").tobytes())]
-        path = gram_arrays.new_path(folder)
         if level == 1:
-            gram_arrays.write(f"{path}.grams", mix(columns[0], 1), [counts], shards.bits)
-            rows.append((shard, _FILE, level, f"{path}.grams".encode()))
+            gram_arrays.put(gram_arrays.file_of(folder, level, shard), mix(columns[0], 1), [counts], shards.bits)
         else:
             key, context, hot = shards.of(columns)
-            gram_arrays.write(f"{path}.grams", key, [counts], 0)
-            rows.append((shard, _FILE, level, f"{path}.grams".encode()))
+            gram_arrays.put(gram_arrays.file_of(folder, level, shard), key, [counts], 0)
             order = np.argsort(context)
             new = np.flatnonzero(np.diff(context[order], prepend=context[order[0]] ^ np.uint64(1)))
             sums = [np.add.reduceat(x[order].astype(np.uint64), new) for x in (counts, counts == 1, counts == 2, counts > 2)]
             keys, hot = context[order][new], hot[order][new]
-            gram_arrays.write(f"{path}.contexts", keys[~hot], [s[~hot] for s in sums], shards.bits)
-            rows.append((shard, _FILE, -level, f"{path}.contexts".encode()))
+            gram_arrays.put(gram_arrays.file_of(folder, -level, shard), keys[~hot], [s[~hot] for s in sums], shards.bits)
             if hot.any():
                 rows.append((shard, _HOT, level, packed([keys[hot], *(s[hot] for s in sums)])))
             lower, seen = _summed(columns[1:], np.ones(len(counts), np.uint64))
@@ -189,13 +189,24 @@ def _hot_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), level, np.int32)), *columns], names=["level", "key", *_CONTEXT])
 
 
+def _level_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for level, data in zip(batch["level"].to_pylist(), batch["data"].to_pylist(), strict=True):
+            total[level] = total.get(level, 0) + np.frombuffer(data, "<u8").astype(np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), *(pa.array([int(v[k]) for v in total.values()], pa.int64()) for k in range(6))], names=["level", *_SUM_NAMES])
+
+
+_SUM_NAMES = ["once", "twice", "thrice", "four", "tokens", "more"]
+
+
 class Model:
     """Where the arrays of a trained model are, and its few numbers. Picklable."""
 
     def __init__(self, order: int):
         self.order, self.bits = order, 0
         self.vocabulary: list[tuple] = []
-        self.files: dict[int, dict[int, str]] = {}  # level, negative for contexts -> shard -> file
+        self.folder = ""  # of the arrays; a file's name tells its level and shard, so no list of files is kept
         self.discounts: dict[int, tuple[float, float, float]] = {}
         self.train_tokens = self.words = self.continuations = 0
         self.rest = 1.0  # weight of the uniform distribution under the unigrams
@@ -217,15 +228,25 @@ class Model:
         """Values of keys in the arrays of a level, each in the file of its shard."""
         out = np.zeros((len(keys), width), np.uint64)
         order = np.argsort(shard, kind="stable")
-        cuts = np.searchsorted(shard[order], np.arange((1 << self.bits) + 1))
-        for s, path in self.files.get(level, {}).items():
-            own = order[cuts[s] : cuts[s + 1]]
-            if len(own):
-                if path not in self._open:
-                    self._open[path] = GramFile(path, self.bits if level < 2 else 0)
-                out[own] = self._open[path].find(keys[own])
+        placed = shard[order]
+        edges = np.flatnonzero(np.diff(placed, prepend=-1, append=-1)) if len(placed) else np.zeros(1, np.int64)
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            file = self._file(level, int(placed[a]))
+            if file is not None:
+                out[order[a:b]] = file.find(keys[order[a:b]])
         return out
 
+    def _file(self, level: int, shard: int) -> GramFile | None:
+        """The mapped array of a shard; those that were used longest ago are let go of beyond ``MAPS``."""
+        files: OrderedDict = self._open.setdefault("files", OrderedDict())
+        if (level, shard) not in files:
+            path = gram_arrays.file_of(self.folder, level, shard)
+            files[level, shard] = GramFile(path, self.bits if level < 2 else 0) if os.path.exists(path) else None
+            if len(files) > MAPS:
+                files.popitem(last=False)
+        files.move_to_end((level, shard))
+        return files[level, shard]
+
     def _discount(self, level: int, counts: np.ndarray) -> np.ndarray:
         return np.array([0.0, *self.discounts[level]])[np.minimum(counts, 3).astype(np.int64)]
 
@@ -308,12 +329,13 @@ def train(docs: DataFrame, text: str = "text", order: int = ORDER) -> Model:
         if held:
             yield from merged()
 
+    model.folder = folder = hash_arrays.local(space.path("grams"))
     partitions = min(1 << bits, PARTITIONS)
     part = F.shiftright("shard", bits - (partitions.bit_length() - 1)).cast("int")
     rows_at_once(_TEXT_ROWS if partitions == 1 << bits else _BLOCK_ROWS)
     rows = texts.mapInArrow(ngrams, _ROWS)
     for level in range(order, 0, -1):
-        rows = rows.repartitionById(partitions, part).sortWithinPartitions("shard").mapInArrow(_reduced(shards, level, hash_arrays.local(space.path("grams"))), _ROWS)
+        rows = rows.repartitionById(partitions, part).sortWithinPartitions("shard").mapInArrow(_reduced(shards, level, folder), _ROWS)
     lists = space.save(rows, "lists")
     rows_at_once(_NUMBER_ROWS)
     hot = lists.where(F.col("kind") == _HOT).mapInArrow(_hot_sums, "level int, key long, total long, n1 long, n2 long, n3 long").groupBy("level", "key").agg(*(F.sum(c).alias(c) for c in _CONTEXT))
@@ -322,14 +344,10 @@ def train(docs: DataFrame, text: str = "text", order: int = ORDER) -> Model:
         own = hash_arrays.dealt(hot.where(F.col("level") == level), F.col("key"))
         written = space.save(hash_arrays.write(own, space.path(f"hot{level}"), "key", _CONTEXT), f"hot{level}_files")
         model.hot[level] = [tuple(r) for r in written.select("file", "low", "high", "n").collect()]
-    sums: dict[int, np.ndarray] = {}
-    for r in lists.where(F.col("kind") != _HOT).collect():  # a few rows for a shard
-        if r.kind == _FILE:
-            model.files.setdefault(r.level, {})[r.shard] = bytes(r.data).decode()
-        elif r.kind == _SUMS:
-            sums[r.level] = sums.get(r.level, 0) + np.frombuffer(r.data, "<u8")
+    added = lists.where(F.col("kind") == _SUMS).mapInArrow(_level_sums, f"level int, {', '.join(f'{c} long' for c in _SUM_NAMES)}").groupBy("level").agg(*(F.sum(c).alias(c) for c in _SUM_NAMES))
+    sums = {r.level: [r[c] for c in _SUM_NAMES] for r in added.collect()}  # a row for a level
     for level in range(1, order + 1):
-        of = sums.get(level, np.zeros(6, np.uint64)).tolist()
+        of = sums.get(level, [0] * 6)
         model.discounts[level] = d = _discounts(of[:4])
         if level == 1:
             model.continuations = of[4]
@@ -349,7 +367,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     schema, at = docs.select("*", *(F.lit(0).cast(t).alias(names[k]) for k, t in kinds.items())).schema, docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tag = str(model.vocabulary) + str(model.files)
+        tag = f"{model.folder} {model.vocabulary}"
         if tag not in _MODELS:  # a worker maps one model at a time
             _MODELS.clear()
             _MODELS[tag] = model
