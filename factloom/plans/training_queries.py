@@ -92,13 +92,6 @@ def json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads.json_lines(spark, folder, "o_orderkey long, o_totalprice double, split string").groupBy("split").agg(F.count("*").alias("rows"), F.sum("o_orderkey").alias("keys"))
 
 
-@query("k05_bundle", "SELECT 'orders' AS name, count(*) AS rows, count(*) AS found_rows, true AS intact FROM orders UNION ALL SELECT 'customer', count(*), count(*), true FROM customer")
-def bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = Workspace(spark, "bundle").path("rows")
-    rows_out.write_bundle({t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "customer")}, folder)
-    return rows_out.bundle_faults(spark, folder)
-
-
 #: Every ancestor of some heads, from head to head.
 REACH = """a AS (SELECT DISTINCT head, head AS c FROM heads UNION SELECT a.head, p.parent FROM a JOIN commit_parents p ON p.commit_sha = a.c WHERE p.parent IS NOT NULL)"""
 

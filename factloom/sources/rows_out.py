@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -35,29 +34,6 @@ def write_jsonl(rows: DataFrame, folder: str, split: str | None = None) -> bool:
     return True
 
 
-def table_digest(rows: DataFrame) -> DataFrame:
-    """(rows, digest): how many rows a table has and a sum of their 64-bit hashes, the same in any order."""
-    return rows.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)")), F.lit(0)).cast("string").alias("digest"))
-
-
-def write_bundle(tables: dict[str, DataFrame], folder: str) -> None:
-    """Write tables as Parquet and a manifest with each one's count and digest; the manifest comes last, so a bundle without one is not finished."""
-    spark = next(iter(tables.values())).sparkSession
-    listed = []
-    for name, rows in tables.items():
-        rows.write.mode("overwrite").parquet(f"{folder}/{name}")
-        own = table_digest(spark.read.schema(rows.schema).parquet(f"{folder}/{name}")).first()
-        listed.append((name, own.rows, own.digest))
-    spark.createDataFrame(listed, "name string, rows long, digest string").coalesce(1).write.mode("overwrite").json(f"{folder}/manifest")
-
-
-def bundle_faults(spark, folder: str) -> DataFrame:
-    """(name, rows, found_rows, intact): each table of a bundle's manifest against what is there now."""
-    manifest = spark.read.schema("name string, rows long, digest string").json(f"{folder}/manifest")
-    found = reduce(DataFrame.unionAll, (table_digest(spark.read.parquet(f"{folder}/{r.name}")).select(F.lit(r.name).alias("name"), F.col("rows").alias("found_rows"), F.col("digest").alias("found")) for r in manifest.select("name").collect()))
-    return manifest.join(found, "name").select("name", "rows", "found_rows", ((F.col("rows") == F.col("found_rows")) & (F.col("digest") == F.col("found"))).alias("intact"))
-
-
 def digest(*columns: Column | str) -> Column:
     """SHA-256 of the canonical JSON of columns, absent fields left out."""
     return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "true"}), 256)

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.operators import visibility
-from factloom.sources import reads, rows_out
+from factloom.sources import bundles, reads, rows_out
 
 from .conftest import rows_of
 
@@ -62,8 +62,15 @@ def test_json_lines_are_published_whole(spark, tmp_path):
 
 
 def test_a_changed_bundle_is_told(spark, tmp_path):
-    rows = spark.createDataFrame([(1, "a"), (2, "b")], "id int, t string")
-    rows_out.write_bundle({"x": rows, "y": rows}, f"file://{tmp_path}/b")
-    assert all(r.intact for r in rows_out.bundle_faults(spark, f"file://{tmp_path}/b").collect())
-    rows.withColumn("t", F.lit("c")).write.mode("overwrite").parquet(f"file://{tmp_path}/b/y")
-    assert {r.name: r.intact for r in rows_out.bundle_faults(spark, f"file://{tmp_path}/b").collect()} == {"x": True, "y": False}
+    rows = [("completions", "eval" if i % 5 == 0 else "train", str(i), [], f"b{i}") for i in range(3000)] + [("pairs", "eval", "p", [0, 1], "x"), ("pairs", "train", "q", [1, 2], "x"), ("pairs", "train", "q", [1, 2], "x")]
+    frame = spark.createDataFrame(rows, bundles.ROWS)
+    bundles.write(frame, f"file://{tmp_path}/b")
+    manifest = {r.table: (r.rows, r.depth, r.digest) for r in bundles.digests(frame.repartition(7)).collect()}
+    assert manifest == {r.table: (r.rows, r.depth, r.digest) for r in spark.read.schema(bundles.MANIFEST).json(f"file://{tmp_path}/b/manifest").collect()}
+    assert manifest["completions"][:2] == (3000, 1) and manifest["pairs"][:2] == (3, 0)
+    told = {r.table: r.asDict() for r in bundles.faults(spark, f"file://{tmp_path}/b").collect()}
+    assert all(r["intact"] for r in told.values()) and told["pairs"]["repeated_ids"] == 1 and told["pairs"]["split_faults"] == 0
+    spark.createDataFrame([("pairs", "train", "z", [7, 5000, 5], "x")], bundles.ROWS).write.mode("append").partitionBy("table", "split").parquet(f"file://{tmp_path}/b/rows")
+    told = {r.table: r.asDict() for r in bundles.faults(spark, f"file://{tmp_path}/b").collect()}
+    assert told["completions"]["intact"] and not told["pairs"]["intact"] and (told["pairs"]["found_rows"], told["pairs"]["dangling"], told["pairs"]["split_faults"]) == (4, 1, 1)
+    assert [bundles.depth_of(n) for n in (0, 1000, 1001, 16_000, 16_001)] == [0, 0, 1, 1, 2]
