@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import difflib
-
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -205,25 +205,64 @@ def evidence_json(value: Column, most: int) -> Column:
     return F.when((F.octet_length(text) <= most) & ~text.rlike(r'"(?:NaN|-?Infinity)"'), text)
 
 
-def _delta(before: str, after: str) -> tuple[int, int]:
-    matcher = difflib.SequenceMatcher(None, before.splitlines(), after.splitlines(), autojunk=False)
-    changed = [(i2 - i1, j2 - j1) for tag, i1, i2, j1, j2 in matcher.get_opcodes() if tag != "equal"]
-    return sum(j for _, j in changed), sum(i for i, _ in changed)
+def _longest(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
+    """(start in a, start in b, length) of the longest run of codes that stands in both; the first of equal ones in a, then in b."""
+    order = np.argsort(b, kind="stable")
+    low, high = np.searchsorted(b, a, "left", sorter=order), np.searchsorted(b, a, "right", sorter=order)
+    if (high - low).max(initial=0) == 0:
+        return 0, 0, 0
+    if (high - low).max() == 1:  # a line of a has one place in b: runs are where places go on by one
+        place = np.where(high > low, order[np.minimum(low, len(b) - 1)], -2)
+        new = np.ones(len(a), bool)
+        new[1:] = (place[1:] != place[:-1] + 1) | (place[1:] < 0)
+        run = np.cumsum(new) - 1
+        lengths = np.bincount(run, weights=place >= 0)
+        i = int(np.flatnonzero(new)[lengths.argmax()])
+        return i, int(place[i]), int(lengths.max())
+    best = (0, 0, 0)
+    ending, last = np.zeros(len(b) + 1, np.int64), order[:0]
+    for i in range(len(a)):  # lines with several places: lengths of the runs that end at each of them
+        here = order[low[i] : high[i]]
+        values = ending[here] + 1
+        ending[last + 1] = 0
+        ending[here + 1] = values
+        last = here
+        if len(here) and values.max() > best[2]:
+            k = int(values.argmax())
+            size = int(values[k])
+            best = (i - size + 1, int(here[k]) - size + 1, size)
+    return best
+
+
+def _delta(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
+    """(added, removed) codes outside the longest matching blocks, taken again and again on both sides of the longest one."""
+    same, open_ = 0, [(0, len(a), 0, len(b))]
+    while open_:
+        alo, ahi, blo, bhi = open_.pop()
+        i, j, size = _longest(a[alo:ahi], b[blo:bhi])
+        if size:
+            same += size
+            open_ += [(alo, alo + i, blo, blo + j), (alo + i + size, ahi, blo + j + size, bhi)]
+    return len(b) - same, len(a) - same
 
 
 def line_delta(before: Column, after: Column) -> Column:
-    """(added, removed): lines that differ between two texts, by longest matching blocks; null where one text is. Python, in Arrow batches: Spark has no line diff."""
+    """(added, removed): lines that differ between two texts, by longest matching blocks; null where one text is.
+
+    Lines of a batch are coded as numbers first, and blocks are found by arrays of them; Spark has no line diff of its own.
+    """
 
     @F.pandas_udf("added long, removed long")
     def lines(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        pairs = [(None, None) if x is None or y is None else _delta(x, y) for x, y in zip(a, b, strict=True)]
-        return pd.DataFrame(pairs, columns=["added", "removed"]).astype("Int64")
+        known = a.notna() & b.notna()
+        split = [x.splitlines() for side in (a[known], b[known]) for x in side]
+        sizes = [len(x) for x in split]
+        codes = pa.array([x for own in split for x in own], pa.string()).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        parts = np.split(codes, np.cumsum(sizes)[:-1]) if sizes else []
+        n = len(parts) // 2
+        out = pd.DataFrame({"added": pd.array([None] * len(a), "Int64"), "removed": pd.array([None] * len(a), "Int64")})
+        if n:
+            out.loc[known.to_numpy(), ["added", "removed"]] = [_delta(parts[k], parts[n + k]) for k in range(n)]
+        return out
 
     return lines(before, after)
-
-
-def aliases(messages: Column, model_call_id: Column) -> Column:
-    """Distinct ids by which a call is known: those of its tool calls and its own."""
-    parts = F.flatten(F.transform(messages, lambda m: m["parts"]))
-    ids = F.transform(F.filter(parts, lambda p: p["type"] == "tool_call"), lambda p: p["id"])
-    return F.array_sort(F.array_compact(F.array_distinct(F.concat(F.coalesce(ids, F.array().cast("array<string>")), F.array(model_call_id)))))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import Z95
+from ..functions.text import line_delta
 from ..sources.shared import Workspace
 
 DELETED, UNMODIFIED = 0.1, 0.9
@@ -207,3 +208,17 @@ def external_changes(edits: DataFrame, session: str, file: str, order: list[str]
     w = Window.partitionBy(session, file).orderBy(*order)
     following = F.lead(before).over(w)
     return edits.withColumn("next_before", following).withColumn("changed_outside", F.when(following.isNotNull(), following != F.col(after)))
+
+
+def external_deltas(edits: DataFrame, states: DataFrame) -> DataFrame:
+    """(session_id, file_path, call_id, added, removed): lines that something else changed after each applied edit, up to the file's next applied edit or its last state.
+
+    ``edits`` (session_id, file_path, call_id, at, applied, pre, post: texts of the file before and after), ``states`` (session_id, file_path, text: at the session's
+    end; null or no row where it can't be read). Edits that weren't applied don't close a window; one with an unknown text after it opens none, yet closes the one before.
+    """
+    own = Window.partitionBy("session_id", "file_path").orderBy("at", "call_id")
+    seen = edits.where("applied").select("session_id", "file_path", "call_id", "post", F.lead("pre").over(own).alias("_pre"), F.lead("call_id").over(own).alias("_next"))
+    both = seen.where("post is not null").join(states.withColumnRenamed("text", "_state"), ["session_id", "file_path"], "left")
+    closed = both.withColumn("closed", F.when(F.col("_next").isNotNull(), F.col("_pre")).otherwise(F.col("_state"))).where("closed is not null")
+    delta = closed.withColumn("d", line_delta(F.col("post"), F.col("closed")))
+    return delta.select("session_id", "file_path", "call_id", "d.added", "d.removed")

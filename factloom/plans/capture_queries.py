@@ -299,12 +299,32 @@ def digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "orders").select("o_orderkey", rows_out.digest("o_custkey", "o_orderstatus").alias("digest"))
 
 
-@query("x32_line_delta", "SELECT item_id, 2::bigint AS added, CASE WHEN item_id % 2 = 0 THEN 1 ELSE 2 END::bigint AS removed FROM benchmark")
+@query("x32_line_delta", """WITH w AS (SELECT doc_id, len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\v]+')) AS n FROM documents WHERE text <> '')
+SELECT doc_id, n // 5 AS added, n // 7 AS removed FROM w""")
 def line_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    before = F.concat(F.lit("keep\nold\n"), F.col("text"), F.when(F.col("item_id") % 2 == 0, "").otherwise("\nlast"))
-    after = F.concat(F.lit("keep\nnew\nnewer\n"), F.col("text"))
-    delta = T.line_delta(before, after)
-    return _table(spark, sf_dir, "benchmark").select("item_id", delta.alias("d")).select("item_id", "d.added", "d.removed")
+    """The words of a document as lines with their places, without every seventh and with a new line after every fifth."""
+    words = F.filter(F.split("text", r"[ \t\n\r\f\x0B]+"), lambda w: w != "")
+    placed = F.transform(words, lambda w, i: F.concat(w, F.lit("#"), i.cast("string")))
+    kept = F.flatten(F.transform(placed, lambda w, i: F.concat(F.when(i % 7 == 6, F.array().cast("array<string>")).otherwise(F.array(w)), F.when(i % 5 == 4, F.array(F.concat(F.lit("new"), w))).otherwise(F.array().cast("array<string>")))))
+    docs = _table(spark, sf_dir, "documents").where("text <> ''")
+    delta = T.line_delta(F.array_join(placed, "\n"), F.array_join(kept, "\n"))
+    return docs.select("doc_id", delta.alias("d")).select("doc_id", "d.added", "d.removed")
+
+
+@query("w16_external_deltas", """WITH e AS (SELECT doc_id AS call_id, source AS session_id, 'f' || (doc_id % 10) AS file_path, n_chars % 60 + 5 AS n, doc_id % 11 = 3 AS blind FROM documents WHERE doc_id % 9 <> 4),
+x AS (SELECT *, lead(n) OVER w AS m FROM e WINDOW w AS (PARTITION BY session_id, file_path ORDER BY call_id))
+SELECT session_id, file_path, call_id, CASE WHEN m IS NULL THEN 1 ELSE greatest(m - n, 0) END AS added, CASE WHEN m IS NULL THEN 0 ELSE 2 + greatest(n - m, 0) END AS removed FROM x WHERE NOT blind AND (m IS NOT NULL OR file_path <> 'f7')""")
+def external_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files whose first two lines are gone at the next edit, some edits rejected and some with an unknown outcome; the last state has a line more."""
+    i = F.col("doc_id")
+    lines = lambda a, n: F.array_join(F.transform(F.sequence(F.lit(a), n), lambda k: F.concat(F.lit("L"), k.cast("string"))), "\n")
+    n = (F.col("n_chars") % 60 + 5).cast("int")
+    path = F.concat(F.lit("f"), _text(i % 10))
+    edits = _table(spark, sf_dir, "documents").select(
+        F.col("source").alias("session_id"), path.alias("file_path"), i.alias("call_id"), i.alias("at"), (i % 9 != 4).alias("applied"), lines(3, n).alias("pre"), F.when(i % 11 != 3, lines(1, n)).alias("post"), lines(1, n + 1).alias("left")
+    )
+    last = edits.where("applied").groupBy("session_id", "file_path").agg(F.max_by("left", "call_id").alias("text"))
+    return sequences.external_deltas(edits, last.where("file_path <> 'f7'"))
 
 
 _GRAMS = "unnest(list_transform(range(1, length({0}) - 2), lambda i: substr({0}, i, 4)))"

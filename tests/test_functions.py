@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -286,3 +287,17 @@ def test_similar_counts_have_no_row_for_a_pair_of_copies(spark):
     rows = [(i, "m", ["a", "b", "c", "d"]) for i in range(50)] + [(99, "m", ["a", "b", "c", "d", "e"]), (100, "m", ["z"])]
     got = attribution.similar_counts(spark.createDataFrame(rows, "id int, g string, tokens array<string>"), ["g"], 0.8).first()
     assert (got.texts, got.pairs) == (52, 50 * 49 // 2 + 50) and [tuple(e) for e in got.examples] == [(0, 49), (0, 99)]
+
+
+def test_line_delta_is_that_of_sequence_matcher():
+    import difflib
+    import random
+
+    from factloom.functions.text import _delta
+
+    rng = random.Random(3)
+    for k in range(300):
+        a = np.array([rng.randrange(3 if k % 2 else 40) for _ in range(rng.randrange(30))], np.int64)
+        b = np.array([rng.choice([*a.tolist(), 99]) if len(a) and rng.random() < 0.7 else rng.randrange(40) for _ in range(rng.randrange(30))], np.int64)
+        codes = [c for c in difflib.SequenceMatcher(None, a.tolist(), b.tolist(), autojunk=False).get_opcodes() if c[0] != "equal"]
+        assert _delta(a, b) == (sum(c[4] - c[3] for c in codes), sum(c[2] - c[1] for c in codes))
