@@ -56,14 +56,37 @@ def two_sided_p(z: float) -> float:
     return 2 * (1 - NORMAL.cdf(abs(z)))
 
 
+def erfc(x: Column) -> Column:
+    """The complementary error function of x >= 0, to some 14 digits: the series of positive terms up to 3, above that the continued fraction, as folds over fixed ranges."""
+    square = x * x
+    start = F.struct(x.alias("t"), x.alias("s"))
+
+    def more(a: Column, k: Column) -> Column:
+        t = a["t"] * 2 * square / (2 * k + 1)
+        return F.struct(t.alias("t"), (a["s"] + t).alias("s"))
+
+    steps = lambda n: F.sequence(F.lit(1), F.lit(n))
+    series = 1 - 2 / math.sqrt(math.pi) * F.exp(-square) * F.aggregate(steps(90), start, more, lambda a: a["s"])
+    fraction = F.exp(-square) / (x * math.sqrt(math.pi)) / F.aggregate(F.reverse(steps(80)), F.lit(1.0), lambda a, k: 1 + k / (2 * square) / a)
+    return F.when(x <= 3, series).otherwise(fraction)
+
+
+def normal_cdf(z: Column) -> Column:
+    """The standard normal distribution's function."""
+    tail = erfc(F.abs(z) / math.sqrt(2)) / 2
+    return F.when(z < 0, tail).otherwise(1 - tail)
+
+
 def two_sided(z: Column) -> Column:
-    """Two-sided p of a z, by the error function: Python in Arrow batches, as Spark has none. For the rows of a report."""
+    """Two-sided p of a z."""
+    return erfc(F.abs(z) / math.sqrt(2))
 
-    @F.pandas_udf("double")
-    def p(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if pd.isna(v) else math.erfc(abs(v) / math.sqrt(2))).astype("float64")
 
-    return p(z)
+def sequential_bounds(share: Column, alpha: float = 0.05) -> tuple[Column, Column]:
+    """(boundary of |z|, alpha spent so far) of O'Brien and Fleming at a share of the information; null where there is none."""
+    z = NORMAL.inv_cdf(1 - alpha / 2)
+    at = F.when((share > 0) & (share <= 1), z / F.sqrt(share))
+    return at, two_sided(at)
 
 
 def required_trials(p: Column, effect: Column, alpha: float = 0.05, power: float = 0.8) -> Column:

@@ -194,9 +194,10 @@ def scoring_text(messages: Column) -> Column:
 def is_trainable(messages: Column) -> Column:
     """Whether a trainer can hold messages as they are: no lone surrogate and no number that isn't finite in any text or JSON of their parts."""
     parts = F.flatten(F.transform(messages, lambda m: m["parts"]))
-    bad = lambda c: F.coalesce(c.rlike(r"\\\\u[dD][89abAB][0-9a-fA-F]{2}(?!\\\\u[dD][c-fC-F])|[\x{D800}-\x{DFFF}]"), F.lit(False))
+    half = r"(?<!\\)(?:\\\\)*\\u[dD][89abAB][0-9a-fA-F]{2}(?!\\u[dD][c-fC-F])|(?<!\\u[dD][89abAB][0-9a-fA-F]{2})(?<!\\)(?:\\\\)*\\u[dD][c-fC-F][0-9a-fA-F]{2}"  # in JSON: an escape of one half of a pair
+    bad = lambda c: F.coalesce(c.rlike(half), F.lit(False))
     number = lambda c: F.coalesce(c.rlike(r"(?:^|[\[:,\s])-?(?:NaN|Infinity)(?=$|[\],}\s])"), F.lit(False))
-    return ~F.exists(parts, lambda p: bad(p["content"]) | bad(p["arguments"]) | bad(p["result"]) | number(p["arguments"]) | number(p["result"]))
+    return ~F.exists(parts, lambda p: F.coalesce(p["content"].rlike(r"[\x{D800}-\x{DFFF}]"), F.lit(False)) | bad(p["arguments"]) | bad(p["result"]) | number(p["arguments"]) | number(p["result"]))
 
 
 def evidence_json(value: Column, most: int) -> Column:

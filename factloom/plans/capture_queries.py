@@ -77,15 +77,24 @@ def alias_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _gateway(spark, sf_dir).select("model_call_id", F.array_join(F.concat(F.array("model_call_id"), F.array_except(own, F.array("model_call_id"))), ",").alias("call_ids"))
 
 
-@query("f11_prompt_keys", _GATEWAY + " SELECT model, count(*) AS calls, 1 AS keys FROM (SELECT event_type AS model FROM g WHERE session_id IS NOT NULL) GROUP BY model")
+@query("f11_prompt_keys", _GATEWAY + " SELECT model, count(*) AS calls, count(DISTINCT event_id % 37)::integer AS keys FROM (SELECT event_type AS model, event_id FROM g WHERE session_id IS NOT NULL) GROUP BY model")
 def prompt_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = _gateway(spark, sf_dir).withColumn("key", evidence.prompt_key("input_messages"))
+    """Prompts of which 37 differ, by a word in their first part."""
+    number = F.regexp_extract("model_call_id", "[0-9]+", 0).cast("long") % 37
+    given = F.transform("input_messages", lambda m, i: m.withField("parts", F.transform(m["parts"], lambda p, j: p.withField("content", F.when((i == 0) & (j == 0), F.concat(F.lit("q"), number.cast("string"))).otherwise(p["content"])))))
+    calls = _gateway(spark, sf_dir).withColumn("input_messages", given).withColumn("key", evidence.prompt_key("input_messages"))
     return calls.groupBy("model").agg(F.count("*").alias("calls"), F.count_distinct("key").cast("int").alias("keys"))
 
 
-@query("f12_trainable", _GATEWAY + " SELECT model_call_id, true AS trainable FROM g WHERE session_id IS NOT NULL")
+@query("f12_trainable", _GATEWAY + " SELECT model_call_id, NOT (event_id % 5 IN (1, 3)) AS trainable FROM g WHERE session_id IS NOT NULL")
 def trainable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _gateway(spark, sf_dir).select("model_call_id", T.is_trainable(F.col("output_messages")).alias("trainable"))
+    """Some results hold a number that isn't finite, some half of a surrogate pair."""
+    k = F.regexp_extract("model_call_id", "[0-9]+", 0).cast("long") % 5
+    part = F.get(F.get(F.col("output_messages"), 0)["parts"], 0)
+    result = F.when(k == 1, '{"x":[1,NaN]}').when(k == 2, '{"x":"NaN","y":"\\ud83d\\ude00","z":"\\\\ud83d"}').when(k == 3, '{"x":"half \\ud83d of a pair"}').otherwise(part["result"])
+    bad = part.withField("result", result)
+    spoilt = F.transform("output_messages", lambda m, i: m.withField("parts", F.when(i == 0, F.concat(F.array(bad), m["parts"])).otherwise(m["parts"])))
+    return _gateway(spark, sf_dir).select("model_call_id", T.is_trainable(spoilt).alias("trainable"))
 
 
 @query("s22_evidence_manifest", _GATEWAY + """
@@ -369,9 +378,22 @@ def required_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates.select("model", "trials", stats.detectable_effect(F.col("p"), F.col("n")).alias("detectable"), stats.required_days(F.col("trials"), F.col("n") / 30).alias("days"))
 
 
-@query("x14_sequential_bounds", f"SELECT n::double / 4 AS share, {Z95!r}::double / sqrt(n::double / 4) AS bound FROM (VALUES (1), (2), (3), (4)) t(n)")
+#: Two-sided p of a z by Simpson's rule over the density between -|z| and |z|.
+_P = "1 - abs({z}) / 1500.0::double * list_sum(list_transform(range(0, 501), lambda i: CASE WHEN i = 0 OR i = 500 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-pow(abs({z}) * i / 500.0::double, 2) / 2))) * 2 / sqrt(2 * pi())"
+
+
+@query("x14_sequential_bounds", ctes("calls") + f""", d AS (SELECT model, date_trunc('week', observed_at) AS week, count(*) AS n FROM calls GROUP BY ALL), s AS (SELECT model, week, sum(n) OVER (PARTITION BY model ORDER BY week)::double / sum(n) OVER (PARTITION BY model) AS share FROM d),
+b AS (SELECT *, {Z95!r}::double / sqrt(share) AS bound FROM s) SELECT model, epoch_us(week::timestamp) AS week_us, share, bound, CASE WHEN bound < 5 THEN round({_P.format(z='bound')}, 7) END AS spent FROM b""")
 def sequential_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(k / 4, stats.sequential_bound(k / 4)) for k in (1, 2, 3, 4)], "share double, bound double")
+    """What a look at the end of each week may conclude about a model, by the share of its calls that are in by then."""
+    from pyspark.sql import Window
+
+    weeks = facts(spark, sf_dir, "calls").groupBy("model", F.date_trunc("week", "observed_at").alias("week")).agg(F.count("*").alias("n"))
+    own = Window.partitionBy("model")  # a row for a week
+    share = F.sum("n").over(own.orderBy("week")) / F.sum("n").over(own)
+    bound, spent = stats.sequential_bounds(F.col("share"))
+    found = weeks.withColumn("share", share).select("model", F.unix_micros(F.col("week").cast("timestamp")).alias("week_us"), "share", bound.alias("bound"), spent.alias("spent"))
+    return found.withColumn("spent", F.when(F.col("bound") < 5, F.round("spent", 7)))  # the compared rule has no digits beyond
 
 
 @query("x15_non_inferiority", _RATES + f""" SELECT a.model AS "left", b.model AS "right", a.p - b.p - {_Z90!r}::double * sqrt(a.p * (1 - a.p) / a.n + b.p * (1 - b.p) / b.n) > -0.02::double AS non_inferior FROM p a JOIN p b ON a.model <> b.model""")
@@ -383,10 +405,12 @@ def non_inferiority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("left", "right", derivations.non_inferiority(F.col("pleft") - F.col("pright"), error, 0.02).alias("non_inferior"))
 
 
-@query("d21_compared_models", _RATES + """ SELECT a.model AS "left", b.model AS "right", a.p - b.p AS difference, 2 * asin(sqrt(a.p)) - 2 * asin(sqrt(b.p)) AS h, least(a.n, b.n) >= 30 AS tested FROM p a JOIN p b ON a.model < b.model""")
+@query("d21_compared_models", _RATES + f""", c AS (SELECT a.model AS "left", b.model AS "right", a.p - b.p AS difference, 2 * asin(sqrt(a.p)) - 2 * asin(sqrt(b.p)) AS h, (a.s + b.s) / (a.n + b.n) AS m, a.n AS an, b.n AS bn, a.p AS ap FROM p a JOIN p b ON a.model < b.model),
+z AS (SELECT *, difference / sqrt(m * (1 - m) * (1 / an + 1 / bn)) AS z FROM c), p2 AS (SELECT *, CASE WHEN least(an, bn) >= 30 THEN {_P.format(z='z')} END AS pv FROM z), k AS (SELECT *, row_number() OVER (ORDER BY pv, "left", "right") AS i, count(pv) OVER () AS t FROM p2),
+e AS (SELECT *, max(CASE WHEN pv <= i / t * 0.05::double THEN i ELSE 0 END) OVER () AS last, ap - difference AS q, (2 * ap - difference) / 2 AS mean FROM k)
+SELECT "left", "right", difference, h, z, pv AS p, i <= last AS significant, CASE WHEN ap > 0 AND ap < 1 AND q > 0 AND q < 1 AND difference <> 0 THEN ceil(pow({Z95!r}::double * sqrt(2 * mean * (1 - mean)) + {_ZB!r}::double * sqrt(ap * (1 - ap) + q * (1 - q)), 2) / (difference * difference))::bigint END AS needed FROM e""")
 def compared_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = derivations.compare_models(_rates(spark, sf_dir).withColumnRenamed("s", "successes"), "model")
-    return found.select("left", "right", "difference", "h", F.col("p").isNotNull().alias("tested"))
+    return derivations.compare_models(_rates(spark, sf_dir).withColumnRenamed("s", "successes"), "model")
 
 
 @query("x09_older_confidence", """WITH d AS (SELECT l_orderkey AS call_id, max(l_discount) * 9 AS ret, bool_or(l_linestatus = 'F') AS pass FROM lineitem GROUP BY l_orderkey)

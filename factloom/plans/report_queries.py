@@ -198,9 +198,14 @@ def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.threshold_sweep(_pairs(spark, sf_dir), "score", "label", [0.1, 0.3, 0.5, 0.7, 0.9])
 
 
-@query("a26_corpus_floor", f"SELECT ceil({Z95!r}::double * {Z95!r}::double * 0.25::double / (m::double * m::double))::integer AS cases, m::double AS margin FROM (VALUES (0.1::double), (0.05::double), (0.02::double)) t(m)")
+@query("a26_corpus_floor", ctes("decisions") + f""", g AS (SELECT agent_harness, count(*) AS cases, avg(accepted::int)::double AS p FROM decisions GROUP BY agent_harness)
+SELECT agent_harness, m AS margin, cases, ceil({Z95!r}::double * {Z95!r}::double * 0.25::double / (m * m))::bigint AS floor, cases >= ceil({Z95!r}::double * {Z95!r}::double * 0.25::double / (m * m)) AS enough, {Z95!r}::double * sqrt(p * (1 - p) / cases) AS reached FROM g, (VALUES (0.1::double), (0.05::double), (0.02::double), (0.005::double)) t(m)""")
 def corpus_floors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(corpus_floor(m), m) for m in (0.1, 0.05, 0.02)], "cases int, margin double")
+    """How many labelled decisions of each harness a rate needs for a margin, whatever the rate is, and which margin the labels that are there reach."""
+    sums = facts(spark, sf_dir, "decisions").groupBy("agent_harness").agg(F.count("*").alias("cases"), F.avg(F.col("accepted").cast("double")).alias("p"))
+    margins = F.array(*(F.struct(F.lit(m).alias("margin"), F.lit(corpus_floor(m)).cast("long").alias("floor")) for m in (0.1, 0.05, 0.02, 0.005)))
+    each = sums.select("*", F.explode(margins).alias("m"))
+    return each.select("agent_harness", "m.margin", "cases", "m.floor", (F.col("cases") >= F.col("m.floor")).alias("enough"), (Z95 * F.sqrt(F.col("p") * (1 - F.col("p")) / F.col("cases"))).alias("reached"))
 
 
 def _ladder_sql(base=0.6, accept=1.0, reject=0.0, up=1.1, down=0.9, ci_pass=1.1, ci_fail=0.7, clean=1.0, flake=0.0) -> str:

@@ -301,3 +301,11 @@ def test_line_delta_is_that_of_sequence_matcher():
         b = np.array([rng.choice([*a.tolist(), 99]) if len(a) and rng.random() < 0.7 else rng.randrange(40) for _ in range(rng.randrange(30))], np.int64)
         codes = [c for c in difflib.SequenceMatcher(None, a.tolist(), b.tolist(), autojunk=False).get_opcodes() if c[0] != "equal"]
         assert _delta(a, b) == (sum(c[4] - c[3] for c in codes), sum(c[2] - c[1] for c in codes))
+
+
+def test_error_function(spark):
+    import math
+
+    xs = [0.0, 1e-9, 0.3, 1.0, 2.0, 2.999, 3.0, 3.001, 4.5, 8.0, 20.0]
+    for r in spark.createDataFrame([(x,) for x in xs], "x double").select("x", stats.erfc(F.col("x")).alias("e"), stats.normal_cdf(-F.col("x")).alias("low"), stats.two_sided(F.col("x")).alias("p")).collect():
+        assert math.isclose(r.e, math.erfc(r.x), rel_tol=1e-9 if r.x > 2 else 1e-13) and math.isclose(r.low, math.erfc(r.x / math.sqrt(2)) / 2, rel_tol=1e-9) and math.isclose(r.p, math.erfc(r.x / math.sqrt(2)), rel_tol=1e-9)
