@@ -83,6 +83,58 @@ LICENCES = (
     ("w3c", "w3c", r"w3c software (?:notice and )?licen[sc]e", r"w3\.org/consortium/legal/copyright-software"),
     ("upl-1.0", "universal permissive", r"universal permissive licen[sc]e", r"opensource\.org/licenses?/upl"),
     ("osl-3.0", "open software", r"open software licen[sc]e,? (?:version |v)?3(?:\.0)?", r"opensource\.org/licenses?/osl-3\.0"),
+    ("gpl-1.0", "gpl", r"(?:gnu )?gpl[ -]?(?:version |v)?1(?:\.0)?\+?", None),
+    ("gpl-2.0", "gpl", r"(?:gnu )?gpl(?:,? (?:version |v)?|-|[- ]?v)2(?:\.0)?(?:\+|(?:,| or)? (?:or )?(?:any )?(?:later|newer)(?: version)?)?", None),
+    ("gpl-3.0", "gpl", r"(?:gnu )?gpl(?:,? (?:version |v)?|-|[- ]?v)3(?:\.0)?(?:\+|(?:,| or)? (?:or )?(?:any )?(?:later|newer)(?: version)?)?", None),
+    ("gpl-any", "gpl", r"gnu gpl", None),
+    ("lgpl-2.0", "gpl", r"(?:gnu )?lgpl(?:,? (?:version |v)?|-|[- ]?v)2(?:\.0)?\+?", None),
+    ("lgpl-2.1", "gpl", r"(?:gnu )?lgpl(?:,? (?:version |v)?|-|[- ]?v)2\.1(?:\+|(?:,| or)? (?:or )?(?:any )?(?:later|newer)(?: version)?)?", None),
+    ("lgpl-3.0", "gpl", r"(?:gnu )?lgpl(?:,? (?:version |v)?|-|[- ]?v)3(?:\.0)?(?:\+|(?:,| or)? (?:or )?(?:any )?(?:later|newer)(?: version)?)?", None),
+    ("agpl-3.0", "gpl", r"(?:gnu )?agpl(?:,? (?:version |v)?|-|[- ]?v)3(?:\.0)?(?:\+|(?:,| or)? (?:or )?(?:any )?(?:later|newer)(?: version)?)?", None),
+    ("mpl-1.1", "~short", r"mpl(?:,? (?:version |v)?|-|v)1\.1", None),
+    ("mpl-2.0", "~short", r"mpl(?:,? (?:version |v)?|-|v)2(?:\.0)?", None),
+    ("epl-1.0", "~short", r"epl(?:,? (?:version |v)?|-|v)1(?:\.0)?", None),
+    ("epl-2.0", "~short", r"epl(?:,? (?:version |v)?|-|v)2(?:\.0)?", None),
+    ("eupl-1.2", "~short", r"eupl(?:,? (?:version |v)?|-|v)1\.2", None),
+    ("cddl-1.0", "~short", r"cddl(?:,? (?:version |v)?|-|v)1(?:\.0)?", None),
+    ("apache-2.0", "~short", r"(?:apache|asl)[- ](?:version |v)?2(?:\.0)?", None),
+    ("bsd-2-clause", "freebsd", r"freebsd licen[sc]e", None),
+    ("bsd-2-clause", "bsd", r"two[- ]clause bsd(?: licen[sc]e)?", None),
+    ("bsd-3-clause", "bsd", r"three[- ]clause bsd(?: licen[sc]e)?", None),
+    ("mit", "expat", r"expat licen[sc]e", None),
+    ("apsl-2.0", "apple public", r"apple public source licen[sc]e,? (?:version |v)?2(?:\.0)?", r"opensource\.apple\.com/apsl"),
+    ("afl-3.0", "academic free", r"academic free licen[sc]e,? (?:version |v)?3(?:\.0)?", r"opensource\.org/licenses?/afl-3\.0"),
+    ("ecl-2.0", "educational community", r"educational community licen[sc]e,? (?:version |v)?2(?:\.0)?", r"opensource\.org/licenses?/ecl-2\.0"),
+    ("efl-2.0", "eiffel forum", r"eiffel forum licen[sc]e,? (?:version |v)?2(?:\.0)?", None),
+    ("ipl-1.0", "ibm public", r"ibm public licen[sc]e(?:,? (?:version |v)?1(?:\.0)?)?", r"opensource\.org/licenses?/ipl-1\.0"),
+    ("lppl-1.3c", "latex project", r"latex project public licen[sc]e(?:,? (?:version |v)?1\.3c?)?", r"latex-project\.org/lppl"),
+    ("naist-2003", "nara institute", r"nara institute of science and technology licen[sc]e", None),
+    ("ntp", "ntp", r"ntp licen[sc]e", None),
+    ("nasa-1.3", "nasa open", r"nasa open source agreement(?:,? (?:version |v)?1\.3)?", None),
+    ("qpl-1.0", "q public", r"q public licen[sc]e(?:,? (?:version |v)?1(?:\.0)?)?", None),
+    ("rpl-1.5", "reciprocal public", r"reciprocal public licen[sc]e(?:,? (?:version |v)?1\.5)?", None),
+    ("sleepycat", "sleepycat", r"sleepycat licen[sc]e", None),
+    ("sun-public-1.0", "sun public", r"sun public licen[sc]e(?:,? (?:version |v)?1(?:\.0)?)?", None),
+    ("spl-1.0", "sybase open", r"sybase open watcom public licen[sc]e", None),
+    ("zpl-2.1", "zope public", r"zope public licen[sc]e(?:,? (?:version |v)?2\.1)?", r"opensource\.org/licenses?/zpl"),
+    ("mulan-psl-2.0", "mulan", r"mulan permissive software licen[sc]e(?:,? (?:version |v)?2)?", r"license\.coscl\.org\.cn/mulanpsl2"),
+    ("blueoak-1.0.0", "blue oak", r"blue oak model licen[sc]e(?:,? (?:version |v)?1(?:\.0){0,2})?", r"blueoakcouncil\.org/license/1\.0\.0"),
+    ("parity-7.0.0", "parity public", r"parity public licen[sc]e", None),
+    ("polyform-noncommercial-1.0.0", "polyform", r"polyform noncommercial licen[sc]e", r"polyformproject\.org/licenses/noncommercial"),
+    ("commons-clause", "commons clause", r"commons clause(?: licen[sc]e)?", r"commonsclause\.com"),
+    ("openrail-m", "openrail", r"(?:bigscience )?(?:bloom )?open ?rail(?:-| )?m?(?: licen[sc]e)?", r"huggingface\.co/spaces/bigscience/license"),
+    ("hippocratic-2.1", "hippocratic", r"hippocratic licen[sc]e(?:,? (?:version |v)?2\.1)?", r"firstdonoharm\.dev"),
+    ("jrl", "java research", r"java research licen[sc]e", None),
+    ("beerware", "beer", r"beer-?ware licen[sc]e", None),
+    ("curl", "curl", r"curl licen[sc]e", r"curl\.se/docs/copyright"),
+    ("hpnd", "historical permission", r"historical permission notice and disclaimer", None),
+    ("icu", "icu", r"icu licen[sc]e", None),
+    ("json", "json", r"json licen[sc]e", r"json\.org/license"),
+    ("unicode-3.0", "unicode", r"unicode licen[sc]e(?:,? (?:version |v)?3)?", r"unicode\.org/license"),
+    ("sgi-b-2.0", "sgi free", r"sgi free software licen[sc]e b", None),
+    ("tcl", "tcl", r"tcl/tk licen[sc]e", r"tcl\.tk/software/tcltk/license"),
+    ("watcom-1.0", "watcom", r"open watcom licen[sc]e", None),
+    ("xfree86-1.1", "xfree86", r"xfree86 licen[sc]e(?:,? (?:version |v)?1\.1)?", None),
     ("cc0-1.0", "cc0", r"cc0(?:[ -]1\.0)?(?: universal)?", r"creativecommons\.org/publicdomain/zero/1\.0"),
 )
 
@@ -133,6 +185,15 @@ BODIES = (
 
 _CC = ("by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd")
 _CC_NAMES = {"by": "attribution", "sa": "sharealike", "nc": "non-?commercial", "nd": "no-?deriv(?:ative)?s"}
+#: Gates of rules that no few keywords can gate: a regex over the lower-case text, tried where it holds the keyword before it.
+GATES = {
+    "~spdx": ("", "spdx-license-identifier:"),
+    "~manifest": ("licen", r"""licen[sc]es?["']?\s{0,3}[:=]\s{0,3}["'\[({]{0,3}[a-z0-9]"""),
+    "~dual": ("licen", r"(?:dual|multi|tri)[- ]licen[sc]ed"),
+    "~short": ("", r"(?:apache|bsd|gpl|mpl|epl|cddl|eupl|asl|artistic|bsl)(?:,? (?:version |v)?|[- ]?v|-)[0-9]"),
+}
+#: What may stand between a tag and an identifier: other identifiers of an expression.
+_BEFORE = r"(?:[\w.+-]{1,40}\)?(?:\s(?:and|or|with)\s|\s?/\s?|,\s?)\(?)?" * 4  # written out, as a lookbehind can't hold a repeated group
 _GRANT = r"(?:licen[sc]ed|released|distributed|available|published|provided|covered)\s+(?:to you\s+)?(?:under|by)\s+(?:the\s+)?(?:terms\s+of\s+)?(?:the\s+)?"
 
 
@@ -151,7 +212,8 @@ def _creative_commons() -> list[tuple[str, str, str, str]]:
 def rules() -> list[Rule]:
     """All rules in order; a name ends where a word ends."""
     start, end = f"(?i)(?<!{WORD})", f"(?!{WORD})"
-    out = []
+    out: list[Rule] = []
+    tagged: set[str] = set()
     for phrase, label in BASE_PHRASES:
         out.append(Rule(label, 2, phrase.split()[0], start + f"{OTHER}+".join(phrase.split()) + end, True, phrase.split()[-1]))
     for label, also, keyword, words in BODIES:
@@ -161,11 +223,18 @@ def rules() -> list[Rule]:
         also = "licen" if "licen[sc]e" in name and "?: licen[sc]e)?" not in name else ""
         if keyword.startswith(("cc by", "cc-by")):
             also = keyword[:5]
-        elif " " in keyword:  # words may stand apart by any white space
+        elif " " in keyword and not keyword.startswith("~"):  # words may stand apart by any white space
             keyword, also = max(keyword.split(), key=len), also or min(keyword.split(), key=len)
-        if address != "":  # once for each identifier
-            spdx = label.replace(".", r"\.")
-            out.append(Rule(label, 0, "spdx-license-identifier", rf"(?i)spdx-license-identifier:\s*{spdx}(?:-only|-or-later)?(?![\w.-])", also="licen"))
+        if address != "" and label not in tagged:  # once for each identifier
+            tagged.add(label)
+            own = rf"(?i)(?<![\w.-]){re.escape(label)}(?:-only|-or-later|\+)?(?![\w+-]|\.\w)"
+            out.append(Rule(label, 0, "~spdx", rf"{own}(?<=spdx-license-identifier:[ \t]{{0,4}}\(?{_BEFORE}{re.escape(label)}(?:-only|-or-later|\+)?)"))
+            out.append(Rule(label, 1, "~manifest", rf"""{own}(?<=licen[sc]es?["']?\s{{0,3}}[:=]\s{{0,3}}["'\[({{]{{0,3}}{_BEFORE}{re.escape(label)}(?:-only|-or-later|\+)?)"""))
+            out.append(Rule(label, 1, "~dual", rf"{own}(?<=(?:dual|multi|tri)[- ]licen[sc]ed[ ](?:under[ ])?(?:the[ ])?\(?{_BEFORE}{re.escape(label)}(?:-only|-or-later|\+)?)"))
+            if label in ("mit", "isc", "zlib"):  # a word of its own beside another identifier only
+                out.append(Rule(label, 3, "~short", rf"{own}(?<=[a-z0-9]-[\w.+-]{{1,20}}\)?[ ](?:and|or)[ ]\(?{label})"))
+            elif re.match("(?:apache|bsd|l?gpl|agpl|mpl|epl|cddl|eupl|artistic|bsl)-[0-9]", label):
+                out.append(Rule(label, 3, "~short", own))
         out.append(Rule(label, 1, keyword, rf"{start}{_GRANT}{spaced}{end}", also=also))
         out.append(Rule(label, 3, keyword, rf"{start}{spaced}{end}", also=also))
         if address:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import fresh_name, table
-from .license_rules import OTHER, WORD, Rule, rules
+from .license_rules import GATES, OTHER, WORD, Rule, rules
 from .spans import row_key, spans
 
 #: Weight of the best detection that stands, by priority.
@@ -34,10 +34,17 @@ def detections(docs: DataFrame, key: str = "doc_id", text: str = "text", listed:
     listed = rules() if listed is None else listed
     keyed = docs.select(row_key(key, text).alias("row"), F.col(text).alias("text")).withColumn("low", F.lower("text"))
     gates = sorted({(r.also, r.keyword) for r in listed})
+    holds = lambda k: F.contains("low", F.lit(k)) if k else F.lit(True)
+
+    def both(also: str, keyword: str) -> Column:
+        first, regex = GATES.get(keyword, ("", ""))
+        return holds(first) & F.rlike("low", F.lit(regex)) if regex else holds(also) & holds(keyword)
+
     any_gate = F.lit(False)
-    for stem in sorted({also or keyword for also, keyword in gates}):
-        any_gate |= F.contains("low", F.lit(stem))
-    both = lambda also, k: F.contains("low", F.lit(also)) & F.contains("low", F.lit(k)) if also else F.contains("low", F.lit(k))
+    for stem in sorted({also or keyword for also, keyword in gates if keyword not in GATES}):
+        any_gate |= holds(stem)
+    for keyword in sorted({k for _, k in gates if k in GATES}):
+        any_gate |= both("", keyword)
     held = F.array_compact(F.array(*(F.when(both(also, k), F.lit(f"{also}&{k}")) for also, k in gates)))
     spark = docs.sparkSession
     rows = [(i, f"{r.also}&{r.keyword}", r.label, r.priority, r.base, r.regex, 0) for i, r in enumerate(listed)]

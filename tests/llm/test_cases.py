@@ -92,6 +92,8 @@ def test_licences(odd, nothing):
     [
         ("Licensed under the Apache License, Version 2.0", "apache,apache-2.0"), ("SPDX-License-Identifier: BSD-3-Clause", "bsd-3-clause"), ("https://www.gnu.org/licenses/gpl-3.0.html", "gpl-3.0"),
         ("GNU Lesser General Public License v2.1", "gpl,lgpl-2.1"), ("a permit licensee", ""), ("Creative Commons  Attribution-NonCommercial 4.0", "cc-by-nc-4.0"), ("under the Mozilla Public License 2.0", "mpl-2.0"), ("MIT, License", "mit"),
+        ("// SPDX-License-Identifier: (MIT OR Apache-2.0)", "apache-2.0,mit"), ("under the GPLv3", "gpl-3.0"), ("GNU GPL version 2 or later", "gpl-2.0"), ("LGPL-2.1+", "lgpl-2.1"), ('"license": "ISC"', "isc"), ("dual licensed MIT/Apache-2.0", "apache-2.0,mit"),
+        ("BSD-3-Clause AND MIT", "bsd-3-clause,mit"), ("license = 'MIT OR Apache-2.0'", "apache-2.0,mit"), ("SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0", "gpl-2.0"), ("permit and isc and vim", ""), ("license: see there", ""), ("AGPL v3", "agpl-3.0"),
     ],
 )
 def test_licence_names(spark, text, labels):
