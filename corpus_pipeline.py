@@ -2,6 +2,12 @@
 
 Each stage takes the documents that its predecessor kept and returns the columns of documents; the last returns one
 row of token digests for each document that is left. Between stages documents are written as Parquet and read again.
+
+A null text is the empty text: it is scored, is a copy of nothing, holds nothing, and is encoded to no ids. A null doc_id keeps its row
+through every stage. Of rows that share a doc_id and a text one stays; where a doc_id has several texts each is a document of its
+own. Of equal documents the one with the smallest doc_id stays; a score of exactly 0.5 is toxic. Without any labels, or without toxic ones, every
+document passes the first stage; with toxic ones alone none does. An empty table gives no rows. Further columns are carried along, whatever they are called; helper
+columns take names that are free. Texts are handled whole, a very long one in a slice of its own.
 """
 
 from __future__ import annotations
@@ -18,6 +24,8 @@ from factloom.llm.common import Workspace, table
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4, fitted on the labelled documents of its input; scores of 0.5 and more go."""
     model = toxicity.train(spark, docs, table(spark, sf_dir, "labels"))
+    if not model[0].any() and model[1] == 0:  # no labels at all: nothing is known to be toxic
+        return docs
     scored = toxicity.score(docs, model, name="toxicity")
     return scored.where(F.col(scored.columns[-1]) < 0.5).select(docs.columns)
 
