@@ -259,6 +259,56 @@ def transcript_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transcripts.said(transcripts.events(lines))
 
 
+def _told(*entries: Column) -> Column:
+    """Entries of a transcript as (line, entry) structs."""
+    return F.explode(F.array(*(F.struct(F.lit(i).alias("line"), c.alias("entry")) for i, c in enumerate(entries)))).alias("l")
+
+
+_DOCS = "WITH d AS (SELECT doc_id, doc_id % 5 AS k, regexp_replace(text, '[^a-z ]', '', 'g') AS t FROM documents WHERE text <> '')"
+
+
+@query("t08_message_edits", _DOCS + """ SELECT 's' || doc_id AS session_id, 'w' || doc_id AS id, 'write' AS tool_name, CASE WHEN k IN (0, 4) THEN '/work/src/f.py' END AS file_path, md5(t) AS text, CASE k WHEN 1 THEN 'session_mismatch' WHEN 2 THEN 'execution_directory_invalid' WHEN 3 THEN 'unsupported_path' END AS reason FROM d
+UNION ALL SELECT 's' || doc_id, 'e' || doc_id, 'edit', CASE WHEN k <> 1 THEN '/abs/g.py' END, md5(t || chr(10) || 'second'), CASE k WHEN 1 THEN 'session_mismatch' END FROM d WHERE doc_id % 7 <> 0""")
+def message_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A transcript for each document: a write, an edit of two spans (failed in every seventh) and a call of another tool; some headers and paths are spoilt."""
+    i = F.col("doc_id")
+    docs = _table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", (i % 5).alias("k"), F.regexp_replace("text", "[^a-z ]", "").alias("t"))
+    k, name = F.col("k"), lambda c: F.concat(F.lit(c), _text("doc_id"))
+    js = lambda *c: F.to_json(F.struct(*c))
+    arguments = F.struct(F.when(k == 3, "~/f.py").otherwise("./src/x/../f.py").alias("path"), F.col("t").alias("content"))
+    call = lambda id_, tool, args: F.array(F.struct(F.lit("toolCall").alias("type"), id_.alias("id"), F.lit(tool).alias("name"), args.alias("arguments")))
+    said = lambda content: js(F.lit("message").alias("type"), F.struct(F.lit("assistant").alias("role"), F.lit(1_700_000_000_000).alias("timestamp"), content.alias("content")).alias("message"))
+    result = lambda id_, bad: js(F.lit("message").alias("type"), F.struct(F.lit("toolResult").alias("role"), id_.alias("toolCallId"), bad.alias("isError")).alias("message"))
+    edit = F.struct(F.lit("/abs//g.py").alias("path"), F.array(F.struct(F.col("t").alias("newText")), F.struct(F.lit("second").alias("newText"))).alias("edits"))
+    header = js(F.lit("session").alias("type"), F.when(k == 1, "other").otherwise(name("s")).alias("id"), F.when(k == 2, "relative").otherwise("/work").alias("cwd"))
+    rows = docs.select(name("s").alias("session_id"), _told(
+        header, said(call(name("w"), "write", arguments)), result(name("w"), F.lit(False)), F.lit("{broken"), said(call(name("e"), "edit", edit)), result(name("e"), i % 7 == 0), said(call(name("b"), "bash", arguments)),
+    )).select("session_id", "l.line", "l.entry")
+    return transcripts.message_edits(rows).select("session_id", "id", "tool_name", "file_path", F.md5("text").alias("text"), "reason")
+
+
+@query("t08_event_edits", _DOCS + """ SELECT 's' || doc_id AS session_id, 'a' || doc_id AS id, CASE WHEN k < 2 THEN '/work/new.py' END AS file_path, CASE WHEN k < 2 THEN md5(t) END AS text, CASE k WHEN 2 THEN 'unsupported_patch_kind' WHEN 3 THEN 'session_mismatch' WHEN 4 THEN 'unsupported_patch_kind' END AS reason FROM d
+UNION ALL SELECT 's' || doc_id, 'u' || doc_id, CASE WHEN k NOT IN (3) AND doc_id % 7 NOT IN (1, 2) THEN '/work/moved.py' END, CASE WHEN k <> 3 AND doc_id % 7 NOT IN (1, 2) THEN md5(t || chr(10) || 'more') END,
+  CASE WHEN k = 3 THEN 'session_mismatch' WHEN doc_id % 7 = 1 THEN 'execution_failed' WHEN doc_id % 7 = 2 THEN 'malformed_patch' END FROM d""")
+def event_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A transcript for each document: an added file and an updated one that moved; some patches have several files, are deletions, failed, or are cut off."""
+    i = F.col("doc_id")
+    docs = _table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", (i % 5).alias("k"), F.regexp_replace("text", "[^a-z ]", "").alias("t"))
+    k, name = F.col("k"), lambda c: F.concat(F.lit(c), _text("doc_id"))
+    js = lambda *c: F.to_json(F.struct(*c))
+    entry = lambda kind, *c: js(F.lit(kind).alias("type"), F.lit("2026-01-01T00:00:00Z").alias("timestamp"), F.struct(*c).alias("payload"))
+    change = lambda kind, **c: F.struct(F.lit(kind).alias("type"), *(v.alias(n) for n, v in c.items()))
+    add, gone = change("add", content=F.col("t")), change("delete", content=F.col("t"))
+    patch = lambda changes: entry("event_msg", F.lit("patch_apply_end").alias("type"), name("a").alias("call_id"), F.lit(True).alias("success"), changes.alias("changes"))
+    added = F.when(k == 2, patch(F.create_map(F.lit("new.py"), add, F.lit("b.py"), add))).when(k == 4, patch(F.create_map(F.lit("new.py"), gone))).otherwise(patch(F.create_map(F.lit("new.py"), add)))
+    diff = F.concat(F.lit("--- a/x\n+++ b/x\n@@ -1,2 +1,3 @@ def f\n same\n-old\n+"), F.col("t"), F.when(i % 7 == 2, "").otherwise("\n+more"), F.lit("\n"))
+    item = F.struct(F.lit("FileChange").alias("type"), name("u").alias("id"), F.when(i % 7 == 1, "declined").otherwise("completed").alias("status"), F.create_map(F.lit("x.py"), change("update", unified_diff=diff, move_path=F.lit("moved.py"))).alias("changes"))
+    updated = entry("event_msg", F.lit("item_completed").alias("type"), name("s").alias("thread_id"), item.alias("item"))
+    header = entry("session_meta", F.when(k == 3, "other").otherwise(name("s")).alias("id"), F.lit("/work").alias("cwd"))
+    rows = docs.select(name("s").alias("session_id"), _told(header, added, F.lit("{broken"), updated)).select("session_id", "l.line", "l.entry")
+    return transcripts.event_edits(rows).select("session_id", "id", "file_path", F.md5("text").alias("text"), "reason")
+
+
 @query("t09_captured_edges", ctes("edges") + "SELECT repo, count(*) AS edges FROM (SELECT DISTINCT repo, commit_sha, session_id FROM edges) GROUP BY repo")
 def captured_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream of line items delivers every edge several times; each is stored once."""

@@ -1,50 +1,63 @@
-"""Spark schemas of the fact tables and their natural keys."""
+"""DDL of the fact tables and their natural keys."""
 
 from __future__ import annotations
 
-from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StringType, StructField, StructType, TimestampType
+#: Messages of a call: typed parts of texts, tool calls and their results.
+PART = "STRUCT<type: STRING, content: STRING, id: STRING, name: STRING, arguments: STRING, result: STRING>"
+MESSAGES = f"ARRAY<STRUCT<role: STRING, finish_reason: STRING, parts: ARRAY<{PART}>>>"
 
-_KINDS = {"s": StringType(), "l": LongType(), "d": DoubleType(), "b": BooleanType(), "t": TimestampType()}
-
-PART = StructType([StructField(c, StringType()) for c in ("type", "content", "id", "name", "arguments", "result")])
-MESSAGE = StructType([StructField("role", StringType()), StructField("finish_reason", StringType()), StructField("parts", ArrayType(PART))])
-
-
-def _schema(spec: str) -> StructType:
-    """``name:kind`` items, kinds s, l, d, b, t (string, long, double, boolean, timestamp), ``m`` (messages); ``!`` for not null."""
-    fields = []
-    for item in spec.split():
-        name, kind = item.split(":")
-        of = ArrayType(MESSAGE) if kind[0] == "m" else _KINDS[kind[0]]
-        fields.append(StructField(name, of, not kind.endswith("!")))
-    return StructType(fields)
-
-
-_REPOSITORY = "repository_provider:s repository_host:s repository_id:s"
-_EDIT = "org_id:s! session_id:s! user_id:s agent_harness:s! file_path:s!"
-
-FACTS: dict[str, StructType] = {
-    "sessions": _schema("org_id:s! session_id:s! user_id:s user_conflict:b! first_observed_at:t! last_observed_at:t!"),
-    "inference_calls": _schema(
-        "inference_call_id:s! org_id:s! session_id:s! user_id:s gateway_provider:s! model_provider:s model:s input_messages:m output_messages:m "
-        "input_tokens:l output_tokens:l duration_ms:l model_call_id:s observed_at:t! raw:s"
-    ),
-    "developer_decisions": _schema(f"decision_id:s! {_EDIT} accepted:b! explicit:b! interaction_mode:s! commit_sha:s call_id:s edit_retention_score:d observation_delay_ms:l occurred_at:t! captured_at:t! raw:s"),
-    "edit_observations": _schema(f"observation_id:s! {_EDIT} call_id:s! applied_text:s! observed_file_text:s! external_lines_added:l external_lines_removed:l occurred_at:t! captured_at:t! raw:s"),
-    "rejected_edits": _schema(f"rejection_id:s! {_EDIT} call_id:s! proposed:s! occurred_at:t! captured_at:t! raw:s"),
-    "retry_linkages": _schema(f"retry_linkage_id:s! {_EDIT} tool_name:s! rejected_call_id:s! accepted_call_id:s! occurred_at:t! captured_at:t! raw:s"),
-    "compute_allocations": _schema("allocation_id:s! org_id:s! session_id:s! allocation_source:s! cpu_millicores:l memory_bytes:l occurred_at:t! captured_at:t!"),
-    "ci_outcomes": _schema(
-        "outcome_id:s! org_id:s! provider:s! run_id:s! run_attempt:l repo:s! commit_sha:s! branch:s! result:s! workflow_name:s workflow_id:s workflow_path:s run_url:s "
-        f"provider_result:s error_type:s reason:s pr_number:l {_REPOSITORY} captured_at:t! raw:s"
-    ),
-    "pushes": _schema(f"push_id:s! org_id:s! provider:s! repo:s! clone_url:s! ref:s! before_sha:s! after_sha:s! forced:b! {_REPOSITORY} captured_at:t!"),
-    "session_commit_observations": _schema(f"observation_id:s! org_id:s! repo:s! commit_sha:s! session_id:s! source_push_id:s! {_REPOSITORY} captured_at:t!"),
-    "pull_request_merges": _schema(f"merge_id:s! org_id:s! provider:s! repo:s! pr_number:l! head_repo:s! head_ref:s! head_sha:s! base_ref:s! base_sha:s! merge_commit_sha:s! merged_at:t! {_REPOSITORY} captured_at:t!"),
-    "pull_request_revisions": _schema(f"revision_id:s! org_id:s! provider:s! repo:s! pr_number:l! head_sha:s! base_sha:s! previous_head_sha:s {_REPOSITORY} captured_at:t!"),
-    "repository_renames": _schema("rename_id:s! org_id:s! repository_provider:s! repository_host:s! repository_id:s! old_repo:s! new_repo:s! source_event_id:s occurred_at:t captured_at:t!"),
-    "fact_quarantine": _schema("quarantine_id:s! org_id:s! fact_table:s! fact_id:s! action:s! reason:s! recorded_at:t! quarantine_revision:l!"),
-}
+FACTS: dict[str, str] = {
+    "sessions": """
+        org_id STRING NOT NULL, session_id STRING NOT NULL, user_id STRING, user_conflict BOOLEAN NOT NULL, first_observed_at TIMESTAMP NOT NULL,
+        last_observed_at TIMESTAMP NOT NULL""",
+    "inference_calls": f"""
+        inference_call_id STRING NOT NULL, org_id STRING NOT NULL, session_id STRING NOT NULL, user_id STRING, gateway_provider STRING NOT NULL, model_provider STRING,
+        model STRING, input_messages {MESSAGES}, output_messages {MESSAGES}, input_tokens BIGINT, output_tokens BIGINT, duration_ms BIGINT, model_call_id STRING,
+        observed_at TIMESTAMP NOT NULL, raw STRING""",
+    "developer_decisions": """
+        decision_id STRING NOT NULL, org_id STRING NOT NULL, session_id STRING NOT NULL, user_id STRING, agent_harness STRING NOT NULL, file_path STRING NOT NULL,
+        accepted BOOLEAN NOT NULL, explicit BOOLEAN NOT NULL, interaction_mode STRING NOT NULL, commit_sha STRING, call_id STRING, edit_retention_score DOUBLE,
+        observation_delay_ms BIGINT, occurred_at TIMESTAMP NOT NULL, captured_at TIMESTAMP NOT NULL, raw STRING""",
+    "edit_observations": """
+        observation_id STRING NOT NULL, org_id STRING NOT NULL, session_id STRING NOT NULL, user_id STRING, agent_harness STRING NOT NULL, file_path STRING NOT NULL,
+        call_id STRING NOT NULL, applied_text STRING NOT NULL, observed_file_text STRING NOT NULL, external_lines_added BIGINT, external_lines_removed BIGINT,
+        occurred_at TIMESTAMP NOT NULL, captured_at TIMESTAMP NOT NULL, raw STRING""",
+    "rejected_edits": """
+        rejection_id STRING NOT NULL, org_id STRING NOT NULL, session_id STRING NOT NULL, user_id STRING, agent_harness STRING NOT NULL, file_path STRING NOT NULL,
+        call_id STRING NOT NULL, proposed STRING NOT NULL, occurred_at TIMESTAMP NOT NULL, captured_at TIMESTAMP NOT NULL, raw STRING""",
+    "retry_linkages": """
+        retry_linkage_id STRING NOT NULL, org_id STRING NOT NULL, session_id STRING NOT NULL, user_id STRING, agent_harness STRING NOT NULL, file_path STRING NOT NULL,
+        tool_name STRING NOT NULL, rejected_call_id STRING NOT NULL, accepted_call_id STRING NOT NULL, occurred_at TIMESTAMP NOT NULL, captured_at TIMESTAMP NOT NULL,
+        raw STRING""",
+    "compute_allocations": """
+        allocation_id STRING NOT NULL, org_id STRING NOT NULL, session_id STRING NOT NULL, allocation_source STRING NOT NULL, cpu_millicores BIGINT, memory_bytes BIGINT,
+        occurred_at TIMESTAMP NOT NULL, captured_at TIMESTAMP NOT NULL""",
+    "ci_outcomes": """
+        outcome_id STRING NOT NULL, org_id STRING NOT NULL, provider STRING NOT NULL, run_id STRING NOT NULL, run_attempt BIGINT, repo STRING NOT NULL,
+        commit_sha STRING NOT NULL, branch STRING NOT NULL, result STRING NOT NULL, workflow_name STRING, workflow_id STRING, workflow_path STRING, run_url STRING,
+        provider_result STRING, error_type STRING, reason STRING, pr_number BIGINT, repository_provider STRING, repository_host STRING, repository_id STRING,
+        captured_at TIMESTAMP NOT NULL, raw STRING""",
+    "pushes": """
+        push_id STRING NOT NULL, org_id STRING NOT NULL, provider STRING NOT NULL, repo STRING NOT NULL, clone_url STRING NOT NULL, ref STRING NOT NULL,
+        before_sha STRING NOT NULL, after_sha STRING NOT NULL, forced BOOLEAN NOT NULL, repository_provider STRING, repository_host STRING, repository_id STRING,
+        captured_at TIMESTAMP NOT NULL""",
+    "session_commit_observations": """
+        observation_id STRING NOT NULL, org_id STRING NOT NULL, repo STRING NOT NULL, commit_sha STRING NOT NULL, session_id STRING NOT NULL,
+        source_push_id STRING NOT NULL, repository_provider STRING, repository_host STRING, repository_id STRING, captured_at TIMESTAMP NOT NULL""",
+    "pull_request_merges": """
+        merge_id STRING NOT NULL, org_id STRING NOT NULL, provider STRING NOT NULL, repo STRING NOT NULL, pr_number BIGINT NOT NULL, head_repo STRING NOT NULL,
+        head_ref STRING NOT NULL, head_sha STRING NOT NULL, base_ref STRING NOT NULL, base_sha STRING NOT NULL, merge_commit_sha STRING NOT NULL,
+        merged_at TIMESTAMP NOT NULL, repository_provider STRING, repository_host STRING, repository_id STRING, captured_at TIMESTAMP NOT NULL""",
+    "pull_request_revisions": """
+        revision_id STRING NOT NULL, org_id STRING NOT NULL, provider STRING NOT NULL, repo STRING NOT NULL, pr_number BIGINT NOT NULL, head_sha STRING NOT NULL,
+        base_sha STRING NOT NULL, previous_head_sha STRING, repository_provider STRING, repository_host STRING, repository_id STRING, captured_at TIMESTAMP NOT NULL""",
+    "repository_renames": """
+        rename_id STRING NOT NULL, org_id STRING NOT NULL, repository_provider STRING NOT NULL, repository_host STRING NOT NULL, repository_id STRING NOT NULL,
+        old_repo STRING NOT NULL, new_repo STRING NOT NULL, source_event_id STRING, occurred_at TIMESTAMP, captured_at TIMESTAMP NOT NULL""",
+    "fact_quarantine": """
+        quarantine_id STRING NOT NULL, org_id STRING NOT NULL, fact_table STRING NOT NULL, fact_id STRING NOT NULL, action STRING NOT NULL, reason STRING NOT NULL,
+        recorded_at TIMESTAMP NOT NULL, quarantine_revision BIGINT NOT NULL""",
+}
 
 #: What makes a redelivered fact the same fact.
 NATURAL_KEYS: dict[str, list[str]] = {

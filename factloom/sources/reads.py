@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.visibility import quarantined, within
+from ..schemas import FACTS
 
 #: Columns of a call that a report reads: neither messages nor the raw payload.
 SUMMARY = ("inference_call_id", "org_id", "session_id", "user_id", "gateway_provider", "model", "input_tokens", "output_tokens", "duration_ms", "model_call_id", "observed_at")
@@ -197,3 +198,8 @@ def cohort(facts: DataFrame, at: str, start: str, end: str, as_of: str, captured
     if not first < last <= now or (last - first).days > COHORT_DAYS:
         raise ValueError(f"a cohort ends after it begins, within {COHORT_DAYS} days, and not after the report's moment")
     return scope(facts, at, start, end, as_of, captured)
+
+
+def fact_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A fact table's Parquet files under its own DDL: columns that a file lacks are null, others are not read."""
+    return spark.read.schema(FACTS[name]).parquet(f"{folder}/{name}")

@@ -51,6 +51,11 @@ class Workspace:
         gc.collect()
         self.spark._jvm.System.gc()
 
+    def close(self) -> None:
+        """Delete all tables of this run, when nothing reads them any more."""
+        self.release()
+        self.drop("")
+
     def drop(self, name: str) -> None:
         """Delete a table that no later step reads."""
         jvm, path = self.spark._jvm, self.path(name)

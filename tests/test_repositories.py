@@ -3,7 +3,8 @@ import random
 from pyspark.sql import functions as F
 
 from factloom.operators import evidence, repositories
-from factloom.schemas import FACTS
+from factloom.schemas import FACTS, NATURAL_KEYS
+from factloom.sources import reads
 
 
 def test_identity_rules(spark):
@@ -43,7 +44,7 @@ def test_reachability_against_a_walk(spark):
 
 def test_parts_by_reference(spark):
     part = lambda kind, content=None, name=None, arguments=None: {"type": kind, "content": content, "id": None, "name": name, "arguments": arguments, "result": None}
-    base = {f.name: None for f in FACTS["inference_calls"].fields}
+    base = dict.fromkeys(spark.createDataFrame([], FACTS["inference_calls"]).columns)
     row = base | {"inference_call_id": "c", "org_id": "o", "session_id": "s", "gateway_provider": "g", "observed_at": __import__("datetime").datetime(2026, 1, 1)}
     row["input_messages"] = [{"role": "user", "finish_reason": None, "parts": [part("text", "hi"), part("text", "ö")]}]
     row["output_messages"] = [{"role": "assistant", "finish_reason": "stop", "parts": [part("tool_call", name="Edit", arguments="{}")]}]
@@ -52,3 +53,10 @@ def test_parts_by_reference(spark):
     ref = spark.createDataFrame([("c", "output", 0, 0), ("c", "input", 5, 0)], "inference_call_id string, side string, message int, part int")
     assert [r.text for r in evidence.referenced(calls, ref).collect()] == ["Edit {}"]
     assert calls.select(evidence.prompt_key("input_messages").alias("k")).first().k
+
+
+def test_fact_tables_are_read_under_their_schema(spark, tmp_path):
+    spark.createDataFrame([("p", "o", 1)], "push_id string, org_id string, other int").write.parquet(f"{tmp_path}/pushes")
+    got = reads.fact_table(spark, f"file://{tmp_path}", "pushes")
+    assert got.first().push_id == "p" and got.first().ref is None and "other" not in got.columns and all(spark.createDataFrame([], ddl).columns for ddl in FACTS.values())
+    assert all(set(keys) <= set(spark.createDataFrame([], FACTS[name]).columns) for name, keys in NATURAL_KEYS.items())
