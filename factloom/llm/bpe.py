@@ -2,7 +2,7 @@
 
 The merges of a tokenizer file are compiled to integer tables (see ``tokenizer``). Texts are cut at ASCII white space and
 pre-split by the file's rules; the distinct new pieces of a slice of texts are driven through the tables in lock-step, and ids
-are gathered for all their places. Decoding emits the arc labels of the ids. Row-local: no shuffle; memory is bounded by a
+are gathered for all their places. The automaton is deterministic over tokens; over the symbols of a piece the open spellings are followed together. Decoding emits the arc labels of the ids. Row-local: no shuffle; memory is bounded by a
 slice of 8 MB of text (or one text) and the pieces that an encoder remembers.
 
 Null text is the empty text: no ids, empty decoded text. Repeated rows each give a row. An empty table gives

@@ -15,7 +15,7 @@ With 40 bands of 6 registers a pair at similarity 0.8 shares no bucket with prob
 Text is lower-cased (A-Z); words are white-space words. Fewer words than the shingle has: the whole sequence is one
 shingle. Null text and text without words: empty set, linked with nothing. Rows that share a doc_id are one
 document. A null doc_id is linked with nothing: its component is null and it is kept. Repeated rows each give a row.
-An empty table gives an empty table; only doc_id and text are read, whatever the names of the other columns. A pair at exactly the
+A very long text is shingled as a whole, in a slice of its own. An empty table gives an empty table; only doc_id and text are read, whatever the names of the other columns. A pair at exactly the
 wanted share is linked.
 """
 

@@ -9,6 +9,8 @@ too, go to several tasks), encoded in their partition and written as files of at
 shared folder: null keys first, then ascending; each row is written once. Null text is the empty text and
 has the end id alone. A file is written under its attempt's own name, and only the files whose task finished are
 in the file list, so lost executors leave no wrong files. The file list is a table with a row for a file.
+Repeated rows are written one after another; an empty table writes no files and gives no rows. Only the key and the text are read, whatever
+other columns are called. A very long text is encoded in a slice of its own and may fill a file alone.
 """
 
 from __future__ import annotations

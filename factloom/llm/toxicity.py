@@ -10,6 +10,8 @@ labelled training rows, whatever their number.
 
 Null text is the empty text and gets the score of no features. A null key is scored and never trained on. A key with
 contradicting labels counts as toxic. Without labels of both kinds every score is the share of toxic labels (0.5 without labels).
+A score of exactly 0.5 predicts toxic. Repeated rows have equal scores. A very long text is scored as a whole. An empty table gives no rows. Columns that are
+added get free names; of the others only the key and the text are read.
 """
 
 from __future__ import annotations
