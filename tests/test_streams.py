@@ -110,3 +110,13 @@ def at_minute(m):
     import datetime
 
     return datetime.datetime(2026, 1, 1, 0, m)
+
+
+def test_a_table_may_be_one_file_or_a_folder_and_may_be_empty(spark, tmp_path):
+    rows = spark.range(6).withColumnRenamed("id", "k")
+    rows.repartition(3).write.parquet(f"{tmp_path}/many.parquet")
+    rows.where("k < 0").coalesce(1).write.parquet(f"{tmp_path}/none.parquet")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/folder")
+    next((tmp_path / "folder").glob("*.parquet")).rename(tmp_path / "one.parquet")
+    got = {t: sorted(r.k for r in streams.drained(streams.source(spark, str(tmp_path), t), t, "append").collect()) for t in ("many", "one", "none")}
+    assert got == {"many": list(range(6)), "one": list(range(6)), "none": []}
