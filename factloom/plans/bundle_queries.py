@@ -41,10 +41,24 @@ UNION ALL SELECT 'sft_curated', {_SPLIT}, id::varchar, [id], to_json({{'model':
 UNION ALL SELECT 'sft_verified', {_SPLIT}, id::varchar, [id], to_json({{'model': model, 'source': 'resolved_ci_pass', 'confidence': round(confidence * 1000000)::bigint}})::varchar FROM w WHERE verified IS NULL
 UNION ALL {_pairs_sql('dpo_human', _HUMAN)} UNION ALL {_pairs_sql('dpo_outcome', _OUTCOME)})"""
 
-#: Two levels of the tree at most, as many as the tables of the compared scale need.
-_DIGEST = """hashed AS (SELECT "table", sha256(to_json({'split': split, 'id': id, 'refs': refs, 'body': body})::varchar) AS h, count(*) AS n FROM r GROUP BY ALL), sized AS (SELECT "table", sum(n) AS rows, greatest(0, ceil(log(sum(n) / 1000) / log(16) - 1e-9))::integer AS depth FROM hashed GROUP BY "table"),
-leaf AS (SELECT "table", depth, substr(h, 1, depth) AS at0, sha256(string_agg(h || '*' || n, ',' ORDER BY h || '*' || n)) AS g FROM hashed JOIN sized USING ("table") GROUP BY ALL),
-tree AS (SELECT "table", depth, CASE WHEN depth = 0 THEN any_value(g) ELSE sha256(string_agg(at0 || ':' || g, ',' ORDER BY at0 || ':' || g)) END AS digest FROM leaf GROUP BY "table", depth)"""
+#: Levels of the tree, one more than the deepest table can have: 1,000 rows a leaf, 16 children a node.
+_LEVELS = 8
+
+
+def _digest_sql() -> str:
+    """Leaves, then the nodes of each level from the deepest on; nodes of a smaller depth wait until it is their level's turn."""
+    joined = "sha256(string_agg({0}, ',' ORDER BY {0}))"
+    out = f"""hashed AS (SELECT "table", sha256(to_json({{'split': split, 'id': id, 'refs': refs, 'body': body}})::varchar) AS h, count(*) AS n FROM r GROUP BY ALL), sized AS (SELECT "table", sum(n) AS rows, greatest(0, ceil(log(sum(n) / 1000) / log(16) - 1e-9))::integer AS depth FROM hashed GROUP BY "table"),
+t{_LEVELS} AS (SELECT "table", depth, substr(h, 1, depth) AS at0, {joined.format("h || '*' || n")} AS g FROM hashed JOIN sized USING ("table") GROUP BY ALL)"""
+    for k in range(_LEVELS, 0, -1):
+        up = joined.format("at0 || ':' || g")
+        out += f""",
+t{k - 1} AS (SELECT "table", depth, at0, g FROM t{k} WHERE length(at0) < {k} UNION ALL SELECT "table", depth, substr(at0, 1, {k - 1}) AS at1, {up} FROM t{k} WHERE length(at0) = {k} GROUP BY "table", depth, at1)"""
+    return out + """,
+tree AS (SELECT "table", depth, g AS digest FROM t0)"""
+
+
+_DIGEST = _digest_sql()
 
 
 @query("d23_training_bundle", f"""{_BUNDLE}, {_DIGEST} SELECT "table", rows::bigint AS rows, depth, digest FROM sized JOIN tree USING ("table", depth)""")
