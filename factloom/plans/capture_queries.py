@@ -478,7 +478,8 @@ def overlapping_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attachment.overlapping_prices(prices).groupBy("model").agg(F.count("*").alias("overlaps"))
 
 
-@query("d24_relation_faults", "SELECT 'written' AS side, o_orderkey FROM orders WHERE o_orderkey % 50 = 0 UNION ALL SELECT 'derived', o_orderkey + 1000000 FROM orders WHERE o_orderkey % 70 = 0")
+@query("d24_relation_faults", """WITH again AS (SELECT o_orderkey FROM orders WHERE o_orderkey % 50 <> 0 UNION ALL SELECT o_orderkey + 1000000 FROM orders WHERE o_orderkey % 70 = 0)
+SELECT 'written' AS side, o_orderkey FROM (SELECT o_orderkey FROM orders EXCEPT ALL SELECT o_orderkey FROM again) UNION ALL SELECT 'derived', o_orderkey FROM (SELECT o_orderkey FROM again EXCEPT ALL SELECT o_orderkey FROM orders)""")
 def relation_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = _table(spark, sf_dir, "orders").select("o_orderkey")
     again = orders.where("o_orderkey % 50 <> 0").unionAll(orders.where("o_orderkey % 70 = 0").select(F.col("o_orderkey") + 1_000_000))
