@@ -40,6 +40,11 @@ def qualified(facts: DataFrame, sources: DataFrame, names: DataFrame) -> DataFra
     return joined.select(*facts.columns, key.alias("repository"), reason.alias("reason"))
 
 
+def by_sort(df: DataFrame) -> DataFrame:
+    """df as a side that a join shuffles. A graph's tables are small in files and large as hash tables, so by the size of its files Spark would send one through the driver in each round."""
+    return df.hint("merge")
+
+
 def chains(parents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(commits, exits): a reachability index of a commit graph (commit_sha, parent, place: 0 for the first parent; a root has one row without a parent).
 
@@ -51,25 +56,25 @@ def chains(parents: DataFrame) -> tuple[DataFrame, DataFrame]:
     space = Workspace(parents.sparkSession, "chains")
     edges = space.save(parents.select("commit_sha", "parent", "place").distinct(), "edges")
     known = edges.select(F.col("commit_sha").alias("parent")).distinct()
-    first = edges.where("place = 0 and parent is not null").join(known, "parent", "left_semi").select("commit_sha", F.col("parent").alias("up"))
+    first = edges.where("place = 0 and parent is not null").join(by_sort(known), "parent", "left_semi").select("commit_sha", F.col("parent").alias("up"))
     own = edges.select("commit_sha").distinct()
-    now = space.save(own.join(first, "commit_sha", "left").select("commit_sha", "up", F.lit(0).cast("long").alias("depth"), F.lit(0).cast("long").alias("below")), "up-0")
+    now = space.save(own.join(by_sort(first), "commit_sha", "left").select("commit_sha", "up", F.lit(0).cast("long").alias("depth"), F.lit(0).cast("long").alias("below")), "up-0")
     k = 0
     while not now.where("up is not null").isEmpty():
         far = now.select(F.col("commit_sha").alias("_c"), F.col("up").alias("_up"), F.col("depth").alias("_depth"))
         deeper = now.where("up is not null").groupBy(F.col("up").alias("_d")).agg((F.max("below") + (1 << k)).alias("_below"))
-        met = now.join(far, F.col("up") == F.col("_c"), "left").join(deeper, F.col("commit_sha") == F.col("_d"), "left")
+        met = now.join(by_sort(far), F.col("up") == F.col("_c"), "left").join(by_sort(deeper), F.col("commit_sha") == F.col("_d"), "left")
         step = met.select("commit_sha", F.col("_up").alias("up"), F.when(F.col("up").isNotNull(), F.col("_depth") + (1 << k)).otherwise(F.col("depth")).alias("depth"), F.greatest("below", F.coalesce("_below", F.lit(0))).alias("below"))
         now, k = space.save(step, f"up-{k + 1}"), k + 1
     lines = now.select("commit_sha", F.col("depth").alias("position"), "below")
-    children = first.join(lines, "commit_sha").groupBy("up").agg(F.max(F.struct("below", "commit_sha")).alias("m")).select(F.col("m.commit_sha").alias("commit_sha"), F.col("up").alias("top"))
-    top, j = space.save(own.join(children, "commit_sha", "left").select("commit_sha", F.coalesce("top", "commit_sha").alias("top")), "top-0"), 0
+    children = first.join(by_sort(lines), "commit_sha").groupBy("up").agg(F.max(F.struct("below", "commit_sha")).alias("m")).select(F.col("m.commit_sha").alias("commit_sha"), F.col("up").alias("top"))
+    top, j = space.save(own.join(by_sort(children), "commit_sha", "left").select("commit_sha", F.coalesce("top", "commit_sha").alias("top")), "top-0"), 0
     while (1 << j) < (1 << k):
         far = top.select(F.col("commit_sha").alias("_c"), F.col("top").alias("_top"))
-        top, j = space.save(top.join(far, F.col("top") == F.col("_c")).select("commit_sha", F.col("_top").alias("top")), f"top-{j + 1}"), j + 1
-    placed = space.save(top.join(lines, "commit_sha").select("commit_sha", F.col("top").alias("chain"), "position"), "commits")
+        top, j = space.save(top.join(by_sort(far), F.col("top") == F.col("_c")).select("commit_sha", F.col("_top").alias("top")), f"top-{j + 1}"), j + 1
+    placed = space.save(top.join(by_sort(lines), "commit_sha").select("commit_sha", F.col("top").alias("chain"), "position"), "commits")
     to = placed.select(F.col("commit_sha").alias("parent"), F.col("chain").alias("to_chain"), F.col("position").alias("to_position"))
-    leaving = edges.where("parent is not null").join(placed, "commit_sha").join(to, "parent").where("chain <> to_chain or position < to_position")
+    leaving = edges.where("parent is not null").join(by_sort(placed), "commit_sha").join(by_sort(to), "parent").where("chain <> to_chain or position < to_position")
     return placed, space.save(leaving.select("chain", "position", "to_chain", "to_position"), "exits")
 
 
@@ -81,12 +86,12 @@ def contours(index: tuple[DataFrame, DataFrame], heads: DataFrame) -> DataFrame:
     """
     commits, exits = index
     space = Workspace(heads.sparkSession, "contours")
-    reached = space.save(heads.select(F.col("head").alias("commit_sha")).distinct().join(commits, "commit_sha").select(F.col("commit_sha").alias("head"), "chain", "position"), "0")
+    reached = space.save(heads.select(F.col("head").alias("commit_sha")).distinct().join(by_sort(commits), "commit_sha").select(F.col("commit_sha").alias("head"), "chain", "position"), "0")
     front, k = reached, 0
     while not front.isEmpty():
         ways = exits.withColumnRenamed("position", "_from")
-        met = front.join(ways, "chain").where(F.col("_from") <= F.col("position")).groupBy("head", F.col("to_chain").alias("chain")).agg(F.max("to_position").alias("_p"))
-        both = space.save(reached.join(met, ["head", "chain"], "full_outer").select("head", "chain", F.greatest("position", "_p").alias("position"), (F.coalesce("_p", F.lit(-1)) > F.coalesce("position", F.lit(-1))).alias("raised")), f"{k + 1}")
+        met = front.join(by_sort(ways), "chain").where(F.col("_from") <= F.col("position")).groupBy("head", F.col("to_chain").alias("chain")).agg(F.max("to_position").alias("_p"))
+        both = space.save(reached.join(by_sort(met), ["head", "chain"], "full_outer").select("head", "chain", F.greatest("position", "_p").alias("position"), (F.coalesce("_p", F.lit(-1)) > F.coalesce("position", F.lit(-1))).alias("raised")), f"{k + 1}")
         reached, front, k = both.drop("raised"), both.where("raised").drop("raised"), k + 1
     return reached
 
@@ -95,8 +100,8 @@ def ancestors(index: tuple[DataFrame, DataFrame], pairs: DataFrame, head: str =
     """pairs with ``is_ancestor``: whether a head reaches a commit (itself included); false where the graph knows either not."""
     commits, _ = index
     reach = contours(index, pairs.select(F.col(head).alias("head"))).withColumnsRenamed({"head": "_head", "chain": "_at", "position": "_reach"})
-    placed = pairs.join(commits.withColumnsRenamed({"commit_sha": "_commit", "chain": "_chain", "position": "_position"}), F.col(commit) == F.col("_commit"), "left")
-    met = placed.join(reach, (F.col(head) == F.col("_head")) & (F.col("_chain") == F.col("_at")), "left")
+    placed = pairs.join(by_sort(commits.withColumnsRenamed({"commit_sha": "_commit", "chain": "_chain", "position": "_position"})), F.col(commit) == F.col("_commit"), "left")
+    met = placed.join(by_sort(reach), (F.col(head) == F.col("_head")) & (F.col("_chain") == F.col("_at")), "left")
     return met.select(*pairs.columns, F.coalesce(F.col("_position") <= F.col("_reach"), F.lit(False)).alias("is_ancestor"))
 
 
@@ -107,8 +112,8 @@ def membership(index: tuple[DataFrame, DataFrame], outcomes: DataFrame, merges:
     """
     commits, _ = index
     reach = contours(index, merges.select(F.explode(F.array("head", "base")).alias("head")).where("head is not null"))
-    of_head = merges.join(reach, "head").select("merge_id", "base", "chain", F.col("position").alias("_high"))
+    of_head = merges.join(by_sort(reach), "head").select("merge_id", "base", "chain", F.col("position").alias("_high"))
     of_base = reach.select(F.col("head").alias("base"), "chain", F.col("position").alias("_low"))
-    spans = of_head.join(of_base, ["base", "chain"], "left").select("merge_id", "chain", "_high", F.coalesce("_low", F.lit(-1)).alias("_low")).where("_high > _low")
-    placed = outcomes.join(commits, "commit_sha")
-    return placed.join(spans, "chain").where((F.col("position") > F.col("_low")) & (F.col("position") <= F.col("_high"))).select("outcome_id", "merge_id")
+    spans = of_head.join(by_sort(of_base), ["base", "chain"], "left").select("merge_id", "chain", "_high", F.coalesce("_low", F.lit(-1)).alias("_low")).where("_high > _low")
+    placed = outcomes.join(by_sort(commits), "commit_sha")
+    return placed.join(by_sort(spans), "chain").where((F.col("position") > F.col("_low")) & (F.col("position") <= F.col("_high"))).select("outcome_id", "merge_id")

@@ -60,3 +60,11 @@ def test_fact_tables_are_read_under_their_schema(spark, tmp_path):
     got = reads.fact_table(spark, f"file://{tmp_path}", "pushes")
     assert got.first().push_id == "p" and got.first().ref is None and "other" not in got.columns and all(spark.createDataFrame([], ddl).columns for ddl in FACTS.values())
     assert all(set(keys) <= set(spark.createDataFrame([], FACTS[name]).columns) for name, keys in NATURAL_KEYS.items())
+
+
+def test_graph_tables_are_not_sent_through_the_driver(spark):
+    parents = spark.createDataFrame([(1, None, 0), (2, 1, 0), (3, 1, 0), (4, 2, 0), (4, 3, 1)], "commit_sha long, parent long, place int")
+    pairs = spark.createDataFrame([(4, 3), (3, 2)], "head long, commit_sha long")
+    found = repositories.ancestors(repositories.chains(parents), pairs)
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().sparkPlan().toString()
+    assert {(r.head, r.commit_sha, r.is_ancestor) for r in found.collect()} == {(4, 3, True), (3, 2, False)}
