@@ -127,24 +127,31 @@ def session_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 _EVENTS = ("x.tool_decision", "x.tool_result", "x.edit_observation", "x.rejected_edit", "x.retry_linkage", "x.other", "x.other")
 
 
-def _batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """OTLP batches of line items: a record for each, its event by the line's number."""
-    line = F.col("l_linenumber")
+#: Columns of a line item that its record is made of, in the order that sorts a batch's records.
+_LINE = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus", "l_tax", "l_discount", "l_shipdate")
+
+
+def _record(l: Column, order: Column) -> Column:  # noqa: E741
+    """The log record of a line item."""
     value = lambda c: F.struct(c.cast("string").alias("stringValue"))
     attribute = lambda k, c: F.struct(F.lit(k).alias("key"), value(c).alias("value"))
-    call, path = F.concat(F.lit("t"), _text("l_orderkey")), F.concat(F.lit("src/"), _text("l_partkey"), F.lit(".py"))
+    line, part, supplier = l["l_linenumber"], l["l_partkey"], l["l_suppkey"]
+    call, path = F.concat(F.lit("t"), _text(order)), F.concat(F.lit("src/"), _text(part), F.lit(".py"))
     attributes = F.array(
-        attribute("session.id", F.concat(F.lit("s"), _text("l_suppkey"))), attribute("agent", F.when(F.col("l_partkey") % 9 == 0, "other").otherwise("codex")), attribute("tool_use_id", call), attribute("tool_name", F.when(F.col("l_partkey") % 7 == 0, "Bash").otherwise("Edit")),
-        attribute("decision", F.when(F.col("l_returnflag") == "R", "reject").otherwise("accept")), attribute("source", F.when(F.col("l_linestatus") == "F", "user").otherwise("config")), attribute("file_path", F.when(line != 1, path)),
-        attribute("applied_text", _text("l_quantity")), attribute("observed_file_text", F.when(F.col("l_partkey") % 5 != 0, _text("l_tax"))), attribute("external_lines_added", F.col("l_suppkey") - 5), attribute("proposed", _text("l_discount")),
-        attribute("rejected_call_id", call), attribute("accepted_call_id", F.when(F.col("l_partkey") % 11 != 0, F.concat(F.lit("u"), _text("l_orderkey")))),
+        attribute("session.id", F.concat(F.lit("s"), _text(supplier))), attribute("agent", F.when(part % 9 == 0, "other").otherwise("codex")), attribute("tool_use_id", call), attribute("tool_name", F.when(part % 7 == 0, "Bash").otherwise("Edit")),
+        attribute("decision", F.when(l["l_returnflag"] == "R", "reject").otherwise("accept")), attribute("source", F.when(l["l_linestatus"] == "F", "user").otherwise("config")), attribute("file_path", F.when(line != 1, path)),
+        attribute("applied_text", _text(l["l_quantity"])), attribute("observed_file_text", F.when(part % 5 != 0, _text(l["l_tax"]))), attribute("external_lines_added", supplier - 5), attribute("proposed", _text(l["l_discount"])),
+        attribute("rejected_call_id", call), attribute("accepted_call_id", F.when(part % 11 != 0, F.concat(F.lit("u"), _text(order)))),
     )
-    nanos = F.when(F.col("l_suppkey") % 13 == 0, F.lit("0")).otherwise((F.unix_micros(F.col("l_shipdate").cast("timestamp")) * 1000).cast("string"))
-    event = F.element_at(F.lit(list(_EVENTS)), line)
-    record = F.struct(nanos.alias("timeUnixNano"), value(event).alias("body"), attributes.alias("attributes"))
-    order = [line, *map(F.col, ("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))]
-    each = _table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey")).alias("batch_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct(*(c.alias(f"_{k}") for k, c in enumerate(order)), record.alias("r")))), lambda x: x["r"]).alias("records"))
-    return each.select("batch_id", F.to_json(F.struct(F.array(F.struct(F.array(F.struct(F.col("records").alias("logRecords"))).alias("scopeLogs"))).alias("resourceLogs"))).alias("payload"))
+    nanos = F.when(supplier % 13 == 0, F.lit("0")).otherwise((F.unix_micros(l["l_shipdate"].cast("timestamp")) * 1000).cast("string"))
+    return F.struct(nanos.alias("timeUnixNano"), value(F.element_at(F.lit(list(_EVENTS)), line)).alias("body"), attributes.alias("attributes"))
+
+
+def _batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OTLP batches of line items: a record for each, its event by the line's number. Lines are shuffled as they are and become records, which are some ten times as wide, in their batch."""
+    each = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("batch_id")).agg(F.array_sort(F.collect_list(F.struct(*_LINE))).alias("lines"))
+    records = F.transform("lines", lambda l: _record(l, F.col("batch_id")))  # noqa: E741
+    return each.select("batch_id", F.to_json(F.struct(F.array(F.struct(F.array(F.struct(records.alias("logRecords"))).alias("scopeLogs"))).alias("resourceLogs"))).alias("payload"))
 
 
 @query("t03_otlp_partition", """SELECT count(*) FILTER (WHERE l_linenumber <= 2) AS translated, count(*) FILTER (WHERE l_linenumber > 2) AS untranslated, (SELECT count(*) FROM region) AS malformed FROM lineitem""")

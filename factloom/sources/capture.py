@@ -91,22 +91,40 @@ def _unwrapped(v: Column) -> Column:
 
 
 def _map(attributes: Column) -> Column:
-    """Attributes as a map; the last value of a key counts."""
-    named = F.coalesce(attributes, F.array().cast(_ATTRIBUTES))
-    entries = F.transform(named, lambda a: F.named_struct(F.lit("key"), a["key"], F.lit("text"), _unwrapped(a["value"])))
-    return F.aggregate(entries, F.create_map().cast("map<string,string>"), lambda m, e: F.map_concat(F.map_filter(m, lambda k, _: k != e["key"]), F.map_from_arrays(F.array(e["key"]), F.array(e["text"]))))
+    """Attributes as a map; the last value of a key counts, a null key names nothing.
+
+    Entries are told apart by one sort at most, and not at all where all keys differ. The lambdas over one-element arrays name a value that is used several times:
+    Spark computes an expression inside a lambda again for each use.
+    """
+    own = F.filter(F.coalesce(attributes, F.array().cast(_ATTRIBUTES)), lambda a: a["key"].isNotNull())
+    entries = F.transform(own, lambda a: F.struct(a["key"].alias("key"), _unwrapped(a["value"]).alias("text")))
+    keys = lambda es: F.transform(es, lambda e: e["key"])
+    ordered = lambda es: F.array_sort(F.transform(es, lambda e, i: F.struct(e["key"].alias("key"), i.alias("i"), e["text"].alias("text"))))
+    last = lambda es: F.transform(F.array(ordered(es)), lambda o: F.map_from_entries(F.transform(F.filter(o, lambda e, i: F.coalesce(F.get(o, i + 1)["key"] != e["key"], F.lit(True))), lambda e: F.struct(e["key"], e["text"]))))[0]
+    return F.transform(F.array(entries), lambda es: F.when(F.size(F.array_distinct(keys(es))) == F.size(es), F.map_from_entries(es)).otherwise(last(es)))[0]
+
+
+def _event(record: Column) -> Column:
+    """A record's event: its body, else its own attribute of that name."""
+    named = F.filter(record["attributes"], lambda a: a["key"] == "event.name")
+    return F.coalesce(_unwrapped(record["body"]), _unwrapped(F.try_element_at(named, F.lit(-1))["value"]))
 
 
 def otlp_records(raw: DataFrame, batch: str = "batch_id", payload: str = "payload") -> DataFrame:
-    """(batch, position, event, attributes, occurred_at): the log records of OTLP batches, resource attributes under the record's own. No event time: null."""
-    p = raw.select(batch, F.from_json(payload, _OTLP).alias("_p"))
-    logs = p.select(batch, F.explode("_p.resourceLogs").alias("r"))
-    scopes = logs.select(batch, _map(F.col("r.resource.attributes")).alias("res"), F.explode("r.scopeLogs").alias("s"))
-    records = scopes.select(batch, "res", F.posexplode("s.logRecords").alias("position", "l"))
-    own = _map(F.col("l.attributes"))
-    merged = F.map_concat(F.map_filter("res", lambda k, _: ~F.map_contains_key(own, k)), own)
-    nanos = F.col("l.timeUnixNano").cast("long")
-    return records.select(batch, "position", F.coalesce(_unwrapped(F.col("l.body")), own["event.name"]).alias("event"), merged.alias("attributes"), F.when(nanos > 0, F.timestamp_micros(F.floor(nanos / 1000).cast("long"))).alias("occurred_at"))
+    """(batch, position, event, attributes, occurred_at): the log records of OTLP batches, resource attributes under the record's own. No event time: null.
+
+    Payloads are parsed and attributes mapped inside the generators, so a filter on a record or several uses of its attributes don't compute them again.
+    """
+    logs = raw.select(batch, F.explode(F.from_json(payload, _OTLP)["resourceLogs"]).alias("r"))
+    scopes = logs.select(batch, F.coalesce(F.col("r.resource.attributes"), F.array().cast(_ATTRIBUTES)).alias("res"), F.explode("r.scopeLogs").alias("s"))
+
+    def record(r: Column) -> Column:
+        nanos = r["timeUnixNano"].cast("long")
+        merged = _map(F.concat(F.col("res"), F.coalesce(r["attributes"], F.array().cast(_ATTRIBUTES))))
+        return F.struct(_event(r).alias("event"), merged.alias("attributes"), F.when(nanos > 0, F.timestamp_micros(F.floor(nanos / 1000).cast("long"))).alias("occurred_at"))
+
+    records = scopes.select(batch, F.posexplode(F.transform("s.logRecords", record)).alias("position", "l"))
+    return records.select(batch, "position", "l.event", "l.attributes", "l.occurred_at")
 
 
 EDIT_TOOLS = ("Edit", "Write", "MultiEdit", "NotebookEdit", "apply_patch", "edit", "write")
@@ -121,27 +139,30 @@ def otlp_decisions(records: DataFrame, batch: str = "batch_id") -> DataFrame:
 
     a = F.col("attributes")
     tool, call = F.coalesce(a["tool_name"], a["tool"]), F.coalesce(a["tool_use_id"], a["call_id"])
-    results = records.where(F.col("event").endswith("tool_result")).select(batch, call.alias("call_id"), F.struct("position", F.coalesce(a["file_path"], F.get_json_object(a["tool_parameters"], "$.file_path")).alias("path"), a["arguments"].alias("patch")).alias("r"))
-    last = results.groupBy(batch, "call_id").agg(F.max("r").alias("r"))
     verdict = F.lower(a["decision"])
-    decided = records.where(F.col("event").endswith("tool_decision") & tool.isin(*EDIT_TOOLS) & verdict.isin("accept", "accepted", "reject", "rejected", "approved", "denied"))
-    rows = decided.select(
-        batch, a["session.id"].alias("session_id"), F.coalesce(a["agent"], a["service.name"]).alias("agent_harness"), call.alias("call_id"), verdict.isin("accept", "accepted", "approved").alias("accepted"),
+    is_result = F.col("event").endswith("tool_result")
+    is_decision = F.col("event").endswith("tool_decision") & tool.isin(*EDIT_TOOLS) & verdict.isin("accept", "accepted", "reject", "rejected", "approved", "denied") & a["session.id"].isNotNull() & F.col("occurred_at").isNotNull()
+    result = F.struct("position", F.coalesce(a["file_path"], F.get_json_object(a["tool_parameters"], "$.file_path")).alias("path"), a["arguments"].alias("patch"))
+    decision = F.struct(
+        a["session.id"].alias("session_id"), F.coalesce(a["agent"], a["service.name"]).alias("agent_harness"), verdict.isin("accept", "accepted", "approved").alias("accepted"),
         F.coalesce(a["explicit"].cast("boolean"), F.lower(a["source"]).isin("user", "user_permanent", "user_temporary", "user_reject"), F.lit(False)).alias("explicit"), a["file_path"].alias("own_path"), "occurred_at",
     )
-    joined = rows.join(last, [batch, "call_id"], "left").where("session_id is not null and occurred_at is not null")
+    # one pass over the records: a call's decisions in a batch are no more than the batch's payload holds
+    marked = records.where(is_result | is_decision).select(batch, call.alias("call_id"), F.when(is_result, result).alias("r"), F.when(is_decision, decision).alias("d"))
+    calls = marked.groupBy(batch, "call_id").agg(F.max("r").alias("r"), F.collect_list("d").alias("d"))
+    joined = calls.select("call_id", F.when(F.col("call_id").isNotNull(), F.col("r")).alias("r"), F.explode("d").alias("d")).select("call_id", "r", "d.*")
     paths = F.coalesce(F.filter(patch_paths(F.col("r.patch")), lambda p: p != ""), F.array().cast("array<string>"))
     fanned = F.when(F.size(paths) > 0, paths).otherwise(F.array(F.coalesce("own_path", "r.path", F.lit(""))))
     return joined.select("session_id", "agent_harness", "call_id", "accepted", "explicit", F.explode(fanned).alias("file_path"), "occurred_at")
 
 
 def otlp_partition(raw: DataFrame, payload: str = "payload") -> DataFrame:
-    """One row: translated, untranslated and malformed batches and records."""
-    bad = F.from_json(payload, _OTLP)["resourceLogs"].isNull()
-    records = otlp_records(raw.withColumn("batch_id", F.monotonically_increasing_id()), "batch_id", payload)
-    known = F.col("event").endswith("tool_decision") | F.col("event").endswith("tool_result")
-    counts = records.agg(F.count_if(known).alias("translated"), F.count_if(~F.coalesce(known, F.lit(False))).alias("untranslated"))
-    return counts.join(raw.agg(F.count_if(bad).alias("malformed")))
+    """One row: translated, untranslated and malformed batches and records. Each payload is parsed once; one without records keeps a row without a place."""
+    logs = raw.select(F.explode_outer(F.array(F.from_json(payload, _OTLP)["resourceLogs"])).alias("logs"))
+    scopes = logs.select(F.col("logs").isNull().alias("bad"), F.explode_outer("logs").alias("r")).select("bad", F.explode_outer("r.scopeLogs").alias("s"))
+    records = scopes.select("bad", F.posexplode_outer(F.transform("s.logRecords", _event)).alias("position", "event"))
+    known, real = F.coalesce(F.col("event").endswith("tool_decision") | F.col("event").endswith("tool_result"), F.lit(False)), F.col("position").isNotNull()
+    return records.agg(F.count_if(known & real).alias("translated"), F.count_if(~known & real).alias("untranslated"), F.count_if("bad").alias("malformed"))
 
 
 _SIDE_BYTES = 1 << 20  # a larger text of an edit is refused

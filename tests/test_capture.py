@@ -59,6 +59,21 @@ def test_otlp_decisions_join_paths_in_their_batch(spark):
     assert rows_of(capture.otlp_partition(raw)) == [{"translated": 9, "untranslated": 1, "malformed": 1}]
 
 
+def test_otlp_attributes_last_value_counts_and_payloads_are_parsed_once(spark):
+    one = record("x.tool_result", session__id="own", k="1")
+    one["attributes"] += [{"key": "k", "value": {"stringValue": "2"}}, {"key": "k", "value": {}}, {"key": None, "value": {"stringValue": "lost"}}, {"key": "n", "value": {"intValue": "7"}}]
+    named = {"timeUnixNano": "0", "attributes": [{"key": "event.name", "value": {"stringValue": e}} for e in ("first", "x.edit_observation")]}
+    raw = payloads(spark, {"resourceLogs": [{"resource": {"attributes": [{"key": "session.id", "value": {"stringValue": "res"}}, {"key": "event.name", "value": {"stringValue": "res"}}]}, "scopeLogs": [{"logRecords": [one, named, {}]}, {}]}, {}]}, {"resourceLogs": []}, "broken")
+    records = capture.otlp_records(raw)
+    got = [(r.position, r.event, r.attributes, r.occurred_at is None) for r in records.orderBy("position").collect()]
+    assert got[0] == (0, "x.tool_result", {"session.id": "own", "event.name": "res", "k": None, "n": "7"}, False)
+    assert got[1:] == [(1, "x.edit_observation", {"session.id": "res", "event.name": "x.edit_observation"}, True), (2, None, {"session.id": "res", "event.name": "res"}, True)]
+    assert rows_of(capture.otlp_partition(raw)) == [{"translated": 1, "untranslated": 2, "malformed": 1}]
+    for df in (capture.edit_observations(records), capture.retry_linkages(records), capture.otlp_decisions(records), capture.otlp_partition(raw)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json(") == 1 and plan.count("map_from_entries(lambda") <= 1
+
+
 def test_webhooks(spark):
     sha = "A" * 40
     run = {"action": "completed", "workflow_run": {"id": 7, "name": "ci", "path": ".github/ci.yml", "workflow_id": 3, "head_branch": "main", "head_sha": sha, "run_attempt": 2, "conclusion": "success", "pull_requests": [{"number": 5}]}, "repository": {"id": 9, "full_name": "Acme/App"}}
