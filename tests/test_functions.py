@@ -329,6 +329,27 @@ def test_line_delta_is_that_of_sequence_matcher():
         assert _delta(a, b) == (sum(c[4] - c[3] for c in codes), sum(c[2] - c[1] for c in codes))
 
 
+def test_line_delta_of_many_short_blocks_takes_one_step(monkeypatch):
+    import difflib
+    import random
+
+    from factloom.functions import text
+
+    steps = []
+    monkeypatch.setattr(text, "_longest", lambda a, b, own=text._longest: steps.append(len(a)) or own(a, b))
+    a = np.arange(20_000)
+    b = np.concatenate([[x for x in (i, -1 - i if i % 5 == 4 else None) if x is not None and (x < 0 or i % 7 < 6)] for i in range(20_000)]).astype(np.int64)
+    assert text._delta(a, b) == (20_000 // 5, 20_000 // 7) and not steps
+    rng = random.Random(5)
+    for _ in range(200):  # distinct lines, some moved
+        a = rng.sample(range(60), 40)
+        b = [x for x in a if rng.random() < 0.8] + [99]
+        for _ in range(rng.randrange(3)):
+            b.insert(rng.randrange(len(b)), b.pop(rng.randrange(len(b))))
+        codes = [c for c in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes() if c[0] != "equal"]
+        assert text._delta(np.array(a), np.array(b)) == (sum(c[4] - c[3] for c in codes), sum(c[2] - c[1] for c in codes))
+
+
 def test_error_function(spark):
     import math
 
