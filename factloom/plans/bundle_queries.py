@@ -15,8 +15,8 @@ _SPLIT = "CASE WHEN is_eval THEN 'eval' ELSE 'train' END"
 
 
 def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All tables of a training bundle as one frame: completions, samples and pairs of each recipe."""
-    rows = _completions(spark, sf_dir)
+    """All tables of a training bundle as one frame: completions, samples and pairs of each recipe. Completions are derived once and read again for each table and side of a pair."""
+    rows = Workspace(spark, "completions").save(_completions(spark, sf_dir), "rows")
     split = F.when(F.col("is_eval"), "eval").otherwise("train")
     part = lambda c: F.round(F.col(c) * 1_000_000).cast("long").alias(c)
     out = rows.select(*bundles.bundle_row("completions", split, F.col("id"), [], F.col("org_id"), F.col("model"), F.col("kind"), part("confidence")))

@@ -36,3 +36,10 @@ def test_adapters(spark):
     task = spark.createDataFrame([("a/b", "f" * 40, "0" * 40, "d", "p", "passed"), ("a/b", "e" * 40, "0" * 40, "d", "p", "failed")], "repo string, commit_sha string, base_sha string, diff string, prompt string, verdict string")
     assert [r.instance_id for r in rows_out.task_consumer(task).collect()] == ["a__b__" + "f" * 12]
     assert rows_out.relation_faults(task, task.limit(1)).count() == 1 and len(task.select(rows_out.digest("repo").alias("d")).first().d) == 64
+
+
+def test_completions_of_a_bundle_are_derived_once(spark):
+    from factloom.plans import bundle_queries
+
+    rows = bundle_queries.training_rows(spark, "/root/testdata/sf0.001")
+    assert "lineitem" not in rows._jdf.queryExecution().optimizedPlan().toString() and not any("lineitem" in f for f in rows.inputFiles())
