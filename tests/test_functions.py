@@ -42,6 +42,19 @@ def test_a_snippet_is_contained_in_a_large_file(spark):
     assert T.containment(a, f).first().containment > 0.99
 
 
+def test_pairs_of_a_file_are_made_in_one_task_and_tasks_grow_with_the_pairs(spark, monkeypatch):
+    from factloom.functions import text
+
+    a = spark.createDataFrame([(i, w * (i + 1)) for i, w in enumerate(["return ", "value", "abcd", "x", "none of it"])], "applied_id int, applied string")
+    f = spark.createDataFrame([(i, f"value {i} return value abcd" * (i % 3)) for i in range(40)], "file_id int, file string")
+    monkeypatch.setattr(text, "TASK_PAIRS", 10)
+    got = T.containment(a, f)
+    rows, plan = sorted(map(str, got.collect())), got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(file_id" in plan and ", 13), REPARTITION_BY_NUM" in plan and "hashpartitioning(gram" not in plan
+    monkeypatch.setattr(text, "BROADCAST_GRAMS", -1)
+    assert rows == sorted(map(str, T.containment(a, f).collect())) and rows
+
+
 def test_four_grams_handle_astral_characters(spark):
     assert sorted(one(spark, T.four_grams(F.col("t")), t="ab😀cd")) == sorted(["ab😀c", "b😀cd"])
 
