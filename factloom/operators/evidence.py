@@ -7,15 +7,14 @@ from pyspark.sql import functions as F
 
 
 def parts(calls: DataFrame) -> DataFrame:
-    """(inference_call_id, session_id, side, message, part, role, type, text): every message part of the calls (input_messages, output_messages)."""
-    out = None
-    for side in ("input", "output"):
-        messages = calls.select("inference_call_id", "session_id", F.posexplode(f"{side}_messages").alias("message", "m"))
-        each = messages.select("inference_call_id", "session_id", F.lit(side).alias("side"), "message", F.col("m.role").alias("role"), F.posexplode("m.parts").alias("part", "p"))
-        text = F.coalesce(F.when(F.col("p.type") == "tool_call", F.concat_ws(" ", "p.name", "p.arguments")), "p.content", "p.result")
-        own = each.select("inference_call_id", "session_id", "side", "message", "part", "role", F.col("p.type").alias("type"), text.alias("text"))
-        out = own if out is None else out.unionByName(own)
-    return out
+    """(inference_call_id, session_id, side, message, part, role, type, text): every message part of the calls (input_messages, output_messages), both sides in one pass."""
+    text = lambda p: F.coalesce(F.when(p["type"] == "tool_call", F.concat_ws(" ", p["name"], p["arguments"])), p["content"], p["result"])
+    own = lambda m: F.struct(m["role"].alias("role"), F.transform(m["parts"], lambda p: F.struct(p["type"].alias("type"), text(p).alias("text"))).alias("parts"))
+    sides = F.array(*(F.struct(F.lit(side).alias("side"), F.transform(f"{side}_messages", own).alias("messages")) for side in ("input", "output")))
+    each = calls.select("inference_call_id", "session_id", F.explode(sides).alias("s"))
+    messages = each.select("inference_call_id", "session_id", F.col("s.side").alias("side"), F.posexplode("s.messages").alias("message", "m"))
+    found = messages.select("inference_call_id", "session_id", "side", "message", F.col("m.role").alias("role"), F.posexplode("m.parts").alias("part", "p"))
+    return found.select("inference_call_id", "session_id", "side", "message", "part", "role", F.col("p.type").alias("type"), F.col("p.text").alias("text"))
 
 
 def manifest(calls: DataFrame) -> DataFrame:

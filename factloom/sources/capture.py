@@ -57,7 +57,7 @@ def gateway_calls(raw: DataFrame, payload: str = "payload", observed_at: str = "
     Output: the first choice's message, else its text, else the response's output items, else its text. Tokens: usage, else the response's usage, else the top level. Latency: milliseconds, else
     seconds times 1000. Key: the gateway's call id, else the response's id.
     """
-    p = raw.select("*", F.from_json(payload, _GATEWAY).alias("_p"))
+    p = raw.select("*", F.explode(F.array(F.from_json(payload, _GATEWAY))).alias("_p"))  # in a generator: parsed once, whatever filters on its fields follow
     choice = F.get(F.col("_p.response.choices"), 0)
     none = F.lit(None).cast("string")
     output = F.when(choice["message"].isNotNull(), F.array(_message(choice["message"], choice["finish_reason"]))).when(

@@ -74,6 +74,17 @@ def test_otlp_attributes_last_value_counts_and_payloads_are_parsed_once(spark):
         assert plan.count("from_json(") == 1 and plan.count("map_from_entries(lambda") <= 1
 
 
+def test_gateway_payloads_are_parsed_once_for_a_manifest(spark):
+    from factloom.operators import evidence
+
+    said = {"role": "user", "content": "hi", "tool_calls": [{"id": "t", "function": {"name": "Edit", "arguments": "{}"}}]}
+    raw = payloads(spark, {"litellm_call_id": "c", "messages": [said, {"role": "user"}], "metadata": {"session_id": "s"}, "response": {"output_text": "yes"}}, {"litellm_call_id": "d"}, "x").withColumn("observed_at", F.lit(0))
+    calls = capture.gateway_calls(raw).withColumn("inference_call_id", F.col("model_call_id"))
+    got = evidence.parts(calls)
+    assert sorted((r.side, r.message, r.part, r.role, r.type, r.text) for r in got.collect()) == [("input", 0, 0, "user", "text", "hi"), ("input", 0, 1, "user", "tool_call", "Edit {}"), ("output", 0, 0, "assistant", "text", "yes")]
+    assert evidence.manifest(calls)._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+
+
 def test_webhooks(spark):
     sha = "A" * 40
     run = {"action": "completed", "workflow_run": {"id": 7, "name": "ci", "path": ".github/ci.yml", "workflow_id": 3, "head_branch": "main", "head_sha": sha, "run_attempt": 2, "conclusion": "success", "pull_requests": [{"number": 5}]}, "repository": {"id": 9, "full_name": "Acme/App"}}
