@@ -56,7 +56,7 @@ class GramFile:
     """A reader of one file."""
 
     def __init__(self, path: str, skip: int):
-        data = np.memmap(path, np.uint8, "r")
+        data = np.asarray(np.memmap(path, np.uint8, "r"))  # a plain array over the map is cheaper to index
         n, self.width, n_large, wide = data[:32].view("<u8").tolist()
         self.bits, self.skip, at = directory_bits(n), skip, 32
 
@@ -78,9 +78,10 @@ class GramFile:
         place = np.full(len(keys), -1, np.int64)
         open_ = np.flatnonzero(at < end)
         while len(open_):
-            here = self.prints[at[open_]] == prints[open_]
-            place[open_[here]] = at[open_[here]]
-            open_ = open_[~here]
+            stored, wanted = self.prints[at[open_]], prints[open_]
+            here = open_[stored == wanted]
+            place[here] = at[here]
+            open_ = open_[stored < wanted]  # a bucket's prints go up
             at[open_] += 1
             open_ = open_[at[open_] < end[open_]]
         out = np.zeros((len(keys), self.width), np.uint64)

@@ -227,7 +227,7 @@ class Model:
     def find(self, level: int, keys: np.ndarray, shard: np.ndarray, width: int) -> np.ndarray:
         """Values of keys in the arrays of a level, each in the file of its shard."""
         out = np.zeros((len(keys), width), np.uint64)
-        order = np.argsort(shard, kind="stable")
+        order = np.argsort(shard.astype(np.uint16) if self.bits <= 16 else shard, kind="stable")  # few bits are sorted by counting
         placed = shard[order]
         edges = np.flatnonzero(np.diff(placed, prepend=-1, append=-1)) if len(placed) else np.zeros(1, np.int64)
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
@@ -250,26 +250,43 @@ class Model:
     def _discount(self, level: int, counts: np.ndarray) -> np.ndarray:
         return np.array([0.0, *self.discounts[level]])[np.minimum(counts, 3).astype(np.int64)]
 
+    def _sums(self, level: int, context: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(total count of the n-grams of each context, weight of the next lower order after it)."""
+        sums = self.find(-level, context, Shards(self.bits, self.frequent).place(context), 4)
+        own = np.flatnonzero(hot)
+        if len(own):
+            if ("hot", level) not in self._open:
+                self._open["hot", level] = HashArrays(self.hot[level], 4)
+            sums[own] = self._open["hot", level].find(context[own].view(np.int64))[1]
+        total = sums[:, 0].astype(np.float64)
+        return total, sum(d * n.astype(np.float64) for d, n in zip(self.discounts[level], sums.T[1:], strict=True)) / np.maximum(total, 1)
+
     def probabilities(self, columns: list[np.ndarray]) -> np.ndarray:
         """P(last | others) of n-grams of ids; id -1 stands for an unknown token."""
-        columns = [c.astype(np.uint64) for c in columns]
-        shards = Shards(self.bits, self.frequent)
-        key = mix(columns[-1], 1)
+        ids, at = np.unique(np.concatenate(columns), return_inverse=True)
+        return self.probabilities_of(ids, np.split(at, len(columns)))
+
+    def probabilities_of(self, ids: np.ndarray, columns: list[np.ndarray]) -> np.ndarray:
+        """P(last | others) of n-grams, given as places in ids; id -1 stands for an unknown token. What one word tells is looked up once for each of ids."""
+        ids = ids.astype(np.uint64)
+        shards, frequent = Shards(self.bits, self.frequent), np.isin(ids, self.frequent)
+        key = mix(ids, 1)
         counts = self.find(1, key, shards.place(key), 1)[:, 0]
-        p = np.full(len(key), self.rest / (self.words + 1))
+        p = np.full(len(ids), self.rest / (self.words + 1))
         if self.continuations:
             p += np.maximum(counts - self._discount(1, counts), 0) / self.continuations
+        p, words = p[columns[-1]], [ids[c] for c in columns]
         for level in range(2, self.order + 1):
-            key, context, hot = shards.of(columns[-level:])
-            sums = self.find(-level, context, shards.place(context), 4)
-            own = np.flatnonzero(hot)
-            if len(own):
-                if ("hot", level) not in self._open:
-                    self._open["hot", level] = HashArrays(self.hot[level], 4)
-                sums[own] = self._open["hot", level].find(context[own].view(np.int64))[1]
+            if level == 2:
+                context, hot = hashed([ids])[0], frequent
+                total, rest = (x[columns[-2]] for x in self._sums(level, context, hot))
+                context, hot = context[columns[-2]], hot[columns[-2]]
+                key = mix(context, words[-1])
+            else:
+                *_, context, key = hashed(words[-level:])
+                hot = np.logical_and.reduce([frequent[c] for c in columns[-level:-1]])
+                total, rest = self._sums(level, context, hot)
             counts = self.find(level, key, shards.place(np.where(hot, key, context)), 1)[:, 0]
-            total = sums[:, 0].astype(np.float64)
-            rest = sum(d * n.astype(np.float64) for d, n in zip(self.discounts[level], sums.T[1:], strict=True)) / np.maximum(total, 1)
             p = np.where(total > 0, np.maximum(counts - self._discount(level, counts), 0) / np.maximum(total, 1) + rest * p, p)
         return p
 
@@ -376,8 +393,8 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for part in slices(batches, at):
             hashes, codes, offsets = _words(part[at])
             ids, counts = own.ids(hashes)
-            columns = _histories(ids[codes], offsets, model.order, model.words)
-            logs = np.log10(own.probabilities(columns))
+            columns = _histories(codes, offsets, model.order, len(ids))
+            logs = np.log10(own.probabilities_of(np.append(ids, model.words), columns))
             known, base = (counts > 0)[codes], np.log10((counts + 1.0) / floor)[codes]
             sums = [np.add.reduceat(x, offsets[:-1]) for x in (known.astype(np.int64), base, logs)]
             n = np.diff(offsets)

@@ -63,6 +63,15 @@ def ngram_lm_end(spark, model, text):
     return float(np.log10(model.probabilities([np.array([x]) for x in [*history, ids[-1]]]))[0])
 
 
+def test_repeated_words_are_looked_up_once(spark, monkeypatch):
+    model = ngram_lm.train(spark.createDataFrame([("a b a c a b",), ("b a b c",)], "text string"))
+    columns = [np.tile(c, 400) for c in (np.array([model.words, 0, -1]), np.array([0, 1, 2]), np.array([1, -1, 0]))]
+    alone, asked, find = [float(model.probabilities([c[k : k + 1] for c in columns])[0]) for k in range(3)], {}, ngram_lm.Model.find
+    monkeypatch.setattr(ngram_lm.Model, "find", lambda self, level, keys, *rest: asked.setdefault(level, len(keys)) and find(self, level, keys, *rest))
+    assert model.probabilities(columns).tolist() == alone * 400
+    assert asked[1] <= 5 and asked[-2] <= 5 and asked[3] == 1200
+
+
 def test_gram_files(tmp_path):
     rng = np.random.default_rng(0)
     for n, skip in ((0, 0), (1, 3), (5000, 0), (70_000, 4)):
