@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +29,7 @@ from .common import Workspace, fresh_name, small_batches, table
 TOXIC_ROWS = 3000
 CLEAN_ROWS = 6000
 FEATURES = 1 << 13
+ENTRIES = 1 << 18  # places of the sample that the driver handles at once
 ORDERS = (3, 4, 5)
 BITS = 20
 PENALTY = 1.0
@@ -119,6 +121,29 @@ def _minimise(loss, x: np.ndarray, steps: int = STEPS, memory: int = 8) -> np.nd
     return x
 
 
+def _loss(flat: np.ndarray, sizes: np.ndarray, target: np.ndarray, ratio: np.ndarray):
+    """The penalised loss and its slope at (weights, intercept), of documents that hold ``sizes`` places of ``flat``. Arrays of entries are made for ``ENTRIES`` at a time."""
+    ends = np.cumsum(sizes)
+    parts, at = [], 0
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + ENTRIES, side="right")))
+        parts.append((at, to, int(ends[at] - sizes[at]), int(ends[to - 1])))
+        at = to
+
+    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+        scaled, z, slope = ratio * w[:-1], np.empty(len(target)), np.zeros(len(ratio))
+        for a, b, low, high in parts:
+            z[a:b] = np.bincount(np.repeat(np.arange(b - a), sizes[a:b]), scaled[flat[low:high]], b - a)
+        z += w[-1]
+        off = 1 / (1 + np.exp(-np.clip(z, -50, 50))) - target
+        for a, b, low, high in parts:
+            slope += np.bincount(flat[low:high], np.repeat(off[a:b], sizes[a:b]), len(ratio))
+        value = float(np.logaddexp(0, -z * (2 * target - 1)).sum() + PENALTY / 2 * (w[:-1] @ w[:-1]))
+        return value, np.append(ratio * slope + PENALTY * w[:-1], off.sum())
+
+    return loss
+
+
 def fit(train: DataFrame) -> tuple[np.ndarray, float]:
     """(weight of each feature, intercept) from (text, label) rows; what reaches the driver is bounded by the sample and the features."""
     spark = train.sparkSession
@@ -144,24 +169,14 @@ def fit(train: DataFrame) -> tuple[np.ndarray, float]:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, at = NGrams(), shared.value
         for batch in batches:
-            kept = [x[x >= 0].astype("<i4").tobytes() for x in (at[grams(t)] for t in batch["text"].to_pylist())]
+            kept = [x[x >= 0].astype("<u2").tobytes() for x in (at[grams(t)] for t in batch["text"].to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(kept, pa.binary()), batch["label"]], names=["places", "label"])
 
     got = train.mapInArrow(rows, "places binary, label int").toArrow()
-    places = [np.frombuffer(x.as_py(), "<i4") for x in got["places"]]
-    target = got["label"].to_numpy().astype(np.float64)
-    flat = np.concatenate(places)
-    owner = np.repeat(np.arange(len(places)), [len(x) for x in places])
-    scale = ratio[flat]
-
-    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
-        z = np.bincount(owner, scale * w[flat], len(target)) + w[-1]
-        score = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
-        off = score - target
-        value = float(np.logaddexp(0, -z * (2 * target - 1)).sum() + PENALTY / 2 * (w[:-1] @ w[:-1]))
-        slope = np.append(np.bincount(flat, scale * off[owner], len(ratio)) + PENALTY * w[:-1], off.sum())
-        return value, slope
-
+    sizes, target = pc.binary_length(got["places"]).to_numpy() // 2, got["label"].to_numpy().astype(np.float64)
+    flat = np.frombuffer(b"".join(x.as_py() for x in got["places"]), "<u2")  # two bytes a place: FEATURES fit in them
+    del got
+    loss = _loss(flat, sizes, target, ratio)
     w = _minimise(loss, np.zeros(len(ratio) + 1))
     weights[feature] = w[:-1] * ratio
     shared.unpersist()

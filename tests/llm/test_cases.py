@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -176,6 +177,22 @@ def test_toxicity(spark, odd, nothing):
     assert toxicity.fit(nothing.select("text", F.lit(1).alias("label")))[1] == 0.0
 
 
+def test_toxicity_fit_handles_a_part_of_the_sample_at_once():
+    rng = np.random.default_rng(3)
+    sizes = np.append(rng.integers(0, 2000, 2000), 0)
+    flat, target, ratio, w = rng.integers(0, 1 << 13, sizes.sum()).astype("<u2"), rng.integers(0, 2, len(sizes)).astype(float), rng.normal(size=1 << 13), rng.normal(size=(1 << 13) + 1) / 100
+    loss = toxicity._loss(flat, sizes, target, ratio)
+    tracemalloc.start()
+    value, slope = loss(w)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    z = np.bincount(owner, (ratio * w[:-1])[flat], len(sizes)) + w[-1]
+    off = 1 / (1 + np.exp(-z)) - target
+    assert peak < 8 * len(flat) and value == pytest.approx(np.logaddexp(0, -z * (2 * target - 1)).sum() + w[:-1] @ w[:-1] / 2)
+    assert slope == pytest.approx(np.append(np.bincount(flat, ratio[flat] * off[owner], 1 << 13) + w[:-1], off.sum()))
+
+
 @pytest.mark.parametrize("toxic_rows, clean_rows", [(3000, 6000), (3000, 100), (40, 80), (10, 6000)])
 def test_toxicity_keeps_the_share_of_labels(spark, monkeypatch, toxic_rows, clean_rows):
     monkeypatch.setattr(toxicity, "TOXIC_ROWS", toxic_rows)

@@ -1,10 +1,12 @@
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from factloom.operators.attachment import retry_links
 from factloom.sources import rows_out, transcripts
+from factloom.sources.shared import Workspace
 
 
 def test_transcript_retry(spark):
@@ -22,6 +24,13 @@ def test_transcript_retry(spark):
     assert [(r.rejected_id, r.accepted_id) for r in got] == [("t1", "t2")]
 
 
+def test_scratch_tables_have_no_mark_of_success(spark):
+    space = Workspace(spark, "marks")
+    saved = space.save(spark.createDataFrame([(1, "a"), (2, None)], "x long, y string"), "t")
+    assert sorted(map(tuple, saved.collect())) == [(1, "a"), (2, None)] and space.save(saved.where("false"), "none").count() == 0
+    assert not any(p.name.startswith("_") for p in Path(space.path("t").removeprefix("file:")).iterdir())
+
+
 def test_jsonl(spark, tmp_path):
     df = spark.createDataFrame([("train", 0.5), ("eval", 1.0)], "split string, x double")
     assert rows_out.write_jsonl(df, str(tmp_path / "o"), "split") and sorted(p.name for p in (tmp_path / "o").iterdir() if p.is_dir()) == ["split=eval", "split=train"]
