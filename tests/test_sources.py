@@ -4,6 +4,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from factloom.operators import ci
 from factloom.operators.attachment import retry_links
 from factloom.sources import rows_out, transcripts
 from factloom.sources.shared import Workspace
@@ -24,6 +25,18 @@ def test_transcript_retry(spark):
     assert [(r.rejected_id, r.accepted_id) for r in got] == [("t1", "t2")]
 
 
+def test_runs_are_dealt_once_to_tasks_of_bounded_rows(spark, monkeypatch):
+    monkeypatch.setattr(ci, "TASK_ROWS", 10)
+    rows = spark.range(300).selectExpr(
+        "id AS outcome_id", "concat('org', id % 2) AS org_id", "'github' AS provider", "'forge' AS repository_provider", "concat('host', id % 3) AS repository_host", "cast(id % 60 AS string) AS run_id", "cast(id div 120 AS int) AS run_attempt", "'r' AS repository", "id % 60 AS commit_sha",
+        "'w' AS workflow_name", "'1' AS workflow_id", "'' AS workflow_path", "if(id = 7, 'side', 'main') AS branch", "if(id % 2 = 0, 'passed', 'failed') AS result",
+    )
+    runs = ci.consistent_runs(rows)
+    assert {(r.run_id, r.reason) for r in runs.where("reason is not null").collect()} == {("7", "branch_conflict")} and runs.count() == 60
+    plan = runs._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and ", 30), REPARTITION_BY_NUM" in plan
+
+
 def test_scratch_tables_have_no_mark_of_success(spark):
     space = Workspace(spark, "marks")
     saved = space.save(spark.createDataFrame([(1, "a"), (2, None)], "x long, y string"), "t")
