@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import ratio, wilson
 from ..operators.sequences import quantiles, with_quantiles
+from ..sources.shared import Workspace
 from .reports import RECOVERY_CAP, size_label
 
 #: Retention below which a report counts.
@@ -14,10 +15,19 @@ THRESHOLDS = (0.8, 0.9, 1.0)
 UNNAMED = "(unnamed)"
 
 
+def _joined(pairs: Column) -> Column:
+    """``name=n`` of (k, n) pairs in name order, joined by commas."""
+    return F.array_join(F.transform(F.array_sort(pairs), lambda p: F.concat(p["k"], F.lit("="), p["n"].cast("string"))), ",")
+
+
 def listed(counts: DataFrame, group: list[str], name: str, n: str, alias: str) -> DataFrame:
     """(group, alias): the counts of a group's names as ``name=n`` in name order, joined by commas. Names are few: results, harnesses, workflows."""
-    pairs = F.array_sort(F.collect_list(F.struct(F.col(name).alias("k"), F.col(n).alias("n"))))
-    return counts.groupBy(*group).agg(F.array_join(F.transform(pairs, lambda p: F.concat(p["k"], F.lit("="), p["n"].cast("string"))), ",").alias(alias))
+    return counts.groupBy(*group).agg(_joined(F.collect_list(F.struct(F.col(name).alias("k"), F.col(n).alias("n")))).alias(alias))
+
+
+def names_of(name: str, n: str) -> Column:
+    """An aggregate: what ``listed`` gives for the counts above 0."""
+    return _joined(F.collect_list(F.when(F.col(n) > 0, F.struct(F.col(name).alias("k"), F.col(n).alias("n")))))
 
 
 def counted(rows: DataFrame, group: list[str], name: str, alias: str, key: list[str] | None = None) -> DataFrame:
@@ -32,12 +42,21 @@ def observed_edges(attributed: DataFrame, edges: DataFrame, commit: list[str]) -
     return attributed.join(seen, [*commit, "session_id"], "left").withColumn("observed", F.coalesce("_seen", F.lit(False))).drop("_seen")
 
 
+def fates_said(fates: DataFrame, decisions: DataFrame, group: list[str]) -> DataFrame:
+    """fates with the group and ``explicit_accept`` of the decisions that have their key (session_id, call_id)."""
+    key = ["session_id", "call_id"]
+    return fates.join(decisions.groupBy(*group, *key).agg(F.max(F.col("explicit") & F.col("accepted")).alias("explicit_accept")), key)
+
+
+def each_fate(said: DataFrame, group: list[str]) -> DataFrame:
+    """(group, observation_id, fate, explicit_accept, external): each observed fate once."""
+    external = (F.coalesce("external_added", F.lit(0)) > 0) | (F.coalesce("external_removed", F.lit(0)) > 0)
+    return said.groupBy(*group, "observation_id").agg(F.min("fate").alias("fate"), F.max("explicit_accept").alias("explicit_accept"), F.max(external).alias("external"))
+
+
 def joined_fates(fates: DataFrame, decisions: DataFrame, group: list[str]) -> DataFrame:
     """(group, observation_id, fate, explicit_accept, external): each observed fate once, if some decision of the group has its key (session_id, call_id)."""
-    key = ["session_id", "call_id"]
-    said = decisions.groupBy(*group, *key).agg(F.max(F.col("explicit") & F.col("accepted")).alias("explicit_accept"))
-    each = fates.join(said, key).groupBy(*group, "observation_id")
-    return each.agg(F.min("fate").alias("fate"), F.max("explicit_accept").alias("explicit_accept"), F.max((F.coalesce("external_added", F.lit(0)) > 0) | (F.coalesce("external_removed", F.lit(0)) > 0)).alias("external"))
+    return each_fate(fates_said(fates, decisions, group), group)
 
 
 def fate_diagnostic(fates: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -51,23 +70,33 @@ def model_outcomes(calls: DataFrame, attributed: DataFrame, verdicts: DataFrame,
 
     ``calls`` (call_id, model), ``attributed`` (call_id, commit, session_id, similarity, observed), ``verdicts`` (commit, verdict), ``workflows`` (commit, run_id,
     workflow_name, verdict), ``decisions`` (decision_id, session_id, call_id, agent_harness, accepted, explicit), ``fates`` (observation_id, session_id, call_id, fate, external_added, external_removed).
-    CI is counted by commit, so a commit of many files isn't many trials; a failing workflow counts once where its commit failed.
+    CI is counted by commit, so a commit of many files isn't many trials; a failing workflow counts once where its commit failed. Attributed calls and their
+    commits with verdicts are stored, as several sums read them; all counts of a kind of rows come from one pass. A fate meets its decisions before its call, which says nothing about them.
     """
-    rows = attributed.join(calls, "call_id")
-    total = calls.where("model is not null").groupBy("model").agg(F.count("*").alias("completions"))
-    links = rows.groupBy("model").agg(F.count_distinct("call_id").alias("attributed"), F.avg("similarity").alias("mean_similarity"), F.count_distinct(F.when(~F.col("observed"), F.struct(*commit, "session_id"))).alias("unobserved"))
-    commits = rows.where("observed").select("model", *commit).distinct().join(verdicts, commit).where("verdict is not null")
+    space = Workspace(calls.sparkSession, "outcomes")
+    calls = calls.where("model is not null")
+    total = calls.groupBy("model").agg(F.count("*").alias("completions"))
+    rows = space.save(attributed.select("call_id", *commit, "session_id", "similarity", "observed").join(calls, "call_id"), "rows")
+    each = rows.groupBy("model", "call_id").agg(F.sum("similarity").alias("_sum"), F.count("similarity").alias("_n"))
+    links = each.groupBy("model").agg(F.count("*").alias("attributed"), F.try_divide(F.sum("_sum"), F.sum("_n")).alias("mean_similarity"))
+    unseen = rows.where("not observed").select("model", *commit, "session_id").distinct().groupBy("model").agg(F.count("*").alias("unobserved"))
+    commits = space.save(rows.where("observed").select("model", *commit).distinct().join(verdicts, commit).where("verdict is not null").select("model", *commit, "verdict"), "commits")
     ci = commits.groupBy("model").agg(F.count("*").alias("ci_linked"), F.count_if(F.col("verdict") == "passed").alias("ci_passed"))
-    failed = commits.where("verdict = 'failed'").select("model", *commit).join(workflows.where("verdict = 'failed'"), commit)
-    failures = counted(failed.withColumn("_w", F.coalesce(F.nullif("workflow_name", F.lit("")), F.lit(UNNAMED))), ["model"], "_w", "failures", [*commit, "run_id"])
-    said = decisions.join(calls, "call_id").where("model is not null")
-    explicit = said.where("explicit").groupBy("model", "decision_id").agg(F.min("accepted").alias("accepted"), F.min("agent_harness").alias("agent_harness"))
-    accepts = explicit.groupBy("model").agg(F.count_if("accepted").alias("explicit_accepts"), F.count_if(~F.col("accepted")).alias("explicit_rejects"))
-    harness = counted(explicit.where("not accepted"), ["model"], "agent_harness", "rejects_by_harness")
-    ends = joined_fates(fates, said, ["model"])
+    workflow = F.coalesce(F.nullif("workflow_name", F.lit("")), F.lit(UNNAMED)).alias("_w")
+    failing = workflows.where("verdict = 'failed'").groupBy(*commit, workflow).agg(F.count_distinct("run_id").alias("_n"))
+    failed = commits.where("verdict = 'failed'").select("model", *commit).join(failing, commit).groupBy("model", "_w").agg(F.sum("_n").alias("_n"))
+    failures = listed(failed, ["model"], "_w", "_n", "failures")
+    explicit = decisions.where("explicit").select("call_id", "decision_id", "accepted", "agent_harness").join(calls, "call_id").groupBy("model", "decision_id").agg(F.min("accepted").alias("accepted"), F.min("agent_harness").alias("agent_harness"))
+    by_harness = explicit.groupBy("model", "agent_harness").agg(F.count_if("accepted").alias("_yes"), F.count_if(~F.col("accepted")).alias("_no"))
+    accepts = by_harness.groupBy("model").agg(F.sum("_yes").alias("explicit_accepts"), F.sum("_no").alias("explicit_rejects"), names_of("agent_harness", "_no").alias("rejects_by_harness"))
+    said = fates_said(fates, decisions, []).join(calls, "call_id")
+    ends = each_fate(said, ["model"]).groupBy("model", "fate").agg(F.count("*").alias("_n"), F.count_if("explicit_accept").alias("_yes"), F.count_if("external").alias("_changed"))
+    lists = ends.groupBy("model").agg(names_of("fate", "_n").alias("fates"), names_of("fate", "_yes").alias("accepted_fates"), names_of("fate", "_changed").alias("external_fates"))
     out = total
-    for part in (links, ci, accepts, failures, harness, counted(ends, ["model"], "fate", "fates"), counted(ends.where("explicit_accept"), ["model"], "fate", "accepted_fates"), counted(ends.where("external"), ["model"], "fate", "external_fates")):
+    for part in (links, unseen, ci, accepts, failures, lists):
         out = out.join(part, "model", "left")
+    names = ["completions", "attributed", "mean_similarity", "unobserved", "ci_linked", "ci_passed", "explicit_accepts", "explicit_rejects", "failures", "rejects_by_harness", "fates", "accepted_fates", "external_fates"]
+    out = out.select("model", *names)
     out = out.na.fill(0, ["attributed", "unobserved", "ci_linked", "ci_passed", "explicit_accepts", "explicit_rejects"]).na.fill(0.0, ["mean_similarity"]).na.fill("", ["failures", "rejects_by_harness", "fates", "accepted_fates", "external_fates"])
     low, high = wilson(F.col("attributed"), F.col("completions"))
     ci_low, ci_high = wilson(F.col("ci_passed"), F.col("ci_linked"))
