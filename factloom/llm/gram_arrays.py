@@ -39,12 +39,14 @@ def _top(keys: np.ndarray, skip: int, bits: int) -> np.ndarray:
 
 def write(path: str, keys: np.ndarray, values: list[np.ndarray], skip: int) -> None:
     """Write distinct keys, all with the same ``skip`` top bits or none to skip, and their values."""
-    order = np.argsort(keys << np.uint64(skip)) if skip else np.argsort(keys)
-    keys = keys[order]
+    turned = keys << np.uint64(skip)
+    if (turned[1:] < turned[:-1]).any():  # sums mostly leave them in order
+        order = np.argsort(turned)
+        keys, values = keys[order], [v[order] for v in values]
     bits = directory_bits(len(keys))
     starts = np.searchsorted(_top(keys, skip, bits), np.arange((1 << bits) + 1, dtype=np.uint64)).astype("<u8" if len(keys) >> 32 else "<u4")
     prints = ((keys << np.uint64(skip + bits)) >> np.uint64(32)).astype("<u4")
-    table = np.stack([v[order] for v in values], 1).astype(np.uint64).reshape(-1)
+    table = np.stack(values, 1).astype(np.uint64).reshape(-1)
     large = np.flatnonzero(table >= 255)
     with open(path, "wb") as f:
         f.write(np.array([len(keys), len(values), len(large), starts.itemsize], "<u8").tobytes())
@@ -73,24 +75,34 @@ class GramFile:
     def find(self, keys: np.ndarray) -> np.ndarray:
         """A row of values for each key, zeros where it isn't held."""
         bucket = _top(keys, self.skip, self.bits).astype(np.int64)
-        prints = ((keys << np.uint64(self.skip + self.bits)) >> np.uint64(32)).astype(np.uint32)
-        at, end = self.starts[bucket].astype(np.int64), self.starts[bucket + 1].astype(np.int64)
-        place = np.full(len(keys), -1, np.int64)
-        open_ = np.flatnonzero(at < end)
-        while len(open_):
-            stored, wanted = self.prints[at[open_]], prints[open_]
-            here = open_[stored == wanted]
-            place[here] = at[here]
-            open_ = open_[stored < wanted]  # a bucket's prints go up
-            at[open_] += 1
-            open_ = open_[at[open_] < end[open_]]
+        prints = (keys << np.uint64(self.skip + self.bits)) >> np.uint64(32)
+        at, end = self.starts[bucket].astype(np.int64), self.starts[1:][bucket].astype(np.int64)
+        own = np.flatnonzero(at < end)
+        if len(own) < len(keys):
+            at, end, prints = at[own], end[own], prints[own]
+        guess = at + ((prints * (end - at).astype(np.uint64)) >> np.uint64(32)).astype(np.int64)  # a bucket's prints are spread evenly: where one should stand
+        wanted, stored = prints.astype(np.uint32), self.prints[guess]
+        here = np.flatnonzero(stored == wanted)
+        rows, places = [own[here]], [guess[here]]
+        for step, open_ in ((1, np.flatnonzero(stored < wanted)), (-1, np.flatnonzero(stored > wanted))):  # a bucket's prints go up
+            place, print_, row, bound = guess[open_] + step, wanted[open_], own[open_], (end if step > 0 else at)[open_]
+            while len(place):
+                inside = np.flatnonzero(place < bound if step > 0 else place >= bound)
+                if len(inside) < len(place):
+                    place, print_, row, bound = place[inside], print_[inside], row[inside], bound[inside]
+                stored = self.prints[place]
+                here = np.flatnonzero(stored == print_)
+                rows.append(row[here])
+                places.append(place[here])
+                on = np.flatnonzero(stored < print_ if step > 0 else stored > print_)
+                place, print_, row, bound = place[on] + step, print_[on], row[on], bound[on]
+        hit, place = np.concatenate(rows), np.concatenate(places)
         out = np.zeros((len(keys), self.width), np.uint64)
-        hit = np.flatnonzero(place >= 0)
-        cells = (place[hit, None] * self.width + np.arange(self.width)).reshape(-1)
-        found = self.table[cells].astype(np.uint64)
+        found = self.table.reshape(-1, self.width)[place].reshape(-1).astype(np.uint64)
         big = np.flatnonzero(found == 255)
         if len(big):
-            found[big] = self.large_values[np.searchsorted(self.large, cells[big].astype(np.uint64))]
+            cells = place[big // self.width] * self.width + big % self.width
+            found[big] = self.large_values[np.searchsorted(self.large, cells.astype(np.uint64))]
         out[hit] = found.reshape(-1, self.width)
         return out
 

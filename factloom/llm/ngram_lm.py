@@ -113,6 +113,10 @@ class Shards:
     def place(self, key: np.ndarray) -> np.ndarray:
         return (key >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(key), np.int64)
 
+    def order(self, shard: np.ndarray) -> np.ndarray:
+        """Rows in the order of their shards; few bits are sorted by counting."""
+        return np.argsort(shard.astype(np.uint16) if self.bits <= 16 else shard, kind="stable")
+
     def blocks(self, columns: list[np.ndarray], counts: np.ndarray) -> Iterator[tuple[int, bytes]]:
         """The rows in a packed block for each shard that has some."""
         if len(columns) == 1:
@@ -120,7 +124,7 @@ class Shards:
         else:
             key, context, hot = self.of(columns)
             shard = self.place(np.where(hot, key, context))
-        order = np.argsort(shard, kind="stable")
+        order = self.order(shard)
         shard = shard[order]
         cuts = np.flatnonzero(np.diff(shard, prepend=-1, append=-1)) if len(shard) else np.zeros(1, np.int64)
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
@@ -227,7 +231,7 @@ class Model:
     def find(self, level: int, keys: np.ndarray, shard: np.ndarray, width: int) -> np.ndarray:
         """Values of keys in the arrays of a level, each in the file of its shard."""
         out = np.zeros((len(keys), width), np.uint64)
-        order = np.argsort(shard.astype(np.uint16) if self.bits <= 16 else shard, kind="stable")  # few bits are sorted by counting
+        order = Shards(self.bits, self.frequent).order(shard)
         placed = shard[order]
         edges = np.flatnonzero(np.diff(placed, prepend=-1, append=-1)) if len(placed) else np.zeros(1, np.int64)
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):

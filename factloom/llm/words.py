@@ -7,7 +7,8 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
+
+from . import xxh3
 
 #: Text bytes handled at once by a task: enough that most of a slice's words repeat in it. A longer text is handled alone.
 SLICE_BYTES = 1 << 23
@@ -60,17 +61,19 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """64-bit hashes of the vocabulary."""
-        digest = xxhash.xxh3_64_intdigest
-        return np.fromiter((digest(w) for w in self.dictionary.to_pylist()), np.uint64, len(self.dictionary))
+        return xxh3.hashes(self.dictionary)
 
 
 def mix(a: np.ndarray, b: np.ndarray | int = 0) -> np.ndarray:
     """A 64-bit hash of a pair of 64-bit values (splitmix64's finaliser)."""
     with np.errstate(over="ignore"):
-        x = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.asarray(b).astype(np.uint64)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
+        x = a.astype(np.uint64, copy=False) * np.uint64(0x9E3779B97F4A7C15) + np.asarray(b).astype(np.uint64, copy=False)
+        x ^= x >> np.uint64(30)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(27)
+        x *= np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        return x
 
 
 def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

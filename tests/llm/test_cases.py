@@ -6,10 +6,11 @@ import re
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, decontaminate, filter_audit, gram_arrays, html_text, license_scan, minhash, ngram_lm, resampling, secret_scan, token_files, toxicity, vector_dedup, window_dedup
+from factloom.llm import bpe, decontaminate, filter_audit, gram_arrays, html_text, license_scan, minhash, ngram_lm, resampling, secret_scan, token_files, toxicity, vector_dedup, window_dedup, xxh3
 from factloom.llm.common import Workspace
 from factloom.llm.html_text import main_text
 
@@ -595,3 +596,30 @@ def test_vectors_at_exactly_the_cosine(spark):
     rows = [(1, [1.0, 0.0, 0.0, 0.0, 0.0]), (2, [19.0, 6.0, 1.0, 1.0, 1.0]), (3, [-1.0, 0.0, 0.0, 0.0, 0.0]), (4, [-19.0, 6.0, 1.0, 1.0, 1.001])]
     got = {r.vec_id: r.n_links for r in vector_dedup.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
     assert got == {1: 1, 2: 1, 3: 0, 4: 0}
+
+
+def test_grams_are_found_near_where_their_print_should_stand(tmp_path):
+    rng = np.random.default_rng(5)
+    keys = np.unique(rng.integers(0, 1 << 58, 100_000, np.uint64)) | np.uint64(21 << 58)  # six bits in common
+    values = [np.arange(len(keys), dtype=np.uint64) % np.uint64(700), np.arange(len(keys), dtype=np.uint64)]
+    for skip in (0, 6):
+        mixed = rng.permutation(len(keys))
+        gram_arrays.write(str(tmp_path / f"{skip}"), keys[mixed], [v[mixed] for v in values], skip)
+        file, read = gram_arrays.GramFile(str(tmp_path / f"{skip}"), skip), []
+
+        class Prints:
+            def __getitem__(self, at, own=file.prints, read=read):
+                read.append(len(at))
+                return own[at]
+
+        file.prints = Prints()
+        other = np.setdiff1d(rng.integers(0, 1 << 64, 1000, np.uint64) >> np.uint64(6) | np.uint64(21 << 58), keys)
+        found = file.find(np.concatenate([keys[::-1], other]))
+        assert (found[: len(keys)] == np.stack(values, 1)[::-1]).all() and not found[len(keys) :].any()
+        assert skip == 0 or sum(read) < 4 * len(keys)  # a search from a bucket's start reads 6
+
+
+def test_hashes_of_many_words():
+    words = ["", "a", "é", "日本", *("ab1é日🙂z"[k % 5 :] * (k % 9) + "x" * (k % 31) for k in range(2000))]
+    for own in (pa.array(words), pa.array(words)[3:77], pa.array([""]), pa.array([], pa.string())):
+        assert xxh3.hashes(own).tolist() == [ngram_lm.xxhash.xxh3_64_intdigest(w) for w in own.to_pylist()]
