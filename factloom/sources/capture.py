@@ -165,11 +165,8 @@ def otlp_partition(raw: DataFrame, payload: str = "payload") -> DataFrame:
     return records.agg(F.count_if(known & real).alias("translated"), F.count_if(~known & real).alias("untranslated"), F.count_if("bad").alias("malformed"))
 
 
-_SIDE_BYTES = 1 << 20  # a larger text of an edit is refused
-
-
 def _edit_records(records: DataFrame, event: str, texts: list[str]) -> DataFrame:
-    """Records of one kind of edit event with its texts (which may be empty); without a session, call, path, agent or event time there is no row."""
+    """Records of one kind of edit event with its texts (of any length, which may be empty); without a session, call, path, agent or event time there is no row."""
     a = F.col("attributes")
     own = records.where(F.col("event").endswith(event)).select(
         F.coalesce(F.nullif(a["session.id"], F.lit("")), a["session_id"]).alias("session_id"), a["agent"].alias("agent_harness"), F.coalesce(a["tool_use_id"], a["call_id"]).alias("call_id"), F.nullif(a["file_path"], F.lit("")).alias("file_path"),
@@ -178,8 +175,6 @@ def _edit_records(records: DataFrame, event: str, texts: list[str]) -> DataFrame
     known = F.lit(True)
     for c in ("session_id", "agent_harness", "call_id", "file_path", "occurred_at", *texts):
         known &= F.col(c).isNotNull()
-    for t in texts:
-        known &= F.octet_length(t) <= _SIDE_BYTES
     return own.where(known)
 
 

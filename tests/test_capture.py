@@ -74,6 +74,16 @@ def test_otlp_attributes_last_value_counts_and_payloads_are_parsed_once(spark):
         assert plan.count("from_json(") == 1 and plan.count("map_from_entries(lambda") <= 1
 
 
+def test_edits_of_any_length_are_kept(spark):
+    own = {"session__id": "s", "agent": "codex", "tool_use_id": "t", "file_path": "a.py"}
+    sizes = [(0, 5), ((1 << 20) + 1, 0), (3, (1 << 20) + 2)]
+    pairs = [record("x.edit_observation", applied_text="a" * n, observed_file_text="ä" * m, **own) for n, m in sizes]
+    records = capture.otlp_records(payloads(spark, otlp(*pairs, record("x.edit_observation", applied_text="a", **own), record("x.rejected_edit", proposed="b" * (1 << 21), **own))))
+    got = capture.edit_observations(records).select(F.char_length("applied_text").alias("n"), F.char_length("observed_file_text").alias("m"))
+    assert sorted((r.n, r.m) for r in got.collect()) == sorted(sizes)
+    assert [r.n for r in capture.rejected_edits(records).select(F.char_length("proposed").alias("n")).collect()] == [1 << 21]
+
+
 def test_gateway_payloads_are_parsed_once_for_a_manifest(spark):
     from factloom.operators import evidence
 
